@@ -6,14 +6,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import exact_dedup, packing
+from marketlake.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from marketlake.llm.common import ensure_checkpoint_dir, table
 
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on `labels`, rejects go."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one stays."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word n-grams at 0.8, one stays."""
+    return ngram_join.keep_one_of_each_group(docs, threshold=0.8, n=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return mixing.mixed_documents(docs, weights=(5, 2, 1), share=1.5, most=2.0)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: exact_dedup.drop_exact_copies(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),
+    ("toxicity", keep_clean),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
 ]
 
+#: Models, hashes and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding, token_counts
+from . import embedding_join, exact_dedup, mixing, ngram_join, packing, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -24,15 +24,36 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), threshold=0.8, n=5)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.embedding_join(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_minimax_shards": op4_minimax_shards,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
+    "op7_embedding_grid_join": op7_embedding_grid_join,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {

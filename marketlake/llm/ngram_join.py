@@ -76,7 +76,7 @@ def grams_of(texts: list[bytes], n: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield at, grams[order], own[order]
 
 
-def _signer(n: int, bands: int, rows: int):
+def signer(n: int, bands: int, rows: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _hash_family(bands * rows)
         weights = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(bands, rows) | np.uint64(1)
@@ -224,7 +224,7 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     bands, rows_a_band = choose_bands(threshold, recall)
     base = df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__class", F.unhex(F.md5("__text")))
     with arrow_rows(spark, 2000):
-        signed = frozen(base.mapInPandas(_signer(n, bands, rows_a_band), "__id long, __class binary, __bands array<long>"))
+        signed = frozen(base.mapInPandas(signer(n, bands, rows_a_band), "__id long, __class binary, __bands array<long>"))
         stand_in = -1 - F.abs(F.xxhash64("__class") % 2**61)  # for classes whose ids are all null
         classes = frozen(signed.groupBy("__class").agg(F.coalesce(F.min("__id"), stand_in).alias("rep"), F.count("*").alias("weight"), F.first("__bands").alias("__bands")))
         banded = classes.filter("__bands IS NOT NULL").select("rep", "weight", F.posexplode("__bands").alias("__p", "__h")).select("rep", "weight", F.xxhash64("__p", "__h").alias("bucket"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, exact_dedup, mixing, ngram_join, packing, sharding, token_counts, toxicity
+from . import embedding_join, exact_dedup, html_text, mixing, ngram_join, packing, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op3_exact_dedup": op3_exact_dedup,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embedding_grid_join": op7_embedding_grid_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
+    "op10_html_main_text": op10_html_main_text,
 }
 
 ORACLES: dict[str, str] = {

@@ -5,7 +5,7 @@ letters in order, gaps allowed within a span of seven letters and damped by
 `decay` a letter, so that words with inserted or missing letters stay close; it
 is normalised. A sentence scores as its highest word (multiple instances): a
 first machine is trained on words that labelled toxic sentences have and clean
-ones don't, further ones also on the highest word of each labelled sentence. The machine
+ones don't, further ones also on the highest words of clean sentences. The machine
 works on the Nystroem map over `landmarks` words; the weights of all landmarks
 fold into one weight per letter triple, so that a word is scored by table
 look-ups. A logistic curve over the highest word, the number of words above
@@ -17,7 +17,7 @@ or more single characters are one word.
 
 Learning uses at most `toxic_docs` and `clean_docs` labelled rows, chosen by a
 seeded hash (the documented bound); scoring covers whole texts of all rows.
-Texts count once per neighbourhood of a word, so copies add nothing. A null
+Near copies within a label count once as evidence for words. A null
 text counts as empty; empty texts get the score of no evidence. Without rows of
 both labels, every score is the share of toxic labels (0 without labels).
 Repeated rows get a row each; a document with labels of both kinds is toxic.
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import frozen, text_or_empty
+from .ngram_join import signer
 from .words import batches, split_hashed
 
 SPAN, WIDTH, CODES = 7, 24, 64
@@ -54,9 +55,10 @@ class Training:
     landmarks: int = 256
     words: int = 3000
     decay: float = 0.5
-    ridge: float = 1e-5
+    ridge: float = 1e-3
     rounds: int = 3
-    odds: float = 6.0
+    odds: float = 20.0
+    sure: float = 3.0
     seed: int = 77
 
 
@@ -151,16 +153,21 @@ def _machine(words: list[str], y: np.ndarray, weight: np.ndarray, t: Training) -
     return table, float(w[-1])
 
 
-def _neighbourhoods(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct words of each text."""
     for frame in frames:
-        word, near, toxic = [], [], []
-        for text, label in zip(frame["__text"], frame["toxic"]):
-            for sentence in _SENTENCE.split(lowered(text)):
-                own = [x for x in map(letters, sentence.split()) if x]
-                word += own
-                near += [f"{a} {b}" for a, b in zip(["", *own[:-1]], [*own[1:], ""])][: len(own)]
-                toxic += [label] * len(own)
-        yield pd.DataFrame({"word": word, "near": near, "toxic": pd.Series(toxic, dtype="int32")})
+        own = [{letters(w) for w in lowered(t).split()} - {""} for t in frame["__text"]]
+        n = np.array([len(x) for x in own], dtype=np.int64)
+        yield pd.DataFrame({"word": [w for x in own for w in x], "toxic": np.repeat(frame["toxic"].to_numpy(dtype=np.int32), n)})
+
+
+def _without_near_copies(sample: DataFrame, bands: int = 8, rows: int = 4) -> DataFrame:
+    """Of texts of a label that share a MinHash band, those with the least id of the band stay; a sample for learning needs no more."""
+    signed = sample.withColumn("__class", F.lit(b"")).mapInPandas(signer(5, bands, rows), "__id long, __class binary, __bands array<long>")
+    banded = signed.join(sample.select("__id", "toxic").distinct(), "__id").select("__id", "toxic", F.posexplode("__bands").alias("k", "h"))
+    least = banded.groupBy("toxic", "k", "h").agg(F.min("__id").alias("least"))
+    gone = banded.join(least, ["toxic", "k", "h"]).filter(F.col("__id") > F.col("least")).select("__id").distinct()
+    return sample.join(gone, "__id", "left_anti")
 
 
 def _highest(table: np.ndarray, bias: float, decay: float):
@@ -195,13 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training(), id_col:
     empty = lambda p: Model(np.zeros(CODES**3), -1.0, np.zeros(4), t.decay, p)
     if set(total) != {0, 1}:
         return empty(float(set(total) == {1}))
-    seen = sample.mapInPandas(_neighbourhoods, "word string, near string, toxic int")
-    seen = seen.groupBy("word", "near").agg(F.max("toxic").alias("bad"), F.min("toxic").alias("good"))
-    counts = frozen(seen.groupBy("word").agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("good") == 0, 1).otherwise(0)).alias("n")))
+    seen = _without_near_copies(sample).mapInPandas(_words, "word string, toxic int")
+    counts = frozen(seen.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
     sums = counts.agg(F.sum("p"), F.sum("n")).first()
     odds = F.log((F.col("p") + 0.5) / (sums[0] + 1)) - F.log((F.col("n") + 0.5) / (sums[1] + 1))
     sure = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    toxic = [(r[0], r[1]) for r in counts.filter((F.col("p") >= 2) & (sure > 1.6) & (odds > float(np.log(t.odds)))).orderBy(sure.desc(), "word").limit(t.words // 4).select("word", sure).collect()]
+    toxic = [(r[0], r[1]) for r in counts.filter((F.col("p") >= 2) & (sure > t.sure) & (odds > float(np.log(t.odds)))).orderBy(sure.desc(), "word").limit(t.words // 4).select("word", sure).collect()]
     clean = [r[0] for r in counts.filter("n >= 1 AND p <= n").orderBy(F.xxhash64(F.lit(t.seed), "word")).limit(t.words).select("word").collect()]
     if not toxic or not clean:
         return empty(total[1] / (total[0] + total[1]))
@@ -209,19 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training(), id_col:
     y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
     table, bias = _machine(words, y, np.r_[np.array([s * s for _, s in toxic]), np.ones(len(clean))], t)
 
-    # further machines: the highest words of labelled sentences join the words of their side
+    # further machines: the highest words of clean sentences join the clean side
     positive, negative = dict(toxic), dict.fromkeys(clean, 1.0)
     for _ in range(t.rounds):
         top = frozen(sample.mapInPandas(_highest(table, bias, t.decay), "word string, score double, toxic int").groupBy("word").agg(F.max("score").alias("score"), F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
-        rare = F.col("n") * t.odds * total[1] / total[0]
-        bad = top.filter((F.col("score") > 0) & (F.col("p") > rare)).orderBy(F.desc("p"), F.desc("score"), "word").limit(t.words // 2).select("word", "p").collect()
-        good = top.filter((F.col("n") > 0) & (F.col("p") <= rare)).orderBy(F.desc("score"), "word").limit(t.words).select("word", "n").collect()
-        positive |= {r[0]: max(positive.get(r[0], 0), r[1]) for r in bad}
-        negative |= {r[0]: max(negative.get(r[0], 0), r[1]) for r in good}
-        for r in good:
-            positive.pop(r[0], None)
-        if not positive:
-            return empty(total[1] / (total[0] + total[1]))
+        good = top.filter("n > 0").orderBy(F.desc("score"), "word").limit(t.words).select("word", "n").collect()
+        negative |= {r[0]: max(negative.get(r[0], 0), r[1]) for r in good if r[0] not in positive}
         words = [*positive, *[w for w in negative if w not in positive]]
         y = np.array([1.0] * len(positive) + [-1.0] * (len(words) - len(positive)))
         table, bias = _machine(words, y, np.array([1 + np.log1p(positive.get(w) or negative.get(w)) for w in words]), t)

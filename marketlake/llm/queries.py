@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, exact_dedup, html_text, mixing, ngram_join, packing, sharding, token_counts, toxicity
+from . import embedding_join, exact_dedup, html_text, mixing, ngram_join, packing, sharding, token_counts, tool_calls, toxicity
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(calls, results, tool_calls.TURN_TOOLS).withColumn("errors", F.array_join("errors", ","))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
+    "op2_tool_call_linking": op2_tool_call_linking,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_minimax_shards": op4_minimax_shards,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
@@ -62,6 +68,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_tool_call_linking": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+        calls AS (SELECT *, 'call-' || conv_id || '-' || turn AS call_id FROM t WHERE role <> 'assistant'),
+        answers AS (SELECT conv_id, turn - 1 AS turn, arg_min(text, turn) AS content, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY ALL),
+        parents AS (
+            SELECT c.conv_id, c.turn, count(DISTINCT p.turn) AS n FROM calls c
+            JOIN calls p ON p.conv_id = c.conv_id AND p.turn IN (0, c.turn // 2) AND p.turn <> c.turn GROUP BY ALL
+        )
+        SELECT c.conv_id, c.call_id, CASE WHEN role = 'system' THEN 'system_prompt' ELSE 'answer' END AS name, c.turn AS position,
+               row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS topo_order, coalesce(p.n, 0) AS n_parents,
+               CASE WHEN a.n IS NULL THEN 'unanswered' ELSE 'answered' END AS status, coalesce(a.n, 0) AS n_results, '' AS errors,
+               '{"arguments":{' || CASE WHEN role = 'system' THEN '"pinned":true,' ELSE '' END || '"query":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn
+               || '},"id":"' || c.call_id || '","name":"' || CASE WHEN role = 'system' THEN 'system_prompt' ELSE 'answer' END || '","result":'
+               || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' AS canonical_json
+        FROM calls c LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn LEFT JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.turn
+    """,
     "op3_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, text_or_empty
+from .common import arrow_rows, frozen, text_or_empty
 from .ngram_join import signer
 from .words import batches, split_hashed
 
@@ -111,8 +111,12 @@ def triples(words: list[str], decay: float) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def score_words(words: list[str], table: np.ndarray, bias: float, decay: float) -> np.ndarray:
-    word, triple, weight = triples(words, decay)
-    return np.bincount(word, weight * table[triple], minlength=len(words)) + bias
+    out = np.empty(len(words))
+    for lo in range(0, len(words), 4096):  # a word has some 200 triples
+        part = words[lo : lo + 4096]
+        word, triple, weight = triples(part, decay)
+        out[lo : lo + 4096] = np.bincount(word, weight * table[triple], minlength=len(part)) + bias
+    return out
 
 
 def _machine(words: list[str], y: np.ndarray, weight: np.ndarray, t: Training) -> tuple[np.ndarray, float]:
@@ -194,6 +198,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, t: Training = Training(), id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits the model on a bounded sample of labelled rows; batches are small, so that workers hold few words at once."""
+    with arrow_rows(docs.sparkSession, 1000):
+        return _train(docs, labels, t, id_col, text_col)
+
+
+def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_col: str) -> Model:
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
     luck = F.xxhash64(F.lit(t.seed), "__id")
     chosen = known.filter("toxic = 1").orderBy(luck, "__id").limit(t.toxic_docs).union(known.filter("toxic = 0").orderBy(luck, "__id").limit(t.clean_docs))
@@ -259,11 +269,9 @@ def _evidence(model: Model, key: str):
                 _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
                 pieces = [buffer[i:j].decode() for i, j in zip(begin[first].tolist(), end[first].tolist())]
                 new = [x for x in pieces if x not in cache]
-                if len(cache) + len(new) > 400_000:
+                if len(cache) + len(new) > 300_000:
                     cache = {x: cache[x] for x in pieces if x in cache}
-                for lo in range(0, len(new), 20_000):
-                    part = new[lo : lo + 20_000]
-                    cache.update(zip(part, score_words([letters(x) for x in part], model.table, model.bias, model.decay).tolist()))
+                cache.update(zip(new, score_words([letters(x) for x in new], model.table, model.bias, model.decay).tolist()))
                 score = np.array([cache[x] for x in pieces])[which]
                 start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 own = owner[start] + at

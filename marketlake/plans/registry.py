@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("q_core",)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in MODULES:
+    _q = import_module(f"marketlake.plans.{_m}")
+    QUERIES.update(_q.QUERIES)
+    ORACLES.update(_q.ORACLES)
 FLAGSHIP = "o065_bucket_rollup_quotes"

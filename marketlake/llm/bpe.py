@@ -36,7 +36,7 @@ _NONE = np.int64(2**62)
 class WordBpe:
     """Encodes as `tokenizers` does for the file, without added special tokens; special strings inside texts are matched."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]

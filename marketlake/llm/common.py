@@ -52,6 +52,13 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session sends Python workers batches of at most so many rows; whole texts make the default of 10,000 heavy."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a long, b long) -> (node, component): component is the least node reachable.
 

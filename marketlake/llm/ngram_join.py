@@ -223,7 +223,7 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     spark = df.sparkSession
     bands, rows_a_band = choose_bands(threshold, recall)
     base = df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__class", F.unhex(F.md5("__text")))
-    with arrow_rows(spark, 2000):
+    with arrow_rows(spark, 1000):
         signed = frozen(base.mapInPandas(signer(n, bands, rows_a_band), "__id long, __class binary, __bands array<long>"))
         stand_in = -1 - F.abs(F.xxhash64("__class") % 2**61)  # for classes whose ids are all null
         classes = frozen(signed.groupBy("__class").agg(F.coalesce(F.min("__id"), stand_in).alias("rep"), F.count("*").alias("weight"), F.first("__bands").alias("__bands")))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -160,5 +160,6 @@ def _packer(path: str | None, end_id: int, limits: Limits):
 
 def pack(df: DataFrame, path: str | None = None, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt_tokens: Column | None = None) -> DataFrame:
     """One row per piece. prompt_tokens: how many leading ids of a document bear no loss (none by default)."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("__text"), F.coalesce(prompt_tokens if prompt_tokens is not None else F.lit(0), F.lit(0)).cast("long").alias("__prompt"))
     return rows.mapInPandas(_packer(path, end_id, limits), SCHEMA)

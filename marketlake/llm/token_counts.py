@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 
 def count_tokens(df: DataFrame, path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,6 +25,7 @@ def count_tokens(df: DataFrame, path: str | None = None, limit: int = 2048, id_c
             n = pd.Series([len(x) // 4 for x in encoder.encode_bytes(frame["__text"].tolist())], index=frame.index, dtype="int64")
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_bytes": frame["n_bytes"], "n_tokens": n, "over_limit": n > limit})
 
+    small_batches(df.sparkSession)
     text = text_or_empty(text_col)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("__text"))
     return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

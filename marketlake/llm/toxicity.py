@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, frozen, text_or_empty
+from .common import arrow_rows, frozen, small_batches, text_or_empty
 from .ngram_join import signer
 from .words import batches, split_hashed
 
@@ -285,6 +285,7 @@ def _evidence(model: Model, key: str):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; the score reads the text alone."""
+    small_batches(docs.sparkSession)
     evidence = _evidence(model, "doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,6 +300,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows below the threshold, with all their columns; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     evidence = _evidence(model, "__row")
     columns = docs.columns
 

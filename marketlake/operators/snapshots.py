@@ -54,8 +54,12 @@ COMPARABLE = ["base_id", "key_tier", "key_category", "pet_level", "stars", "reco
 
 def listing_quotes(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per comparable key (or given columns) of priced BIN listings: lowest, second lowest, highest, average, floor-index median and p25, n."""
-    by = by or COMPARABLE
     rows = comparable(df.filter("bin AND starting_bid > 0")).withColumn("name_key", F.upper(F.trim("item_name")))
+    return price_stats(rows, by or COMPARABLE)
+
+
+def price_stats(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Lowest, second lowest (duplicates count), highest, average, floor-index median and p25, and n of starting bids."""
     w = Window.partitionBy(*by).orderBy("starting_bid")
     rows = rows.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*by))})
     return rows.groupBy(*by).agg(

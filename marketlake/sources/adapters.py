@@ -123,3 +123,11 @@ def request_log(spark: SparkSession, d: str) -> DataFrame:
 def payload_updates(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(F.when(F.col("user_id") % 2 == 0, "quotes").otherwise("listings").alias("feed"), ms("ts").alias("last_updated"), F.md5("props").alias("hash"), F.col("event_id").alias("payload_id"))
+
+
+def item_listing_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Listing quotes of every third part: the priced BIN listings of an item in one row."""
+    from ..operators.snapshots import price_stats
+
+    li = table(spark, d, "lineitem").filter("l_returnflag <> 'A' AND l_partkey % 3 = 0")
+    return price_stats(li.select(F.concat(F.lit("P"), "l_partkey").alias("item_id"), F.floor("l_extendedprice").alias("starting_bid")), ["item_id"])

@@ -32,7 +32,7 @@ SEED = 20_240_229
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 16_384) -> np.ndarray:
-    """How many of each length to take, at most `counts`, with a sum as near below the budget as the program finds.
+    """How many of each length to take, at most `counts`, with the sum nearest to the budget that the program finds, of two as near the lower.
 
     An equal share of every length first; then one more of the longest lengths while the
     rest stays above the window; then a dynamic program over the sums up to the window.
@@ -52,23 +52,28 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
             if more > 0:
                 take[i] += more
                 rest -= more * size
-    # reachable sums as bits; each step is one length with a power of two of its documents
-    steps, reach = [], [1]
-    mask = (1 << (rest + 1)) - 1
+    # reachable sums as bits, to as far above the rest as nothing at all is below it;
+    # each step is one length with a power of two of its documents
+    steps, reach, top = [], [1], 2 * rest
+    mask = (1 << (top + 1)) - 1
     for i in np.argsort(-lengths, kind="stable").tolist():
         size, spare, n = int(lengths[i]), int(counts[i] - take[i]), 1
-        while size and spare > 0 and size <= rest:
+        while size and spare > 0:
             n = min(n, spare)
-            if n * size <= rest:
-                steps.append((i, n))
-                reach.append((reach[-1] | reach[-1] << (n * size)) & mask)
+            if n * size > top:
+                break
+            steps.append((i, n))
+            reach.append((reach[-1] | reach[-1] << (n * size)) & mask)
             spare -= n
             n *= 2
-            if reach[-1] >> rest & 1 or n * size > rest:
+            if reach[-1] >> rest & 1:
                 break
         if reach[-1] >> rest & 1:
             break
-    at = reach[-1].bit_length() - 1
+    below = (reach[-1] & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> (rest + 1)
+    over = rest + 1 + (above & -above).bit_length() - 1 if above else 2 * top + 1
+    at = below if rest - below <= over - rest else over
     for (i, n), before in zip(reversed(steps), reversed(reach[:-1])):
         if not before >> at & 1:
             take[i] += n

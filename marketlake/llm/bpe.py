@@ -24,6 +24,7 @@ _WS = "\t-\r \x85\xa0  -     　"
 _SPLIT = re.compile(f"[{_WS}]+")
 #: str.split() also cuts at these.
 _CONTROL = re.compile("[\x1c-\x1f]")
+_CONTROL_BYTES = b"\0\x1c\x1d\x1e\x1f"
 #: Texts with these go piece by piece: special strings, and white space beyond ASCII or that only the library sees as text.
 _ODD = re.compile("<\\||[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ud800-\udfff]")
 #: Upper-case sigma is lowered by its place in a word by str.lower(), but not by the library.
@@ -36,7 +37,7 @@ _NONE = np.int64(2**62)
 class WordBpe:
     """Encodes as `tokenizers` does for the file, without added special tokens; special strings inside texts are matched."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
@@ -59,7 +60,7 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made_by_rank = keys[order], order.astype(np.int64), made
         self.first_rank = self.ranks(self.first[:, None], self.first[None, :])
-        self.cache_words, self.ids = cache_words, {}
+        self.cache_words, self.ids, self.known = cache_words, {}, {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
@@ -170,23 +171,29 @@ class WordBpe:
     def encode_bytes(self, texts: list[str]):
         """Yields each text's ids as little-endian unsigned 32-bit integers."""
         out: list = [None] * len(texts)
-        plain = []
+        plain, raw = [], []
         for i, text in enumerate(texts):
-            if _ODD.search(text):
+            own = text.encode("utf-8")
+            odd = b"<|" in own or len(own.translate(None, _CONTROL_BYTES)) != len(own) if len(own) == len(text) else _ODD.search(text)
+            if odd:
                 out[i] = self._slow(text)
             else:
                 plain.append(i)
-        for at, batch in batches([texts[i].encode("utf-8") for i in plain]):
+                raw.append(own)
+        for at, batch in batches(raw, 2_000_000):
             buffer, begin, end, hashed, owner = split_hashed(batch)
             _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-            pieces = [buffer[i:j].decode() for i, j in zip(begin[first].tolist(), end[first].tolist())]
-            known = self.ids
-            new = [x for x in pieces if x not in known]
-            if len(known) + len(new) > self.cache_words:
-                self.ids = {x: known[x] for x in pieces if x in known}
+            pieces = [buffer[i:j] for i, j in zip(begin[first].tolist(), end[first].tolist())]
+            encoded = list(map(self.known.get, pieces))
+            new = [k for k, x in enumerate(encoded) if x is None]
             if new:
-                self._learn(new)
-            encoded = list(map(self.ids.__getitem__, pieces))
+                if len(self.known) + len(new) > self.cache_words:
+                    self.known = {x: y for x, y in zip(pieces, encoded) if y is not None}
+                    self.ids = {}
+                words = [pieces[k].decode() for k in new]
+                self._learn(words)
+                for k, w in zip(new, words):
+                    encoded[k] = self.known[pieces[k]] = self.ids.pop(w)
             # the distinct pieces' ids in one array, then each word's run of it
             flat = np.frombuffer(b"".join(encoded), dtype="<u4")
             size = np.array(list(map(len, encoded)), dtype=np.int64) // 4

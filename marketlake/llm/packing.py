@@ -33,13 +33,14 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @dataclass(frozen=True)
 class Limits:
-    """What one sequence may hold; a window is so many tokens that are packed together."""
+    """What one sequence may hold; a window is so many tokens that are packed together, and lookahead the longest remainders within the room that are weighed at a time."""
 
     tokens: int = 2048
     segments: int = 128
     loss_tokens: int = 2048
     least_cut: int = 8
     window_tokens: int = 2_000_000
+    lookahead: int = 128
 
 
 def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[tuple[int, int, int]]]:
@@ -58,41 +59,54 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[tup
         rest_from[i] = at
     left = tokens - rest_from
     left_loss = np.minimum(loss, left)
-    # descending by tokens: the first that fits in tokens is found by bisection of the negated sizes
+    # remainders in descending order of tokens, then loss: what fits in tokens begins at a place found by bisection
     order = np.lexsort((np.arange(len(left)), -left_loss, -left))
     order = order[left[order] > 0]
-    demand = np.stack([left[order] / limits.tokens, np.full(len(order), 1 / limits.segments), left_loss[order] / limits.loss_tokens], axis=1)
-    todo = np.ones(len(order), dtype=bool)
-    low, n = 0, len(order)
-    while True:
-        while low < n and not todo[low]:
-            low += 1
-        if low == n:
-            return bins
-        room = np.ones(3)
+    falling, bearing = -left[order], left_loss[order]
+    while len(order):
+        room_t, room_s, room_l = limits.tokens, limits.segments, limits.loss_tokens
         own: list[tuple[int, int, int]] = []
-        while True:
-            fits = todo[low:] & (demand[low:] <= room + 1e-12).all(axis=1)
-            pick = np.argmax(np.where(fits, demand[low:] @ room, -1.0)) + low
-            if not todo[pick] or not fits[pick - low]:
+        used: list[int] = []
+        at = 0
+        while room_s:
+            at = max(at, int(np.searchsorted(falling, -room_t)))
+            best, pick, lo = -1.0, -1, at
+            while lo < len(order) and pick < 0:
+                t, x = -falling[lo : lo + limits.lookahead], bearing[lo : lo + limits.lookahead]
+                # the inner product of demand and room, each as a share of its limit
+                score = t * (room_t / limits.tokens**2) + x * (room_l / limits.loss_tokens**2)
+                score[x > room_l] = -1.0
+                for u in used:
+                    if lo <= u < lo + len(score):
+                        score[u - lo] = -1.0
+                k = int(score.argmax())
+                if score[k] > best:
+                    best, pick = float(score[k]), lo + k
+                lo += limits.lookahead
+            if pick < 0:
                 break
-            i = int(order[pick])
-            own.append((i, int(rest_from[i]), int(left[i])))
-            todo[pick] = False
-            room = room - demand[pick]
-        gap = round(min(room[0] * limits.tokens, room[2] * limits.loss_tokens))
-        if gap >= limits.least_cut and room[1] * limits.segments > 0.5:
-            waiting = np.flatnonzero(todo[low:])
-            if len(waiting):  # the shortest that is longer than the gap gives its beginning
-                pick = int(waiting[-1]) + low if left[order[waiting[-1] + low]] > gap else int(waiting[np.flatnonzero(left[order[waiting + low]] > gap)[-1]]) + low if (left[order[waiting + low]] > gap).any() else -1
-                if pick >= 0:
-                    i = int(order[pick])
-                    own.append((i, int(rest_from[i]), gap))
-                    rest_from[i] += gap
-                    left[i] -= gap
-                    left_loss[i] = min(left_loss[i], left[i])
-                    demand[pick] = (left[i] / limits.tokens, 1 / limits.segments, left_loss[i] / limits.loss_tokens)
+            i, n = int(order[pick]), int(-falling[pick])
+            own.append((i, int(rest_from[i]), n))
+            used.append(pick)
+            room_t, room_s, room_l = room_t - n, room_s - 1, room_l - int(bearing[pick])
+        gap, cut = min(room_t, room_l), -1
+        if gap >= limits.least_cut and room_s:  # the shortest that is longer than the gap gives its beginning
+            longer = int(np.searchsorted(falling, -gap))
+            cut = next((k for k in range(longer - 1, -1, -1) if k not in used), -1)
         bins.append(own)
+        gone = used
+        if cut >= 0:
+            i = int(order[cut])
+            own.append((i, int(rest_from[i]), gap))
+            rest_from[i] += gap
+            gone = [*used, cut]
+            n = int(-falling[cut]) - gap
+            x = min(int(bearing[cut]), n)
+        order, falling, bearing = np.delete(order, gone), np.delete(falling, gone), np.delete(bearing, gone)
+        if cut >= 0:
+            to = int(np.searchsorted(falling, -n))
+            order, falling, bearing = np.insert(order, to, i), np.insert(falling, to, -n), np.insert(bearing, to, x)
+    return bins
 
 
 def in_powers_of_two(own: list[tuple[int, int, int]], most: int, least: int = 64) -> list[list[tuple[int, int, int]]]:

@@ -140,7 +140,14 @@ def aliases(items: DataFrame) -> DataFrame:
 
 
 def match_items(listings: DataFrame, alias_table: DataFrame) -> DataFrame:
-    """(item_name, item_id): distinct listing names, as they are or compact, that contain an alias. Aliases are the broadcast side of the one non-equi join."""
-    names = listings.select("item_name").distinct().withColumn("__u", F.upper(F.trim("item_name"))).withColumn("__c", F.regexp_replace("__u", "[_ ]", ""))
-    hit = F.contains(F.col("__u"), F.col("alias")) | F.contains(F.col("__c"), F.col("alias"))
-    return names.join(alias_table, hit).select("item_name", "item_id").distinct()
+    """(item_name, item_id): distinct listing names, as they are or compact, that contain an alias.
+
+    An equi-join on the alias's first three characters against the short substrings of the names, then the test itself; never a cross join.
+    """
+    names = listings.select("item_name").distinct().withColumn("__u", F.upper(F.trim("item_name")))
+    forms = names.select("item_name", F.explode(F.array_distinct(F.array("__u", F.regexp_replace("__u", "[_ ]", "")))).alias("__f")).filter("__f <> ''")
+    starts = F.sequence(F.lit(1), F.length("__f"))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("__f"), i, n))))
+    cut = forms.select("item_name", "__f", F.explode(F.array_distinct(parts)).alias("__k"))
+    a = alias_table.filter("alias <> ''").select("item_id", "alias", F.substring("alias", 1, 3).alias("__k"))
+    return cut.join(a, "__k").filter(F.contains(F.col("__f"), F.col("alias"))).select("item_name", "item_id").distinct()

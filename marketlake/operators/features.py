@@ -124,16 +124,21 @@ def market_overview(quotes: DataFrame, t: int, by: str = "product_id") -> DataFr
     return h.select(by, F.col("c.buy_price").alias("buy"), F.col("c.sell_price").alias("sell"), delta(F.col("c.buy_price"), F.col("avg_buy")).alias("buy_delta"), delta(F.col("c.sell_price"), F.col("avg_sell")).alias("sell_delta"), "high_buy", "low_sell", "avg_volume")
 
 
+def first_and_last(quotes: DataFrame, t: int, back_ms: int = DAY_MS, by: str = "product_id") -> DataFrame:
+    """(key, buy_price_lo, buy_price_hi, volume_lo, volume_hi): products of both the first and the last snapshot of the range, in one pass over the two."""
+    own = scan_range(quotes, t - back_ms, t + 1)
+    ends = own.agg(F.min("snapshot_ts").alias("lo"), F.max("snapshot_ts").alias("hi"))
+    e = own.join(F.broadcast(ends), (F.col("snapshot_ts") == F.col("lo")) | (F.col("snapshot_ts") == F.col("hi"))).filter("lo < hi")
+    side = lambda c, at: F.max(F.when(F.col("snapshot_ts") == F.col(at), F.col(c))).alias(f"{c}_{at}")
+    g = e.withColumn("volume", F.col("buy_volume") + F.col("sell_volume")).groupBy(by).agg(*[side(c, at) for c in ("buy_price", "volume") for at in ("lo", "hi")])
+    return g.filter("buy_price_lo IS NOT NULL AND buy_price_hi IS NOT NULL")
+
+
 def trending(quotes: DataFrame, t: int, limit: int = 10, by: str = "product_id") -> DataFrame:
     """Change of price and volume from the first to the last snapshot of the last day, for products in both; the largest first."""
-    own = scan_range(quotes, t - DAY_MS, t + 1)
-    ends = own.agg(F.min("snapshot_ts").alias("lo"), F.max("snapshot_ts").alias("hi"))
-    e = own.join(F.broadcast(ends), (F.col("snapshot_ts") == F.col("lo")) | (F.col("snapshot_ts") == F.col("hi")))
-    side = lambda c, at: F.max(F.when(F.col("snapshot_ts") == F.col(at), F.col(c)))
-    volume = "volume"
-    g = e.filter("lo < hi").withColumn(volume, F.col("buy_volume") + F.col("sell_volume")).groupBy(by).agg(*[side(c, at).alias(f"{c}_{at}") for c in ("buy_price", volume) for at in ("lo", "hi")]).filter("buy_price_lo > 0 AND buy_price_hi IS NOT NULL")
+    g = first_and_last(quotes, t, by=by).filter("buy_price_lo > 0")
     pct = lambda c: round2((F.col(f"{c}_hi") - F.col(f"{c}_lo")) * 100.0 / F.when(F.col(f"{c}_lo") > 0, F.col(f"{c}_lo")))
-    return g.select(by, pct("buy_price").alias("price_change"), pct(volume).alias("volume_change")).orderBy(F.abs("price_change").desc(), by).limit(limit)
+    return g.select(by, pct("buy_price").alias("price_change"), pct("volume").alias("volume_change")).orderBy(F.abs("price_change").desc(), by).limit(limit)
 
 
 def market_trend(quotes: DataFrame) -> DataFrame:

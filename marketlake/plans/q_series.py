@@ -131,6 +131,8 @@ q("o100_quick_stats", lambda s, d: X.quick_stats(A.quote_ticks(s, d), T), "quote
   avg(buy_volume + sell_volume) AS v, max(buy_price) AS high, min(sell_price) AS low FROM quote_ticks {_W7} GROUP BY 1) SELECT product_id, buy_price, sell_price, floor((l - f) * 100e0 / f * 100 + 0.5) / 100 AS change_24h, buy_price - sell_price AS spread, floor(v + 0.5)::BIGINT AS avg_volume, high, low FROM g""")
 q("o101_market_overview", lambda s, d: X.market_overview(A.quote_ticks(s, d), T), "quote_ticks", f"""WITH g AS (SELECT product_id, arg_max(buy_price, snapshot_ts) AS buy, arg_max(sell_price, snapshot_ts) AS sell, avg(buy_price) AS ab, avg(sell_price) AS asl, max(buy_price) AS high_buy, min(sell_price) AS low_sell, avg(buy_volume + sell_volume) AS avg_volume FROM quote_ticks {_W7} GROUP BY 1)
   SELECT product_id, buy, sell, floor((buy - ab) * 100e0 / ab * 100 + 0.5) / 100 AS buy_delta, floor((sell - asl) * 100e0 / asl * 100 + 0.5) / 100 AS sell_delta, high_buy, low_sell, avg_volume FROM g""")
+q("o044_first_and_last", lambda s, d: X.first_and_last(A.quote_grid(s, d), T), "quote_grid", f"""WITH w AS (SELECT *, buy_volume + sell_volume AS volume FROM quote_grid WHERE snapshot_ts >= {T - DAY_MS} AND snapshot_ts <= {T}), e AS (SELECT min(snapshot_ts) AS lo, max(snapshot_ts) AS hi FROM w)
+  SELECT a.product_id, a.buy_price AS buy_price_lo, b.buy_price AS buy_price_hi, a.volume AS volume_lo, b.volume AS volume_hi FROM w a JOIN w b USING (product_id), e WHERE a.snapshot_ts = lo AND b.snapshot_ts = hi AND lo < hi""")
 q("o102_trending", lambda s, d: X.trending(A.quote_grid(s, d), T, 10), "quote_grid", f"""WITH w AS (SELECT *, buy_volume + sell_volume AS volume FROM quote_grid WHERE snapshot_ts >= {T - DAY_MS} AND snapshot_ts <= {T}), e AS (SELECT min(snapshot_ts) AS lo, max(snapshot_ts) AS hi FROM w),
   j AS (SELECT a.product_id, a.buy_price AS p0, b.buy_price AS p1, a.volume AS v0, b.volume AS v1 FROM w a JOIN w b USING (product_id), e WHERE a.snapshot_ts = lo AND b.snapshot_ts = hi AND lo < hi AND a.buy_price > 0)
   SELECT product_id, floor((p1 - p0) * 100e0 / p0 * 100 + 0.5) / 100 AS price_change, floor((v1 - v0) * 100e0 / nullif(v0, 0) * 100 + 0.5) / 100 AS volume_change FROM j ORDER BY abs(price_change) DESC, product_id LIMIT 10""")

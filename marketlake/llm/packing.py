@@ -139,7 +139,6 @@ def _packer(path: str | None, end_id: int, limits: Limits):
             tokens = np.array([len(x) // 4 for _, x, _ in docs], dtype=np.int64)
             loss = np.minimum(np.array([p for *_, p in docs], dtype=np.int64), tokens)
             bins = place(tokens, loss, limits)
-            tail: list[tuple[int, bytes, int]] = []
             whole = lambda b: sum(n for *_, n in b) > limits.tokens - limits.least_cut
             if last:
                 bins = [y for x in bins for y in ([x] if whole(x) else in_powers_of_two(x, limits.tokens))]
@@ -152,7 +151,7 @@ def _packer(path: str | None, end_id: int, limits: Limits):
                     rows.append((doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), size, sequence, offset, max(0, at + n - max(at, size - p))))
                     offset += n
                 sequence += 1
-            docs = tail
+            docs = []
             return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]).astype({"doc_id": "Int64"})
 
         held = 0

@@ -1,23 +1,27 @@
 """Main text of HTML pages by equivalence classes of page tokens.
 
 1. Each page becomes tokens: opening tags with the path of the elements around
-   them, and text pieces with their path. A page's count of a token is one entry
-   of the token's occurrence vector over the pages of its host.
+   them, and text with its path: pieces outside a main element, whole blocks
+   inside one, so that no sentence loses a part. A page's count of a token is one
+   entry of the token's occurrence vector over the pages of its host. Pages with
+   the same text count once: copies of an article are no support.
 2. Tokens of a host are summed up in Spark: the pages that have them, and a
    commutative hash of the vector. Equal hashes mean equal vectors, so grouping
-   by (host, hash, pages) gives the equivalence classes. A class is valid with
-   two or more tokens and pages enough; a valid class whose path lies inside a
-   token of another is nested there. The template of a host is its valid classes.
+   by (hash, pages) gives the equivalence classes. A class is valid with two or
+   more tokens, each word of a text being one, and pages enough. A class is
+   nested in the nearest valid class around it; where its tokens lie in several,
+   each part has to be valid alone. The template of a host is these classes.
 3. The stretches between template tokens are slots. Slots inside an article or
-   main element hold the main text where the page or its host's template has
-   one; else all slots whose path has little link text do, without text that the
-   template itself contains. Menus, headers, footers, sidebars, notices, adverts,
-   forms, scripts, styles and reader comments are known by element or by the
-   words of class, id or role, and go in either case.
+   main element hold the main text where the page has text in one; else all slots
+   whose path has little link text do; in either case without text of the
+   template. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+   styles and reader comments are known by element or by the words of class, id
+   or role, and go in either case.
 
-Inside a main element, text that many pages share stays: copies of an article
-on one host are no template. Hosts of any size are one aggregate with map-side
-combine; templates join by broadcast while they are few, else by a shuffle.
+Text inside a main element needs `main_pages` different pages to count as the
+template's: fewer articles may well share a line. Hosts of any size are one
+aggregate with map-side combine; templates join by broadcast while they are few,
+else by a shuffle.
 
 Defined results: null html counts as empty and has empty text; a null url is a
 host of its own; repeated rows get a row each; an empty table gives no row.
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,18 +65,22 @@ def _dropped(tag: str, marks: str, in_main: bool) -> bool:
     return tag not in _MAIN and tag not in ("body", "html") and bool(marks) and bool(_HINT.search(marks))
 
 
-def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, bool]]:
-    """(kind, path, value, dropped, in main, in link): kind is "tag" for an opening tag, "text" for text, "cut" where a block ends."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, dropped, main
+def _tag_key(path: str, value: str) -> str:
+    return f"<{path}>{value}"
+
+
+def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, bool, str]]:
+    """(kind, path, value, dropped, in main, in link, tag token around it): kind is "tag" for an opening tag, "text" for text, "cut" where a block ends."""
+    stack: list[tuple[str, str, bool, bool, str]] = []  # tag, path, dropped, main, tag token
     links = at = 0
 
-    def top() -> tuple[str, str, bool, bool]:
-        return stack[-1] if stack else ("", "", False, False)
+    def top() -> tuple[str, str, bool, bool, str]:
+        return stack[-1] if stack else ("", "", False, False, "")
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            _, path, gone, main = top()
-            yield "text", path, page[at : m.start()], gone, main, links > 0
+            _, path, gone, main, up = top()
+            yield "text", path, page[at : m.start()], gone, main, links > 0, up
         at = m.end()
         name = m.group(3)
         if name is None:
@@ -82,11 +90,11 @@ def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, bool]]:
             if tag == "a":
                 links = 0 if closing else 1
             if tag == "br":
-                yield "text", top()[1], " ", *top()[2:], links > 0
+                yield "text", top()[1], " ", *top()[2:4], links > 0, top()[4]
             elif not closing:
-                yield "tag", top()[1], tag, *top()[2:], links > 0
+                yield "tag", top()[1], tag, *top()[2:4], links > 0, top()[4]
             continue
-        yield "cut", "", "", False, False, False
+        yield "cut", "", "", False, False, False, ""
         if closing:
             names = [x[0] for x in stack]
             if tag in names:
@@ -101,13 +109,14 @@ def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, bool]]:
         while ends and stack and stack[-1][0] in ends:
             stack.pop()
         marks = " ".join(next(filter(None, a[1:]), "") for a in _ATTRIBUTE.findall(m.group(4))) if "=" in m.group(4) else ""
-        _, path, gone, main = top()
+        _, path, gone, main, up = top()
         own = f"{tag}.{marks}" if marks else tag
-        yield "tag", path, own, gone, main, False
+        yield "tag", path, own, gone, main, False, up
         if tag not in _VOID:
-            stack.append((tag, f"{path}/{own}"[-400:], gone or _dropped(tag, marks, main), main or (tag in _MAIN and not gone)))
+            stack.append((tag, f"{path}/{own}"[-400:], gone or _dropped(tag, marks, main), main or (tag in _MAIN and not gone), _tag_key(path, own)))
     if at < len(page):
-        yield "text", top()[1], page[at:], *top()[2:], links > 0
+        yield "text", top()[1], page[at:], *top()[2:4], links > 0, top()[4]
+    yield "cut", "", "", False, False, False, ""
 
 
 def _long(x: str) -> int:
@@ -118,80 +127,130 @@ def host_of(url_col: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+#: The low bits of a token: text, of several words, inside a main element.
+_TEXT, _WORDS, _INSIDE = 1, 2, 4
+
+
+def _tag_token(key: str) -> int:
+    return _long(key) & ~7
+
+
+def _text_token(path: str, text: str, main: bool) -> int:
+    return _long(f"#{path}#{text}") & ~7 | _TEXT | _WORDS * (" " in text) | _INSIDE * main
+
+
+def _one_line(pieces: list[str]) -> str:
+    return " ".join("".join(pieces).split())
+
+
+def _units(html: str) -> Iterator[tuple[str, str, list, bool, str, int]]:
+    """(kind, path, pieces, in main, tag token around it, link text): "tag" for an opening tag, "block" for the text between two ends of blocks, dropped text left out."""
+    part: list[str] = []
+    where, linked = ("", False, ""), 0
+    for what, path, value, gone, main, link, up in parse(html):
+        if what == "tag":
+            yield "tag", path, [value], main, up, 0
+        elif what == "text" and not gone:
+            part.append(value)
+            where, linked = (path, main, up), linked + len(value) * link
+        elif what == "cut" and part:
+            yield "block", where[0], part, *where[1:], linked
+            part, linked = [], 0
+
+
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums over the pages of a batch: pages, vector hash, and what the token is."""
+    """A row a page: a hash of its text, one of the whole page, and its tokens with their counts and the tokens around them."""
     for frame in frames:
-        pages: Counter = Counter()
-        vector: dict[tuple, int] = {}
-        kind: dict[tuple, tuple[int, int]] = {}
+        out = []
         for host, html in zip(frame["host"], frame["__html"]):
             own: Counter = Counter()
-            page = _long(html)
-            for what, path, value, gone, main, _ in parse(html):
+            around: dict[int, int] = {}
+            texts: tuple[list, list] = [], []
+            for what, path, pieces, main, up, _ in _units(html):
                 if what == "tag":
-                    token = _long(f"<{path}>{value}")
-                    kind[host, token] = (int(value.split(".")[0] in _MAIN and not gone), 0)
-                elif what == "text" and not gone and not main:
-                    text = " ".join(value.split())
-                    if not text:
-                        continue
-                    token = _long(f"#{path}#{text}")
-                    kind[host, token] = (0, 1)
+                    found = [_tag_token(_tag_key(path, pieces[0]))]
                 else:
-                    continue
-                own[token] += 1
-            for token, n in own.items():
-                pages[host, token] += 1
-                # equal pages add equal terms; the sum does not depend on their order
-                vector[host, token] = (vector.get((host, token), 0) + xxhash.xxh64_intdigest(f"{page},{n}")) & (2**64 - 1)
-        keys = list(pages)
-        yield pd.DataFrame({"host": [k[0] for k in keys], "token": np.array([k[1] for k in keys], dtype=np.int64), "pages": np.array([pages[k] for k in keys], dtype=np.int64), "vector": np.array([vector[k] for k in keys], dtype=np.uint64).astype(np.int64), "is_main": np.array([kind[k][0] for k in keys], dtype=np.int32), "is_text": np.array([kind[k][1] for k in keys], dtype=np.int32)})
-
-
-def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3) -> DataFrame:
-    """(host, has_main, text tokens) of the valid classes of each host."""
-    sums = pages.mapInPandas(_counted, "host string, token long, pages long, vector long, is_main int, is_text int")
+                    line = _one_line(pieces)
+                    if not line:
+                        continue
+                    texts[main].append(line)
+                    found = [_text_token(path, line, True)] if main else [_text_token(path, x, False) for x in (" ".join(p.split()) for p in pieces) if x]
+                for token in found:
+                    own[token] += 1
+                    around[token] = _tag_token(up) if up else 0
+            out.append((host, _long("\n".join(texts[1] or texts[0])), _long(html), list(own), list(own.values()), [around[t] for t in own]))
+        yield pd.DataFrame(out, columns=["host", "key", "page", "token", "n", "up"])
+
+
+def nested(tokens: list[tuple[int, int, tuple]]) -> list[int]:
+    """The tokens of the valid classes among a host's frequent (token, token around it, vector): classes by vector, parted by the nearest class around them."""
+
+    def size(group: list[int]) -> int:
+        return sum(2 if t & _WORDS else 1 for t in group)
+
+    up = {t: u for t, u, _ in tokens}
+    classes: dict[tuple, list[int]] = defaultdict(list)
+    for t, _, vector in tokens:
+        classes[vector].append(t)
+    of = {t: vector for vector, group in classes.items() if size(group) > 1 for t in group}
+    parts: dict[tuple, list[int]] = defaultdict(list)
+    for t, vector in of.items():
+        seen, u = {t}, up[t]
+        while u in up and u not in seen and of.get(u, vector) == vector:
+            seen.add(u)
+            u = up[u]
+        parts[vector, of.get(u) if u not in seen else None].append(t)
+    return [t for group in parts.values() if size(group) > 1 for t in group]
+
+
+def _template_texts(main_pages: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = []
+            for rows in frame["tokens"]:
+                pages = {r["token"]: r["pages"] for r in rows}
+                kept = nested([(r["token"], r["up"], (r["v0"], r["v1"], r["pages"])) for r in rows])
+                texts.append(sorted(t for t in kept if t & _TEXT and (not t & _INSIDE or pages[t] >= main_pages)))
+            yield pd.DataFrame({"host": frame["host"], "texts": texts})
+
+    return run
+
+
+def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, main_pages: int = 8) -> DataFrame:
+    """(host, text tokens) of the valid classes of each host; pages with the same text are one page."""
+    each = pages.mapInPandas(_counted, "host string, key long, page long, token array<long>, n array<int>, up array<long>")
+    texts = each.groupBy("host", "key").agg(F.min_by(F.struct("token", "n", "up"), "page").alias("p"))
+    # counted by "p", so that both uses share one exchange and pages are parsed once
+    counts = texts.groupBy("host").agg(F.count("p").alias("of"))
+    rows = texts.select("host", "key", F.explode(F.arrays_zip("p.token", "p.n", "p.up")).alias("t")).select("host", F.col("t.token").alias("token"), F.col("t.up").alias("up"), F.xxhash64("key", "t.n").alias("vector"))
     # the vector hash adds up modulo 2^64, in two halves that cannot overflow a long
     low, high = F.col("vector").bitwiseAND(2**31 - 1), F.shiftrightunsigned("vector", 33)
-    tokens = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(low).alias("v0"), F.sum(high).alias("v1"), F.max("is_main").alias("is_main"), F.max("is_text").alias("is_text"))
-    counts = pages.groupBy("host").agg(F.count("*").alias("of"))
+    tokens = rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(low).alias("v0"), F.sum(high).alias("v1"), F.min("up").alias("up"))
     frequent = tokens.filter(F.col("pages") >= least_pages).join(counts, "host").filter(F.col("pages") >= support * F.col("of"))
-    classes = frequent.groupBy("host", "v0", "v1", "pages").agg(F.count("*").alias("size"), F.max("is_main").alias("has_main"), F.collect_list(F.when(F.col("is_text") == 1, F.col("token"))).alias("texts")).filter("size > 1")
-    return classes.groupBy("host").agg((F.max("has_main") == 1).alias("has_main"), F.flatten(F.collect_list("texts")).alias("texts"))
-
+    hosts = frequent.groupBy("host").agg(F.collect_list(F.struct("token", "up", "v0", "v1", "pages")).alias("tokens"))
+    return hosts.mapInPandas(_template_texts(main_pages), "host string, texts array<long>")
 
-def _blocks(html: str, has_main: bool, template_text: frozenset) -> list[str]:
-    main_blocks, other, part, part_other, linked = [], [], [], [], 0
-    seen_main = False
 
-    def flush() -> None:
-        nonlocal part, part_other, linked
-        text = " ".join(html_lib.unescape("".join(part)).split())
-        if text:
+def _blocks(html: str, template_text: frozenset) -> list[str]:
+    main_blocks, other = [], []
+    for what, path, pieces, main, _, linked in _units(html):
+        if what == "tag":
+            continue
+        if template_text and main:
+            pieces = [] if _text_token(path, _one_line(pieces), True) in template_text else pieces
+        elif template_text:
+            pieces = [x for x in pieces if _text_token(path, " ".join(x.split()), False) not in template_text]
+        text = " ".join(html_lib.unescape("".join(pieces)).split())
+        if text and main:
             main_blocks.append(text)
-        text = " ".join(html_lib.unescape("".join(part_other)).split())
-        if text and linked * 2 <= len(text):
+        elif text and linked * 2 <= len(text):
             other.append(text)
-        part, part_other, linked = [], [], 0
-
-    for what, path, value, gone, main, link in parse(html):
-        if what == "cut":
-            flush()
-        elif what == "tag":
-            seen_main |= value.split(".")[0] in _MAIN and not gone
-        elif not gone:
-            if main:
-                part.append(value)
-            elif not template_text or _long(f"#{path}#{' '.join(value.split())}") not in template_text:
-                part_other.append(value)
-                linked += len(value) * link
-    flush()
-    return main_blocks if seen_main or has_main and main_blocks else other
+    return main_blocks or other
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = ["\n".join(_blocks(h, bool(m) if m is not None and m == m else False, frozenset(t) if t is not None else frozenset())) for h, m, t in zip(frame["__html"], frame["has_main"], frame["texts"])]
+        out = ["\n".join(_blocks(h, frozenset(t) if t is not None else frozenset())) for h, t in zip(frame["__html"], frame["texts"])]
         yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": out, "n_chars": np.array([len(x) for x in out], dtype=np.int64)})
 
 
@@ -203,4 +262,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     size = found.agg(F.count("*"), F.coalesce(F.sum(F.size("texts")), F.lit(0))).first()
     few = size[0] <= broadcast_hosts and size[1] <= broadcast_tokens
     joined = rows.join(F.broadcast(found) if few else found, "host", "left")
-    return joined.select("page_id", "url", "__html", "has_main", "texts").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "__html", "texts").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")

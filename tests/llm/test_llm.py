@@ -312,6 +312,33 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def page_texts(spark, pages):
+    df = spark.createDataFrame([(i, f"https://c.example/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.extract(df).collect()}
+
+
+def test_main_text_template_inside_main(spark):
+    page = "<html><body><main><p>Send this on to friends</p><p>Story {i} of <b>the</b> day</p><p>Get our letter</p></main></body></html>"
+    got = page_texts(spark, [page.replace("{i}", f"n{i}") for i in range(12)])
+    assert got == {i: f"Story n{i} of the day" for i in range(12)}
+
+
+def test_main_text_copies_are_no_support(spark):
+    page = "<html><body><main><p>One {i}</p><p>Two {i} here</p></main></body></html>"
+    got = page_texts(spark, [page.replace("{i}", "x") + f"<!-- {i} -->" for i in range(20)] + [page.replace("{i}", "y")])
+    assert got == {i: "One x\nTwo x here" for i in range(20)} | {20: "One y\nTwo y here"}
+    plain = "<html><body><div><p>One thing</p><p>Two things</p></div></body></html>"
+    assert set(page_texts(spark, [plain + f"<!-- {i} -->" for i in range(6)]).values()) == {"One thing\nTwo things"}
+
+
+def test_main_text_classes_are_nested():
+    text, words = html_text._TEXT, html_text._WORDS
+    top, left, right, a, b, c = 8, 16, 24, 32 | text, 40 | text, 48 | text | words
+    tokens = [(top, 0, (9,)), (left, top, (1,)), (56, left, (1,)), (right, top, (2,)), (64, right, (2,)), (a, left, (3,)), (b, right, (3,)), (c, right, (4,))]
+    assert set(html_text.nested(tokens)) == {left, 56, right, 64, c}  # a and b share a vector, but lie in two classes
+    assert {a, b} < set(html_text.nested([(t, left if t == b else u, v) for t, u, v in tokens]))
+
+
 def test_pages_hold_their_documents(spark, sf):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     n = 0

@@ -13,10 +13,11 @@
    each part has to be valid alone. The template of a host is these classes.
 3. The stretches between template tokens are slots. Slots inside an article or
    main element hold the main text where the page has text in one; else all slots
-   whose path has little link text do; in either case without text of the
-   template. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-   styles and reader comments are known by element or by the words of class, id
-   or role, and go in either case.
+   do; in either case without text of the template. As a check, menus, headers,
+   footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+   are known by element or by a whole word of class, id or role. Such a word on
+   an element around a main element counts for nothing, unless main text was read
+   before it and the word names comments, adverts or related pages.
 
 Text inside a main element needs `main_pages` different pages to count as the
 template's: fewer articles may well share a line. Hosts of any size are one
@@ -33,6 +34,7 @@ import html as html_lib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,53 +55,66 @@ _OPTIONAL_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _NEVER = frozenset("head nav footer aside form dialog menu object audio video canvas".split())
 _MAIN = frozenset(("article", "main"))
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|footer|footnav|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|related|recommend\w*|comment\w*|disqus|respond|replies|reply|pagination|pager|toolbar|masthead|skip|search\w*)(?:$|[\s_-])",
-    re.I,
-)
-
-
-def _dropped(tag: str, marks: str, in_main: bool) -> bool:
+#: What a class, id or role is made of where it names something other than main text: all parts of the word are of these, one of the first two at least.
+_OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promoted related recommend recommended recommendations comment comments disqus respond replies reply".split())
+_FRAME = frozenset("banner banners nav navbar navigation navi menu menus menubar breadcrumb breadcrumbs sidebar sidebars side widget widgets footer footnav cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share shares sharing social pagination pager toolbar masthead skip search".split())
+_NEUTRAL = frozenset("main top bottom left right primary secondary site page global container wrapper wrap box block blocks bar list lists item items section area inner outer content row col column group button buttons link links icon icons form slot unit header posts articles stories".split())
+_NONE, _AROUND, _FOREIGN, _NEVER_TEXT = range(4)
+
+
+@lru_cache(65_536)
+def _hint(marks: str) -> int:
+    """_FOREIGN or _AROUND where a whole word of the marks says so."""
+    found = _NONE
+    for word in marks.lower().split():
+        parts = [p for p in re.split(r"[_-]+", word) if p]
+        if all(p in _OTHERS or p in _FRAME or p in _NEUTRAL or p.isdigit() for p in parts):
+            found = max([found, *(_FOREIGN if p in _OTHERS else _AROUND if p in _FRAME else _NONE for p in parts)])
+    return found
+
+
+def _level(tag: str, marks: str, in_main: bool) -> int:
+    """How firmly an element's text is dropped; a form may hold the whole page."""
     if tag in _NEVER or tag == "header" and not in_main:
-        return True
-    return tag not in _MAIN and tag not in ("body", "html") and bool(marks) and bool(_HINT.search(marks))
+        return _AROUND if tag == "form" else _NEVER_TEXT
+    return _hint(marks) if marks and tag not in _MAIN and tag not in ("body", "html") else _NONE
 
 
 def _tag_key(path: str, value: str) -> str:
     return f"<{path}>{value}"
 
 
-def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, bool, str]]:
-    """(kind, path, value, dropped, in main, in link, tag token around it): kind is "tag" for an opening tag, "text" for text, "cut" where a block ends."""
-    stack: list[tuple[str, str, bool, bool, str]] = []  # tag, path, dropped, main, tag token
-    links = at = 0
+def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, str]]:
+    """(kind, path, value, dropped, in main, tag token around it): kind is "tag" for an opening tag, "text" for text, "cut" where a block ends."""
+    stack: list[tuple[str, str, int, bool, str]] = []  # tag, path, level, main, tag token
+    at = 0
+    read = False  # text of a main element
 
-    def top() -> tuple[str, str, bool, bool, str]:
-        return stack[-1] if stack else ("", "", False, False, "")
+    def top() -> tuple[str, str, int, bool, str]:
+        return stack[-1] if stack else ("", "", _NONE, False, "")
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            _, path, gone, main, up = top()
-            yield "text", path, page[at : m.start()], gone, main, links > 0, up
+            _, path, level, main, up = top()
+            read = read or main and not level and not page[at : m.start()].isspace()
+            yield "text", path, page[at : m.start()], level > 0, main, up
         at = m.end()
         name = m.group(3)
         if name is None:
             continue
         tag, closing = name.lower(), bool(m.group(2))
         if tag in _INLINE:
-            if tag == "a":
-                links = 0 if closing else 1
+            _, path, level, main, up = top()
             if tag == "br":
-                yield "text", top()[1], " ", *top()[2:4], links > 0, top()[4]
+                yield "text", path, " ", level > 0, main, up
             elif not closing:
-                yield "tag", top()[1], tag, *top()[2:4], links > 0, top()[4]
+                yield "tag", path, tag, level > 0, main, up
             continue
-        yield "cut", "", "", False, False, False, ""
+        yield "cut", "", "", False, False, ""
         if closing:
             names = [x[0] for x in stack]
             if tag in names:
                 del stack[len(names) - 1 - names[::-1].index(tag) :]
-                links = 0
             continue
         if tag in _CLOSES_P:
             names = [x[0] for x in stack]
@@ -109,14 +124,17 @@ def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, bool, str]]:
         while ends and stack and stack[-1][0] in ends:
             stack.pop()
         marks = " ".join(next(filter(None, a[1:]), "") for a in _ATTRIBUTE.findall(m.group(4))) if "=" in m.group(4) else ""
-        _, path, gone, main, up = top()
+        _, path, level, main, up = top()
         own = f"{tag}.{marks}" if marks else tag
-        yield "tag", path, own, gone, main, False, up
+        yield "tag", path, own, level > 0, main, up
         if tag not in _VOID:
-            stack.append((tag, f"{path}/{own}"[-400:], gone or _dropped(tag, marks, main), main or (tag in _MAIN and not gone), _tag_key(path, own)))
+            if tag in _MAIN and (level == _AROUND or level == _FOREIGN and not read):
+                level = _NONE
+            stack.append((tag, f"{path}/{own}"[-400:], max(level, _level(tag, marks, main)), main or tag in _MAIN and not level, _tag_key(path, own)))
     if at < len(page):
-        yield "text", top()[1], page[at:], *top()[2:4], links > 0, top()[4]
-    yield "cut", "", "", False, False, False, ""
+        _, path, level, main, up = top()
+        yield "text", path, page[at:], level > 0, main, up
+    yield "cut", "", "", False, False, ""
 
 
 def _long(x: str) -> int:
@@ -143,19 +161,19 @@ def _one_line(pieces: list[str]) -> str:
     return " ".join("".join(pieces).split())
 
 
-def _units(html: str) -> Iterator[tuple[str, str, list, bool, str, int]]:
-    """(kind, path, pieces, in main, tag token around it, link text): "tag" for an opening tag, "block" for the text between two ends of blocks, dropped text left out."""
+def _units(html: str) -> Iterator[tuple[str, str, list, bool, str]]:
+    """(kind, path, pieces, in main, tag token around it): "tag" for an opening tag, "block" for the text between two ends of blocks, dropped text left out."""
     part: list[str] = []
-    where, linked = ("", False, ""), 0
-    for what, path, value, gone, main, link, up in parse(html):
+    where = ("", False, "")
+    for what, path, value, gone, main, up in parse(html):
         if what == "tag":
-            yield "tag", path, [value], main, up, 0
+            yield "tag", path, [value], main, up
         elif what == "text" and not gone:
             part.append(value)
-            where, linked = (path, main, up), linked + len(value) * link
+            where = (path, main, up)
         elif what == "cut" and part:
-            yield "block", where[0], part, *where[1:], linked
-            part, linked = [], 0
+            yield "block", where[0], part, *where[1:]
+            part = []
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +184,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own: Counter = Counter()
             around: dict[int, int] = {}
             texts: tuple[list, list] = [], []
-            for what, path, pieces, main, up, _ in _units(html):
+            for what, path, pieces, main, up in _units(html):
                 if what == "tag":
                     found = [_tag_token(_tag_key(path, pieces[0]))]
                 else:
@@ -233,7 +251,7 @@ def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, main
 
 def _blocks(html: str, template_text: frozenset) -> list[str]:
     main_blocks, other = [], []
-    for what, path, pieces, main, _, linked in _units(html):
+    for what, path, pieces, main, _ in _units(html):
         if what == "tag":
             continue
         if template_text and main:
@@ -241,10 +259,8 @@ def _blocks(html: str, template_text: frozenset) -> list[str]:
         elif template_text:
             pieces = [x for x in pieces if _text_token(path, " ".join(x.split()), False) not in template_text]
         text = " ".join(html_lib.unescape("".join(pieces)).split())
-        if text and main:
-            main_blocks.append(text)
-        elif text and linked * 2 <= len(text):
-            other.append(text)
+        if text:
+            (main_blocks if main else other).append(text)
     return main_blocks or other
 
 

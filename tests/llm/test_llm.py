@@ -339,6 +339,16 @@ def test_main_text_classes_are_nested():
     assert {a, b} < set(html_text.nested([(t, left if t == b else u, v) for t, u, v in tokens]))
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="site has-sidebar"><article><p>Body text</p></article></div>', '<div class="page nav-open"><article><p>Body text</p></article></div>', '<div class="sidebar"><main><p>Body text</p></main></div>',
+    '<form id=f><div class="promo"><article><p>Body text</p></article></div></form>', '<article><p class="share-price">Body text</p></article>', '<main><div class="search-results-body">Body text</div></main>',
+    '<div class="shareholders commentary"><p>Body <a href=/>text</a></p></div>', '<p><a href=/>Body text</a></p>', '<article></article><p>Body text</p>',
+    '<article>Body text</article><div class="comment-list"><article class="comment-body">Me too</article></div>', '<article>Body text<div class="ad-slot">Buy</div><ul class="share-buttons"><li>X</ul></article>',
+])
+def test_main_text_hints(page):
+    assert html_text._blocks(page, frozenset()) == ["Body text"]
+
+
 def test_pages_hold_their_documents(spark, sf):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     n = 0

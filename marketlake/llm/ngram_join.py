@@ -1,6 +1,6 @@
 """Jaccard self-join on word n-grams by MinHash banding, verified on full n-gram sets.
 
-1. Equal texts form a class; its least id represents it.
+1. Equal texts form a class, known by its digest and numbered; its least id names it.
 2. Every text gives one hash per band; `choose_bands` takes the cheapest band
    and row counts that miss a pair at the threshold with at most 1 - recall.
 3. The band hashes are shuffled. Buckets with two or more classes stay, and of
@@ -15,8 +15,9 @@
 An n-gram is a run of five words (maximal runs without space or U+0009 to
 U+000D); a text of one to four words has itself as its one n-gram. Texts
 without words, null among them, link with nothing, equal ones included.
-Repeated rows with one id are copies; different texts under one id count as
-one document, linked to itself. Null ids are kept apart by text.
+Repeated rows with one id are copies; different texts under one id are compared
+and counted each by itself and share a class id. Null ids are kept apart by
+text; a group whose ids are all null has a negative class id.
 """
 
 from __future__ import annotations
@@ -150,6 +151,12 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -
     return out
 
 
+def _alike(both: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """shared / (a + b - shared) >= threshold, in integers scaled by 1e6."""
+    both = both.astype(np.int64)
+    return both * 1_000_000 >= round(threshold * 1_000_000) * (left[:, None] + right[None, :] - both)
+
+
 def _local_edges(n: int, pairs: tuple[np.ndarray, np.ndarray], reps: np.ndarray) -> np.ndarray:
     """The least rep of each row's component within the unit."""
     root = reps.copy()
@@ -169,17 +176,14 @@ def _verifier(threshold: float):
         part = part.drop_duplicates("rep")
         reps, weight = part["rep"].to_numpy(), part["weight"].to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in part["grams"]]
-        sizes = np.array([len(s) for s in sets], dtype=np.float64)
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
         blocks = part["block"].to_numpy()
         bucket, lo, hi = part["bucket"].iloc[0], part["lo"].iloc[0], part["hi"].iloc[0]
         left, right = np.flatnonzero(blocks == lo), np.flatnonzero(blocks == hi)
         links = np.zeros(len(part), dtype=np.int64)
         ai = bi = np.zeros(0, dtype=np.int64)
         if len(left) and len(right):
-            both = _shared([sets[i] for i in left], [sets[i] for i in right])
-            # shared / (a + b - shared) >= threshold, in integers scaled by 1e6
-            level = round(threshold * 1_000_000)
-            ok = both * 1_000_000.0 >= level * (sizes[left][:, None] + sizes[right][None, :] - both)
+            ok = _alike(_shared([sets[i] for i in left], [sets[i] for i in right]), sizes[left], sizes[right], threshold)
             if lo == hi:
                 ok = np.triu(ok, 1)
             i, j = np.nonzero(ok)
@@ -225,25 +229,37 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     base = df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__class", F.unhex(F.md5("__text")))
     with arrow_rows(spark, 1000):
         signed = frozen(base.mapInPandas(signer(n, bands, rows_a_band), "__id long, __class binary, __bands array<long>"))
-        stand_in = -1 - F.abs(F.xxhash64("__class") % 2**61)  # for classes whose ids are all null
-        classes = frozen(signed.groupBy("__class").agg(F.coalesce(F.min("__id"), stand_in).alias("rep"), F.count("*").alias("weight"), F.first("__bands").alias("__bands")))
+        # numbered before the rows are written, so that the numbers stay
+        classes = frozen(signed.groupBy("__class").agg(F.min("__id").alias("least"), F.count("*").alias("weight"), F.first("__bands").alias("__bands")).withColumn("rep", F.monotonically_increasing_id()))
         banded = classes.filter("__bands IS NOT NULL").select("rep", "weight", F.posexplode("__bands").alias("__p", "__h")).select("rep", "weight", F.xxhash64("__p", "__h").alias("bucket"))
         sizes = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("rep").bitwiseAND(2**40 - 1)).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2")).filter("members > 1")
         kept = frozen(sizes.groupBy("members", "s1", "s2").agg(F.min("bucket").alias("bucket")))
         members = frozen(banded.join(kept.select("bucket", "members"), "bucket"))
         own = members.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-        texts = base.join(own, F.col("__id") == F.col("rep"), "left_semi").select(F.col("__id").alias("rep"), "__class", "__text").dropDuplicates(["rep", "__class"])
+        # a class's text is read from the rows of its least id, not from all its copies
+        wanted = classes.join(own.select("rep"), "rep").select("rep", "least", F.col("__class").alias("__of"))
+        texts = base.join(wanted, (F.col("__class") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("least"))).select("rep", "__text").dropDuplicates(["rep"])
         sets = texts.select("rep", "__text").mapInPandas(_sets(n), "rep long, grams binary").join(own, "rep")
         blocks = F.ceil(F.col("members") / block).cast("int")
         placed = members.withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         units = placed.select("rep", "weight", "bucket", "block", F.least("block", "__other").alias("lo"), F.greatest("block", "__other").alias("hi"))
         work = units.join(sets, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
         found = frozen(work.mapInPandas(_verifier(threshold), "rep long, root long, links long"))
-    component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # texts under one id are one document; those without words link with nothing
+    worded = signed.filter("__id IS NOT NULL AND __bands IS NOT NULL").select("__id", "__class")
+    several = worded.groupBy("__id").agg(F.min("__class").alias("c0"), F.max("__class").alias("c1")).filter("c0 <> c1").select("__id", "c0")
+    texts_of_one = worded.join(several, "__id").filter("__class <> c0").select("__class", "c0").distinct()
+    numbers = classes.select("__class", "rep")
+    same_id = texts_of_one.join(numbers.withColumnRenamed("rep", "a"), "__class").join(numbers.select(F.col("__class").alias("c0"), F.col("rep").alias("b")), "c0").select("a", "b")
+    component = frozen(connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(same_id)))
+    # the least id of a component names it; where all are null, a negative stand-in does
+    stand_in = -1 - F.abs(F.xxhash64("__class") % 2**61)
+    names = component.join(classes.select("rep", "least", "__class"), F.col("node") == F.col("rep")).groupBy("component").agg(F.coalesce(F.min("least"), F.min(stand_in)).alias("name"))
+    component = component.join(names, "component").select(F.col("node").alias("rep"), "name")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    settled = classes.join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    settled = classes.join(links, "rep", "left").join(component, "rep", "left")
     own_copies = F.when(F.col("__bands").isNotNull(), F.col("weight") - 1).otherwise(0)
-    settled = settled.select("__class", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + own_copies).alias("n_links"), F.col("__bands").isNull().alias("__alone"))
+    settled = settled.select("__class", F.coalesce("name", "least", stand_in).alias("class_id"), (F.coalesce("links", F.lit(0)) + own_copies).alias("n_links"), F.col("__bands").isNull().alias("__alone"))
     out = signed.select("__id", "__class").join(settled, "__class")
     class_id = F.when(F.col("__alone"), F.coalesce("__id", "class_id")).otherwise(F.col("class_id"))
     return out.select(F.col("__id").alias("doc_id"), class_id.alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.coalesce(F.col("__id") == class_id, F.lit(False)).alias("kept"))

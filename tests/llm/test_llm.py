@@ -193,6 +193,22 @@ def test_ngram_join(docs, none, spark, sf):
     assert left.columns == docs.columns
 
 
+def test_ngram_join_at_the_threshold():
+    for k in range(1, 3000):  # 4k of 5k n-grams shared
+        both = np.array([[4 * k]], dtype=np.float32)
+        assert ngram_join._alike(both, np.array([5 * k]), np.array([4 * k]), 0.8).all()
+        assert not ngram_join._alike(both, np.array([5 * k + 1]), np.array([4 * k]), 0.8).any()
+
+
+def test_ngram_join_shared_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
+    rows = [(1, a), (1, b), (1, ""), (2, a + " end"), (3, b + " end"), (4, ""), (None, c), (None, c + " end"), (None, c + " end"), (5, "five")]
+    got = {(r.doc_id, r.class_id, r.n_links, r.kept) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id IS NOT NULL").collect()}
+    assert got == {(1, 1, 1, True), (1, 1, 0, True), (2, 1, 1, False), (3, 1, 1, False), (4, 4, 0, True), (5, 5, 0, True)}
+    null = [(r.class_id, r.n_links) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id IS NULL").collect()]
+    assert [n for _, n in null] == [2, 2, 2] and len({c for c, _ in null}) == 1 and null[0][0] < 0
+
+
 def test_bands_reach_the_recall():
     for recall in (0.9, 0.999, 0.99999):
         b, r = ngram_join.choose_bands(0.8, recall)

@@ -2,10 +2,11 @@
 
 Every document is tokenised, ended with the end id and cut into full sequences
 plus one remainder. Remainders are vectors (tokens, segments, loss-bearing
-tokens) that a dot-product heuristic places: an open sequence takes, of the
-remainders that fit all three limits, the one whose demand has the largest
-inner product with what the sequence has left. Where nothing fits, a remainder
-is cut to fill the gap. Work runs window by window inside each input partition,
+tokens) that a dot-product heuristic places: an open sequence takes the one whose
+demand has the largest inner product with what the sequence has left, of the
+first `lookahead` remainders, longest first, that have one that fits all three
+limits; shorter ones further on are not weighed. Where nothing fits, a
+remainder is cut to fill the gap. Work runs window by window inside each input partition,
 so that nothing is shuffled and memory is bounded by a window; the last
 sequence of a partition is cut into powers of two, which need no padding.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,34 +54,75 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on the session sends Python workers batches of at most so many rows; whole texts make the default of 10,000 heavy."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def text_udf(make: Callable[[], Callable[[list], object]], spark_type: str, arrow_type: pa.DataType, rows: int = 500):
+    """A column function of whole texts; make() gives, once a task, the function from a list of texts to their values.
+
+    Only texts go to Python and only values come back, so that ids and other
+    columns never leave the JVM. Spark bounds a batch in bytes; within one, so
+    many rows are Python objects at a time.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fn = make()
+        for batch in batches:
+            parts = [pa.array(fn(batch.slice(at, rows).to_pylist()), type=arrow_type) for at in range(0, len(batch), rows)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=arrow_type)
+
+    return F.arrow_udf(run, spark_type)
+
+
+#: A key is hot with more than 1/HOT of the rows; fewer than HOT keys can be.
+HOT = 1024
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """left joined with right, whose key is unique. Hot keys' rows are dealt over salts, on each of which right's row stands; null keys too.
+
+    left is read twice, once to count its keys, and should be frozen.
+    """
+    keyed = left.select(key).filter(F.col(key).isNotNull())
+    bound = max(1, keyed.count() // HOT)
+    hot = frozen(keyed.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > bound).select(key, F.lit(True).alias("__hot")))  # fewer than HOT rows
+    at = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot") | F.col(key).isNull(), at).otherwise(0)).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    known = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return dealt.join(known, [key, "__salt"], how).drop("__salt")
+
+
+def _meet_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) with m of least (u, m, n), n counting u among the rows; hubs meet it where they are read."""
+    bound = max(1, total // HOT)
+    hubs = F.broadcast(least.filter(F.col("n") > bound).select("u", "m"))  # fewer than HOT rows
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= bound).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a long, b long) -> (node, component): component is the least node reachable.
 
     Large-star and small-star rounds in turn, each a group-by with map-side
-    combine and a join; rounds are checkpointed. Nodes without an edge are absent.
+    combine and a join, in which hubs, with more than 1/HOT of the edges, are
+    not shuffled; rounds are checkpointed. Nodes without an edge are absent.
     """
     spark = edges.sparkSession
     now = frozen(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n = now.count()
+    if not n:
+        return spark.createDataFrame([], "node long, component long")
     seen = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _meet_least(both, least, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _meet_least(large, least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = frozen(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("s")).first()
         if seen == mark:
             break
-        seen = mark
+        seen, n = mark, mark[0]
     else:
         raise RuntimeError("components did not settle")
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return pairs.union(pairs.select(F.col("component").alias("node"), "component").distinct()) if seen else spark.createDataFrame([], "node long, component long")
+    return pairs.union(pairs.select(F.col("component").alias("node"), "component").distinct())

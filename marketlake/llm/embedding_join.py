@@ -13,7 +13,10 @@ weight until the end. Pruning is safe whatever the axes are.
 
 Vectors link only within one label and one dimension. Null labels, null or zero
 vectors and vectors with null or non-finite components link with nothing, equal
-ones included. Rows that repeat a vec_id count as vectors of their own.
+ones included. Rows that repeat a vec_id count as vectors of their own. Vectors
+are scaled by a power of two before they are squared. Equality of vectors is
+that of (label, components), the label's length first. Other columns, whatever
+their names, are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, frozen
+from .common import arrow_rows, connected_components, frozen, join_hot
 from .ngram_join import _local_edges
 
 FANOUT = 8
@@ -38,8 +41,7 @@ def _moments(dim_col: str, vec_col: str):
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
             for dim, part in frame.groupby(dim_col):
-                x = np.stack(part[vec_col].to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(np.stack(part[vec_col].to_numpy()).astype(np.float64))
                 sums[dim] = sums.get(dim, 0.0) + x.T @ x
         for dim, m in sums.items():
             i, j = np.triu_indices(dim)
@@ -58,7 +60,13 @@ def principal_axes(vectors: DataFrame, axes: int) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(m)[1][:, ::-1][:, :axes].copy() for d, m in out.items()}
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two so that the largest component is about one: squares neither overflow nor vanish, and no bit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -71,7 +79,7 @@ def embedding_join(df: DataFrame, cosine: float = 0.93, axes: int = 6, block: in
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(
         F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0), F.lit(False)
     )
-    rows = rows.withColumn("vec", F.when(sound, F.col("vec"))).withColumn("key", F.when(sound, F.unhex(F.md5(F.concat_ws(",", F.col("label"), F.transform("vec", lambda x: (x + 0.0).cast("string")))))))
+    rows = rows.withColumn("vec", F.when(sound, F.col("vec"))).withColumn("key", F.when(sound, F.unhex(F.md5(F.concat(F.length("label"), F.lit(":"), "label", F.lit(":"), F.array_join(F.transform("vec", lambda x: (x + 0.0).cast("string")), ","))))))
     named = frozen(rows.select("vec_id", "label", "key", "vec"))
     classes = frozen(named.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec")))
     basis = principal_axes(classes, axes)
@@ -133,6 +141,7 @@ def embedding_join(df: DataFrame, cosine: float = 0.93, axes: int = 6, block: in
             for r in frame.itertuples():
                 ra, wa, rb, wb = longs(r.ra), longs(r.wa), longs(r.rb), longs(r.wb)
                 a, b = (np.frombuffer(v, dtype=np.float64).reshape(-1, r.dim) for v in (r.va, r.vb))
+                a, b = _scaled(a), _scaled(b)
                 near = _unit(a) @ _unit(b).T
                 for x, y in np.argwhere(np.abs(near - cosine) < 1e-12):  # at the threshold, by the definition
                     near[x, y] = math.fsum(a[x] * b[y]) / math.sqrt(math.fsum(a[x] * a[x]) * math.fsum(b[y] * b[y]))
@@ -155,7 +164,7 @@ def embedding_join(df: DataFrame, cosine: float = 0.93, axes: int = 6, block: in
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     settled = classes.select("key", "rep", "weight").join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
     settled = settled.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = named.select("vec_id", "key").join(settled, "key", "left")
+    out = join_hot(named.select("vec_id", "key"), settled, "key", "left")
     component_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept"))
 

@@ -5,11 +5,12 @@
    and row counts that miss a pair at the threshold with at most 1 - recall.
 3. The band hashes are shuffled. Buckets with two or more classes stay, and of
    buckets with the same members one stays.
-4. Members are dealt into blocks of about `block` classes by hash; each pair of
-   blocks of a bucket is one unit of work, so that a bucket of any size is
-   spread over tasks. A unit compares full n-gram sets by counting shared
-   n-grams, and a pair that shares several buckets is counted in the first.
-   A unit returns link counts and one edge a class, never all its pairs.
+4. Members are dealt by hash into blocks of about `block_grams` n-grams and at
+   most about `block` classes; each pair of blocks of a bucket is one unit of
+   work, so that a bucket of any size is spread over tasks and a unit's memory
+   is bounded. A unit compares full n-gram sets by counting shared n-grams, and
+   a pair that shares several buckets is counted in the first. A unit returns
+   link counts and one edge a class, never all its pairs.
 5. Connected components of those edges give the class ids.
 
 An n-gram is a run of five words (maximal runs without space or U+0009 to
@@ -17,7 +18,8 @@ U+000D); a text of one to four words has itself as its one n-gram. Texts
 without words, null among them, link with nothing, equal ones included.
 Repeated rows with one id are copies; different texts under one id are compared
 and counted each by itself and share a class id. Null ids are kept apart by
-text; a group whose ids are all null has a negative class id.
+text; a group whose ids are all null has a negative class id. Ids never leave
+the JVM. A digest that many rows share is dealt over salts in every join.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, frozen, text_or_empty
+from .common import HOT, arrow_rows, connected_components, frozen, join_hot, text_or_empty, text_udf
 from .words import batches, mix, split_hashed
 
 
@@ -78,13 +81,15 @@ def grams_of(texts: list[bytes], n: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def signer(n: int, bands: int, rows: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A column function: a text's hash of each band and, last, the number of its n-grams; null for a text without words."""
+
+    def make():
         a, b = _hash_family(bands * rows)
         weights = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(bands, rows) | np.uint64(1)
-        for frame in frames:
-            texts = [t.encode("utf-8") for t in frame["__text"].tolist()]
+
+        def sign(texts: list[str]) -> list:
             signed: list = [None] * len(texts)
-            for at, grams, owner in grams_of(texts, n):
+            for at, grams, owner in grams_of([t.encode("utf-8") for t in texts], n):
                 start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 least = np.empty((bands * rows, len(start)), dtype=np.uint64)
                 step = 32_768  # stays in the processor's cache, and whole texts stay together
@@ -96,11 +101,14 @@ def signer(n: int, bands: int, rows: int):
                         for k in range(bands * rows):
                             least[k, lo:hi] = np.minimum.reduceat((part * a[k] + b[k]) >> np.uint64(32), where)
                 keys = mix((least.reshape(bands, rows, -1) * weights[:, :, None]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)[:, None]).astype(np.int64)
+                keys = np.vstack([keys, np.diff(np.r_[start, len(grams)])])
                 for j, i in enumerate(owner[start].tolist()):
                     signed[at + i] = keys[:, j]
-            yield pd.DataFrame({"__id": frame["__id"].astype("Int64"), "__class": frame["__class"], "__bands": signed})
+            return signed
 
-    return run
+        return sign
+
+    return text_udf(make, "array<long>", pa.list_(pa.int64()))
 
 
 def _sets(n: int):
@@ -222,25 +230,30 @@ def _verifier(threshold: float):
     return run
 
 
-def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, block: int = 1024, block_grams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (least id reachable by links), n_links (other documents linked directly, copies counted), kept."""
     spark = df.sparkSession
     bands, rows_a_band = choose_bands(threshold, recall)
     base = df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__class", F.unhex(F.md5("__text")))
     with arrow_rows(spark, 1000):
-        signed = frozen(base.mapInPandas(signer(n, bands, rows_a_band), "__id long, __class binary, __bands array<long>"))
+        signed = frozen(base.select("__id", "__class", signer(n, bands, rows_a_band)("__text").alias("__bands")))
         # numbered before the rows are written, so that the numbers stay
-        classes = frozen(signed.groupBy("__class").agg(F.min("__id").alias("least"), F.count("*").alias("weight"), F.first("__bands").alias("__bands")).withColumn("rep", F.monotonically_increasing_id()))
-        banded = classes.filter("__bands IS NOT NULL").select("rep", "weight", F.posexplode("__bands").alias("__p", "__h")).select("rep", "weight", F.xxhash64("__p", "__h").alias("bucket"))
-        sizes = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("rep").bitwiseAND(2**40 - 1)).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2")).filter("members > 1")
-        kept = frozen(sizes.groupBy("members", "s1", "s2").agg(F.min("bucket").alias("bucket")))
-        members = frozen(banded.join(kept.select("bucket", "members"), "bucket"))
+        classes = frozen(signed.groupBy("__class").agg(F.min("__id").alias("least"), F.count("*").alias("weight"), F.first("__bands").alias("__signed")).withColumn("rep", F.monotonically_increasing_id()).withColumns({"__bands": F.slice("__signed", 1, bands), "n_grams": F.element_at("__signed", -1)}).drop("__signed"))
+        banded = classes.filter("__bands IS NOT NULL").select("rep", "weight", "n_grams", F.posexplode("__bands").alias("__p", "__h")).select("rep", "weight", "n_grams", F.xxhash64("__p", "__h").alias("bucket"))
+        sizes = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_grams").alias("grams_in"), F.sum(F.xxhash64("rep").bitwiseAND(2**40 - 1)).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2")).filter("members > 1")
+        kept = frozen(sizes.groupBy("members", "s1", "s2").agg(F.min_by(F.struct("bucket", "grams_in"), "bucket").alias("b")).select("members", "b.*"))
+        members = frozen(banded.drop("n_grams").join(kept.select("bucket", "members", "grams_in"), "bucket"))
         own = members.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-        # a class's text is read from the rows of its least id, not from all its copies
-        wanted = classes.join(own.select("rep"), "rep").select("rep", "least", F.col("__class").alias("__of"))
-        texts = base.join(wanted, (F.col("__class") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("least"))).select("rep", "__text").dropDuplicates(["rep"])
+        # a class's text is read from the rows of its least id, not from all its copies; classes of many rows are dealt over salts
+        total = signed.count()
+        many = F.col("weight") > max(1, total // HOT)
+        wanted = classes.join(own.select("rep"), "rep").select("rep", "least", "weight", F.col("__class").alias("__of"))
+        wanted = wanted.withColumn("__s", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))))
+        hot = F.broadcast(classes.filter(many).select("__class", F.lit(True).alias("__hot")))  # fewer than HOT rows
+        salted = base.join(hot, "__class", "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")).otherwise(0))
+        texts = salted.join(wanted, (F.col("__class") == F.col("__of")) & (F.col("__salt") == F.col("__s")) & F.col("__id").eqNullSafe(F.col("least"))).select("rep", "__text").dropDuplicates(["rep"])
         sets = texts.select("rep", "__text").mapInPandas(_sets(n), "rep long, grams binary").join(own, "rep")
-        blocks = F.ceil(F.col("members") / block).cast("int")
+        blocks = F.ceil(F.greatest(F.col("members") / block, F.col("grams_in") / block_grams)).cast("int")
         placed = members.withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         units = placed.select("rep", "weight", "bucket", "block", F.least("block", "__other").alias("lo"), F.greatest("block", "__other").alias("hi"))
         work = units.join(sets, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
@@ -255,12 +268,12 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     # the least id of a component names it; where all are null, a negative stand-in does
     stand_in = -1 - F.abs(F.xxhash64("__class") % 2**61)
     names = component.join(classes.select("rep", "least", "__class"), F.col("node") == F.col("rep")).groupBy("component").agg(F.coalesce(F.min("least"), F.min(stand_in)).alias("name"))
-    component = component.join(names, "component").select(F.col("node").alias("rep"), "name")
+    component = join_hot(component, names, "component").select(F.col("node").alias("rep"), "name")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     settled = classes.join(links, "rep", "left").join(component, "rep", "left")
     own_copies = F.when(F.col("__bands").isNotNull(), F.col("weight") - 1).otherwise(0)
     settled = settled.select("__class", F.coalesce("name", "least", stand_in).alias("class_id"), (F.coalesce("links", F.lit(0)) + own_copies).alias("n_links"), F.col("__bands").isNull().alias("__alone"))
-    out = signed.select("__id", "__class").join(settled, "__class")
+    out = join_hot(signed.select("__id", "__class"), settled, "__class")
     class_id = F.when(F.col("__alone"), F.coalesce("__id", "class_id")).otherwise(F.col("class_id"))
     return out.select(F.col("__id").alias("doc_id"), class_id.alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.coalesce(F.col("__id") == class_id, F.lit(False)).alias("kept"))
 
@@ -268,4 +281,5 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
 def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of df whose id is the least of its group of linked documents; rows without an id stay."""
     gone = ngram_join(df, id_col=id_col, **options).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    rows = df.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"))  # in a struct no name clashes
+    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")

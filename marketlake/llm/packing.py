@@ -1,17 +1,20 @@
 """Vector bin packing of documents into training sequences.
 
-Every document is tokenised, ended with the end id and cut into full sequences
-plus one remainder. Remainders are vectors (tokens, segments, loss-bearing
-tokens) that a dot-product heuristic places: an open sequence takes the one whose
-demand has the largest inner product with what the sequence has left, of the
-first `lookahead` remainders, longest first, that have one that fits all three
-limits; shorter ones further on are not weighed. Where nothing fits, a
-remainder is cut to fill the gap. Work runs window by window inside each input partition,
-so that nothing is shuffled and memory is bounded by a window; the last
-sequence of a partition is cut into powers of two, which need no padding.
+Every document is tokenised and ended with the end id. Its prompt, its leading
+characters up to `prompt_chars`, bears no loss; the rest does. A document above
+a limit is cut into pieces as long as the limits allow. Pieces are vectors
+(tokens, segments, loss-bearing tokens) that a dot-product heuristic places: an
+open sequence takes, of all pieces that fit its three limits, the one whose
+demand has the largest inner product with what the sequence has left, each as a
+share of its limit. Where nothing fits, the shortest longer piece whose
+beginning fills the gap, prompts first, is cut. A sequence that stays unfilled
+is cut into powers of two, which need no padding. Work runs window by window
+inside each input partition, so that nothing is shuffled and memory is bounded
+by a window.
 
 Defined results: a null text counts as empty and has the end id alone; rows
-with equal ids are packed as separate documents; an empty table gives no row.
+with equal or null ids are packed as separate documents; an empty table gives no
+row. Ids pass through Python as text, so that none is rounded.
 """
 
 from __future__ import annotations
@@ -21,105 +24,123 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import small_batches, text_or_empty
+from .common import text_or_empty
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+_FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
+SCHEMA = "doc_id string, " + ", ".join(f"{c} long" for c in _FIELDS[1:])
+
+Piece = tuple[int, int, int]  # item, start in item, length
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What one sequence may hold; a window is so many tokens that are packed together, and lookahead the longest remainders within the room that are weighed at a time."""
+    """What one sequence may hold; a gap below least_cut is left as padding; a window is so many tokens that are packed together."""
 
     tokens: int = 2048
     segments: int = 128
-    loss_tokens: int = 2048
+    loss_tokens: int = 1984
     least_cut: int = 8
     window_tokens: int = 2_000_000
-    lookahead: int = 128
-
-
-def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[tuple[int, int, int]]]:
-    """Bins of (item, start in item, length). Loss-bearing tokens are the last ones of an item.
-
-    Items longer than what a bin takes are cut first into full bins.
-    """
-    bins: list[list[tuple[int, int, int]]] = []
-    rest_from = np.zeros(len(tokens), dtype=np.int64)
-    full = min(limits.tokens, limits.loss_tokens)
-    for i in np.flatnonzero((tokens > limits.tokens) | (loss > limits.loss_tokens)).tolist():
-        n, at = int(tokens[i]), 0
-        while n - at > limits.tokens or loss[i] - max(0, at - (n - loss[i])) > limits.loss_tokens:
-            bins.append([(i, at, full)])
-            at += full
-        rest_from[i] = at
-    left = tokens - rest_from
-    left_loss = np.minimum(loss, left)
-    # remainders in descending order of tokens, then loss: what fits in tokens begins at a place found by bisection
-    order = np.lexsort((np.arange(len(left)), -left_loss, -left))
-    order = order[left[order] > 0]
-    falling, bearing = -left[order], left_loss[order]
-    while len(order):
+
+
+def pieces_of(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start, length, loss-bearing) of the longest pieces from each item's beginning that keep the limits; loss-bearing tokens are an item's last ones."""
+    item, start, length = [np.arange(len(tokens))], [np.zeros(len(tokens), dtype=np.int64)], [tokens.astype(np.int64)]
+    long = np.flatnonzero((tokens > limits.tokens) | (loss > limits.loss_tokens))
+    for i in long.tolist():
+        n, prompt, at, own = int(tokens[i]), int(tokens[i] - loss[i]), 0, []
+        while at < n:
+            own.append(at)
+            at += min(limits.tokens, max(0, prompt - at) + limits.loss_tokens)
+        item.append(np.full(len(own), i))
+        start.append(np.array(own, dtype=np.int64))
+        length.append(np.diff(np.r_[own, n]))
+    item, start, length = (np.concatenate(x) for x in (item, start, length))
+    keep = (length > 0) & ~(np.isin(item, long) & (np.arange(len(item)) < len(tokens)))
+    item, start, length = item[keep], start[keep], length[keep]
+    return item, start, length, np.minimum(length, np.maximum(0, start + length - (tokens - loss)[item]))
+
+
+def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[Piece]]:
+    """Sequences of pieces. Each choice weighs every piece left that fits; of equal ones the longest, then the one with most loss, then the first goes."""
+    item, start, length, bearing = pieces_of(tokens, loss, limits)
+    # in descending order of tokens, then loss: what fits in tokens begins at a place found by bisection
+    order = np.lexsort((start, item, -bearing, -length))
+    left = np.stack([item[order], start[order], -length[order], bearing[order]])
+    item, start, falling, bearing = left
+    bins: list[list[Piece]] = []
+    while len(item):
         room_t, room_s, room_l = limits.tokens, limits.segments, limits.loss_tokens
-        own: list[tuple[int, int, int]] = []
+        own: list[Piece] = []
         used: list[int] = []
-        at = 0
-        while room_s:
-            at = max(at, int(np.searchsorted(falling, -room_t)))
-            best, pick, lo = -1.0, -1, at
-            while lo < len(order) and pick < 0:
-                t, x = -falling[lo : lo + limits.lookahead], bearing[lo : lo + limits.lookahead]
-                # the inner product of demand and room, each as a share of its limit
-                score = t * (room_t / limits.tokens**2) + x * (room_l / limits.loss_tokens**2)
+        while room_s and room_t:
+            by_t, by_l = room_t / limits.tokens**2, room_l / limits.loss_tokens**2
+            lo, step, best, pick = int(np.searchsorted(falling, -room_t)), 64, -1.0, -1
+            # loss is at most tokens, so what comes later in the order is bounded by its tokens
+            while lo < len(falling) and -falling[lo] * (by_t + by_l) > best:
+                x = bearing[lo : lo + step]
+                score = -falling[lo : lo + step] * by_t + x * by_l
                 score[x > room_l] = -1.0
                 for u in used:
                     if lo <= u < lo + len(score):
                         score[u - lo] = -1.0
                 k = int(score.argmax())
-                if score[k] > best:
+                if score[k] > best and score[k] >= 0:
                     best, pick = float(score[k]), lo + k
-                lo += limits.lookahead
+                lo, step = lo + step, step * 4
             if pick < 0:
                 break
-            i, n = int(order[pick]), int(-falling[pick])
-            own.append((i, int(rest_from[i]), n))
+            n = int(-falling[pick])
+            own.append((int(item[pick]), int(start[pick]), n))
             used.append(pick)
             room_t, room_s, room_l = room_t - n, room_s - 1, room_l - int(bearing[pick])
-        gap, cut = min(room_t, room_l), -1
-        if gap >= limits.least_cut and room_s:  # the shortest that is longer than the gap gives its beginning
-            longer = int(np.searchsorted(falling, -gap))
-            cut = next((k for k in range(longer - 1, -1, -1) if k not in used), -1)
-        bins.append(own)
+        cut = _to_cut(falling, bearing, used, room_t, room_l) if room_s and room_t >= limits.least_cut else -1
         gone = used
         if cut >= 0:
-            i = int(order[cut])
-            own.append((i, int(rest_from[i]), gap))
-            rest_from[i] += gap
+            i, at, n, x = int(item[cut]), int(start[cut]), int(-falling[cut]), int(bearing[cut])
+            own.append((i, at, room_t))
             gone = [*used, cut]
-            n = int(-falling[cut]) - gap
-            x = min(int(bearing[cut]), n)
-        order, falling, bearing = np.delete(order, gone), np.delete(falling, gone), np.delete(bearing, gone)
+        bins.append(own)
+        keep = np.ones(len(item), dtype=bool)
+        keep[gone] = False
+        left = left[:, keep]
         if cut >= 0:
-            to = int(np.searchsorted(falling, -n))
-            order, falling, bearing = np.insert(order, to, i), np.insert(falling, to, -n), np.insert(bearing, to, x)
+            n -= room_t
+            to = int(np.searchsorted(left[2], -n))
+            left = np.concatenate([left[:, :to], [[i], [at + room_t], [-n], [min(x, n)]], left[:, to:]], axis=1)
+        item, start, falling, bearing = left
     return bins
 
 
-def in_powers_of_two(own: list[tuple[int, int, int]], most: int, least: int = 64) -> list[list[tuple[int, int, int]]]:
-    """One partly filled bin as bins whose lengths are powers of two, but for the last."""
-    out: list[list[tuple[int, int, int]]] = []
-    total = sum(n for *_, n in own)
-    if total > most - least:
-        return [own]
+def _to_cut(falling: np.ndarray, bearing: np.ndarray, used: list[int], room_t: int, room_l: int) -> int:
+    """The shortest piece longer than the gap whose beginning, prompt first, fills it within the loss limit; -1 if none does."""
+    longer = int(np.searchsorted(falling, -room_t))
+    for hi in range(longer, 0, -256):
+        lo = max(0, hi - 256)
+        fits = -falling[lo:hi] - bearing[lo:hi] + room_l >= room_t
+        for u in used:
+            if lo <= u < hi:
+                fits[u - lo] = False
+        found = np.flatnonzero(fits)
+        if len(found):
+            return lo + int(found[-1])
+    return -1
+
+
+def in_powers_of_two(own: list[Piece]) -> list[list[Piece]]:
+    """One partly filled sequence as sequences whose lengths are powers of two."""
+    out: list[list[Piece]] = []
+    total, room = sum(n for *_, n in own), 0
     for i, at, n in own:
         while n:
-            if not out or room == 0:
-                room = 1 << (total.bit_length() - 1) if total >= least else total
+            if room == 0:
+                room = 1 << (total.bit_length() - 1)
                 out.append([])
             part = min(n, room)
             out[-1].append((i, at, part))
@@ -127,53 +148,58 @@ def in_powers_of_two(own: list[tuple[int, int, int]], most: int, least: int = 64
     return out
 
 
-def _packer(path: str | None, end_id: int, limits: Limits):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packer(path: str | None, end_id: int, limits: Limits, rows: int = 500):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.load(path or bpe.default_path())
         end = int(end_id).to_bytes(4, "little")
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 36
-        docs: list[tuple[int, bytes, int]] = []
+        docs: list[tuple[str | None, bytes, int]] = []
 
-        def flush(last: bool) -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal sequence, docs
             tokens = np.array([len(x) // 4 for _, x, _ in docs], dtype=np.int64)
-            loss = np.minimum(np.array([p for *_, p in docs], dtype=np.int64), tokens)
-            bins = place(tokens, loss, limits)
+            loss = np.array([p for *_, p in docs], dtype=np.int64)
             whole = lambda b: sum(n for *_, n in b) > limits.tokens - limits.least_cut
-            if last:
-                bins = [y for x in bins for y in ([x] if whole(x) else in_powers_of_two(x, limits.tokens))]
-            rows = []
-            for own in bins:
+            out = []
+            for own in [y for x in place(tokens, loss, limits) for y in ([x] if whole(x) else in_powers_of_two(x))]:
                 offset = 0
                 for i, at, n in own:
                     doc, ids, p = docs[i]
                     size = len(ids) // 4
-                    rows.append((doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), size, sequence, offset, max(0, at + n - max(at, size - p))))
+                    out.append((doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), size, sequence, offset, max(0, at + n - max(at, size - p))))
                     offset += n
                 sequence += 1
             docs = []
-            return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]).astype({"doc_id": "Int64"})
+            columns = list(zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], list(_FIELDS))
 
         held = 0
-        for frame in frames:
-            masked = frame["__prompt"].to_numpy()
-            keys = frame["doc_id"]
-            for doc, gone, ids, skip in zip(keys.tolist(), keys.isna().tolist(), encoder.encode_bytes(frame["__text"].tolist()), masked.tolist()):
-                ids += end
-                docs.append((None if gone else int(doc), ids, max(0, len(ids) // 4 - skip)))
-                held += len(ids) // 4
-                if held >= limits.window_tokens:
-                    yield flush(False)
-                    held = 0
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows).to_pydict()
+                texts, prompts = part["__text"], part["__prompt"]
+                heads = encoder.encode_bytes([t[:p] for t, p in zip(texts, prompts)])
+                for doc, head, tail in zip(part["doc_id"], heads, encoder.encode_bytes([t[p:] for t, p in zip(texts, prompts)])):
+                    docs.append((doc, head + tail + end, len(tail) // 4 + 1))
+                    held += (len(head) + len(tail)) // 4 + 1
+                    if held >= limits.window_tokens:
+                        yield flush()
+                        held = 0
         if docs:
-            yield flush(True)
+            yield flush()
 
     return run
 
 
-def pack(df: DataFrame, path: str | None = None, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt_tokens: Column | None = None) -> DataFrame:
-    """One row per piece. prompt_tokens: how many leading ids of a document bear no loss (none by default)."""
-    small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("__text"), F.coalesce(prompt_tokens if prompt_tokens is not None else F.lit(0), F.lit(0)).cast("long").alias("__prompt"))
-    return rows.mapInPandas(_packer(path, end_id, limits), SCHEMA)
+def first_line_chars(text: Column) -> Column:
+    """The characters of a text's first line and its line feed; 0 where it has one line only."""
+    return F.instr(text, "\n")
+
+
+def pack(df: DataFrame, path: str | None = None, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt_chars: Column | None = None) -> DataFrame:
+    """One row per piece. prompt_chars: how many leading characters, up to a white space, are the prompt (by default the first of several lines)."""
+    text = text_or_empty(text_col)
+    prompt = F.coalesce(prompt_chars if prompt_chars is not None else first_line_chars(text), F.lit(0))
+    rows = df.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text.alias("__text"), prompt.cast("int").alias("__prompt"))
+    return rows.mapInArrow(_packer(path, end_id, limits), SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))

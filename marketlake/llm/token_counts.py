@@ -1,31 +1,31 @@
 """Token counts by rank-synchronous array merging (see `bpe`).
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
-give a row each; an empty table gives no row.
+give a row each; an empty table gives no row. Ids never leave the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import small_batches, text_or_empty
+from .common import text_or_empty, text_udf
 
 
-def count_tokens(df: DataFrame, path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every text, as the library for the vocabulary file gives them."""
+def token_counter(path: str | None = None):
+    """A column function: the number of tokens of a text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encoder = bpe.load(path or bpe.default_path())
-        for frame in frames:
-            n = pd.Series([len(x) // 4 for x in encoder.encode_bytes(frame["__text"].tolist())], index=frame.index, dtype="int64")
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_bytes": frame["n_bytes"], "n_tokens": n, "over_limit": n > limit})
+        return lambda texts: [len(x) // 4 for x in encoder.encode_bytes(texts)]
+
+    return text_udf(make, "long", pa.int64())
 
-    small_batches(df.sparkSession)
+
+def count_tokens(df: DataFrame, path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every text, as the library for the vocabulary file gives them."""
     text = text_or_empty(text_col)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("__text"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), token_counter(path)(text).alias("n_tokens"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,26 +1,32 @@
-"""Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
+"""Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine trained on labelled sentences.
 
 The kernel of two words is the inner product of their weighted counts of three
 letters in order, gaps allowed within a span of seven letters and damped by
 `decay` a letter, so that words with inserted or missing letters stay close; it
-is normalised. A sentence scores as its highest word (multiple instances): a
-first machine is trained on words that labelled toxic sentences have and clean
-ones don't, further ones also on the highest words of clean sentences. The machine
-works on the Nystroem map over `landmarks` words; the weights of all landmarks
-fold into one weight per letter triple, so that a word is scored by table
-look-ups. A logistic curve over the highest word, the number of words above
-zero and the length turns scores into a probability.
-
-Words are white-space pieces in lower case without digits and punctuation,
-after look-alike digits and signs inside a word become letters; runs of three
-or more single characters are one word.
+is normalised. The kernel of two sentences is the sum of that of their words,
+divided by the root of both lengths; a sentence is read in overlapping windows
+of four words, so that an insult of several words counts as one. Sentences have
+the label of their document: the machine is trained round by round on the
+sentences of toxic documents that the one before held for the most toxic (their
+witnesses) and on the sentences of clean ones that it held for the most toxic,
+so that a document is toxic by its highest sentence. The first witnesses are
+those nearest to the words that set toxic documents apart. The machine works on
+the Nystroem map over `landmarks` words, half of them those; what it learns
+folds into one weight per letter triple, so that a word is scored by table
+look-ups and a sentence by a sum. A logistic curve over the highest sentence, the number of
+sentences above zero and the length turns scores into a probability.
+
+Words are white-space pieces (any Unicode white space) in lower case without
+digits and punctuation, after look-alike digits and signs inside a word become
+letters; runs of three or more single characters are one word.
 
 Learning uses at most `toxic_docs` and `clean_docs` labelled rows, chosen by a
-seeded hash (the documented bound); scoring covers whole texts of all rows.
-Near copies within a label count once as evidence for words. A null
-text counts as empty; empty texts get the score of no evidence. Without rows of
-both labels, every score is the share of toxic labels (0 without labels).
-Repeated rows get a row each; a document with labels of both kinds is toxic.
+seeded hash (the documented bound), and at most `sentences` of their sentences
+of a kind a round; scoring covers whole texts of all rows. Near copies within a
+label count once. A null text counts as empty; texts without words score the
+share of toxic labels, and so does every text where the labels are not of both
+kinds (0 without labels). Repeated rows get a row each; a document with labels of both
+kinds is toxic. Ids and other columns never leave the JVM when texts are scored.
 """
 
 from __future__ import annotations
@@ -31,16 +37,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, frozen, small_batches, text_or_empty
+from .common import arrow_rows, frozen, text_or_empty, text_udf
 from .ngram_join import signer
 from .words import batches, split_hashed
 
 SPAN, WIDTH, CODES = 7, 24, 64
+HALF = 2  # half a window of words
 _SPACED = re.compile(r"(?<!\S)(?:\w[ \t]){2,}\w(?!\S)")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_OTHER_SPACE = re.compile(r"[^\S\t-\r ]")
 _ALIKE = str.maketrans("013457@$!", "oieastasi")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -52,13 +60,12 @@ class Training:
 
     toxic_docs: int = 4000
     clean_docs: int = 8000
-    landmarks: int = 256
-    words: int = 3000
+    landmarks: int = 384
+    sentences: int = 2500
     decay: float = 0.5
-    ridge: float = 1e-3
-    rounds: int = 3
-    odds: float = 20.0
-    sure: float = 3.0
+    ridge: float = 1e-4
+    rounds: int = 5
+    witnesses: int = 4
     seed: int = 77
 
 
@@ -66,13 +73,14 @@ class Training:
 class Model:
     table: np.ndarray  # weight of each letter triple
     bias: float
-    curve: np.ndarray  # of (1, highest, log1p(words above zero), log1p(words))
+    curve: np.ndarray  # of (1, highest, log1p(sentences above zero), log1p(words))
     decay: float
-    constant: float | None = None
+    share: float  # of toxic labels, the score without evidence
+    constant: bool = False
 
 
 def lowered(text: str) -> str:
-    low = text.lower()
+    low = _OTHER_SPACE.sub(" ", text.lower())
     return _SPACED.sub(lambda m: re.sub(r"[ \t]", "", m.group()), low) if _SPACED.search(low) else low
 
 
@@ -110,51 +118,69 @@ def triples(words: list[str], decay: float) -> tuple[np.ndarray, np.ndarray, np.
     return word, triple, weight / np.maximum(norm[word], 1e-9)
 
 
-def score_words(words: list[str], table: np.ndarray, bias: float, decay: float) -> np.ndarray:
+def score_words(words: list[str], table: np.ndarray, decay: float) -> np.ndarray:
+    """What each word adds to a sentence; 0 for one without letters."""
     out = np.empty(len(words))
     for lo in range(0, len(words), 4096):  # a word has some 200 triples
         part = words[lo : lo + 4096]
         word, triple, weight = triples(part, decay)
-        out[lo : lo + 4096] = np.bincount(word, weight * table[triple], minlength=len(part)) + bias
+        out[lo : lo + 4096] = np.bincount(word, weight * table[triple], minlength=len(part))
     return out
 
 
-def _machine(words: list[str], y: np.ndarray, weight: np.ndarray, t: Training) -> tuple[np.ndarray, float]:
-    """Landmarks, Nystroem map and squared-hinge machine; gives the triple table and the bias."""
-    rng = np.random.default_rng(t.seed)
-    positive, negative = np.flatnonzero(y > 0), np.flatnonzero(y < 0)
-    half = t.landmarks // 2
-    some = lambda of: np.sort(rng.permutation(of)[:half])
-    marks = np.r_[positive[np.argsort(-weight[positive], kind="stable")[:half]], some(negative)]
-    lw, lt, lv = triples([words[i] for i in marks], t.decay)
-    known, at = np.unique(lt, return_inverse=True)
-    basis = np.zeros((len(marks), len(known)))
-    np.add.at(basis, (lw, at), lv)
-    kernel = np.zeros((len(words), len(marks)))
-    for lo in range(0, len(words), 256):
-        w, tr, v = triples(words[lo : lo + 256], t.decay)
-        pos = np.searchsorted(known, tr)
-        pos[pos == len(known)] = 0
-        hit = known[pos] == tr
-        dense = np.zeros((min(256, len(words) - lo), len(known)))
-        np.add.at(dense, (w[hit], pos[hit]), v[hit])
-        kernel[lo : lo + 256] = dense @ basis.T
-    values, vectors = np.linalg.eigh(basis @ basis.T)
-    keep = values > 1e-6 * values[-1]
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    x = np.c_[kernel @ whiten, np.ones(len(words))]
-    c = np.where(y > 0, weight / weight[positive].sum(), weight / weight[negative].sum())
+class Kernel:
+    """The kernel of words with landmark words, and the Nystroem map it gives."""
+
+    def __init__(self, marks: list[str], decay: float):
+        self.decay, self.rows = decay, {}
+        word, triple, weight = triples(marks, decay)
+        self.known, at = np.unique(triple, return_inverse=True)
+        self.basis = np.zeros((len(marks), len(self.known)))
+        np.add.at(self.basis, (word, at), weight)
+        values, vectors = np.linalg.eigh(self.basis @ self.basis.T)
+        keep = values > 1e-6 * values[-1]
+        self.whiten = vectors[:, keep] / np.sqrt(values[keep])
+
+    def mapped(self, sentences: list[list[str]]) -> np.ndarray:
+        """Sentences in the Nystroem map."""
+        new = sorted({w for s in sentences for w in s} - self.rows.keys())
+        for lo in range(0, len(new), 256):
+            part = new[lo : lo + 256]
+            word, triple, weight = triples(part, self.decay)
+            at = np.searchsorted(self.known, triple)
+            at[at == len(self.known)] = 0
+            hit = self.known[at] == triple
+            dense = np.zeros((len(part), len(self.known)))
+            np.add.at(dense, (word[hit], at[hit]), weight[hit])
+            self.rows.update(zip(part, (dense @ self.basis.T @ self.whiten).astype(np.float32)))
+        return np.array([np.sum([self.rows[w] for w in s], axis=0) / np.sqrt(len(s)) for s in sentences], dtype=np.float64)
+
+    def near(self, likely: np.ndarray) -> np.ndarray:
+        """The weight of each letter triple that adds up likenesses to the landmarks, each by the square of how likely it is."""
+        out = np.zeros(CODES**3)
+        out[self.known] = likely**2 @ self.basis
+        return out
+
+    def table(self, w: np.ndarray) -> np.ndarray:
+        """The weight of each letter triple under the machine's weights."""
+        out = np.zeros(CODES**3)
+        out[self.known] = (self.whiten @ w) @ self.basis
+        return out
+
+
+def machine(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """A squared-hinge machine, both classes of one weight; the last weight is the bias."""
+    x = np.c_[x, np.ones(len(x))]
+    c = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
     w = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps on the active set
         active = y * (x @ w) < 1
         xa = x[active] * c[active, None]
-        new = np.linalg.solve(xa.T @ x[active] + t.ridge * np.eye(x.shape[1]), xa.T @ y[active])
+        new = np.linalg.solve(xa.T @ x[active] + ridge * np.eye(x.shape[1]), xa.T @ y[active])
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
-    table = np.zeros(CODES**3, dtype=np.float64)
-    table[known] = (whiten @ w[:-1]) @ basis
-    return table, float(w[-1])
+    return w
 
 
 def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,28 +193,81 @@ def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _without_near_copies(sample: DataFrame, bands: int = 8, rows: int = 4) -> DataFrame:
     """Of texts of a label that share a MinHash band, those with the least id of the band stay; a sample for learning needs no more."""
-    signed = sample.withColumn("__class", F.lit(b"")).mapInPandas(signer(5, bands, rows), "__id long, __class binary, __bands array<long>")
-    banded = signed.join(sample.select("__id", "toxic").distinct(), "__id").select("__id", "toxic", F.posexplode("__bands").alias("k", "h"))
+    signed = frozen(sample.select("__id", "toxic", signer(5, bands, rows)("__text").alias("__bands")))
+    banded = signed.distinct().select("__id", "toxic", F.posexplode(F.slice("__bands", 1, bands)).alias("k", "h"))
     least = banded.groupBy("toxic", "k", "h").agg(F.min("__id").alias("least"))
     gone = banded.join(least, ["toxic", "k", "h"]).filter(F.col("__id") > F.col("least")).select("__id").distinct()
-    return sample.join(gone, "__id", "left_anti")
-
-
-def _highest(table: np.ndarray, bias: float, decay: float):
-    """The highest word of each sentence."""
+    return sample.join(gone, "__id", "left_anti").dropDuplicates(["__id"])
+
+
+def _windows(begin: np.ndarray, end: np.ndarray, owner: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last) of each sentence, or of its windows of two half windows each."""
+    lines = np.cumsum(buf == 10)
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | np.isin(buf[end[:-1] - 1], (33, 46, 63)) | (lines[begin[1:]] > lines[end[:-1] - 1])
+    first = np.flatnonzero(new)
+    place = np.arange(len(begin)) - np.repeat(first, np.diff(np.r_[first, len(begin)]))
+    blocks = np.flatnonzero(place % HALF == 0)
+    opens = place[blocks] == 0
+    last = np.r_[opens[1:], True]  # the sentence's last block
+    after = np.r_[blocks[1:], len(begin)]
+    keep = ~last | opens  # a last block that is not the only one stands in the window before
+    return blocks[keep], np.where(last, after, np.r_[after[1:], len(begin)])[keep]
+
+
+class Scorer:
+    """Scores of sentences in whole texts; words are scored once while they are remembered."""
+
+    def __init__(self, table: np.ndarray, bias: float, decay: float, most: int = 300_000):
+        self.table, self.bias, self.decay, self.most, self.cache = table, bias, decay, most, {}
+
+    def sentences(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """By run of texts: index of its first, words of each text, (distinct pieces, which each word is), and of each window its text, first word, end and score."""
+        for at, batch in batches([lowered(t).encode("utf-8") for t in texts]):
+            buffer, begin, end, hashed, owner = split_hashed(batch)
+            if not len(begin):
+                continue
+            _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+            pieces = [buffer[i:j].decode() for i, j in zip(begin[first].tolist(), end[first].tolist())]
+            new = [x for x in pieces if x not in self.cache]
+            if len(self.cache) + len(new) > self.most:
+                self.cache = {x: self.cache[x] for x in pieces if x in self.cache}
+            self.cache.update(zip(new, score_words([letters(x) for x in new], self.table, self.decay).tolist()))
+            total = np.r_[0.0, np.cumsum(np.array([self.cache[x] for x in pieces])[which])]
+            lo, hi = _windows(begin, end, owner, np.frombuffer(buffer, dtype=np.uint8))
+            score = (total[hi] - total[lo]) / np.sqrt(hi - lo) + self.bias
+            yield at, np.bincount(owner, minlength=len(batch)), (pieces, which), owner[lo], lo, hi, score
+
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """Per text: its highest sentence, the number of sentences above zero, and its words."""
+        out = np.zeros((len(texts), 3))
+        out[:, 0] = -1.0
+        for at, words, _, owner, _, _, score in self.sentences(texts):
+            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            own = owner[start] + at
+            out[own, 0] = np.maximum.reduceat(score, start)
+            out[own, 1] = np.add.reduceat((score > 0).astype(np.int64), start)
+            out[at : at + len(words), 2] = words
+        return out
+
+
+def _chosen(model: Model, witnesses: int):
+    """Sentences as word lists: of a toxic text its highest, and more of those above zero; of a clean one the two highest."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model.table, model.bias, model.decay)
         for frame in frames:
-            sentences, label = [], []
-            for text, y in zip(frame["__text"], frame["toxic"]):
-                own = [[w for w in map(letters, s.split()) if w] for s in _SENTENCE.split(lowered(text))]
-                sentences += [s for s in own if s]
-                label += [y] * sum(map(bool, own))
-            distinct = sorted({w for s in sentences for w in s})
-            if distinct:
-                of = dict(zip(distinct, score_words(distinct, table, bias, decay).tolist()))
-                top = [max(s, key=of.__getitem__) for s in sentences]
-                yield pd.DataFrame({"word": top, "score": [of[w] for w in top], "toxic": pd.Series(label, dtype="int32")})
+            out, label = [], frame["toxic"].tolist()
+            for at, _, (pieces, which), owner, lo, hi, score in scorer.sentences(frame["__text"].tolist()):
+                start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                for i, j in zip(start.tolist(), [*start[1:].tolist(), len(owner)]):
+                    y = label[at + owner[i]]
+                    order = (i + np.argsort(-score[i:j], kind="stable")[: witnesses if y else 2]).tolist()
+                    for k in [x for n, x in enumerate(order) if not n or not y or score[x] > 0]:
+                        own = [w for w in (letters(pieces[x]) for x in which[lo[k] : hi[k]]) if w]
+                        if own:
+                            out.append((" ".join(own), float(score[k]), y))
+            yield pd.DataFrame(out, columns=["sentence", "score", "toxic"])
 
     return run
 
@@ -209,34 +288,29 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
     chosen = known.filter("toxic = 1").orderBy(luck, "__id").limit(t.toxic_docs).union(known.filter("toxic = 0").orderBy(luck, "__id").limit(t.clean_docs))
     sample = frozen(docs.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "toxic"))  # bounded by the settings
     total = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
-    empty = lambda p: Model(np.zeros(CODES**3), -1.0, np.zeros(4), t.decay, p)
+    share = total.get(1, 0) / max(1, sum(total.values()))
+    constant = Model(np.zeros(CODES**3), -1.0, np.zeros(4), t.decay, share, True)
     if set(total) != {0, 1}:
-        return empty(float(set(total) == {1}))
-    seen = _without_near_copies(sample).mapInPandas(_words, "word string, toxic int")
-    counts = frozen(seen.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
-    sums = counts.agg(F.sum("p"), F.sum("n")).first()
-    odds = F.log((F.col("p") + 0.5) / (sums[0] + 1)) - F.log((F.col("n") + 0.5) / (sums[1] + 1))
-    sure = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    toxic = [(r[0], r[1]) for r in counts.filter((F.col("p") >= 2) & (sure > t.sure) & (odds > float(np.log(t.odds)))).orderBy(sure.desc(), "word").limit(t.words // 4).select("word", sure).collect()]
-    clean = [r[0] for r in counts.filter("n >= 1 AND p <= n").orderBy(F.xxhash64(F.lit(t.seed), "word")).limit(t.words).select("word").collect()]
-    if not toxic or not clean:
-        return empty(total[1] / (total[0] + total[1]))
-    words = [w for w, _ in toxic] + clean
-    y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
-    table, bias = _machine(words, y, np.r_[np.array([s * s for _, s in toxic]), np.ones(len(clean))], t)
-
-    # further machines: the highest words of clean sentences join the clean side
-    positive, negative = dict(toxic), dict.fromkeys(clean, 1.0)
-    for _ in range(t.rounds):
-        top = frozen(sample.mapInPandas(_highest(table, bias, t.decay), "word string, score double, toxic int").groupBy("word").agg(F.max("score").alias("score"), F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
-        good = top.filter("n > 0").orderBy(F.desc("score"), "word").limit(t.words).select("word", "n").collect()
-        negative |= {r[0]: max(negative.get(r[0], 0), r[1]) for r in good if r[0] not in positive}
-        words = [*positive, *[w for w in negative if w not in positive]]
-        y = np.array([1.0] * len(positive) + [-1.0] * (len(words) - len(positive)))
-        table, bias = _machine(words, y, np.array([1 + np.log1p(positive.get(w) or negative.get(w)) for w in words]), t)
-    model = Model(table, bias, np.zeros(4), t.decay)
-    rows = sample.mapInPandas(_evidence(model, "toxic"), "toxic long, highest double, above long, words long").groupBy("toxic", "highest", "above", F.floor(F.log1p("words")).alias("w")).agg(F.count("*").alias("k"), F.avg("words").alias("words")).collect()  # at most the sample
-    f = np.array([_curve_inputs(r.highest, r.above, r.words) for r in rows])
+        return constant
+    apart = frozen(_without_near_copies(sample))
+    marks, likely = _landmarks(apart, t)
+    if not marks:
+        return constant
+    kernel = Kernel(marks, t.decay)
+    model = Model(kernel.near(likely), 0.0, np.zeros(4), t.decay, share)
+    clean: dict[str, None] = {}
+    for k in range(t.rounds):
+        witnesses = t.witnesses if k else 1
+        found = frozen(apart.mapInPandas(_chosen(model, witnesses), "sentence string, score double, toxic int").groupBy("sentence", "toxic").agg(F.max("score").alias("score")))
+        some = lambda y, *by: [r[0] for r in found.filter(F.col("toxic") == y).orderBy(*by, F.xxhash64(F.lit(t.seed), "sentence"), "sentence").limit(t.sentences).select("sentence").collect()]
+        toxic = some(1)
+        clean |= dict.fromkeys(some(0, F.desc("score")))
+        x = kernel.mapped([s.split(" ") for s in [*toxic, *clean]])
+        w = machine(x, np.r_[np.ones(len(toxic)), -np.ones(len(clean))], t.ridge)
+        model = Model(kernel.table(w[:-1]), float(w[-1]), np.zeros(4), t.decay, share)
+    rows = sample.select("toxic", evidence_udf(model)("__text").alias("e")).select("toxic", *[F.col("e")[i].alias(c) for i, c in enumerate(("highest", "above", "words"))])
+    rows = rows.groupBy("toxic", "highest", "above", F.floor(F.log1p("words")).alias("w")).agg(F.count("*").alias("k"), F.avg("words").alias("words")).collect()  # at most the sample
+    f = _curve_inputs(*(np.array([r[c] for r in rows]) for c in ("highest", "above", "words")))
     k = np.array([r.k for r in rows]) * np.where([r.toxic == 1 for r in rows], 0.5 / total[1], 0.5 / total[0])
     target = np.array([float(r.toxic) for r in rows])
     w = np.zeros(4)
@@ -247,69 +321,54 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
         w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    return Model(table.astype(np.float64), bias, w, t.decay)
+    return Model(model.table, model.bias, w, t.decay, share)
+
+
+def _landmarks(sample: DataFrame, t: Training) -> tuple[list[str], np.ndarray]:
+    """Half the likeliest words of toxic documents, half words of clean ones by a seeded hash; and how sure each is of a toxic document."""
+    counts = frozen(sample.mapInPandas(_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
+    sums = counts.agg(F.sum("p"), F.sum("n")).first()
+    odds = F.log((F.col("p") + 0.5) / (sums[0] + 1)) - F.log((F.col("n") + 0.5) / (sums[1] + 1))
+    sure = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
+    half, luck = t.landmarks // 2, F.xxhash64(F.lit(t.seed), "word")
+    toxic = {r[0]: max(0.0, r[1]) for r in counts.filter("p > 0").orderBy(sure.desc(), "word").limit(half).select("word", sure).collect()}
+    clean = [r[0] for r in counts.filter("n > 0").orderBy(luck, "word").limit(half).select("word").collect()]
+    marks = list(dict.fromkeys([*toxic, *clean])) if toxic and clean else []
+    return marks, np.array([toxic.get(w, 0.0) for w in marks])
 
 
 def _curve_inputs(highest, above, words) -> np.ndarray:
-    return np.stack([np.ones_like(np.asarray(highest, dtype=float)), np.clip(highest, -3, 3), np.log1p(above), np.log1p(words)], axis=-1)
+    return np.stack([np.ones(len(highest)), np.clip(highest, -3, 3), np.log1p(above), np.log1p(words)], axis=-1)
 
 
-def _evidence(model: Model, key: str):
-    """Per text: its highest word, the number of words above zero, and its words."""
+def evidence_udf(model: Model):
+    """A column function: (highest sentence, sentences above zero, words) of a text."""
+    return text_udf(lambda: (lambda scorer: lambda texts: list(scorer.evidence(texts)))(Scorer(model.table, model.bias, model.decay)), "array<double>", pa.list_(pa.float64()))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, float] = {}
-        for frame in frames:
-            n = len(frame)
-            highest, above, words = np.full(n, -1.0), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            for at, batch in batches([lowered(t).encode("utf-8") for t in frame["__text"]]):
-                buffer, begin, end, hashed, owner = split_hashed(batch)
-                if not len(begin):
-                    continue
-                _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-                pieces = [buffer[i:j].decode() for i, j in zip(begin[first].tolist(), end[first].tolist())]
-                new = [x for x in pieces if x not in cache]
-                if len(cache) + len(new) > 300_000:
-                    cache = {x: cache[x] for x in pieces if x in cache}
-                cache.update(zip(new, score_words([letters(x) for x in new], model.table, model.bias, model.decay).tolist()))
-                score = np.array([cache[x] for x in pieces])[which]
-                start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                own = owner[start] + at
-                highest[own] = np.maximum(np.maximum.reduceat(score, start), -3)
-                above[own] = np.add.reduceat((score > 0).astype(np.int64), start)
-                words[own] = np.diff(np.r_[start, len(owner)])
-            yield pd.DataFrame({key: frame[key].astype("Int64"), "highest": highest, "above": above, "words": words})
 
-    return run
+def score_udf(model: Model):
+    """A column function: the probability that a text is toxic."""
 
+    def make():
+        scorer = Scorer(model.table, model.bias, model.decay)
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; the score reads the text alone."""
-    small_batches(docs.sparkSession)
-    evidence = _evidence(model, "doc_id")
+        def probability(texts: list[str]) -> np.ndarray:
+            if model.constant:
+                return np.full(len(texts), model.share)
+            highest, above, words = scorer.evidence(texts).T
+            return np.where(words > 0, 1 / (1 + np.exp(-_curve_inputs(highest, above, words) @ model.curve)), model.share)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in evidence(frames):
-            f = _curve_inputs(frame["highest"].to_numpy(), frame["above"].to_numpy(), frame["words"].to_numpy())
-            p = np.full(len(frame), model.constant) if model.constant is not None else 1 / (1 + np.exp(-f @ model.curve))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": p})
+        return probability
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("__text")).mapInPandas(run, "doc_id long, score double")
-    return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return text_udf(make, "double", pa.float64())
 
 
-def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows below the threshold, with all their columns; nothing is shuffled."""
-    small_batches(docs.sparkSession)
-    evidence = _evidence(model, "__row")
-    columns = docs.columns
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; the score reads the text alone."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), score_udf(model)(text_or_empty(text_col)).alias("score"))
+    return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            own = pd.DataFrame({"__row": range(len(frame)), "__text": [x if isinstance(x, str) else "" for x in frame[text_col]]})
-            e = next(evidence(iter([own])))
-            f = _curve_inputs(e["highest"].to_numpy(), e["above"].to_numpy(), e["words"].to_numpy())
-            p = np.full(len(e), model.constant) if model.constant is not None else 1 / (1 + np.exp(-f @ model.curve))
-            yield frame[columns][p < threshold]
 
-    return docs.mapInPandas(run, docs.schema)
+def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows below the threshold, with all their columns; nothing is shuffled and Python sees the text alone."""
+    return docs.filter(score_udf(model)(text_or_empty(text_col)) < threshold)

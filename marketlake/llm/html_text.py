@@ -36,13 +36,13 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, small_batches, text_or_empty
+from .common import arrow_rows, frozen, join_hot, text_or_empty
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
@@ -73,6 +73,10 @@ def _hint(marks: str) -> int:
     return found
 
 
+def _marks(attributes: str) -> str:
+    return " ".join(next(filter(None, a[1:]), "") for a in _ATTRIBUTE.findall(attributes))
+
+
 def _level(tag: str, marks: str, in_main: bool) -> int:
     """How firmly an element's text is dropped; a form may hold the whole page."""
     if tag in _NEVER or tag == "header" and not in_main:
@@ -85,7 +89,10 @@ def _tag_key(path: str, value: str) -> str:
 
 
 def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, str]]:
-    """(kind, path, value, dropped, in main, tag token around it): kind is "tag" for an opening tag, "text" for text, "cut" where a block ends."""
+    """(kind, path, value, dropped, in main, tag token around it): kind is "tag" for an opening tag, "text" for text, "cut" where a block ends.
+
+    A path is a hash of the element's tag and marks and of the path around it.
+    """
     stack: list[tuple[str, str, int, bool, str]] = []  # tag, path, level, main, tag token
     at = 0
     read = False  # text of a main element
@@ -109,6 +116,13 @@ def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, str]]:
                 yield "text", path, " ", level > 0, main, up
             elif not closing:
                 yield "tag", path, tag, level > 0, main, up
+                foreign = "=" in m.group(4) and _hint(_marks(m.group(4))) == _FOREIGN  # an advert inside a line
+                if tag not in _VOID and (foreign or stack and stack[-1][0] in _INLINE):
+                    stack.append((tag, path, _FOREIGN if foreign else level, main, up))
+            else:
+                open_ = [k for k, x in enumerate(stack) if x[0] == tag]
+                if open_ and all(x[0] in _INLINE for x in stack[open_[-1] :]):
+                    del stack[open_[-1] :]
             continue
         yield "cut", "", "", False, False, ""
         if closing:
@@ -123,14 +137,14 @@ def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, str]]:
         ends = _OPTIONAL_END.get(tag)
         while ends and stack and stack[-1][0] in ends:
             stack.pop()
-        marks = " ".join(next(filter(None, a[1:]), "") for a in _ATTRIBUTE.findall(m.group(4))) if "=" in m.group(4) else ""
+        marks = _marks(m.group(4)) if "=" in m.group(4) else ""
         _, path, level, main, up = top()
         own = f"{tag}.{marks}" if marks else tag
         yield "tag", path, own, level > 0, main, up
         if tag not in _VOID:
             if tag in _MAIN and (level == _AROUND or level == _FOREIGN and not read):
                 level = _NONE
-            stack.append((tag, f"{path}/{own}"[-400:], max(level, _level(tag, marks, main)), main or tag in _MAIN and not level, _tag_key(path, own)))
+            stack.append((tag, xxhash.xxh64_hexdigest(f"{path}/{own}"), max(level, _level(tag, marks, main)), main or tag in _MAIN and not level, _tag_key(path, own)))
     if at < len(page):
         _, path, level, main, up = top()
         yield "text", path, page[at:], level > 0, main, up
@@ -241,8 +255,8 @@ def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, main
     # counted by "p", so that both uses share one exchange and pages are parsed once
     counts = texts.groupBy("host").agg(F.count("p").alias("of"))
     rows = texts.select("host", "key", F.explode(F.arrays_zip("p.token", "p.n", "p.up")).alias("t")).select("host", F.col("t.token").alias("token"), F.col("t.up").alias("up"), F.xxhash64("key", "t.n").alias("vector"))
-    # the vector hash adds up modulo 2^64, in two halves that cannot overflow a long
-    low, high = F.col("vector").bitwiseAND(2**31 - 1), F.shiftrightunsigned("vector", 33)
+    # the vector hash is added up in two halves of 32 bits, which cannot overflow a long
+    low, high = F.col("vector").bitwiseAND(2**32 - 1), F.shiftrightunsigned("vector", 32)
     tokens = rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(low).alias("v0"), F.sum(high).alias("v1"), F.min("up").alias("up"))
     frequent = tokens.filter(F.col("pages") >= least_pages).join(counts, "host").filter(F.col("pages") >= support * F.col("of"))
     hosts = frequent.groupBy("host").agg(F.collect_list(F.struct("token", "up", "v0", "v1", "pages")).alias("tokens"))
@@ -264,18 +278,26 @@ def _blocks(html: str, template_text: frozenset) -> list[str]:
     return main_blocks or other
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = ["\n".join(_blocks(h, frozenset(t) if t is not None else frozenset())) for h, t in zip(frame["__html"], frame["texts"])]
-        yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": out, "n_chars": np.array([len(x) for x in out], dtype=np.int64)})
+def main_text_udf(rows: int = 200):
+    """A column function of (html, template texts of its host)."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for htmls, texts in batches:
+            out: list[str] = []
+            for at in range(0, len(htmls), rows):
+                for html, known in zip(htmls.slice(at, rows).to_pylist(), texts.slice(at, rows).to_pylist()):
+                    out.append("\n".join(_blocks(html, frozenset(known or ()))))
+            yield pa.array(out, type=pa.string())
+
+    return F.arrow_udf(run, "string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5, broadcast_hosts: int = 20_000, broadcast_tokens: int = 2_000_000) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    small_batches(pages.sparkSession)
+    """page_id, url, text and n_chars of every page; Python sees html and template alone."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(url_col).alias("host"), text_or_empty(html_col).alias("__html"))
-    found = frozen(templates(rows.select("host", "__html"), support))
+    with arrow_rows(pages.sparkSession, 1000):
+        found = frozen(templates(rows.select("host", "__html"), support))
     size = found.agg(F.count("*"), F.coalesce(F.sum(F.size("texts")), F.lit(0))).first()
     few = size[0] <= broadcast_hosts and size[1] <= broadcast_tokens
-    joined = rows.join(F.broadcast(found) if few else found, "host", "left")
-    return joined.select("page_id", "url", "__html", "texts").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    joined = rows.join(F.broadcast(found), "host", "left") if few else join_hot(rows, found, "host", "left")
+    return joined.select("page_id", "url", main_text_udf()("__html", "texts").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

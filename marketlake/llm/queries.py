@@ -69,20 +69,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_tool_call_linking": r"""
-        WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
-        calls AS (SELECT *, 'call-' || conv_id || '-' || turn AS call_id FROM t WHERE role <> 'assistant'),
-        answers AS (SELECT conv_id, turn - 1 AS turn, arg_min(text, turn) AS content, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY ALL),
-        parents AS (
-            SELECT c.conv_id, c.turn, count(DISTINCT p.turn) AS n FROM calls c
-            JOIN calls p ON p.conv_id = c.conv_id AND p.turn IN (0, c.turn // 2) AND p.turn <> c.turn GROUP BY ALL
-        )
-        SELECT c.conv_id, c.call_id, CASE WHEN role = 'system' THEN 'system_prompt' ELSE 'answer' END AS name, c.turn AS position,
-               row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS topo_order, coalesce(p.n, 0) AS n_parents,
-               CASE WHEN a.n IS NULL THEN 'unanswered' ELSE 'answered' END AS status, coalesce(a.n, 0) AS n_results, '' AS errors,
-               '{"arguments":{' || CASE WHEN role = 'system' THEN '"pinned":true,' ELSE '' END || '"query":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn
-               || '},"id":"' || c.call_id || '","name":"' || CASE WHEN role = 'system' THEN 'system_prompt' ELSE 'answer' END || '","result":'
-               || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' AS canonical_json
-        FROM calls c LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn LEFT JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.turn
+        WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+        calls AS (
+            SELECT *, 'call-' || conv_id || '-' || (turn - CASE WHEN short AND turn >= 2 THEN 2 ELSE 0 END) AS call_id,
+                   CASE WHEN role = 'system' THEN 'system_prompt' ELSE 'answer' END AS name
+            FROM (SELECT *, length(text) < 60 AS short, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM t WHERE role <> 'assistant')
+        ),
+        firsts AS (SELECT conv_id, call_id, min(turn) AS turn FROM calls GROUP BY ALL),
+        answers AS (
+            SELECT c.conv_id, c.call_id, arg_min(r.text, r.turn) AS content, min(r.turn) AS turn, count(*) AS n
+            FROM t r JOIN calls c ON c.conv_id = r.conv_id AND c.turn = r.turn - 1 WHERE r.role = 'assistant' GROUP BY ALL
+        ),
+        wanted AS (SELECT conv_id, call_id, turn, unnest(CASE WHEN turn % 8 IN (4, 5) THEN [0, turn // 2, turn + 2] ELSE [0, turn // 2] END) AS parent FROM calls),
+        edges AS (
+            SELECT DISTINCT w.conv_id, w.call_id, w.turn, p.call_id AS parent_id, p.turn AS parent_turn
+            FROM wanted w JOIN firsts p ON p.conv_id = w.conv_id AND p.call_id = 'call-' || w.conv_id || '-' || w.parent WHERE p.call_id <> w.call_id
+        ),
+        parents AS (SELECT conv_id, call_id, count(DISTINCT parent_id) AS n FROM edges GROUP BY ALL),
+        odd AS (SELECT DISTINCT conv_id FROM edges WHERE parent_turn >= turn),
+        e AS (SELECT DISTINCT conv_id, call_id, parent_id FROM edges WHERE conv_id IN (FROM odd)),
+        above AS (SELECT conv_id, call_id, parent_id FROM e UNION SELECT a.conv_id, a.call_id, e.parent_id FROM above a JOIN e ON e.conv_id = a.conv_id AND e.call_id = a.parent_id),
+        stuck AS (
+            SELECT DISTINCT conv_id, call_id FROM above WHERE (conv_id, parent_id) IN (SELECT (conv_id, call_id) FROM above WHERE call_id = parent_id) OR call_id = parent_id
+        ),
+        level AS (
+            SELECT conv_id, call_id, 0 AS level FROM firsts WHERE conv_id IN (FROM odd) AND (conv_id, call_id) NOT IN (SELECT (conv_id, call_id) FROM stuck)
+            UNION SELECT e.conv_id, e.call_id, l.level + 1 FROM level l JOIN e ON e.conv_id = l.conv_id AND e.parent_id = l.call_id WHERE (e.conv_id, e.call_id) NOT IN (SELECT (conv_id, call_id) FROM stuck)
+        ),
+        levels AS (SELECT conv_id, call_id, max(level) AS level FROM level GROUP BY ALL UNION ALL SELECT conv_id, call_id, 2147483647 FROM stuck)
+        SELECT c.conv_id, c.call_id, name, c.turn AS position, row_number() OVER (PARTITION BY c.conv_id ORDER BY coalesce(l.level, 0), c.turn) - 1 AS topo_order, coalesce(p.n, 0) AS n_parents,
+               CASE WHEN c.turn > f.turn THEN 'duplicate' WHEN l.level = 2147483647 THEN 'cycle' WHEN a.n IS NULL THEN 'unanswered' WHEN a.turn < c.turn THEN 'answered before call' ELSE 'answered' END AS status,
+               coalesce(a.n, 0) AS n_results,
+               concat_ws(',', CASE WHEN lines > 1 THEN 'lines:unknown' END, CASE WHEN c.text = '' THEN 'query:missing' END, CASE WHEN short THEN 'turn:type' END) AS errors,
+               '{"arguments":{' || concat_ws(',', CASE WHEN lines > 1 THEN '"lines":' || lines END, CASE WHEN role = 'system' THEN '"pinned":true' END, CASE WHEN c.text <> '' THEN '"query":' || to_json(c.text)::VARCHAR END,
+               '"turn":' || CASE WHEN short THEN '"' || c.turn || '"' ELSE c.turn::VARCHAR END) || '},"id":"' || c.call_id || '","name":"' || name || '","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' AS canonical_json
+        FROM calls c JOIN firsts f ON f.conv_id = c.conv_id AND f.call_id = c.call_id LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.call_id = c.call_id
+        LEFT JOIN parents p ON p.conv_id = c.conv_id AND p.call_id = c.call_id LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.call_id
     """,
     "op3_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)

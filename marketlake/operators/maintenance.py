@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +29,41 @@ def _continues(base: Column, x: Column, rel: float, points: float) -> Column:
 
 
 def trend_segments(history: DataFrame, rel: float = 0.05, points: float = 3.0) -> DataFrame:
-    """Segments of each opportunity's history: a point extends one while it is like its first values. A fold over the key's ordered points; long histories use `extend_segments`."""
-    pts = history.groupBy("flip_key").agg(F.array_sort(F.collect_list(F.struct(*POINT))).alias("p"))
-    point = history.select(F.struct(*POINT).alias("p")).schema["p"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<base:{point},valid_to:bigint,n:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fresh = F.struct(x.alias("base"), x["snapshot_ts"].alias("valid_to"), F.lit(1).alias("n"))
-        longer = F.struct(last["base"].alias("base"), x["snapshot_ts"].alias("valid_to"), (last["n"] + 1).alias("n"))
-        goes_on = last.isNotNull() & _continues(last["base"], x, rel, points)
-        return F.when(goes_on, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(fresh)))
-
-    s = pts.select("flip_key", F.explode(F.aggregate("p", empty, step)).alias("s"))
-    return s.select("flip_key", F.col("s.base.snapshot_ts").alias("valid_from"), F.col("s.valid_to").alias("valid_to"), F.col("s.n").alias("points"), F.col("s.base.profit").alias("profit"))
+    """Segments of each opportunity's history: a point extends one while it is like its first values.
+
+    Where a segment ends depends on where it began, so each key is read once in order of time; the state is the open segment, whatever the history's length.
+    """
+
+    def like(a, b, limit) -> bool:
+        return a is None and b is None or a is not None and b is not None and abs(a - b) <= limit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, base, to, n = None, None, 0, 0
+        for batch in batches:
+            out = []
+            for name, *x in zip(*(batch.column(c).to_pylist() for c in ("flip_key", *POINT))):
+                ts, profit, roi, liquidity, risk, partial = x
+                goes_on = base is not None and name == key and partial == base[5]
+                goes_on = goes_on and like(base[1], profit, rel * abs(base[1] or 0)) and like(base[2], roi, rel * abs(base[2] or 0))
+                if goes_on and like(base[3], liquidity, points) and like(base[4], risk, points):
+                    to, n = ts, n + 1
+                    continue
+                if base is not None:
+                    out.append((key, base[0], to, n, base[1]))
+                key, base, to, n = name, x, ts, 1
+            yield _segments(out)
+        if base is not None:
+            yield _segments([(key, base[0], to, n, base[1])])
+
+    def _segments(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), profit_type)
+        columns = list(zip(*rows)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["flip_key", "valid_from", "valid_to", "points", "profit"])
+
+    profit = history.schema["profit"].dataType.simpleString()
+    profit_type = pa.float64() if profit == "double" else pa.int64()
+    ordered = history.select("flip_key", *POINT).repartition("flip_key").sortWithinPartitions("flip_key", "snapshot_ts")
+    return ordered.mapInArrow(run, f"flip_key string, valid_from long, valid_to long, points int, profit {profit}")
 
 
 def monotonic_guard(new: DataFrame, current: DataFrame) -> DataFrame:

@@ -88,8 +88,11 @@ def best_opportunities(df: DataFrame, number: int = 0, size: int = 10, version:
 
 
 def hydrate(ranked: DataFrame, full: DataFrame, key: str, rank: str = "rank") -> DataFrame:
-    """Full rows of a ranked page (a bounded page, which is broadcast), in rank order, unmatched entries kept."""
-    return F.broadcast(ranked).join(full, key, "left").orderBy(rank)
+    """Full rows of a ranked page in rank order, unmatched entries kept. A page of at most 10,000 rows is met where the full rows are read; a longer one by a shuffle."""
+    found = full
+    if ranked.count() <= 10_000:
+        found = full.join(F.broadcast(ranked.select(key).distinct()), key, "left_semi")
+    return ranked.join(found, key, "left").orderBy(rank)
 
 
 def with_definition(current: DataFrame, definition: DataFrame, flip_type: str | None = None) -> DataFrame:
@@ -194,7 +197,21 @@ def opportunities_for_item(opps: DataFrame, stacks: DataFrame, item_aliases: Dat
 
 
 def route_timings(log: DataFrame, threshold_ms: float = 250.0) -> DataFrame:
-    g = log.groupBy("route").agg(F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("max_ms"), F.percentile("duration_ms", F.lit(0.95)).alias("p95_ms"), F.percentile("duration_ms", F.lit(0.99)).alias("p99_ms"), F.count("*").alias("requests"), *[F.array_join(F.sort_array(F.collect_set(c)), ",").alias(f"{c}s") for c in ("method", "status", "outcome")])
+    """Mean, greatest and exact percentiles of each route's durations; equal durations are one row with a count before they are ordered."""
+    sets = [F.array_join(F.sort_array(F.collect_set(c)), ",").alias(f"{c}s") for c in ("method", "status", "outcome")]
+    g = log.groupBy("route").agg(F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("max_ms"), F.count("*").alias("requests"), *sets)
+    w, value = Window.partitionBy("route"), F.col("duration_ms")
+    counts = log.filter("duration_ms IS NOT NULL").groupBy("route", "duration_ms").agg(F.count("*").alias("c"))
+    counts = counts.withColumns({"upto": F.sum("c").over(w.orderBy("duration_ms")), "n": F.sum("c").over(w)})
+
+    def percentile(p: float) -> Column:
+        place = F.lit(p) * (F.max("n") - 1)
+        at = lambda i: F.min(F.when(F.col("upto") > i, value))
+        spot = F.lit(p) * (F.col("n") - 1)
+        low, high = at(F.floor(spot)), at(F.ceil(spot))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    g = g.join(counts.groupBy("route").agg(percentile(0.95).alias("p95_ms"), percentile(0.99).alias("p99_ms")), "route", "left")
     return g.withColumn("over_threshold", F.col("p95_ms") > threshold_ms).orderBy(F.desc("p95_ms"), F.desc("mean_ms"), F.desc("max_ms"), "route")
 
 
@@ -209,8 +226,11 @@ def top_stacks(events: DataFrame, n: int = 10) -> DataFrame:
 def source_cadence(updates: DataFrame, low_ms: int = 1_000, high_ms: int = 600_000, keep: int = 7, alpha: float = 0.3) -> DataFrame:
     """(feed, estimate_ms, jitter_ms) from the clamped gaps of the last updates: the mean of their median and moving average, and their MAD."""
     w = Window.partitionBy("feed").orderBy("last_updated")
-    u = updates.select("feed", "last_updated").distinct().withColumn("gap", F.col("last_updated") - F.lag("last_updated").over(w)).filter("gap IS NOT NULL")
-    u = u.withColumn("gap", F.least(F.greatest("gap", F.lit(low_ms)), F.lit(high_ms)).cast("double")).withColumn("rn", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("last_updated")))).filter(F.col("rn") <= keep)
+    newest = F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("last_updated")))
+    # the newest updates alone reach the window of the gaps; each partition hands on no more than these
+    u = updates.select("feed", "last_updated").distinct().withColumn("rn", newest).filter(F.col("rn") <= keep + 1)
+    u = u.withColumn("gap", F.col("last_updated") - F.lag("last_updated").over(w)).filter("gap IS NOT NULL")
+    u = u.withColumn("gap", F.least(F.greatest("gap", F.lit(low_ms)), F.lit(high_ms)).cast("double"))
     g = u.groupBy("feed").agg(F.percentile("gap", F.lit(0.5)).alias("m"), F.transform(F.array_sort(F.collect_list(F.struct("last_updated", "gap"))), lambda x: x["gap"]).alias("gaps"))
     ema = F.aggregate("gaps", F.lit(None).cast("double"), lambda a, x: F.coalesce(a * (1 - alpha) + x * alpha, x))
     g = g.withColumns({"ema": ema, "dev": F.array_sort(F.transform("gaps", lambda x: F.abs(x - F.col("m"))))})
@@ -219,7 +239,17 @@ def source_cadence(updates: DataFrame, low_ms: int = 1_000, high_ms: int = 600_0
     return g.select("feed", round_half_up((F.col("m") + F.col("ema")) / 2.0).alias("estimate_ms"), F.when(n < 3, 0.0).otherwise(mad).alias("jitter_ms"))
 
 
-def changed_updates(updates: DataFrame) -> DataFrame:
-    """Updates whose payload hash is not that of the feed's update before."""
-    w = Window.partitionBy("feed").orderBy("last_updated", "payload_id")
-    return updates.withColumn("__p", F.lag("hash").over(w)).filter(~F.col("hash").eqNullSafe(F.col("__p"))).drop("__p")
+def changed_updates(updates: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+    """Updates whose payload hash is not that of the feed's update before.
+
+    Updates are compared within hours; the last hash of the hour before is carried over on one row a feed and hour.
+    """
+    order = F.struct("last_updated", "payload_id")
+    u = updates.withColumn("__b", F.floor(F.col("last_updated") / bucket_ms))
+    hours = u.groupBy("feed", "__b").agg(F.max_by(F.struct("hash"), order).alias("__last"))
+    before = Window.partitionBy("feed").orderBy("__b")
+    carry = hours.select(F.col("feed").alias("__feed"), F.col("__b").alias("__c"), F.lag("__last").over(before).alias("__carry"))
+    w = Window.partitionBy("feed", "__b").orderBy("last_updated", "payload_id")
+    j = u.withColumn("__p", F.lag(F.struct("hash")).over(w)).join(carry, F.col("feed").eqNullSafe(F.col("__feed")) & (F.col("__b") == F.col("__c")))
+    before_it = F.coalesce("__p", "__carry")
+    return j.filter(before_it.isNull() | ~F.col("hash").eqNullSafe(before_it["hash"])).select(*updates.columns)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import epoch_day, norm_product_id, positive, round_half_up
-from ..functions.stats import floor_percentiles
 from .keys import agg_key, comparable, has_additionals, key_parts
 
 
@@ -60,12 +62,21 @@ def listing_quotes(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def price_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     """Lowest, second lowest (duplicates count), highest, average, floor-index median and p25, and n of starting bids."""
-    w = Window.partitionBy(*by).orderBy("starting_bid")
-    rows = rows.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*by))})
-    return rows.groupBy(*by).agg(
-        F.min("starting_bid").alias("lowest"), F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("starting_bid"))), F.min("starting_bid")).alias("second_lowest"), F.max("starting_bid").alias("highest"), F.avg("starting_bid").alias("average"),
-        *[floor_percentiles("starting_bid", "rn", "n", p).cast("double").alias(name) for p, name in ((0.5, "median"), (0.25, "p25"))], F.count("*").cast("int").alias("sample_size"),
-    )
+    # equal prices are one row with a count, summed up where they are read; `upto` is the rank of the last of them
+    bid = F.col("starting_bid")
+    prices = rows.groupBy(*by, "starting_bid").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by)
+    prices = prices.withColumns({"upto": F.sum("c").over(w.orderBy("starting_bid")), "n": F.sum("c").over(w)})
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("n") - 1)), bid)).cast("double")
+    return prices.groupBy(*by).agg(
+        F.min(bid).alias("lowest"),
+        F.coalesce(F.min(F.when(F.col("upto") >= 2, bid)), F.min(bid)).alias("second_lowest"),
+        F.max(bid).alias("highest"),
+        (F.sum(bid * F.col("c")) / F.sum("c")).alias("average"),
+        at(0.5).alias("median"),
+        at(0.25).alias("p25"),
+        F.sum("c").cast("int").alias("sample_size"),
+    )
 
 
 def latest(df: DataFrame, ts: str = "snapshot_ts") -> DataFrame:
@@ -78,15 +89,24 @@ def as_of(df: DataFrame, t: int | None, ts: str = "snapshot_ts") -> DataFrame:
     return latest(df if t is None else df.filter(F.col(ts) <= t), ts)
 
 
-def as_of_join(left: DataFrame, right: DataFrame, on: list[str], ts: str = "snapshot_ts") -> DataFrame:
-    """Each left row with the columns of the newest right row of its key at or before it: a union and a running `last`, never a range join."""
+def as_of_join(left: DataFrame, right: DataFrame, on: list[str], ts: str = "snapshot_ts", bucket_ms: int = 86_400_000) -> DataFrame:
+    """Each left row with the columns of the newest right row of its key at or before it: a union and a running `last`, never a range join.
+
+    The running value is kept within buckets of time and carried on from bucket to bucket on one row a key and bucket, so that no task orders a key's whole history.
+    """
     values = [c for c in right.columns if c not in (*on, ts)]
     r = right.select(*on, F.col(ts).alias("__t"), F.struct(F.col(ts).alias("__rt"), *values).alias("__r"), F.lit(0).alias("__side"))
     lv = [c for c in left.columns if c not in on]
     le = left.select(*on, F.col(ts).alias("__t"), F.struct(*lv).alias("__l"), F.lit(1).alias("__side"))
-    both = le.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
+    both = le.unionByName(r, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / bucket_ms))
+    newest = F.max_by("__r", F.when(F.col("__side") == 0, F.col("__t")))
+    before = Window.partitionBy(*on).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = both.groupBy(*on, "__b").agg(newest.alias("__last"))
+    carry = carry.select(*[F.col(c).alias(f"__c_{c}") for c in on], F.col("__b").alias("__c_b"), F.last("__last", ignorenulls=True).over(before).alias("__carry"))
+    w = Window.partitionBy(*on, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__c_{c}")) for c in on], F.col("__b") == F.col("__c_b"))
+    out = run.join(carry, same).withColumn("__m", F.coalesce("__m", "__carry"))
     return out.select(*on, "__l.*", F.col("__m.__rt").alias(f"right_{ts}"), *[F.col(f"__m.{c}").alias(f"right_{c}") for c in values])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, rel_spread
+from .snapshots import as_of
 
 # Fixed values of fees and scores.
 QUOTE_TAX = 0.0125
@@ -20,7 +21,7 @@ DEFAULT_LISTING_HOURS = 12
 STEP_SECONDS = 30
 
 
-def quote_fee(gross: Column, rate: float = QUOTE_TAX) -> Column:
+def quote_fee(gross: Column, rate: float | Column = QUOTE_TAX) -> Column:
     return F.ceil(gross * rate)
 
 
@@ -173,7 +174,7 @@ def listing_leg_scores(n: Column, spread: Column) -> tuple[Column, Column]:
     return clamp(sample / (1.0 + spread / 0.05) * 100.0, 0.0, 100.0), 0.6 * (1.0 - clamp(sample, 0.0, 1.0)) * 100.0 + 0.4 * clamp(spread / 0.2, 0.0, 1.0) * 100.0
 
 
-def price_legs(resolved: DataFrame, features: DataFrame | None = None, tax: float = QUOTE_TAX, multiplier: float = 1.0) -> DataFrame:
+def price_legs(resolved: DataFrame, features: DataFrame | None = None, tax: float | Column = QUOTE_TAX, multiplier: float | Column = 1.0) -> DataFrame:
     """Costs, revenue, fees, fill hours, seconds and scores of every leg."""
     buy, sell = F.col("leg_type") == "BUY", F.col("leg_type") == "SELL"
     on_book, on_list = F.col("source") == "BAZAAR", F.col("source") == "AUCTION"
@@ -200,7 +201,14 @@ def price_legs(resolved: DataFrame, features: DataFrame | None = None, tax: floa
 
 def exposure(priced: DataFrame) -> DataFrame:
     """(opp_id, peak_exposure): a fold over an opportunity's legs in order, floored at 0 after explicit proceeds."""
-    leg = F.struct("leg_no", "leg_type", "leg_cost", "upfront", "proceeds", "implicit")
+    return priced.groupBy("opp_id").agg(F.array_sort(F.collect_list(F.struct(*_FOLDED))).alias("l")).select("opp_id", peak_exposure("l").alias("peak_exposure"))
+
+
+_FOLDED = ("leg_no", "leg_type", "leg_cost", "upfront", "proceeds", "implicit")
+
+
+def peak_exposure(legs: str) -> Column:
+    """The fold over an array of legs in order."""
     zero = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("peak"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -208,7 +216,7 @@ def exposure(priced: DataFrame) -> DataFrame:
         after = F.when((x["leg_type"] == "SELL") & ~x["implicit"], F.greatest(F.lit(0).cast("long"), run - x["proceeds"])).otherwise(run)
         return F.struct(after.alias("run"), F.greatest(acc["peak"], run).alias("peak"))
 
-    return priced.groupBy("opp_id").agg(F.array_sort(F.collect_list(leg)).alias("l")).select("opp_id", F.aggregate("l", zero, step)["peak"].alias("peak_exposure"))
+    return F.aggregate(legs, zero, step)["peak"]
 
 
 def vol_return_risk(vol: Column, ret: Column, vol_cap: float, ret_cap: float) -> Column:
@@ -225,34 +233,55 @@ def total_risk(opps: DataFrame, signals: DataFrame, features: DataFrame | None)
         f = features.select(F.col("product_id").alias("item_id"), vol_return_risk(F.col("micro_volatility"), F.col("micro_return"), 0.03, 0.05).alias("mi"), weight("micro_confidence").alias("mic"), vol_return_risk(F.col("macro_volatility"), F.col("macro_return"), 0.12, 0.20).alias("ma"), weight("macro_confidence").alias("mac"))
         g = signals.select("opp_id", "item_id").distinct().join(f, "item_id").groupBy("opp_id").agg(F.max("mi").alias("micro"), F.coalesce(F.min(F.when(F.col("mi").isNotNull(), F.col("mic"))), F.lit(0.0)).alias("micro_c"), F.max("ma").alias("macro"), F.coalesce(F.min(F.when(F.col("ma").isNotNull(), F.col("mac"))), F.lit(0.0)).alias("macro_c"))
         s = opps.select("opp_id").join(g, "opp_id", "left").na.fill(0.0, ["micro_c", "macro_c"])
-    composite = F.least(F.lit(100.0), 0.7 * F.col("execution_risk") + 0.3 * clamp(F.col("exposure_hours") / 6.0, 0.0, 1.0) * 100.0)
-    j = opps.join(s, "opp_id").withColumn("c", composite)
-    wi, wa = 0.35 * F.col("micro_c"), 0.20 * F.col("macro_c")
-    score = (1.0 - wi - wa) * F.col("c") + wi * F.coalesce("micro", "c") + wa * F.coalesce("macro", "c")
-    return j.select("opp_id", F.when(F.col("execution_risk").isNotNull(), clamp(score, 0.0, 100.0)).alias("risk_score"))
+    return opps.join(s, "opp_id").select("opp_id", blended_risk(*map(F.col, ("micro", "macro", "micro_c", "macro_c"))).alias("risk_score"))
+
+
+def blended_risk(micro: Column, macro: Column, micro_c: Column, macro_c: Column) -> Column:
+    """Execution and exposure, mixed with the micro and macro risk by how sure these are."""
+    c = F.least(F.lit(100.0), 0.7 * F.col("execution_risk") + 0.3 * clamp(F.col("exposure_hours") / 6.0, 0.0, 1.0) * 100.0)
+    wi, wa = 0.35 * micro_c, 0.20 * macro_c
+    score = (1.0 - wi - wa) * c + wi * F.coalesce(micro, c) + wa * F.coalesce(macro, c)
+    return F.when(F.col("execution_risk").isNotNull(), clamp(score, 0.0, 100.0))
 
 
-def value_opportunities(legs: DataFrame, quotes: DataFrame, lq: DataFrame, features: DataFrame | None = None, constraints: DataFrame | None = None, tax: float = QUOTE_TAX, multiplier: float = 1.0, election_missing: bool = True) -> DataFrame:
-    """One valued row per opportunity."""
-    p = price_legs(resolve_leg_prices(with_implicit_sells(legs), quotes, lq), features, tax, multiplier)
+def value_opportunities(legs: DataFrame, quotes: DataFrame, lq: DataFrame, features: DataFrame | None = None, constraints: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
+    """One valued row per opportunity. features: of `timescale_features`; context: the one row of `tax_context`, without which election data count as missing.
+
+    The legs are priced once and folded in one aggregate: sums, exposure, reasons and the items whose features count.
+    """
+    resolved = resolve_leg_prices(with_implicit_sells(legs), quotes, lq)
+    if context is None:
+        resolved = resolved.withColumns({"quote_tax": F.lit(QUOTE_TAX), "listing_multiplier": F.lit(1.0), "election_missing": F.lit(True)})
+    else:
+        resolved = resolved.crossJoin(F.broadcast(context))  # one row
+    p = price_legs(resolved, features, F.col("quote_tax"), F.col("listing_multiplier"))
     inp, out = F.col("leg_type") == "BUY", F.col("leg_type") == "SELL"
     hours = lambda c: F.coalesce(F.sum(F.when(c, F.col("fill_hours"))), F.lit(0.0))
     craft = F.coalesce(F.sum(F.when(~(inp | out), F.greatest(F.lit(0), F.coalesce("base_duration_seconds", F.lit(0))) / 3600.0)), F.lit(0.0))
     g = p.groupBy("opp_id").agg(
         F.first("flip_type").alias("flip_type"), F.first("result_item_id").alias("result_item_id"), F.sum("leg_cost").alias("input_cost"), F.sum("gross").alias("gross"), F.sum("fees").alias("fees"), F.sum("seconds").alias("duration_seconds"),
         F.min("liquidity").alias("liquidity_score"), F.max("risk").alias("execution_risk"), (hours(inp) + hours(out) + craft).alias("exposure_hours"),
-        F.array_sort(F.collect_list(F.struct("leg_no", "reasons"))).alias("__r"),
+        F.array_sort(F.collect_list(F.struct(*_FOLDED, "reasons"))).alias("__l"), F.bool_or("election_missing").alias("__missing"), F.collect_set(F.when(F.col("source") == "BAZAAR", F.col("item_id"))).alias("__items"),
     )
-    reasons = F.array_distinct(F.flatten(F.transform("__r", lambda x: x["reasons"])))
-    if election_missing:
-        reasons = F.array_union(F.array(F.lit("MISSING_ELECTION_DATA")), reasons)
-    g = g.withColumn("partial_reasons", reasons).drop("__r").join(exposure(p), "opp_id")
+    election = F.when(F.col("__missing"), F.array(F.lit("MISSING_ELECTION_DATA"))).otherwise(F.array().cast("array<string>"))
+    reasons = F.array_distinct(F.concat(election, F.flatten(F.transform("__l", lambda x: x["reasons"]))))
+    g = g.withColumns({"partial_reasons": reasons, "peak_exposure": peak_exposure("__l")}).drop("__l", "__missing")
     if constraints is not None:
         g = g.join(min_capital(constraints), "opp_id", "left")
     else:
         g = g.withColumn("min_capital", F.lit(0).cast("long"))
-    g = g.join(total_risk(g.select("opp_id", "execution_risk", "exposure_hours"), p.filter("source = 'BAZAAR'"), features), "opp_id")
-    return economics(g.withColumn("partial", F.size("partial_reasons") > 0)).drop("execution_risk", "exposure_hours", "min_capital", "peak_exposure", "input_cost", "gross")
+    if features is None:
+        g = g.withColumn("risk_score", blended_risk(*[F.lit(None).cast("double")] * 2, *[F.lit(0.0)] * 2))
+    else:
+        g = g.join(total_risk(g.select("opp_id", "execution_risk", "exposure_hours"), g.select("opp_id", F.explode("__items").alias("item_id")), features), "opp_id")
+    return economics(g.withColumn("partial", F.size("partial_reasons") > 0)).drop("execution_risk", "exposure_hours", "min_capital", "peak_exposure", "input_cost", "gross", "__items")
+
+
+def opportunities_as_of(quotes: DataFrame, t: int | None, lq: DataFrame, recipes: DataFrame, ingredients: DataFrame, **options) -> DataFrame:
+    """Opportunities generated and valued again from the quotes of the snapshot at or before t, the newest without t."""
+    then = as_of(quotes, t)
+    legs = market_opportunities(then, lq).unionByName(conversion_opportunities(recipes, ingredients))
+    return value_opportunities(legs, then, lq, constraints=constraints_of(legs), **options)
 
 
 def economics(df: DataFrame) -> DataFrame:

@@ -20,14 +20,14 @@ INPUTS = {
         k + 1 AS bin_count, k % 4 AS ending_soon_count FROM quote_ticks""",
     "items": r"""SELECT 'P' || p_partkey AS item_id, upper(p_name) AS display_name, 'mc:' || replace(p_name, ' ', '_') AS minecraft_id, p_brand AS rarity, p_type AS category FROM part""",
     "recipes": r"""SELECT 'R' || p_partkey AS recipe_id, 'P' || p_partkey AS output_item_id, CASE p_size % 3 WHEN 0 THEN 'CRAFT' WHEN 1 THEN 'FORGE' ELSE 'KATGRADE' END AS process_type,
-        (p_size * 60)::BIGINT AS process_duration_seconds FROM part WHERE p_size % 5 = 0""",
+        (p_size * 60)::BIGINT AS process_duration_seconds FROM part""",
     "ingredients": r"""SELECT 'R' || p_partkey AS recipe_id, 'P' || ((p_partkey * 7 + i * 13) % n_parts) AS item_id, (1 + (p_size + i) % 4)::INT AS amount
-        FROM part, (SELECT count(*) AS n_parts FROM part), (SELECT unnest([0, 1, 2]) AS i) WHERE p_size % 5 = 0""",
+        FROM part, (SELECT count(*) AS n_parts FROM part), (SELECT unnest([0, 1, 2]) AS i)""",
     "part_quotes": r"""SELECT 'P' || l_partkey AS product_id, buy_price, buy_price * (0.95e0 + (l_partkey % 10) / 50e0) AS sell_price, buy_volume, sell_volume, buy_volume * 168 AS buy_moving_week, sell_volume * 168 AS sell_moving_week
         FROM (SELECT l_partkey, quantile_cont(l_extendedprice / l_quantity, 0.5) AS buy_price, coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0)::BIGINT AS buy_volume,
         coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0)::BIGINT AS sell_volume FROM lineitem GROUP BY 1)""",
     "item_listing_quotes": r"""SELECT item_id, min(b) AS lowest, coalesce(list_sort(list(b))[2], min(b)) AS second_lowest, max(b) AS highest, avg(b) AS average, (list_sort(list(b))[floor(0.5e0 * (count(*) - 1))::INT + 1])::DOUBLE AS median,
-        (list_sort(list(b))[floor(0.25e0 * (count(*) - 1))::INT + 1])::DOUBLE AS p25, count(*)::INT AS sample_size FROM (SELECT 'P' || l_partkey AS item_id, floor(l_extendedprice)::BIGINT AS b FROM lineitem WHERE l_returnflag <> 'A' AND l_partkey % 3 = 0) GROUP BY 1""",
+        (list_sort(list(b))[floor(0.25e0 * (count(*) - 1))::INT + 1])::DOUBLE AS p25, count(*)::INT AS sample_size FROM (SELECT 'P' || l_partkey AS item_id, floor(l_extendedprice)::BIGINT AS b FROM lineitem WHERE l_returnflag <> 'A') GROUP BY 1""",
     "opportunities": r"""SELECT 'o' || k AS stable_id, 'k' || k AS flip_key, ['AUCTION', 'BAZAAR', 'CRAFTING', 'FORGE', 'FUSION', 'KATGRADE'][k % 5 + 1] AS flip_type, (epoch_us(o_orderdate) // 1000) AS snapshot_ts, 'P' || (k % 500) AS result_item_id,
         CASE WHEN k % 13 <> 0 THEN o_custkey * 1000 + 1000 END AS required_capital, CASE WHEN k % 17 <> 0 THEN profit END AS expected_profit,
         CASE WHEN k % 19 <> 0 THEN profit / (o_custkey * 1000e0 + 1000e0) END AS roi, CASE WHEN k % 19 <> 0 THEN profit / (o_custkey * 1000e0 + 1000e0) / (1 + k % 24) END AS roi_per_hour,

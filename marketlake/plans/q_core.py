@@ -71,8 +71,8 @@ q("o036_as_of", lambda s, d: S.as_of(A.quote_grid(s, d), T0 + 1000).select("snap
 q("o036_as_of_join", lambda s, d: S.as_of_join(A.quote_ticks(s, d).select("product_id", "snapshot_ts", "k"), A.quote_grid(s, d).select("product_id", "snapshot_ts", "buy_price"), ["product_id"]), "quote_grid",
   "SELECT t.product_id, t.snapshot_ts, t.k, g.snapshot_ts AS right_snapshot_ts, g.buy_price AS right_buy_price FROM quote_ticks t ASOF LEFT JOIN quote_grid g ON t.product_id = g.product_id AND t.snapshot_ts >= g.snapshot_ts")
 q("o037_latest", lambda s, d: S.latest(A.quote_grid(s, d)).select("snapshot_ts", "product_id", "buy_price"), "quote_grid", "SELECT snapshot_ts, product_id, buy_price FROM quote_grid WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM quote_grid)")
-q("o041_match_items", lambda s, d: K.match_items(A.listings(s, d), K.aliases(A.items(s, d).filter("item_id RLIKE '[05]$'"))), "listings items",
-  f"WITH i2 AS (SELECT * FROM items WHERE regexp_matches(item_id, '[05]$')), {ALIAS.replace('FROM items', 'FROM i2')}, n AS (SELECT DISTINCT item_name, upper(trim(item_name)) AS u, regexp_replace(upper(trim(item_name)), '[_ ]', '', 'g') AS c FROM listings) SELECT DISTINCT item_name, item_id FROM n JOIN alias ON contains(u, alias) OR contains(c, alias)")
+q("o041_match_items", lambda s, d: K.match_items(A.listings(s, d), K.aliases(A.items(s, d))), "listings items",
+  f"WITH {ALIAS}, n AS (SELECT DISTINCT item_name, upper(trim(item_name)) AS u, regexp_replace(upper(trim(item_name)), '[_ ]', '', 'g') AS c FROM listings) SELECT DISTINCT item_name, item_id FROM n JOIN alias ON contains(u, alias) OR contains(c, alias)")
 _cmp = ["flip_type", "expected_profit", "roi", "partial"]
 
 

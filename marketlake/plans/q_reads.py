@@ -26,7 +26,7 @@ _O = "opportunities"
 _B = ["stable_id", "expected_profit", "liquidity_score", "risk_score"]
 _b = ", ".join(_B)
 q("o033_filter_opportunities", lambda s, d: D.filter_opportunities(A.opportunities(s, d), min_liquidity=20, max_risk=70, min_profit=50_000, min_roi=0.01, max_capital=900_000, partial=False).select(*_B), _O, f"SELECT {_b} FROM opportunities WHERE liquidity_score >= 20 AND risk_score <= 70 AND expected_profit >= 50000 AND roi >= 0.01 AND required_capital <= 900000 AND NOT partial")
-q("o132_sort_opportunities", lambda s, d: D.sort_opportunities(A.opportunities(s, d), "liquidity_score", "asc").select(*_B).limit(200), _O, f"SELECT {_b} FROM opportunities ORDER BY liquidity_score ASC NULLS LAST, stable_id LIMIT 200")
+q("o132_sort_opportunities", lambda s, d: D.sort_opportunities(A.opportunities(s, d), "liquidity_score", "asc").select(*_B), _O, f"SELECT {_b} FROM opportunities ORDER BY liquidity_score ASC NULLS LAST, stable_id")
 q("o133_top_opportunities", lambda s, d: D.top_opportunities(A.opportunities(s, d), 50, min_liquidity=10).select(*_B), _O, f"SELECT {_b} FROM opportunities WHERE liquidity_score >= 10 ORDER BY expected_profit DESC NULLS LAST, stable_id LIMIT 50")
 q("o134_top_by", lambda s, d: D.top_by(A.opportunities(s, d), "risk_score", 10, 20).select(*_B), _O, f"SELECT {_b} FROM opportunities WHERE risk_score IS NOT NULL ORDER BY risk_score, stable_id LIMIT 20 OFFSET 10")
 _CONF = """least(100, greatest(0, 100 - CASE WHEN partial THEN 15 ELSE 0 END - coalesce(list_sum(list_transform(partial_reasons, lambda r: CASE WHEN r LIKE 'MISSING_INPUT_PRICE%' THEN 60 WHEN r LIKE 'INSUFFICIENT_OUTPUT_DEPTH%' THEN 30 WHEN r = 'MISSING_ELECTION_DATA' THEN 5 ELSE 10 END)), 0)
@@ -65,9 +65,17 @@ q("o043_marketplaces", lambda s, d: D.marketplaces(A.items(s, d), A.part_quotes(
 q("o050_opportunities_for_item", lambda s, d: D.opportunities_for_item(QV.legs(s, d).select("opp_id", "flip_type").distinct(), QV.V.item_stacks(QV.legs(s, d)), K.aliases(A.items(s, d).filter("item_id = 'P91'"))), QV.IN + " items", QV.LEGS + " SELECT DISTINCT opp_id, flip_type FROM all_legs WHERE leg_type IN ('BUY', 'SELL') AND item_id IN (SELECT unnest(['P91', display_name, upper(minecraft_id)]) FROM items WHERE item_id = 'P91')")
 q("o142_list_snapshots", lambda s, d: A.quote_grid(s, d).groupBy("snapshot_ts").agg(F.count("*").alias("n")).orderBy(F.desc("snapshot_ts")).limit(20), "quote_grid", "SELECT snapshot_ts, count(*) AS n FROM quote_grid GROUP BY 1 ORDER BY 1 DESC LIMIT 20")
 q("o143_list_recipes", lambda s, d: D.page(A.recipes(s, d).filter("process_type = 'FORGE'").orderBy("recipe_id"), 5, 20), "recipes", "SELECT * FROM recipes WHERE process_type = 'FORGE' ORDER BY recipe_id LIMIT 20 OFFSET 5")
+q("o143_list_items", lambda s, d: D.page(D.search_items(A.items(s, d)).orderBy("item_id"), 20, 30).select("item_id", "display_name", "rarity"), "items", "SELECT item_id, display_name, rarity FROM items ORDER BY item_id LIMIT 30 OFFSET 20")
+q("o144_list_opportunities", lambda s, d: D.page(D.sort_opportunities(D.filter_opportunities(A.opportunities(s, d), flip_type="CRAFTING", min_profit=1), "roi"), 10, 25).select(*_B), _O,
+  f"SELECT {_b} FROM opportunities WHERE flip_type = 'CRAFTING' AND expected_profit >= 1 ORDER BY roi DESC NULLS LAST, stable_id LIMIT 25 OFFSET 10")
 q("o144_get_opportunity", lambda s, d: A.opportunities(s, d).filter("stable_id = 'o77'").select(*_B), _O, f"SELECT {_b} FROM opportunities WHERE stable_id = 'o77'")
 q("o074_route_timings", lambda s, d: D.route_timings(A.request_log(s, d)), "request_log", """SELECT route, avg(duration_ms) AS mean_ms, max(duration_ms) AS max_ms, quantile_cont(duration_ms, 0.95) AS p95_ms, quantile_cont(duration_ms, 0.99) AS p99_ms, count(*) AS requests, string_agg(DISTINCT method, ',' ORDER BY method) AS methods,
   string_agg(DISTINCT status, ',' ORDER BY status) AS statuss, string_agg(DISTINCT outcome, ',' ORDER BY outcome) AS outcomes, p95_ms > 250 AS over_threshold FROM request_log GROUP BY 1""")
 q("o075_top_stacks", lambda s, d: D.top_stacks(A.table(s, d, "events").select(F.col("event_type").alias("class"), F.concat(F.lit("s"), F.col("user_id")).alias("stack"), F.round(F.col("value") * 100).cast("long").alias("duration"))), "", "SELECT class, stack, total, events, rank::INT AS rank, round(total / sum_t, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY total DESC, stack) AS rank, sum(total) OVER (PARTITION BY class) AS sum_t FROM (SELECT event_type AS class, 's' || user_id AS stack, sum(round(value * 100)::BIGINT)::BIGINT AS total, count(*) AS events FROM events GROUP BY ALL)) WHERE rank <= 10")
-q("o080_source_cadence", lambda s, d: D.source_cadence(A.payload_updates(s, d)), "payload_updates", None)
+q("o080_source_cadence", lambda s, d: D.source_cadence(A.payload_updates(s, d)), "payload_updates", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY last_updated DESC) AS rn FROM (SELECT DISTINCT feed, last_updated FROM payload_updates) QUALIFY rn <= 8),
+  l AS (SELECT *, last_updated - lag(last_updated) OVER (PARTITION BY feed ORDER BY last_updated) AS d FROM t),
+  g AS (SELECT feed, last_updated, least(greatest(d, 1000), 600000)::DOUBLE AS gap FROM l WHERE d IS NOT NULL),
+  h AS (SELECT feed, median(gap) AS m, list(gap ORDER BY last_updated) AS gaps FROM g GROUP BY 1)
+  SELECT feed, floor((m + list_reduce(gaps, lambda a, x: a * 0.7e0 + x * 0.3e0)) / 2 + 0.5)::BIGINT AS estimate_ms,
+    CASE WHEN len(gaps) < 3 THEN 0e0 ELSE list_aggregate(list_transform(gaps, lambda x: abs(x - m)), 'median') END AS jitter_ms FROM h""")
 q("o151_changed_updates", lambda s, d: D.changed_updates(A.payload_updates(s, d)), "payload_updates", "SELECT feed, last_updated, hash, payload_id FROM (SELECT *, lag(hash) OVER (PARTITION BY feed ORDER BY last_updated, payload_id) AS p FROM payload_updates) WHERE p IS NULL OR p <> hash")

@@ -73,7 +73,8 @@ def _segments(key: str, metrics: list[str], medians: str) -> str:
 
 _QM = "median(mid) AS median_mid, median(buy_price) AS median_buy, median(sell_price) AS median_sell, median(spread) AS median_spread, median(buy_volume) AS median_buy_volume, median(sell_volume) AS median_sell_volume, min(liquidity) AS liquidity_min, max(liquidity) AS liquidity_max"
 _LM = "median(p50) AS median_p50, median(anchor) AS median_anchor, median(bin_lowest) AS median_lowest, median(bin_p95) AS median_p95, median(bin_count) AS median_count, median(ending_soon_count) AS median_ending"
-q("o065_bucket_rollup_quotes", lambda s, d: R.bucket_rollup_quotes(A.quote_ticks(s, d), P), "quote_ticks", QUOTE + _roll("mid", "product_id", _QM))
+QUOTE_ROLLUP = QUOTE + _roll("mid", "product_id", _QM)
+q("o065_bucket_rollup_quotes", lambda s, d: R.bucket_rollup_quotes(A.quote_ticks(s, d), P), "quote_ticks", QUOTE_ROLLUP)
 q("o066_bucket_rollup_listings", lambda s, d: R.bucket_rollup_listings(A.listing_points(s, d), P), "listing_points", LISTING + _roll("p50", "item_key", _LM))
 q("o067_partial", lambda s, d: R.bucket_rollup_quotes(A.quote_ticks(s, d), P).groupBy("partial").agg(F.count("*").alias("n")), "quote_ticks", QUOTE + " SELECT partial, count(*) AS n FROM (SELECT any_value(valid_count) / 24e0 < 0.35 OR any_value(all_anomalous) AS partial FROM kept GROUP BY bucket_start, product_id) GROUP BY 1")
 q("o081_metric_centers", lambda s, d: R.metric_centers(R.with_bucket(R.valid_quote_samples(A.quote_ticks(s, d)), P), ["bucket_start", "product_id"], R.QUOTE_METRICS), "quote_ticks", QUOTE + " SELECT * FROM centers")

@@ -15,10 +15,13 @@ from ..sources import adapters as A
 from ..sources import files as S
 from . import q_value as QV
 from .inputs_sql import sql
+from .q_series import ORACLES as SERIES_SQL
+from .q_series import QUOTE_ROLLUP as ROLLUP
 from .q_series import P, T
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+ROLLUP_SQL = SERIES_SQL["o065_bucket_rollup_quotes"]
 
 
 def q(name: str, fn, inputs: str, body: str | None) -> None:
@@ -41,18 +44,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 # sources, from JSON that Spark makes of the tables
 def pages(s: SparkSession, d: str) -> DataFrame:
-    li = A.listings(s, d).withColumn("page", F.conv(F.substring("auction_uuid", 1, 2), 16, 10).cast("int"))
+    """Pages of about 500 listings, each one JSON text; of the second update the last page is missing."""
+    li = A.listings(s, d)
+    total = max(1, li.count() // 500)
+    li = li.withColumn("page", F.pmod(F.conv(F.substring("auction_uuid", 1, 8), 16, 10).cast("long"), F.lit(total)).cast("int"))
     a = F.struct(F.col("auction_uuid").alias("uuid"), "item_name", "category", "tier", "starting_bid", F.col("highest_bid").alias("highest_bid_amount"), F.col("start_ts").alias("start"), F.col("end_ts").alias("end"), "claimed", "bin", "item_lore", "extra")
-    g = li.groupBy("page").agg(F.collect_list(a).alias("auctions"))  # a page is one JSON text by its nature
-    one = g.select(F.explode(F.array(F.lit(5).cast("long"), F.lit(6).cast("long"))).alias("lastUpdated"), "page", "auctions").filter("NOT (lastUpdated = 6 AND page = 17)")
-    return one.select(F.to_json(F.struct(F.lit(True).alias("success"), "page", F.lit(256).alias("totalPages"), "lastUpdated", "auctions")).alias("value"))
+    g = li.groupBy("page").agg(F.collect_list(a).alias("auctions"))
+    one = g.select(F.explode(F.array(F.lit(5).cast("long"), F.lit(6).cast("long"))).alias("lastUpdated"), "page", "auctions").filter(f"NOT (lastUpdated = 6 AND page = {total - 1})")
+    return one.select(F.to_json(F.struct(F.lit(True).alias("success"), "page", F.lit(total).alias("totalPages"), "lastUpdated", "auctions")).alias("value"))
 
 
 def _pages_source(s, d):
     return S.parse_listing_pages(pages(s, d)).groupBy("snapshot_ts", "bin").agg(F.count("*").alias("n"), F.sum("starting_bid").alias("bids"), F.count("item_lore").alias("lores"))
 
 
-q("o001_read_listing_pages", _pages_source, "listings", "SELECT 5::BIGINT AS snapshot_ts, bin, count(*) AS n, sum(starting_bid)::BIGINT AS bids, count(item_lore) AS lores FROM listings WHERE (SELECT count(DISTINCT substr(auction_uuid, 1, 2)) FROM listings) = 256 GROUP BY bin")
+q("o001_read_listing_pages", _pages_source, "listings", "SELECT 5::BIGINT AS snapshot_ts, bin, count(*) AS n, sum(starting_bid)::BIGINT AS bids, count(item_lore) AS lores FROM listings GROUP BY bin")
 
 
 def payload(s: SparkSession, d: str) -> DataFrame:
@@ -83,6 +89,7 @@ def catalog(s: SparkSession, d: str) -> DataFrame:
 q("o003_read_catalog", lambda s, d: catalog(s, d).select(F.trim("internalname").alias("name"), "displayname"), "", "SELECT 'part_' || p_partkey AS name, p_name AS displayname FROM part WHERE p_partkey % 11 <> 0")
 q("o027_catalog_items", lambda s, d: S.catalog_items(catalog(s, d)).select("item_id", "display_name", "lore", F.array_join("info_links", ",").alias("links")), "", "SELECT upper('part_' || p_partkey) AS item_id, p_name AS display_name, 'x' || chr(10) || 'y' AS lore, 'https://a' AS links FROM part WHERE p_partkey % 11 <> 0")
 q("o026_useful_items", lambda s, d: S.useful_items(catalog(s, d)).select(F.trim("internalname").alias("name")), "", "SELECT 'part_' || p_partkey AS name FROM part WHERE p_partkey % 11 <> 0 AND (p_partkey % 3 = 0 OR p_partkey % 4 = 0)")
+q("o143_list_npc_offers", lambda s, d: S.npc_offers(catalog(s, d)).filter("coin_cost IS NOT NULL").orderBy("item_id").offset(5).limit(20).select("item_id", "coin_cost"), "", "SELECT upper('part_' || p_partkey) AS item_id, p_size::BIGINT AS coin_cost FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 4 = 0 AND p_size <> 0 ORDER BY 1 LIMIT 20 OFFSET 5")
 _C = "WITH c AS (SELECT *, upper('part_' || p_partkey) AS item FROM part WHERE p_partkey % 11 <> 0)"
 q("o028_catalog_recipes", lambda s, d: S.catalog_recipes(catalog(s, d))[1], "", _C + """ SELECT item || ':CRAFT:0' AS recipe_id, 'WOOD' AS item_id, 3::BIGINT AS amount FROM c WHERE p_partkey % 3 = 0 UNION ALL SELECT item || ':CRAFT:0', 'P' || (p_partkey % 7), 4 FROM c WHERE p_partkey % 3 = 0
   UNION ALL SELECT item || ':FORGE:0', i, n FROM c, (SELECT unnest(['RUBY', 'JADE']) AS i, unnest([2, 1]) AS n) WHERE p_partkey % 4 = 0""")
@@ -108,18 +115,20 @@ def _rerun(s, d):
     return s.read.parquet(to).select("bucket_start", "product_id", "median_mid")
 
 
-q("o009_overwrite_buckets", _rerun, "", None)
+ORACLES["o009_overwrite_buckets"] = f"SELECT bucket_start, product_id, median_mid FROM ({ROLLUP_SQL})"
+QUERIES["o009_overwrite_buckets"] = _rerun
 q("o006_parse_snapshot_json", lambda s, d: S.parse_snapshot_json(A.quote_grid(s, d).groupBy("snapshot_ts").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("product_id", F.struct(F.col("buy_price").alias("buyPrice"), F.col("sell_price").alias("sellPrice")))))).alias("products_json"))), "quote_grid", "SELECT snapshot_ts, product_id, buy_price, sell_price FROM quote_grid")
-q("o011_read_history", lambda s, d: S.read_history(A.request_log(s, d).select(F.when(F.col("ts") % 7 == 0, "oops").otherwise(F.to_json(F.struct("ts", "route", "duration_ms"))).alias("value")), "ts long, route string, duration_ms double", 100), "request_log", "SELECT ts, route, duration_ms FROM request_log WHERE ts % 7 <> 0 ORDER BY ts DESC LIMIT 100")
+q("o011_read_history", lambda s, d: S.read_history(A.request_log(s, d).select(F.when(F.col("ts") % 7 == 0, "oops").otherwise(F.to_json(F.struct("ts", "route", "duration_ms"))).alias("value")), "ts long, route string, duration_ms double", 100), "request_log", "SELECT ts, route, duration_ms FROM request_log WHERE ts % 7 <> 0 ORDER BY ts DESC, route, duration_ms LIMIT 100")
 
 
 def _fingerprint(s, d):
-    to = shared_folder(s)
-    A.table(s, d, "part").select(F.to_json(F.struct("*")).alias("value")).repartition(4, "value").write.text(to)
-    return S.catalog_fingerprint(s, to).select("files")
+    """Of a catalogue with one file a part."""
+    return S.catalog_fingerprint(A.table(s, d, "part").select(F.concat(F.lit("part_"), "p_partkey").alias("name"), F.concat_ws("|", "p_name", "p_brand", "p_type", "p_size").alias("content")))
 
 
-q("o013_catalog_fingerprint", _fingerprint, "", None)
+q("o013_catalog_fingerprint", _fingerprint, "", """WITH e AS (SELECT sha256('part_' || p_partkey || ':' || sha256(concat_ws('|', p_name, p_brand, p_type, p_size))) AS h FROM part),
+  g AS (SELECT substr(h, 1, 3) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM e GROUP BY 1)
+  SELECT sha256(string_agg(g || ':' || h, chr(10) ORDER BY g)) AS fingerprint, sum(n)::BIGINT AS files FROM g""")
 # trends and retention
 _H = """WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY flip_key ORDER BY snapshot_ts) AS rn FROM opportunity_history),
   f AS (SELECT flip_key, rn, snapshot_ts AS vf, snapshot_ts AS vt, profit AS bp, roi_per_hour AS br, liquidity_score AS bl, risk_score AS bk, partial AS ba FROM h WHERE rn = 1
@@ -135,16 +144,20 @@ _points = lambda df: df.select("flip_key", F.struct(*M.POINT).alias("base"), F.c
 
 
 def _backfill(s, d):
-    """Two days into the segments, one after the other, as a backfill does."""
-    h = A.opportunity_history(s, d)
-    seg = _points(h.filter(F.col("snapshot_ts") == T))
-    for day in (T + DAY_MS, T + 2 * DAY_MS):
-        seg = M.extend_segments(h.filter(F.col("snapshot_ts") == day), seg)
+    """Every day of the history into the segments, one after the other, as a backfill does; the segments are a table written anew each day."""
+    to = shared_folder(s)
+    A.opportunity_history(s, d).withColumn("day", F.col("snapshot_ts")).write.partitionBy("day").parquet(f"{to}/history")
+    h = s.read.parquet(f"{to}/history")
+    seg = None
+    for (day,) in h.select("day").distinct().orderBy("day").collect():  # one row a day
+        new = h.filter(F.col("day") == day).drop("day")
+        (_points(new) if seg is None else M.extend_segments(new, seg)).write.parquet(f"{to}/{day}")
+        seg = s.read.parquet(f"{to}/{day}")
     return seg.select("flip_key", F.col("base.snapshot_ts").alias("valid_from"), "valid_to", F.col("n").alias("points"), F.col("base.profit").alias("profit"))
 
 
 q("o166_backfill", _backfill, "", None)
-ORACLES["o166_backfill"] = sql("opportunity_history", _H.replace("WITH RECURSIVE", "WITH", 1).replace("FROM opportunity_history)", f"FROM opportunity_history WHERE snapshot_ts BETWEEN {T} AND {T + 2 * DAY_MS})")).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["o166_backfill"] = ORACLES["o104_trend_segments"]
 
 
 def _stored(s, d):
@@ -152,12 +165,21 @@ def _stored(s, d):
     mid = 915_148_800_000
     cur = M.first_per_key(o.filter(F.col("snapshot_ts") < mid), ["flip_key"], [F.desc("snapshot_ts"), "stable_id"]).select("flip_key", "stable_id", "snapshot_ts", "expected_profit")
     seg = _points(cur.select("flip_key", "snapshot_ts", F.col("expected_profit").alias("profit"), *[F.lit(None).cast("double").alias(c) for c in ("roi_per_hour", "liquidity_score", "risk_score")], F.lit(False).alias("partial")))
-    return M.store_opportunities(o.filter(F.col("snapshot_ts") >= mid), cur.select("flip_key"), cur, seg)["current"]
+    stored = M.store_opportunities(o.filter(F.col("snapshot_ts") >= mid), cur.select("flip_key"), cur, seg)
+    none = F.lit(None).cast("string")
+    rows = stored["current"].select(F.lit("current").alias("part"), "flip_key", "stable_id", "snapshot_ts", F.col("expected_profit").alias("value"))
+    rows = rows.union(stored["definition"].select(F.lit("definition"), "flip_key", none, F.lit(None).cast("long"), F.lit(None).cast("long")))
+    return rows.union(stored["segments"].select(F.lit("segment"), "flip_key", none, "valid_to", F.col("n").cast("long")))
 
 
 q("o167_store_opportunities", _stored, "opportunities", """WITH o AS (SELECT * EXCLUDE (flip_key), result_item_id AS flip_key FROM opportunities), c AS (SELECT *, row_number() OVER (PARTITION BY flip_key ORDER BY snapshot_ts DESC, stable_id) AS rn FROM o WHERE snapshot_ts < 915148800000),
-  n AS (SELECT *, row_number() OVER (PARTITION BY flip_key ORDER BY snapshot_ts, stable_id) AS rn FROM o WHERE snapshot_ts >= 915148800000)
-  SELECT flip_key, stable_id, snapshot_ts, expected_profit FROM n WHERE rn = 1 UNION ALL SELECT flip_key, stable_id, snapshot_ts, expected_profit FROM c WHERE rn = 1 AND flip_key NOT IN (SELECT flip_key FROM n)""")
+  n AS (SELECT *, row_number() OVER (PARTITION BY flip_key ORDER BY snapshot_ts, stable_id) AS rn FROM o WHERE snapshot_ts >= 915148800000),
+  n1 AS (SELECT * FROM n WHERE rn = 1), c1 AS (SELECT * FROM c WHERE rn = 1),
+  j AS (SELECT c1.flip_key AS ck, c1.snapshot_ts AS ct, n1.flip_key AS nk, n1.snapshot_ts AS nt, coalesce(NOT n1.partial AND n1.roi_per_hour IS NULL AND n1.liquidity_score IS NULL AND n1.risk_score IS NULL
+    AND ((c1.expected_profit IS NULL AND n1.expected_profit IS NULL) OR coalesce(abs(c1.expected_profit - n1.expected_profit) <= 0.05 * abs(c1.expected_profit), false)), false) AS ok FROM c1 FULL JOIN n1 ON c1.flip_key = n1.flip_key)
+  SELECT 'current' AS part, flip_key, stable_id, snapshot_ts, expected_profit AS value FROM n1 UNION ALL SELECT 'current', flip_key, stable_id, snapshot_ts, expected_profit FROM c1 WHERE flip_key NOT IN (SELECT flip_key FROM n)
+  UNION ALL SELECT 'definition', coalesce(ck, nk), NULL, NULL, NULL FROM j
+  UNION ALL SELECT 'segment', ck, NULL, CASE WHEN ok THEN nt ELSE ct END, CASE WHEN ok THEN 2 ELSE 1 END FROM j WHERE ck IS NOT NULL UNION ALL SELECT 'segment', nk, NULL, nt, 1 FROM j WHERE nk IS NOT NULL AND NOT ok""")
 _snaps = lambda s, d: A.quote_ticks(s, d).select("snapshot_ts", F.concat_ws("-", "snapshot_ts", "product_id").alias("snapshot_id"))
 _TIER = f"""WITH t AS (SELECT snapshot_ts, snapshot_ts || '-' || product_id AS snapshot_id, {T} - snapshot_ts AS age FROM quote_ticks WHERE snapshot_ts <= {T}),
   u AS (SELECT *, CASE WHEN age < 90000 THEN 0 WHEN age <= 1800000 THEN 1 WHEN age <= 43200000 THEN 2 ELSE 3 END AS tier FROM t),
@@ -177,7 +199,9 @@ def _gate(s, d):
     return M.materialization_gate(R.bucket_state(r, t, "product_id", P), t, r, DAY_MS)
 
 
-q("o161_materialization_gate", _gate, "", None)
+q("o161_materialization_gate", _gate, "quote_ticks", f"""WITH r AS ({ROLLUP}), i AS (SELECT snapshot_ts // {DAY_MS} AS day, count(DISTINCT product_id) AS items FROM quote_ticks GROUP BY 1),
+  m AS (SELECT bucket_start // {DAY_MS} AS day, count(DISTINCT product_id) AS rolled FROM r WHERE NOT partial OR product_id <> 'P1' GROUP BY 1)
+  SELECT day, true AS complete, coalesce(rolled, 0) / items >= 0.9 AS covered FROM i LEFT JOIN m USING (day)""")
 q("o162_archive_days", lambda s, d: M.archive_days(A.quote_grid(s, d)), "quote_grid", f"SELECT snapshot_ts // {DAY_MS} AS day, min(snapshot_ts) AS snapshot_ts, count(DISTINCT snapshot_ts) AS snapshots FROM quote_grid GROUP BY 1")
 q("o163_drop_older", lambda s, d: M.drop_older(A.quote_grid(s, d), T).select("snapshot_ts", "product_id"), "quote_grid", f"SELECT snapshot_ts, product_id FROM quote_grid WHERE snapshot_ts >= {T}")
 q("o164_orphan_counts", lambda s, d: M.orphan_counts(QV.legs(s, d).filter("opp_id LIKE '%7'"), QV.legs(s, d), QV.V.constraints_of(QV.legs(s, d))), QV.IN, QV.LEGS + """, o AS (SELECT DISTINCT opp_id, flip_type FROM legs WHERE opp_id LIKE '%7') SELECT 'opportunities' AS what, count(*) AS n FROM o UNION ALL SELECT 'legs', count(*) FROM legs WHERE opp_id LIKE '%7'

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as X
 from ..operators import valuation as V
 from ..sources import adapters as A
 from .inputs_sql import sql
+from .q_series import _FEAT, _MIC, T, W
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -84,6 +86,46 @@ VALUED = LEGS + """, v0 AS (SELECT opp_id, any_value(flip_type) AS flip_type, an
     CASE WHEN greatest(input_cost, peak) > 0 THEN (gross - input_cost - fees) / greatest(input_cost, peak)::DOUBLE END AS roi, least(100, 0.7 * xr + 30 * least(1e0, xh / 6)) AS risk_score FROM v0)"""
 VALUED = VALUED.replace("list_filter(flatten(list(reasons ORDER BY leg_no)), lambda x, i: list_position(flatten(list(reasons ORDER BY leg_no)), x) = i)", "list_filter(rs, lambda x, i: list_position(rs, x) = i)").replace("FROM priced GROUP BY opp_id),\n  valued", "FROM (SELECT *, flatten(list(reasons ORDER BY leg_no) OVER (PARTITION BY opp_id)) AS rs FROM priced) GROUP BY opp_id, rs),\n  valued").replace("list(reasons ORDER BY leg_no) OVER (PARTITION BY opp_id)", "list(reasons) OVER (PARTITION BY opp_id ORDER BY leg_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 q("o122_value_opportunities", lambda s, d: valued(s, d).withColumn("partial_reasons", F.array_join("partial_reasons", ",")), IN, VALUED + " SELECT *, CASE WHEN duration_seconds > 0 THEN roi * (3600e0 / duration_seconds) END AS roi_per_hour FROM valued")
+_ROWS = " SELECT *, CASE WHEN duration_seconds > 0 THEN roi * (3600e0 / duration_seconds) END AS roi_per_hour FROM valued"
+_election = lambda s, d: A.table(s, d, "nation").select(F.when(F.col("n_nationkey") == 4, "Derpy").otherwise("Paul").alias("mayor"), (F.col("n_regionkey") == 4).alias("active"))
+
+
+def valued_with_features(s, d):
+    """Valuation with the micro and macro features of the quotes and the taxes of the election."""
+    features = X.timescale_features(A.quote_grid(s, d), T, W)
+    return V.value_opportunities(legs(s, d), A.part_quotes(s, d), A.item_listing_quotes(s, d), features, V.constraints_of(legs(s, d)), V.tax_context(_election(s, d)))
+
+
+def _vr(v: str, r: str, vc: float, rc: float) -> str:
+    a, b = f"100 * least(1e0, greatest(0, {v} / {vc}e0))", f"100 * least(1e0, abs({r}) / {rc}e0)"
+    return f"CASE WHEN {v} IS NOT NULL AND {r} IS NOT NULL THEN 0.7e0 * {a} + 0.3e0 * {b} WHEN {v} IS NOT NULL THEN {a} WHEN {r} IS NOT NULL THEN {b} END"
+
+
+_WEIGHT = "CASE {c} WHEN 'HIGH' THEN 1e0 WHEN 'MED' THEN 0.5e0 ELSE 0e0 END"
+_RISKS = f"""rk AS (SELECT opp_id, max(mi) AS micro, coalesce(min(mic) FILTER (mi IS NOT NULL), 0) AS mc, max(ma) AS macro, coalesce(min(mac) FILTER (ma IS NOT NULL), 0) AS ac FROM (SELECT DISTINCT opp_id, item_id FROM priced WHERE source = 'BAZAAR')
+    JOIN (SELECT product_id AS item_id, {_vr('micro_volatility', 'micro_return', 0.03, 0.05)} AS mi, {_WEIGHT.format(c='micro_confidence')} AS mic, {_vr('macro_volatility', 'macro_return', 0.12, 0.2)} AS ma, {_WEIGHT.format(c='macro_confidence')} AS mac FROM feat) USING (item_id) GROUP BY 1),
+  valued AS"""
+_SCORE = """least(100, greatest(0, (1 - 0.35e0 * coalesce(mc, 0) - 0.2e0 * coalesce(ac, 0)) * c + 0.35e0 * coalesce(mc, 0) * coalesce(micro, c) + 0.2e0 * coalesce(ac, 0) * coalesce(macro, c))) AS risk_score
+    FROM (SELECT *, least(100, 0.7 * xr + 30 * least(1e0, xh / 6)) AS c FROM v0) LEFT JOIN rk USING (opp_id))"""
+_RATES = "CASE WHEN gross < 10000000 THEN 0.01e0 WHEN gross < 100000000 THEN 0.02e0 ELSE 0.025e0 END"
+WITH_FEATURES = "WITH " + _MIC[4:] + ", feat AS (" + _FEAT + "), ctx AS (SELECT CASE WHEN bool_or(n_nationkey = 4 AND n_regionkey = 4) THEN 4e0 ELSE 1e0 END AS m FROM nation)," + VALUED[4:]
+for _a, _b in (
+    (f"ceil(gross * {_RATES})::BIGINT + 100", f"ceil(ceil(gross * {_RATES}) * (SELECT m FROM ctx))::BIGINT + 100"),
+    ("least(ceil(gross * 0.01e0)::BIGINT, gross - 1000000)", "least(ceil(ceil(gross * 0.01e0) * (SELECT m FROM ctx))::BIGINT, gross - 1000000)"),
+    ("100e0 / (1 + fill_hours) / (1 + spread / 0.02e0)))", "100e0 / (1 + fill_hours) / (1 + spread / 0.02e0) - CASE WHEN item_id IN (SELECT product_id FROM feat WHERE illiquid) THEN 10 ELSE 0 END))"),
+    ("list_concat(['MISSING_ELECTION_DATA'], ", "list_concat([]::VARCHAR[], "),
+    ("true AS partial,", "partial_reasons <> '' AS partial,"),
+    ("valued AS", _RISKS),
+    ("least(100, 0.7 * xr + 30 * least(1e0, xh / 6)) AS risk_score FROM v0)", _SCORE),
+):
+    assert _a in WITH_FEATURES, _a
+    WITH_FEATURES = WITH_FEATURES.replace(_a, _b)
+FEATURED = IN + " quote_grid"
+q("o122_value_with_features", lambda s, d: valued_with_features(s, d).withColumn("partial_reasons", F.array_join("partial_reasons", ",")), FEATURED, WITH_FEATURES + _ROWS)
+q("o118_total_risk_with_features", lambda s, d: valued_with_features(s, d).select("opp_id", "risk_score"), FEATURED, WITH_FEATURES + " SELECT opp_id, risk_score FROM valued")
+_THEN = "product_id, buy_price, sell_price, buy_volume, sell_volume, buy_moving_week, sell_moving_week"
+q("o144_opportunities_as_of", lambda s, d: V.opportunities_as_of(A.quote_grid(s, d), T + 1000, A.item_listing_quotes(s, d), A.recipes(s, d), A.ingredients(s, d)).withColumn("partial_reasons", F.array_join("partial_reasons", ",")), "quote_grid item_listing_quotes recipes ingredients",
+  f"WITH part_quotes AS (SELECT {_THEN} FROM quote_grid WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM quote_grid WHERE snapshot_ts <= {T + 1000}))," + VALUED[4:] + _ROWS)
 q("o110_economics", lambda s, d: valued(s, d).select("opp_id", "required_capital", "expected_profit", "roi"), IN, VALUED + " SELECT opp_id, required_capital, expected_profit, roi FROM valued")
 q("o118_total_risk", lambda s, d: valued(s, d).select("opp_id", "risk_score"), IN, VALUED + " SELECT opp_id, risk_score FROM valued")
 q("o123_partial_reasons", lambda s, d: valued(s, d).select(F.explode("partial_reasons").alias("r")).select(F.split("r", ":")[0].alias("code")).groupBy("code").count(), IN, VALUED + " SELECT split_part(r, ':', 1) AS code, count(*) AS count FROM (SELECT unnest(string_split(partial_reasons, ',')) AS r FROM valued) GROUP BY 1")
@@ -94,7 +136,13 @@ q("o079_item_stacks", lambda s, d: V.item_stacks(legs(s, d)), IN, LEGS + " SELEC
 q("o129_conversion_cost", lambda s, d: V.conversion_cost(A.recipes(s, d), A.ingredients(s, d), A.part_quotes(s, d), A.item_listing_quotes(s, d)), IN, """WITH p AS (SELECT coalesce(q.product_id, l.item_id) AS item_id, coalesce(floor(buy_price + 0.5)::BIGINT, lowest) AS b, coalesce(floor(sell_price + 0.5)::BIGINT, floor(average)::BIGINT) AS v FROM part_quotes q FULL JOIN item_listing_quotes l ON q.product_id = l.item_id),
   c AS (SELECT recipe_id, CASE WHEN count(b) = count(*) THEN sum(b * amount)::BIGINT END AS cost, count(*) - count(b) AS missing FROM ingredients LEFT JOIN p USING (item_id) GROUP BY 1)
   SELECT r.recipe_id, output_item_id AS item_id, cost, missing, v AS sell_unit, v - cost AS profit, CASE WHEN cost > 0 THEN floor((v - cost) * 10000e0 / cost + 0.5) / 100 END AS profit_pct FROM recipes r LEFT JOIN c USING (recipe_id) LEFT JOIN p ON p.item_id = output_item_id""")
-q("o127_stable_identity", lambda s, d: V.stable_identity(legs(s, d), V.constraints_of(legs(s, d))), IN, None)
+_IDENTITY = """, st AS (SELECT opp_id, any_value(flip_type) AS type, any_value(result_item_id) AS result, string_agg('{' || concat_ws(',', '"amount":' || amount, '"duration":' || base_duration_seconds, '"item":"' || item_id || '"',
+    '"market":"' || market || '"', '"type":"' || leg_type || '"') || '}', ',' ORDER BY leg_no) AS steps FROM legs GROUP BY 1),
+  js AS (SELECT opp_id, '{"constraints":[' || CASE WHEN opp_id LIKE 'RC:%' THEN CASE WHEN type = 'FORGE' THEN '"MIN_FORGE_SLOTS:1",' ELSE '' END || '"RECIPE_UNLOCKED"' ELSE '' END
+    || '],"result":"' || result || '","steps":[' || steps || '],"type":"' || type || '","version":1}' AS j FROM st)
+  SELECT opp_id, 'v1_' || sha256(j) AS flip_key, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-3' || substr(m, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(m, 17, 1)) - 1) % 4 + 1, 1)
+    || substr(m, 18, 3) || '-' || substr(m, 21, 12) AS stable_id FROM (SELECT *, md5(j) AS m FROM js)"""
+q("o127_stable_identity", lambda s, d: V.stable_identity(legs(s, d), V.constraints_of(legs(s, d))), IN, LEGS + _IDENTITY)
 q("o131_min_capital", lambda s, d: V.min_capital(A.table(s, d, "orders").select((F.col("o_custkey") % 97).alias("opp_id"), F.when(F.col("o_orderkey") % 2 == 0, "MIN_CAPITAL").otherwise("RECIPE_UNLOCKED").alias("kind"), (F.floor("o_totalprice") - 1000).alias("long_value"))), "", "SELECT o_custkey % 97 AS opp_id, max(floor(o_totalprice)::BIGINT - 1000) AS min_capital FROM orders WHERE o_orderkey % 2 = 0 AND floor(o_totalprice) > 1000 GROUP BY 1")
 q("o130_tax_context", lambda s, d: V.tax_context(A.table(s, d, "nation").select(F.when(F.col("n_nationkey") == 3, "Derpy").otherwise("Paul").alias("mayor"), (F.col("n_regionkey") == 3).alias("active"))), "", "SELECT 0.0125e0 AS quote_tax, CASE WHEN (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) = 3 THEN 4e0 ELSE 1e0 END AS listing_multiplier, false AS election_missing")
 _JSON = """CASE e.event_id % 4 WHEN 0 THEN '{"itemId":" A' || user_id || ' ","amount":' || (event_id % 5) || ',"market":"bazaar_buy"}' WHEN 1 THEN '{"itemId":"","amount":"x","source":"Auction"}' WHEN 2 THEN '{"itemId":"B","amount":"7","market":"npc","price":' || (event_id % 3) || ',"cost":2.5}' ELSE 'oops' END"""

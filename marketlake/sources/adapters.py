@@ -73,7 +73,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recipes(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter("p_size % 5 = 0")
+    p = table(spark, d, "part")
     kind = F.when(F.col("p_size") % 3 == 0, "CRAFT").when(F.col("p_size") % 3 == 1, "FORGE").otherwise("KATGRADE")
     return p.select(F.concat(F.lit("R"), "p_partkey").alias("recipe_id"), F.concat(F.lit("P"), "p_partkey").alias("output_item_id"), kind.alias("process_type"), (F.col("p_size") * 60).cast("long").alias("process_duration_seconds"))
 
@@ -81,7 +81,7 @@ def recipes(spark: SparkSession, d: str) -> DataFrame:
 def ingredients(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     n = p.agg(F.count("*").alias("n_parts"))
-    e = p.filter("p_size % 5 = 0").crossJoin(F.broadcast(n)).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    e = p.crossJoin(F.broadcast(n)).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     return e.select(F.concat(F.lit("R"), "p_partkey").alias("recipe_id"), F.concat(F.lit("P"), (F.col("p_partkey") * 7 + F.col("i") * 13) % F.col("n_parts")).alias("item_id"), (1 + (F.col("p_size") + F.col("i")) % 4).cast("int").alias("amount"))
 
 
@@ -126,8 +126,8 @@ def payload_updates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item_listing_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Listing quotes of every third part: the priced BIN listings of an item in one row."""
+    """Listing quotes of all parts: the priced BIN listings of an item in one row."""
     from ..operators.snapshots import price_stats
 
-    li = table(spark, d, "lineitem").filter("l_returnflag <> 'A' AND l_partkey % 3 = 0")
+    li = table(spark, d, "lineitem").filter("l_returnflag <> 'A'")
     return price_stats(li.select(F.concat(F.lit("P"), "l_partkey").alias("item_id"), F.floor("l_extendedprice").alias("starting_bid")), ["item_id"])

@@ -65,10 +65,20 @@ def parse_catalog(df: DataFrame) -> DataFrame:
     return df.select(F.from_json("value", CATALOG).alias("c")).select("c.*").filter("coalesce(id, internalname) IS NOT NULL")
 
 
-def catalog_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """One row: a digest of all files in name order."""
-    f = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("n"), F.sha2("content", 256).alias("h"))
-    return f.agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: F.concat_ws(":", x["n"], x["h"]))), 256).alias("fingerprint"), F.count("*").alias("files"))
+def catalog_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of the files below a path."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def catalog_fingerprint(files: DataFrame) -> DataFrame:
+    """One row: a digest of all files, whatever their order. files: name, content.
+
+    Digests of (name, content) are put in order and digested within 4,096 groups, by their first digits, and the groups' digests again.
+    """
+    lines = lambda c: F.concat_ws("\n", F.array_sort(F.collect_list(c)))
+    each = files.select(F.sha2(F.concat_ws(":", "name", F.sha2("content", 256)), 256).alias("h"))
+    groups = each.groupBy(F.substring("h", 1, 3).alias("g")).agg(F.sha2(lines("h"), 256).alias("h"), F.count("*").alias("n"))
+    return groups.agg(F.sha2(lines(F.concat_ws(":", "g", "h")), 256).alias("fingerprint"), F.sum("n").alias("files"))
 
 
 def write_snapshots(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -87,9 +97,9 @@ def parse_snapshot_json(df: DataFrame, json: str = "products_json") -> DataFrame
 
 
 def read_history(lines: DataFrame, schema: str, limit: int, ts: str = "ts") -> DataFrame:
-    """The newest rows of JSON lines, malformed ones left out."""
+    """The newest rows of JSON lines, malformed ones left out; of one time the least by the other columns."""
     j = lines.select(F.from_json("value", schema).alias("r")).select("r.*").filter(F.col(ts).isNotNull())
-    return j.orderBy(F.desc(ts)).limit(limit)
+    return j.orderBy(F.desc(ts), *[c for c in j.columns if c != ts]).limit(limit)
 
 
 def partition_inventory(df: DataFrame) -> DataFrame:

@@ -230,7 +230,7 @@ def _verifier(threshold: float):
     return run
 
 
-def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, block: int = 1024, block_grams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, block: int = 512, block_grams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (least id reachable by links), n_links (other documents linked directly, copies counted), kept."""
     spark = df.sparkSession
     bands, rows_a_band = choose_bands(threshold, recall)

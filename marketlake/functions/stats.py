@@ -24,7 +24,8 @@ def percentile(x: str, p: float) -> Column:
 def medians_and_mads(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(by, c_med, c_mad for every column): two aggregations joined on the group, whose rows are few."""
     med = df.groupBy(*by).agg(*[median(c).alias(f"{c}_med") for c in columns])
-    mad = df.join(med, by).groupBy(*by).agg(*[F.percentile(F.abs(finite(c) - F.col(f"{c}_med")), F.lit(0.5)).alias(f"{c}_mad") for c in columns])
+    mad = df.join(med, by).groupBy(*by).agg(*[F.percentile(F.abs(finite(c) - F.col(f"{c}_med")),
+        F.lit(0.5)).alias(f"{c}_mad") for c in columns])
     return med.join(mad, by)
 
 

@@ -32,7 +32,8 @@ def micro_return(ticks: DataFrame, t: int, window_ms: int = 60_000, by: str = "p
     own = _mids(scan_range(ticks, t - window_ms, t + 1)).select(by, "snapshot_ts", "mid")
     last = own.groupBy(by).agg(F.max("snapshot_ts").alias("last_ts"), F.max_by("mid", "snapshot_ts").alias("last_mid"))
     near = nearest(own, by, t - window_ms).withColumnRenamed("mid", "from_mid")
-    return last.join(near, by).select(by, F.when(F.col("snapshot_ts") < F.col("last_ts"), F.log(F.col("last_mid") / F.col("from_mid"))).alias("micro_return"))
+    return last.join(near, by).select(by,
+        F.when(F.col("snapshot_ts") < F.col("last_ts"), F.log(F.col("last_mid") / F.col("from_mid"))).alias("micro_return"))
 
 
 def daily_series(ticks: DataFrame, t: int, days: int = 32, by: str = "product_id") -> DataFrame:
@@ -47,13 +48,15 @@ def daily_series(ticks: DataFrame, t: int, days: int = 32, by: str = "product_id
 
 
 def macro_volatility(daily: DataFrame, n: int = 30, by: str = "product_id") -> DataFrame:
-    r = daily.filter("ret IS NOT NULL").withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("day")))).filter(F.col("rn") <= n)
+    r = daily.filter("ret IS NOT NULL").withColumn("rn",
+        F.row_number().over(Window.partitionBy(by).orderBy(F.desc("day")))).filter(F.col("rn") <= n)
     return r.groupBy(by).agg(F.count("*").alias("macro_returns"), F.when(F.count("*") >= 2, F.stddev_pop("ret")).alias("macro_volatility"))
 
 
 def macro_return(daily: DataFrame, t: int, by: str = "product_id") -> DataFrame:
     """The return that ends on the evaluation day, else that of the last pair where its days are adjacent."""
-    return daily.groupBy(by).agg(F.coalesce(F.max(F.when(F.col("day") == t // DAY_MS, F.col("ret"))), F.max_by("ret", "day")).alias("macro_return"), F.count("*").alias("macro_days"))
+    return daily.groupBy(by).agg(F.coalesce(F.max(F.when(F.col("day") == t // DAY_MS, F.col("ret"))),
+        F.max_by("ret", "day")).alias("macro_return"), F.count("*").alias("macro_days"))
 
 
 def confidence(points: Column, signals: Column, high: int, medium: int, all_signals: int) -> Column:
@@ -66,27 +69,34 @@ def hourly_turnover() -> Column:
     return F.least(side("buy_moving_week", "buy_volume"), side("sell_moving_week", "sell_volume")) / 168.0
 
 
-def structurally_illiquid(newest: DataFrame, daily: DataFrame, spread: float = 0.05, turnover: float = 10.0, by: str = "product_id") -> DataFrame:
+def structurally_illiquid(newest: DataFrame, daily: DataFrame, spread: float = 0.05, turnover: float = 10.0,
+    by: str = "product_id") -> DataFrame:
     """Wide and thin now; else, with three days or more, wide or thin in the median of the last seven."""
     now = newest.select(by, (rel_spread("buy_price", "sell_price") >= spread).alias("wide"), (hourly_turnover() <= turnover).alias("thin"))
     last = daily.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("day")))).filter("rn <= 7")
-    med = last.groupBy(by).agg(F.count("*").alias("n"), F.percentile("spread", F.lit(0.5)).alias("s"), F.percentile("turnover", F.lit(0.5)).alias("v"))
+    med = last.groupBy(by).agg(F.count("*").alias("n"), F.percentile("spread", F.lit(0.5)).alias("s"),
+        F.percentile("turnover", F.lit(0.5)).alias("v"))
     past = (F.col("n") >= 3) & ((F.col("s") >= spread) | (F.col("v") <= turnover))
     return now.join(med, by, "left").select(by, ((F.col("wide") & F.col("thin")) | F.coalesce(past, F.lit(False))).alias("illiquid"))
 
 
 def timescale_features(ticks: DataFrame, t: int, window_ms: int = 60_000, by: str = "product_id") -> DataFrame:
     """Micro and macro volatility, return and confidence, and the illiquid flag of every key known at t."""
-    newest = ticks.filter(F.col("snapshot_ts") <= t).withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("snapshot_ts")))).filter("rn = 1").drop("rn")
+    newest = ticks.filter(F.col("snapshot_ts") <= t).withColumn("rn",
+        F.row_number().over(Window.partitionBy(by).orderBy(F.desc("snapshot_ts")))).filter("rn = 1").drop("rn")
     daily = daily_series(ticks, t, by=by)
     j = newest.select(by)
-    for part in (micro_volatility(ticks, t, window_ms, by=by), micro_return(ticks, t, window_ms, by), macro_volatility(daily, by=by), macro_return(daily, t, by), structurally_illiquid(newest, daily, by=by)):
+    for part in (micro_volatility(ticks, t, window_ms, by=by), micro_return(ticks, t, window_ms, by), macro_volatility(daily, by=by),
+        macro_return(daily, t, by), structurally_illiquid(newest, daily, by=by)):
         j = j.join(part, by, "left")
     have = lambda *c: sum(F.col(x).isNotNull().cast("int") for x in c)
     zero = lambda c: F.coalesce(c, F.lit(0))
     return j.select(
-        by, "micro_volatility", "micro_return", confidence(zero("micro_points"), have("micro_volatility", "micro_return"), 10, 6, 2).alias("micro_confidence"),
-        "macro_volatility", "macro_return", confidence(zero("macro_returns"), have("macro_volatility", "macro_return"), 7, 3, 1).alias("macro_confidence"), F.coalesce("illiquid", F.lit(False)).alias("illiquid"),
+        by, "micro_volatility", "micro_return",
+            confidence(zero("micro_points"), have("micro_volatility", "micro_return"), 10, 6, 2).alias("micro_confidence"),
+        "macro_volatility", "macro_return",
+            confidence(zero("macro_returns"), have("macro_volatility", "macro_return"), 7, 3, 1).alias("macro_confidence"),
+            F.coalesce("illiquid", F.lit(False)).alias("illiquid"),
     )
 
 
@@ -95,7 +105,8 @@ def price_history(quotes: DataFrame, t: int, range_name: str = "7d", by: str = "
     back, width = HISTORY_RANGES[range_name]
     own = scan_range(quotes, t - back, t + 1).withColumn("bucket", bucket_start("snapshot_ts", width))
     g = own.groupBy(by, "bucket").agg(F.max_by(F.struct("buy_price", "sell_price", "buy_volume", "sell_volume"), "snapshot_ts").alias("r"))
-    return g.select(by, "bucket", round_half_up("r.buy_price").alias("buy_price"), round_half_up("r.sell_price").alias("sell_price"), (F.col("r.buy_volume") + F.col("r.sell_volume")).alias("volume"))
+    return g.select(by, "bucket", round_half_up("r.buy_price").alias("buy_price"), round_half_up("r.sell_price").alias("sell_price"),
+        (F.col("r.buy_volume") + F.col("r.sell_volume")).alias("volume"))
 
 
 def score_history(history: DataFrame, by: str = "product_id") -> DataFrame:
@@ -104,8 +115,10 @@ def score_history(history: DataFrame, by: str = "product_id") -> DataFrame:
     top = F.max(F.when(F.col("volume") > 0, F.col("volume"))).over(w)
     before = F.lag("sell_price").over(w.orderBy("bucket"))
     spread = rel_spread(F.col("buy_price").cast("double"), F.col("sell_price").cast("double")) * 100.0
-    h = history.withColumns({"liquidity": F.coalesce(clamp(F.col("volume") * 100.0 / top, 0, 100), F.lit(0.0)), "spread_pct": spread, "volatility": F.coalesce(F.abs(F.col("sell_price") - before) * 100.0 / F.when(before > 0, before), spread)})
-    return h.select(by, "bucket", round2("liquidity").alias("liquidity"), round2("volatility").alias("volatility"), round2(clamp(2 * F.col("spread_pct") + 3 * F.col("volatility"), 0, 100)).alias("risk"))
+    h = history.withColumns({"liquidity": F.coalesce(clamp(F.col("volume") * 100.0 / top, 0, 100), F.lit(0.0)), "spread_pct": spread,
+        "volatility": F.coalesce(F.abs(F.col("sell_price") - before) * 100.0 / F.when(before > 0, before), spread)})
+    return h.select(by, "bucket", round2("liquidity").alias("liquidity"), round2("volatility").alias("volatility"),
+        round2(clamp(2 * F.col("spread_pct") + 3 * F.col("volatility"), 0, 100)).alias("risk"))
 
 
 def quick_stats(quotes: DataFrame, t: int, by: str = "product_id") -> DataFrame:
@@ -113,15 +126,25 @@ def quick_stats(quotes: DataFrame, t: int, by: str = "product_id") -> DataFrame:
     own = scan_range(quotes, t - 7 * DAY_MS, t + 1)
     day = F.col("snapshot_ts") >= t - DAY_MS
     first = F.min_by("buy_price", F.when(day, F.col("snapshot_ts")))
-    g = own.groupBy(by).agg(F.max_by("buy_price", "snapshot_ts").alias("buy_price"), F.max_by("sell_price", "snapshot_ts").alias("sell_price"), first.alias("first24"), F.max_by("buy_price", F.when(day, F.col("snapshot_ts"))).alias("last24"), F.avg(F.col("buy_volume") + F.col("sell_volume")).alias("avg_volume"), F.max("buy_price").alias("high"), F.min("sell_price").alias("low"))
-    return g.select(by, "buy_price", "sell_price", round2((F.col("last24") - F.col("first24")) * 100.0 / F.when(F.col("first24") > 0, F.col("first24"))).alias("change_24h"), (F.col("buy_price") - F.col("sell_price")).alias("spread"), round_half_up("avg_volume").alias("avg_volume"), "high", "low")
+    g = own.groupBy(by).agg(F.max_by("buy_price", "snapshot_ts").alias("buy_price"),
+        F.max_by("sell_price", "snapshot_ts").alias("sell_price"), first.alias("first24"),
+        F.max_by("buy_price", F.when(day, F.col("snapshot_ts"))).alias("last24"),
+        F.avg(F.col("buy_volume") + F.col("sell_volume")).alias("avg_volume"), F.max("buy_price").alias("high"),
+        F.min("sell_price").alias("low"))
+    return g.select(by, "buy_price", "sell_price",
+        round2((F.col("last24") - F.col("first24")) * 100.0 / F.when(F.col("first24") > 0, F.col("first24"))).alias("change_24h"),
+        (F.col("buy_price") - F.col("sell_price")).alias("spread"), round_half_up("avg_volume").alias("avg_volume"), "high", "low")
 
 
 def market_overview(quotes: DataFrame, t: int, by: str = "product_id") -> DataFrame:
     """Current prices against the seven days before, null history as 0."""
-    h = scan_range(quotes, t - 7 * DAY_MS, t + 1).groupBy(by).agg(F.max_by(F.struct("buy_price", "sell_price"), "snapshot_ts").alias("c"), F.avg("buy_price").alias("avg_buy"), F.avg("sell_price").alias("avg_sell"), F.max("buy_price").alias("high_buy"), F.min("sell_price").alias("low_sell"), F.avg(F.col("buy_volume") + F.col("sell_volume")).alias("avg_volume"))
+    h = scan_range(quotes, t - 7 * DAY_MS, t + 1).groupBy(by).agg(F.max_by(F.struct("buy_price", "sell_price"), "snapshot_ts").alias("c"),
+        F.avg("buy_price").alias("avg_buy"), F.avg("sell_price").alias("avg_sell"), F.max("buy_price").alias("high_buy"),
+        F.min("sell_price").alias("low_sell"), F.avg(F.col("buy_volume") + F.col("sell_volume")).alias("avg_volume"))
     delta = lambda now, avg: F.coalesce(round2((now - avg) * 100.0 / F.when(avg > 0, avg)), F.lit(0.0))
-    return h.select(by, F.col("c.buy_price").alias("buy"), F.col("c.sell_price").alias("sell"), delta(F.col("c.buy_price"), F.col("avg_buy")).alias("buy_delta"), delta(F.col("c.sell_price"), F.col("avg_sell")).alias("sell_delta"), "high_buy", "low_sell", "avg_volume")
+    return h.select(by, F.col("c.buy_price").alias("buy"), F.col("c.sell_price").alias("sell"),
+        delta(F.col("c.buy_price"), F.col("avg_buy")).alias("buy_delta"),
+        delta(F.col("c.sell_price"), F.col("avg_sell")).alias("sell_delta"), "high_buy", "low_sell", "avg_volume")
 
 
 def first_and_last(quotes: DataFrame, t: int, back_ms: int = DAY_MS, by: str = "product_id") -> DataFrame:
@@ -130,7 +153,8 @@ def first_and_last(quotes: DataFrame, t: int, back_ms: int = DAY_MS, by: str = "
     ends = own.agg(F.min("snapshot_ts").alias("lo"), F.max("snapshot_ts").alias("hi"))
     e = own.join(F.broadcast(ends), (F.col("snapshot_ts") == F.col("lo")) | (F.col("snapshot_ts") == F.col("hi"))).filter("lo < hi")
     side = lambda c, at: F.max(F.when(F.col("snapshot_ts") == F.col(at), F.col(c))).alias(f"{c}_{at}")
-    g = e.withColumn("volume", F.col("buy_volume") + F.col("sell_volume")).groupBy(by).agg(*[side(c, at) for c in ("buy_price", "volume") for at in ("lo", "hi")])
+    g = e.withColumn("volume",
+        F.col("buy_volume") + F.col("sell_volume")).groupBy(by).agg(*[side(c, at) for c in ("buy_price", "volume") for at in ("lo", "hi")])
     return g.filter("buy_price_lo IS NOT NULL AND buy_price_hi IS NOT NULL")
 
 
@@ -138,18 +162,24 @@ def trending(quotes: DataFrame, t: int, limit: int = 10, by: str = "product_id")
     """Change of price and volume from the first to the last snapshot of the last day, for products in both; the largest first."""
     g = first_and_last(quotes, t, by=by).filter("buy_price_lo > 0")
     pct = lambda c: round2((F.col(f"{c}_hi") - F.col(f"{c}_lo")) * 100.0 / F.when(F.col(f"{c}_lo") > 0, F.col(f"{c}_lo")))
-    return g.select(by, pct("buy_price").alias("price_change"), pct("volume").alias("volume_change")).orderBy(F.abs("price_change").desc(), by).limit(limit)
+    return g.select(by, pct("buy_price").alias("price_change"), pct("volume").alias("volume_change")).orderBy(F.abs("price_change").desc(),
+        by).limit(limit)
 
 
 def market_trend(quotes: DataFrame) -> DataFrame:
     """BULLISH from 4 % mean relative spread, BEARISH to 1 %, SIDEWAYS between; rows without a valid one average 0; no rows, UNKNOWN."""
-    s = latest(quotes).agg(F.coalesce(F.avg((F.col("buy_price") - F.col("sell_price")) / positive("buy_price")), F.lit(0.0)).alias("avg_spread"), F.count("*").alias("n"))
-    return s.select("avg_spread", F.when(F.col("n") == 0, "UNKNOWN").when(F.col("avg_spread") >= 0.04, "BULLISH").when(F.col("avg_spread") <= 0.01, "BEARISH").otherwise("SIDEWAYS").alias("trend"))
+    s = latest(quotes).agg(F.coalesce(F.avg((F.col("buy_price") - F.col("sell_price")) / positive("buy_price")),
+        F.lit(0.0)).alias("avg_spread"), F.count("*").alias("n"))
+    return s.select("avg_spread",
+        F.when(F.col("n") == 0, "UNKNOWN").when(F.col("avg_spread") >= 0.04, "BULLISH").when(F.col("avg_spread") <= 0.01,
+        "BEARISH").otherwise("SIDEWAYS").alias("trend"))
 
 
 def dashboard_overview(items: DataFrame, quotes: DataFrame, opportunities: DataFrame) -> DataFrame:
-    best = opportunities.agg(F.max_by("stable_id", F.struct("expected_profit", "stable_id")).alias("top_opportunity"), F.max("expected_profit").alias("top_profit"), F.count("*").alias("opportunity_count"))
-    parts = [items.agg(F.count("*").alias("item_count")), quotes.agg(F.countDistinct("snapshot_ts").alias("snapshot_count")), best, market_trend(quotes).select("trend")]
+    best = opportunities.agg(F.max_by("stable_id", F.struct("expected_profit", "stable_id")).alias("top_opportunity"),
+        F.max("expected_profit").alias("top_profit"), F.count("*").alias("opportunity_count"))
+    parts = [items.agg(F.count("*").alias("item_count")), quotes.agg(F.countDistinct("snapshot_ts").alias("snapshot_count")), best,
+        market_trend(quotes).select("trend")]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(F.broadcast(p))  # one row each

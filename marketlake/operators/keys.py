@@ -53,7 +53,8 @@ def key_parts(df: DataFrame) -> DataFrame:
         "key_category": F.coalesce(blank(identifier("category")), F.lit("UNKNOWN")),
         "pet_level": F.coalesce(blank(F.regexp_replace(pet, r"^0+(?=\d)", "")), F.lit("-")),
         "stars": (glyphs("item_name") + glyphs("item_lore")).cast("int"),
-        "recombobulated": F.coalesce(F.contains(F.lower("item_lore"), F.lit("rarity upgraded")), F.lit(False)) | F.coalesce(F.contains(F.lower("extra"), F.lit("recombobulated")), F.lit(False)),
+        "recombobulated": F.coalesce(F.contains(F.lower("item_lore"), F.lit("rarity upgraded")),
+            F.lit(False)) | F.coalesce(F.contains(F.lower("extra"), F.lit("recombobulated")), F.lit(False)),
     })
 
 
@@ -62,7 +63,8 @@ def agg_key() -> Column:
 
 
 def full_key() -> Column:
-    return F.concat(agg_key(), F.lit("|S:"), F.col("stars").cast("string"), F.lit("|R:"), F.col("recombobulated").cast("int").cast("string"))
+    return F.concat(agg_key(), F.lit("|S:"), F.col("stars").cast("string"), F.lit("|R:"),
+        F.col("recombobulated").cast("int").cast("string"))
 
 
 def has_additionals() -> Column:
@@ -106,12 +108,15 @@ def reforge(name: Column | str, lore: Column | str) -> Column:
     """From `modifier:` in the lore, else a listed word that leads the name or stands alone between brackets and commas, else None."""
     plain = F.regexp_replace(F.coalesce(col(lore), F.lit("")), "§.", "")
     raw = F.trim(F.regexp_replace(F.regexp_extract(plain, MODIFIER, 1), r"[^A-Za-z'\- ]", " "))
-    words = F.transform(F.filter(F.split(raw, r"\s+"), lambda w: w != ""), lambda w: F.array_join(F.transform(F.split(w, "-"), F.initcap), "-"))
+    words = F.transform(F.filter(F.split(raw, r"\s+"), lambda w: w != ""),
+        lambda w: F.array_join(F.transform(F.split(w, "-"), F.initcap), "-"))
     upper = F.upper(F.trim(F.coalesce(col(name), F.lit(""))))
     listed = F.array(*map(F.lit, REFORGES))
     lead = F.regexp_extract(upper, "^(" + "|".join(REFORGES) + ") ", 1)
-    alone = F.filter(F.transform(F.split(upper, "[(),]"), lambda s: F.replace(F.trim(s), F.lit("'"), F.lit(""))), lambda s: F.array_contains(listed, s))
-    return F.coalesce(F.when(raw != "", F.array_join(words, " ")), F.initcap(F.nullif(lead, F.lit(""))), F.initcap(F.try_element_at(alone, F.lit(1))), F.lit("None"))
+    alone = F.filter(F.transform(F.split(upper, "[(),]"), lambda s: F.replace(F.trim(s), F.lit("'"), F.lit(""))),
+        lambda s: F.array_contains(listed, s))
+    return F.coalesce(F.when(raw != "", F.array_join(words, " ")), F.initcap(F.nullif(lead, F.lit(""))),
+        F.initcap(F.try_element_at(alone, F.lit(1))), F.lit("None"))
 
 
 def gem_slots(name: Column | str, lore: Column | str) -> Column:
@@ -129,12 +134,15 @@ def gem_slots(name: Column | str, lore: Column | str) -> Column:
 
 def to_listing(df: DataFrame) -> DataFrame:
     value = F.when(F.col("highest_bid") > 0, F.col("highest_bid")).otherwise(F.col("starting_bid"))
-    return df.select("auction_uuid", "item_name", "tier", "category", "bin", "claimed", "starting_bid", "highest_bid", "end_ts", star_count("item_name").alias("star_count"), reforge("item_name", "item_lore").alias("reforge"), gem_slots("item_name", "item_lore").alias("gem_slots"), value.alias("estimated_value"))
+    return df.select("auction_uuid", "item_name", "tier", "category", "bin", "claimed", "starting_bid", "highest_bid", "end_ts",
+        star_count("item_name").alias("star_count"), reforge("item_name", "item_lore").alias("reforge"),
+        gem_slots("item_name", "item_lore").alias("gem_slots"), value.alias("estimated_value"))
 
 
 def aliases(items: DataFrame) -> DataFrame:
     """(item_id, alias): id, display name and minecraft id, upper case, with and without separators."""
-    names = F.filter(F.transform(F.array("item_id", "display_name", "minecraft_id"), lambda x: F.upper(F.trim(x))), lambda x: x.isNotNull() & (x != ""))
+    names = F.filter(F.transform(F.array("item_id", "display_name", "minecraft_id"), lambda x: F.upper(F.trim(x))),
+        lambda x: x.isNotNull() & (x != ""))
     compact = F.transform(names, lambda x: F.regexp_replace(x, "[_ ]", ""))
     return items.select("item_id", F.explode(F.array_distinct(F.concat(names, compact))).alias("alias"))
 
@@ -145,9 +153,11 @@ def match_items(listings: DataFrame, alias_table: DataFrame) -> DataFrame:
     An equi-join on the alias's first three characters against the short substrings of the names, then the test itself; never a cross join.
     """
     names = listings.select("item_name").distinct().withColumn("__u", F.upper(F.trim("item_name")))
-    forms = names.select("item_name", F.explode(F.array_distinct(F.array("__u", F.regexp_replace("__u", "[_ ]", "")))).alias("__f")).filter("__f <> ''")
+    forms = names.select("item_name",
+        F.explode(F.array_distinct(F.array("__u", F.regexp_replace("__u", "[_ ]", "")))).alias("__f")).filter("__f <> ''")
     starts = F.sequence(F.lit(1), F.length("__f"))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("__f"), i, n))))
+    parts = F.flatten(F.transform(starts,
+        lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("__f"), i, n))))
     cut = forms.select("item_name", "__f", F.explode(F.array_distinct(parts)).alias("__k"))
     a = alias_table.filter("alias <> ''").select("item_id", "alias", F.substring("alias", 1, 3).alias("__k"))
     return cut.join(a, "__k").filter(F.contains(F.col("__f"), F.col("alias"))).select("item_name", "item_id").distinct()

@@ -25,7 +25,9 @@ def _within(a: Column, b: Column, points: float) -> Column:
 
 def _continues(base: Column, x: Column, rel: float, points: float) -> Column:
     """Whether a point is like the first of the segment."""
-    return base["partial"].eqNullSafe(x["partial"]) & _near(base["profit"], x["profit"], rel) & _near(base["roi_per_hour"], x["roi_per_hour"], rel) & _within(base["liquidity_score"], x["liquidity_score"], points) & _within(base["risk_score"], x["risk_score"], points)
+    return base["partial"].eqNullSafe(x["partial"]) & _near(base["profit"], x["profit"], rel) & _near(base["roi_per_hour"],
+        x["roi_per_hour"], rel) & _within(base["liquidity_score"], x["liquidity_score"], points) & _within(base["risk_score"],
+        x["risk_score"], points)
 
 
 def trend_segments(history: DataFrame, rel: float = 0.05, points: float = 3.0) -> DataFrame:
@@ -58,7 +60,8 @@ def trend_segments(history: DataFrame, rel: float = 0.05, points: float = 3.0) -
     def _segments(rows: list[tuple]) -> pa.RecordBatch:
         types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), profit_type)
         columns = list(zip(*rows)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["flip_key", "valid_from", "valid_to", "points", "profit"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
+            ["flip_key", "valid_from", "valid_to", "points", "profit"])
 
     profit = history.schema["profit"].dataType.simpleString()
     profit_type = pa.float64() if profit == "double" else pa.int64()
@@ -75,9 +78,11 @@ def monotonic_guard(new: DataFrame, current: DataFrame) -> DataFrame:
 def extend_segments(new: DataFrame, segments: DataFrame, rel: float = 0.05, points: float = 3.0) -> DataFrame:
     """The segments table after one snapshot: the newest segment of a key grows, or a new one begins. segments: flip_key, base (a point), valid_to, n."""
     newest = first_per_key(segments, ["flip_key"], [F.desc("valid_to")])
-    j = new.select("flip_key", F.struct(*POINT).alias("x")).join(newest, "flip_key", "left").filter("valid_to IS NULL OR x.snapshot_ts > valid_to")
+    j = new.select("flip_key", F.struct(*POINT).alias("x")).join(newest, "flip_key",
+        "left").filter("valid_to IS NULL OR x.snapshot_ts > valid_to")
     ok = F.col("base").isNotNull() & _continues(F.col("base"), F.col("x"), rel, points)
-    changed = j.select("flip_key", F.when(ok, F.col("base")).otherwise(F.col("x")).alias("base"), F.col("x.snapshot_ts").alias("valid_to"), F.when(ok, F.col("n") + 1).otherwise(1).alias("n"), ok.alias("__grew"), F.col("valid_to").alias("__old"))
+    changed = j.select("flip_key", F.when(ok, F.col("base")).otherwise(F.col("x")).alias("base"), F.col("x.snapshot_ts").alias("valid_to"),
+        F.when(ok, F.col("n") + 1).otherwise(1).alias("n"), ok.alias("__grew"), F.col("valid_to").alias("__old"))
     replaced = changed.filter("__grew").select("flip_key", F.col("__old").alias("valid_to"))
     return segments.join(replaced, ["flip_key", "valid_to"], "left_anti").unionByName(changed.drop("__grew", "__old"))
 
@@ -86,7 +91,8 @@ def store_opportunities(valued: DataFrame, definition: DataFrame, current: DataF
     """The three tables after storing a snapshot: definitions of new keys, the current row of each key, and its segments."""
     fresh = monotonic_guard(first_per_key(valued, ["flip_key"], ["snapshot_ts", "stable_id"]), current)
     defs = definition.unionByName(fresh.select(*definition.columns).join(definition.select("flip_key"), "flip_key", "left_anti"))
-    return {"definition": defs, "current": upsert(fresh.select(*current.columns), current, ["flip_key"]), "segments": extend_segments(fresh.withColumn("profit", F.col("expected_profit")), segments)}
+    return {"definition": defs, "current": upsert(fresh.select(*current.columns), current, ["flip_key"]),
+        "segments": extend_segments(fresh.withColumn("profit", F.col("expected_profit")), segments)}
 
 
 def retention_keepers(snaps: DataFrame, now: int, keep_ms: int = 90_000, tiers=TIERS) -> DataFrame:
@@ -96,7 +102,8 @@ def retention_keepers(snaps: DataFrame, now: int, keep_ms: int = 90_000, tiers=T
     for i, (limit, step) in reversed(list(enumerate(tiers))):
         if limit is not None:
             tier, width = F.when(age <= limit, i + 1).otherwise(tier), F.when(age <= limit, step).otherwise(width)
-    t = snaps.withColumn("tier", F.when(age < keep_ms, 0).otherwise(tier)).withColumn("slot", F.when(F.col("tier") == 0, F.col("snapshot_ts")).otherwise(F.floor(F.col("snapshot_ts") / width) * width))
+    t = snaps.withColumn("tier", F.when(age < keep_ms, 0).otherwise(tier)).withColumn("slot",
+        F.when(F.col("tier") == 0, F.col("snapshot_ts")).otherwise(F.floor(F.col("snapshot_ts") / width) * width))
     rn = F.row_number().over(Window.partitionBy("tier", "slot").orderBy("snapshot_ts", "snapshot_id"))
     return t.withColumn("keep", (F.col("tier") == 0) | (rn == 1))
 
@@ -120,16 +127,19 @@ def retention_plan(partitions: DataFrame, state: DataFrame, today: int, keep_day
 
 def materialization_gate(state: DataFrame, ticks: DataFrame, rollups: DataFrame, width_ms: int, least: float = 0.90) -> DataFrame:
     """(day, complete, covered): every bucket of the day finalized, and rollup rows of enough of its distinct items."""
-    s = state.groupBy(epoch_day("bucket_start").alias("day")).agg((F.count_if(~F.col("finalized")) == 0).alias("clean"), F.count_if("finalized").alias("n"))
+    s = state.groupBy(epoch_day("bucket_start").alias("day")).agg((F.count_if(~F.col("finalized")) == 0).alias("clean"),
+        F.count_if("finalized").alias("n"))
     items = ticks.groupBy(epoch_day("snapshot_ts").alias("day")).agg(F.countDistinct("product_id").alias("items"))
     made = rollups.groupBy(epoch_day("bucket_start").alias("day")).agg(F.countDistinct("product_id").alias("rolled"))
     j = s.join(items, "day", "left").join(made, "day", "left")
-    return j.select("day", (F.col("clean") & (F.col("n") >= DAY_MS // width_ms)).alias("complete"), (F.coalesce("rolled", F.lit(0)) / F.col("items") >= least).alias("covered"))
+    return j.select("day", (F.col("clean") & (F.col("n") >= DAY_MS // width_ms)).alias("complete"),
+        (F.coalesce("rolled", F.lit(0)) / F.col("items") >= least).alias("covered"))
 
 
 def archive_days(raw: DataFrame) -> DataFrame:
     """(day, snapshot_ts, snapshots): the earliest snapshot of each day, which is retained, and how many there were."""
-    return raw.groupBy(epoch_day("snapshot_ts").alias("day")).agg(F.min("snapshot_ts").alias("snapshot_ts"), F.countDistinct("snapshot_ts").alias("snapshots"))
+    return raw.groupBy(epoch_day("snapshot_ts").alias("day")).agg(F.min("snapshot_ts").alias("snapshot_ts"),
+        F.countDistinct("snapshot_ts").alias("snapshots"))
 
 
 def drop_older(df: DataFrame, cutoff: int) -> DataFrame:
@@ -139,7 +149,8 @@ def drop_older(df: DataFrame, cutoff: int) -> DataFrame:
 def orphan_counts(orphan_opps: DataFrame, legs: DataFrame, constraints: DataFrame) -> DataFrame:
     """(what, n): opportunities, legs and constraints that go with them."""
     ids = orphan_opps.select("opp_id").distinct()
-    parts = [(n, t) for n, t in (("opportunities", ids), ("legs", legs.join(ids, "opp_id", "left_semi")), ("constraints", constraints.join(ids, "opp_id", "left_semi")))]
+    parts = [(n, t) for n, t in (("opportunities", ids), ("legs", legs.join(ids, "opp_id", "left_semi")),
+        ("constraints", constraints.join(ids, "opp_id", "left_semi")))]
     out = None
     for name, t in parts:
         row = t.agg(F.lit(name).alias("what"), F.count("*").alias("n"))

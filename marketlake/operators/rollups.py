@@ -61,7 +61,8 @@ def _signals(samples: DataFrame, tests: list[tuple[str, Column, Column]]) -> Dat
     hits = F.array_compact(F.array(*[F.when(ok, F.struct(score.alias("score"), F.lit(name).alias("reason"))) for name, score, ok in tests]))
     reasons = F.array_distinct(F.transform("__hits", lambda h: h["reason"]))
     df = samples.withColumn("__hits", hits)
-    return df.withColumns({"score": F.array_max("__hits")["score"], "reason": F.when(F.size(reasons) > 1, F.lit("MULTI_SIGNAL")).otherwise(F.try_element_at(reasons, F.lit(1)))}).drop("__hits")
+    return df.withColumns({"score": F.array_max("__hits")["score"],
+        "reason": F.when(F.size(reasons) > 1, F.lit("MULTI_SIGNAL")).otherwise(F.try_element_at(reasons, F.lit(1)))}).drop("__hits")
 
 
 def quote_signals(samples: DataFrame, p: RollupParams) -> DataFrame:
@@ -99,14 +100,16 @@ def anomalous(samples: DataFrame, by: list[str], p: RollupParams) -> DataFrame:
     n_valid = samples.groupBy(*by).agg(F.count("*").alias("__valid"))
     found = merge_islands(samples.filter("reason IS NOT NULL"), by, p.merge_gap_ms)
     w = Window.partitionBy(*by, "island")
-    sized = found.withColumns({"__n": F.count("*").over(w), "__d": F.max("snapshot_ts").over(w) - F.min("snapshot_ts").over(w)}).join(n_valid, by)
+    sized = found.withColumns({"__n": F.count("*").over(w),
+        "__d": F.max("snapshot_ts").over(w) - F.min("snapshot_ts").over(w)}).join(n_valid, by)
     ok = (F.col("__n") >= p.group_samples) | (F.col("__d") >= p.group_ms) | (F.col("__n") >= p.group_share * F.col("__valid"))
     return sized.filter(ok).drop("__n", "__d", "__valid")
 
 
 def representative_ts(samples: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """(by, representative_ts): the sample nearest to the centers of these samples, of equals the earliest."""
-    own = samples.drop(*[f"{m}_{s}" for m in metrics for s in ("med", "mad")]).join(metric_centers(samples.drop(*[f"{m}_{s}" for m in metrics for s in ("med", "mad")]), by, metrics), by)
+    own = samples.drop(*[f"{m}_{s}" for m in metrics for s in ("med",
+        "mad")]).join(metric_centers(samples.drop(*[f"{m}_{s}" for m in metrics for s in ("med", "mad")]), by, metrics), by)
     distance = sum(F.abs(F.coalesce(m, F.lit(0.0)) - F.col(f"{m}_med")) / F.greatest(F.lit(1e-9), F.col(f"{m}_mad")) for m in metrics)
     return own.groupBy(*by).agg(F.min_by("snapshot_ts", F.struct(F.round(distance, 9), "snapshot_ts")).alias("representative_ts"))
 
@@ -116,8 +119,10 @@ def anomaly_segments(anomalies: DataFrame, by: list[str], metrics: list[str], me
     peak = F.struct("score", -F.col("snapshot_ts"))
     n = F.countDistinct("island")
     s = anomalies.groupBy(*by).agg(
-        F.min("snapshot_ts").alias("segment_start"), F.max("snapshot_ts").alias("segment_end"), F.max_by("snapshot_ts", peak).alias("peak_ts"), F.max("score").alias("score"),
-        F.when(n > 1, F.lit("MULTI_ANOMALY_CLUSTER")).otherwise(F.max_by("reason", peak)).alias("reason"), (n > 1).alias("fragmented"), F.count("*").alias("sample_count"),
+        F.min("snapshot_ts").alias("segment_start"), F.max("snapshot_ts").alias("segment_end"),
+            F.max_by("snapshot_ts", peak).alias("peak_ts"), F.max("score").alias("score"),
+        F.when(n > 1, F.lit("MULTI_ANOMALY_CLUSTER")).otherwise(F.max_by("reason", peak)).alias("reason"), (n > 1).alias("fragmented"),
+            F.count("*").alias("sample_count"),
         *[F.percentile(c, F.lit(0.5)).alias(name) for name, c in medians.items()],
     )
     return s.join(representative_ts(anomalies, by, metrics), by)
@@ -128,19 +133,24 @@ def kept_samples(samples: DataFrame, anomalies: DataFrame, by: list[str]) -> Dat
     marked = samples.join(anomalies.select(*by, "snapshot_ts").withColumn("__bad", F.lit(True)), [*by, "snapshot_ts"], "left")
     w = Window.partitionBy(*by)
     marked = marked.withColumns({"valid_count": F.count("*").over(w), "__good": F.count_if(F.col("__bad").isNull()).over(w)})
-    return marked.filter("valid_count >= 2 AND (__bad IS NULL OR __good = 0)").withColumn("all_anomalous", F.col("__good") == 0).drop("__bad", "__good")
+    return marked.filter("valid_count >= 2 AND (__bad IS NULL OR __good = 0)").withColumn("all_anomalous",
+        F.col("__good") == 0).drop("__bad", "__good")
 
 
 def partial_flag(p: RollupParams) -> Column:
     """Too few valid samples, too little of what the cadence promises, or nothing but anomalies."""
     expected = p.width / p.cadence_ms
-    return (F.col("valid_count") < p.min_valid[p.granularity]) | (F.col("valid_count") / F.lit(float(expected)) < p.min_coverage) | F.col("all_anomalous")
+    return (F.col("valid_count") < p.min_valid[p.granularity]) | (F.col("valid_count") / F.lit(float(expected)) < p.min_coverage) | F.col(
+        "all_anomalous")
 
 
 def _rollup(kept: DataFrame, by: list[str], value: str, medians: dict[str, str], more: list[Column], p: RollupParams) -> DataFrame:
     q = F.percentile(value, F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9))))
-    g = kept.groupBy(*by).agg(q.alias("__q"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.percentile(c, F.lit(0.5)).alias(n) for n, c in medians.items()], *more, F.first("valid_count").alias("valid_count"), F.first("all_anomalous").alias("all_anomalous"), F.count("*").alias("used_count"))
-    wins = kept.join(g.select(*by, "__q"), by).groupBy(*by).agg(F.avg(F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[3])).alias("winsorized"))
+    g = kept.groupBy(*by).agg(q.alias("__q"), F.min(value).alias("min"), F.max(value).alias("max"),
+        *[F.percentile(c, F.lit(0.5)).alias(n) for n, c in medians.items()], *more, F.first("valid_count").alias("valid_count"),
+        F.first("all_anomalous").alias("all_anomalous"), F.count("*").alias("used_count"))
+    wins = kept.join(g.select(*by, "__q"),
+        by).groupBy(*by).agg(F.avg(F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[3])).alias("winsorized"))
     g = g.withColumns({f"p{n}": F.col("__q")[i] for i, n in enumerate((10, 25, 75, 90))}).withColumn("partial", partial_flag(p))
     return g.join(wins, by).drop("__q", "all_anomalous")
 
@@ -163,13 +173,16 @@ def listing_samples(df: DataFrame, p: RollupParams = RollupParams()) -> tuple[Da
 
 def bucket_rollup_quotes(df: DataFrame, p: RollupParams = RollupParams()) -> DataFrame:
     samples, bad, by = quote_samples(df, p)
-    medians = {"median_mid": "mid", "median_buy": "buy_price", "median_sell": "sell_price", "median_spread": "spread", "median_buy_volume": "buy_volume", "median_sell_volume": "sell_volume"}
-    return _rollup(kept_samples(samples, bad, by), by, "mid", medians, [F.min("liquidity").alias("liquidity_min"), F.max("liquidity").alias("liquidity_max")], p)
+    medians = {"median_mid": "mid", "median_buy": "buy_price", "median_sell": "sell_price", "median_spread": "spread",
+        "median_buy_volume": "buy_volume", "median_sell_volume": "sell_volume"}
+    return _rollup(kept_samples(samples, bad, by), by, "mid", medians,
+        [F.min("liquidity").alias("liquidity_min"), F.max("liquidity").alias("liquidity_max")], p)
 
 
 def bucket_rollup_listings(df: DataFrame, p: RollupParams = RollupParams()) -> DataFrame:
     samples, bad, by = listing_samples(df, p)
-    medians = {"median_p50": "p50", "median_anchor": "anchor", "median_lowest": "bin_lowest", "median_p95": "bin_p95", "median_count": "bin_count", "median_ending": "ending_soon_count"}
+    medians = {"median_p50": "p50", "median_anchor": "anchor", "median_lowest": "bin_lowest", "median_p95": "bin_p95",
+        "median_count": "bin_count", "median_ending": "ending_soon_count"}
     return _rollup(kept_samples(samples, bad, by), by, "p50", medians, [], p)
 
 
@@ -187,15 +200,18 @@ def bucket_state(rollups: DataFrame, samples: DataFrame, by_key: str, p: RollupP
     """(bucket_start, granularity, raw_rows, rollup_rows, finalized) of the buckets of a run."""
     raw = with_bucket(samples, p).groupBy("bucket_start").agg(F.count("*").alias("raw_rows"))
     made = rollups.groupBy("bucket_start").agg(F.count("*").alias("rollup_rows"))
-    return raw.join(made, "bucket_start", "left").select("bucket_start", F.lit(p.granularity).alias("granularity"), "raw_rows", F.coalesce("rollup_rows", F.lit(0)).alias("rollup_rows"), F.lit(True).alias("finalized"))
+    return raw.join(made, "bucket_start", "left").select("bucket_start", F.lit(p.granularity).alias("granularity"), "raw_rows",
+        F.coalesce("rollup_rows", F.lit(0)).alias("rollup_rows"), F.lit(True).alias("finalized"))
 
 
 def due_buckets(state: DataFrame, ticks: DataFrame, now_ms: int, p: RollupParams, watermark_ms: int = 30_000, most: int = 128) -> DataFrame:
     """Bucket starts due: after the last finalized bucket (else the first UTC day with rows), closed at the watermark and no later than the newest raw row."""
     newest = ticks.agg(F.min("snapshot_ts").alias("lo"), F.max("snapshot_ts").alias("hi"))
     last = state.filter("finalized").agg((F.max("bucket_start") + p.width).alias("next"))
-    edge = newest.crossJoin(F.broadcast(last)).select(F.coalesce("next", bucket_start("lo", DAY_MS)).alias("a"), (bucket_start(F.least(F.lit(now_ms - watermark_ms), F.col("hi")), p.width) - p.width).alias("b"))
-    return edge.filter("a <= b").select(F.explode(F.sequence("a", F.least(F.col("b"), F.col("a") + (most - 1) * p.width), F.lit(p.width))).alias("bucket_start"))
+    edge = newest.crossJoin(F.broadcast(last)).select(F.coalesce("next", bucket_start("lo", DAY_MS)).alias("a"),
+        (bucket_start(F.least(F.lit(now_ms - watermark_ms), F.col("hi")), p.width) - p.width).alias("b"))
+    return edge.filter("a <= b").select(F.explode(F.sequence("a", F.least(F.col("b"), F.col("a") + (most - 1) * p.width),
+        F.lit(p.width))).alias("bucket_start"))
 
 
 def late_rows(batch: DataFrame, state: DataFrame, p: RollupParams) -> DataFrame:

@@ -14,7 +14,8 @@ from .keys import agg_key, comparable, has_additionals, key_parts
 
 def sanitize_quotes(df: DataFrame) -> DataFrame:
     vol = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
-    return df.select("snapshot_ts", norm_product_id("product_id").alias("product_id"), positive("buy_price").alias("buy_price"), positive("sell_price").alias("sell_price"), vol("buy_volume"), vol("sell_volume"))
+    return df.select("snapshot_ts", norm_product_id("product_id").alias("product_id"), positive("buy_price").alias("buy_price"),
+        positive("sell_price").alias("sell_price"), vol("buy_volume"), vol("sell_volume"))
 
 
 def aggregate_quotes(df: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def to_snapshot(listings: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def aggregate_listings(df: DataFrame, ending_ms: int = 600_000) -> DataFrame:
     """Per snapshot and key, unclaimed listings only; prices come from listings without additionals; keys without a priced BIN go."""
-    keyed = key_parts(df.filter("NOT claimed")).select("snapshot_ts", agg_key().alias("item_key"), "bin", "starting_bid", "highest_bid", "end_ts", has_additionals().alias("extra_value"))
+    keyed = key_parts(df.filter("NOT claimed")).select("snapshot_ts", agg_key().alias("item_key"), "bin", "starting_bid", "highest_bid",
+        "end_ts", has_additionals().alias("extra_value"))
     plain = ~F.col("extra_value")
     keyed = keyed.withColumns({
         "bin_price": F.when(F.col("bin") & plain & (F.col("starting_bid") > 0), F.col("starting_bid")),
@@ -41,11 +43,15 @@ def aggregate_listings(df: DataFrame, ending_ms: int = 600_000) -> DataFrame:
     })
     by = ["snapshot_ts", "item_key"]
     w = Window.partitionBy(*by)
-    keyed = keyed.withColumns({"rb": F.row_number().over(w.orderBy(F.col("bin_price").asc_nulls_last())), "nb": F.count("bin_price").over(w), "rd": F.row_number().over(w.orderBy(F.col("bid_price").asc_nulls_last())), "nd": F.count("bid_price").over(w)})
+    keyed = keyed.withColumns({"rb": F.row_number().over(w.orderBy(F.col("bin_price").asc_nulls_last())),
+        "nb": F.count("bin_price").over(w), "rd": F.row_number().over(w.orderBy(F.col("bid_price").asc_nulls_last())),
+        "nd": F.count("bid_price").over(w)})
     at = lambda price, r, n, p: F.max(F.when(F.col(r) - 1 == F.floor(F.lit(p) * (F.col(n) - 1)), F.col(price)))
     out = keyed.groupBy(*by).agg(
-        F.min("bin_price").alias("bin_lowest"), round_half_up(F.avg(F.when(F.col("rb") <= 5, F.col("bin_price")))).alias("bin_lowest5_mean"),
-        at("bin_price", "rb", "nb", 0.5).alias("bin_p50"), at("bin_price", "rb", "nb", 0.95).alias("bin_p95"), at("bid_price", "rd", "nd", 0.5).alias("bid_p50"),
+        F.min("bin_price").alias("bin_lowest"),
+            round_half_up(F.avg(F.when(F.col("rb") <= 5, F.col("bin_price")))).alias("bin_lowest5_mean"),
+        at("bin_price", "rb", "nb", 0.5).alias("bin_p50"), at("bin_price", "rb", "nb", 0.95).alias("bin_p95"),
+            at("bid_price", "rd", "nd", 0.5).alias("bid_p50"),
         F.count_if("counts").cast("int").alias("bin_count"), F.count_if("ending").cast("int").alias("ending_soon_count"),
     )
     return out.filter("bin_lowest IS NOT NULL")
@@ -102,7 +108,8 @@ def as_of_join(left: DataFrame, right: DataFrame, on: list[str], ts: str = "snap
     newest = F.max_by("__r", F.when(F.col("__side") == 0, F.col("__t")))
     before = Window.partitionBy(*on).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = both.groupBy(*on, "__b").agg(newest.alias("__last"))
-    carry = carry.select(*[F.col(c).alias(f"__c_{c}") for c in on], F.col("__b").alias("__c_b"), F.last("__last", ignorenulls=True).over(before).alias("__carry"))
+    carry = carry.select(*[F.col(c).alias(f"__c_{c}") for c in on], F.col("__b").alias("__c_b"),
+        F.last("__last", ignorenulls=True).over(before).alias("__carry"))
     w = Window.partitionBy(*on, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     run = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__c_{c}")) for c in on], F.col("__b") == F.col("__c_b"))
@@ -117,7 +124,8 @@ def combined_history(raw: DataFrame, retained: DataFrame, ts: str = "snapshot_ts
 
 def append_new(df: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the target does not have, one per key: what an insert that ignores conflicts adds."""
-    return first_per_key(df, keys, [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]).join(target.select(*keys), keys, "left_anti")
+    return first_per_key(df, keys, [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]).join(target.select(*keys), keys,
+        "left_anti")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -135,7 +143,8 @@ def scan_range(df: DataFrame, from_ms: int, to_ms: int, ts: str = "snapshot_ts")
     return out.filter(F.col("day").between(from_ms // 86_400_000, (to_ms - 1) // 86_400_000)) if "day" in df.columns else out
 
 
-def scan(df: DataFrame, ts: list[int] | None = None, keys: DataFrame | list[str] | None = None, key: str = "product_id", between: tuple[str, str] | None = None) -> DataFrame:
+def scan(df: DataFrame, ts: list[int] | None = None, keys: DataFrame | list[str] | None = None, key: str = "product_id",
+    between: tuple[str, str] | None = None) -> DataFrame:
     """Rows by times and keys; a key table joins by left semi."""
     if ts is not None:
         df = df.filter(F.col("snapshot_ts").isin(ts))
@@ -173,12 +182,16 @@ def parity(left: DataFrame, right: DataFrame, key: str, columns: list[str], tole
 
 def daily_rollup_quotes(df: DataFrame) -> DataFrame:
     spread = F.abs(F.col("buy_price") - F.col("sell_price"))
-    return df.groupBy(epoch_day("snapshot_ts").alias("day"), "product_id").agg(*[F.avg(c).alias(f"avg_{c}") for c in ("buy_price", "sell_price")], F.avg(spread).alias("avg_spread"), *[F.avg(c).alias(f"avg_{c}") for c in ("buy_volume", "sell_volume")], F.count("*").alias("sample_count"), F.min("snapshot_ts").alias("first_ts"), F.max("snapshot_ts").alias("last_ts"))
+    return df.groupBy(epoch_day("snapshot_ts").alias("day"),
+        "product_id").agg(*[F.avg(c).alias(f"avg_{c}") for c in ("buy_price", "sell_price")], F.avg(spread).alias("avg_spread"),
+        *[F.avg(c).alias(f"avg_{c}") for c in ("buy_volume", "sell_volume")], F.count("*").alias("sample_count"),
+        F.min("snapshot_ts").alias("first_ts"), F.max("snapshot_ts").alias("last_ts"))
 
 
 def daily_rollup_listings(df: DataFrame) -> DataFrame:
     measures = ["bin_lowest", "bin_lowest5_mean", "bin_p50", "bin_p95", "bid_p50", "bin_count", "ending_soon_count"]
-    return df.groupBy(epoch_day("snapshot_ts").alias("day"), "item_key").agg(*[F.avg(c).alias(f"avg_{c}") for c in measures], F.count("*").alias("sample_count"), F.min("snapshot_ts").alias("first_ts"), F.max("snapshot_ts").alias("last_ts"))
+    return df.groupBy(epoch_day("snapshot_ts").alias("day"), "item_key").agg(*[F.avg(c).alias(f"avg_{c}") for c in measures],
+        F.count("*").alias("sample_count"), F.min("snapshot_ts").alias("first_ts"), F.max("snapshot_ts").alias("last_ts"))
 
 
 def first_ts_per_day(df: DataFrame) -> DataFrame:
@@ -203,22 +216,26 @@ def pair_feeds(a: DataFrame, b: DataFrame, bucket_ms: int = 3_600_000) -> DataFr
     The newest payloads are carried over from hour to hour on one row an hour, so that no task orders all updates.
     """
     none = F.lit(None).cast("long")
-    u = a.select("ts", F.col("payload").alias("pa"), none.alias("pb")).union(b.select("ts", none, "payload")).withColumn("__b", F.floor(F.col("ts") / bucket_ms))
+    u = a.select("ts", F.col("payload").alias("pa"), none.alias("pb")).union(b.select("ts", none, "payload")).withColumn("__b",
+        F.floor(F.col("ts") / bucket_ms))
     order = [F.col("ts"), F.coalesce("pa", "pb")]
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"c_{c}")
     hours = u.groupBy("__b").agg(last("pa"), last("pb"))
     before = Window.partitionBy().orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = hours.select("__b", *[F.last(c, ignorenulls=True).over(before).alias(c) for c in ("c_pa", "c_pb")])
     run = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = u.join(carry, "__b").withColumns({"payload_a": F.coalesce(F.last("pa", ignorenulls=True).over(run), "c_pa"), "payload_b": F.coalesce(F.last("pb", ignorenulls=True).over(run), "c_pb")})
-    return out.filter("payload_a IS NOT NULL AND payload_b IS NOT NULL").select("ts", F.when(F.col("pa").isNotNull(), "a").otherwise("b").alias("trigger"), "payload_a", "payload_b")
+    out = u.join(carry, "__b").withColumns({"payload_a": F.coalesce(F.last("pa", ignorenulls=True).over(run), "c_pa"),
+        "payload_b": F.coalesce(F.last("pb", ignorenulls=True).over(run), "c_pb")})
+    return out.filter("payload_a IS NOT NULL AND payload_b IS NOT NULL").select("ts",
+        F.when(F.col("pa").isNotNull(), "a").otherwise("b").alias("trigger"), "payload_a", "payload_b")
 
 
 def valid_quote_samples(df: DataFrame) -> DataFrame:
     """Quotes with two positive prices, with log mid, relative spread and log liquidity."""
     buy, sell = positive("buy_price"), positive("sell_price")
     m = (buy + sell) / 2.0
-    s = df.filter(buy.isNotNull() & sell.isNotNull()).withColumns({"mid": m, "spread": F.abs(buy - sell) / m, "liquidity": F.least(F.coalesce("buy_volume", F.lit(0)), F.coalesce("sell_volume", F.lit(0))).cast("double")})
+    s = df.filter(buy.isNotNull() & sell.isNotNull()).withColumns({"mid": m, "spread": F.abs(buy - sell) / m,
+        "liquidity": F.least(F.coalesce("buy_volume", F.lit(0)), F.coalesce("sell_volume", F.lit(0))).cast("double")})
     return s.withColumns({"log_mid": F.log("mid"), "log_liquidity": F.log1p("liquidity")})
 
 

@@ -75,18 +75,39 @@ _QM = "median(mid) AS median_mid, median(buy_price) AS median_buy, median(sell_p
 _LM = "median(p50) AS median_p50, median(anchor) AS median_anchor, median(bin_lowest) AS median_lowest, median(bin_p95) AS median_p95, median(bin_count) AS median_count, median(ending_soon_count) AS median_ending"
 QUOTE_ROLLUP = QUOTE + _roll("mid", "product_id", _QM)
 q("o065_bucket_rollup_quotes", lambda s, d: R.bucket_rollup_quotes(A.quote_ticks(s, d), P), "quote_ticks", QUOTE_ROLLUP)
-q("o066_bucket_rollup_listings", lambda s, d: R.bucket_rollup_listings(A.listing_points(s, d), P), "listing_points", LISTING + _roll("p50", "item_key", _LM))
-q("o067_partial", lambda s, d: R.bucket_rollup_quotes(A.quote_ticks(s, d), P).groupBy("partial").agg(F.count("*").alias("n")), "quote_ticks", QUOTE + " SELECT partial, count(*) AS n FROM (SELECT any_value(valid_count) / 24e0 < 0.35 OR any_value(all_anomalous) AS partial FROM kept GROUP BY bucket_start, product_id) GROUP BY 1")
-q("o081_metric_centers", lambda s, d: R.metric_centers(R.with_bucket(R.valid_quote_samples(A.quote_ticks(s, d)), P), ["bucket_start", "product_id"], R.QUOTE_METRICS), "quote_ticks", QUOTE + " SELECT * FROM centers")
+q("o066_bucket_rollup_listings", lambda s, d: R.bucket_rollup_listings(A.listing_points(s, d), P), "listing_points",
+    LISTING + _roll("p50", "item_key", _LM))
+q("o067_partial", lambda s, d: R.bucket_rollup_quotes(A.quote_ticks(s, d), P).groupBy("partial").agg(F.count("*").alias("n")),
+    "quote_ticks", QUOTE + " SELECT partial, count(*) AS n FROM (SELECT any_value(valid_count) / 24e0 < 0.35 OR any_value(all_anomalous) "
+    "AS partial FROM kept GROUP BY bucket_start, product_id) GROUP BY 1")
+q("o081_metric_centers", lambda s, d: R.metric_centers(R.with_bucket(R.valid_quote_samples(A.quote_ticks(s, d)), P),
+    ["bucket_start", "product_id"], R.QUOTE_METRICS), "quote_ticks", QUOTE + " SELECT * FROM centers")
 _sig = lambda s, d: R.quote_samples(A.quote_ticks(s, d), P)
-q("o082_robust_z", lambda s, d: _sig(s, d)[0].select("snapshot_ts", "product_id", R.robust_z(F.col("log_mid"), F.col("log_mid_med"), F.col("log_mid_mad")).alias("z")).filter("abs(z) < 1000"), "quote_ticks", QUOTE + f" SELECT snapshot_ts, product_id, {_z('log_mid')} AS z FROM signals WHERE abs(z) < 1000")
-q("o083_quote_signals", lambda s, d: _sig(s, d)[0].filter("reason IS NOT NULL").select("snapshot_ts", "product_id", "reason", "score"), "quote_ticks", QUOTE + " SELECT snapshot_ts, product_id, reason, score FROM scored WHERE reason IS NOT NULL")
-q("o084_listing_signals", lambda s, d: R.listing_samples(A.listing_points(s, d), P)[0].filter("reason IS NOT NULL").select("snapshot_ts", "item_key", "reason", "score"), "listing_points", LISTING + " SELECT snapshot_ts, item_key, reason, score FROM scored WHERE reason IS NOT NULL")
-q("o085_merge_islands", lambda s, d: R.merge_islands(A.quote_ticks(s, d), ["product_id"], 3_600_000).select("product_id", "snapshot_ts", F.col("island").cast("long").alias("island")), "quote_ticks", "SELECT product_id, snapshot_ts, (sum(CASE WHEN g <= 3600000 THEN 0 ELSE 1 END) OVER (PARTITION BY product_id ORDER BY snapshot_ts))::BIGINT AS island FROM (SELECT *, snapshot_ts - lag(snapshot_ts) OVER (PARTITION BY product_id ORDER BY snapshot_ts) AS g FROM quote_ticks)")
-q("o086_qualify_groups", lambda s, d: _sig(s, d)[1].select("bucket_start", "product_id", "snapshot_ts", F.col("island").cast("long").alias("island")), "quote_ticks", QUOTE + " SELECT bucket_start, product_id, snapshot_ts, island::BIGINT AS island FROM bad")
-q("o087_quote_segments", lambda s, d: R.quote_segments(A.quote_ticks(s, d), P), "quote_ticks", QUOTE + _segments("product_id", R.QUOTE_METRICS, "median(mid) AS median_mid, median(spread) AS median_spread, median(liquidity) AS median_liquidity"))
-q("o087_listing_segments", lambda s, d: R.listing_segments(A.listing_points(s, d), P), "listing_points", LISTING + _segments("item_key", R.LISTING_METRICS, "median(anchor) AS median_anchor, median(p50) AS median_p50, median(bin_count) AS median_count"))
-q("o088_representative_ts", lambda s, d: R.representative_ts(_sig(s, d)[1], ["bucket_start", "product_id"], R.QUOTE_METRICS), "quote_ticks", QUOTE + _segments("product_id", R.QUOTE_METRICS, "count(*) AS n").replace("SELECT s.*, representative_ts", "SELECT s.bucket_start, s.product_id, representative_ts"))
+q("o082_robust_z", lambda s, d: _sig(s, d)[0].select("snapshot_ts", "product_id",
+    R.robust_z(F.col("log_mid"), F.col("log_mid_med"), F.col("log_mid_mad")).alias("z")).filter("abs(z) < 1000"), "quote_ticks",
+    QUOTE + f" SELECT snapshot_ts, product_id, {_z('log_mid')} AS z FROM signals WHERE abs(z) < 1000")
+q("o083_quote_signals", lambda s, d: _sig(s, d)[0].filter("reason IS NOT NULL").select("snapshot_ts", "product_id", "reason", "score"),
+    "quote_ticks", QUOTE + " SELECT snapshot_ts, product_id, reason, score FROM scored WHERE reason IS NOT NULL")
+q("o084_listing_signals",
+    lambda s, d: R.listing_samples(A.listing_points(s, d), P)[0].filter("reason IS NOT NULL").select("snapshot_ts", "item_key", "reason",
+    "score"), "listing_points", LISTING + " SELECT snapshot_ts, item_key, reason, score FROM scored WHERE reason IS NOT NULL")
+q("o085_merge_islands", lambda s, d: R.merge_islands(A.quote_ticks(s, d), ["product_id"], 3_600_000).select("product_id", "snapshot_ts",
+    F.col("island").cast("long").alias("island")), "quote_ticks",
+    "SELECT product_id, snapshot_ts, (sum(CASE WHEN g <= 3600000 THEN 0 ELSE 1 END) OVER (PARTITION BY product_id ORDER BY "
+    "snapshot_ts))::BIGINT AS island FROM (SELECT *, snapshot_ts - lag(snapshot_ts) OVER (PARTITION BY product_id ORDER BY snapshot_ts) "
+        "AS g FROM quote_ticks)")
+q("o086_qualify_groups", lambda s, d: _sig(s, d)[1].select("bucket_start", "product_id", "snapshot_ts",
+    F.col("island").cast("long").alias("island")), "quote_ticks",
+    QUOTE + " SELECT bucket_start, product_id, snapshot_ts, island::BIGINT AS island FROM bad")
+q("o087_quote_segments", lambda s, d: R.quote_segments(A.quote_ticks(s, d), P), "quote_ticks",
+    QUOTE + _segments("product_id", R.QUOTE_METRICS,
+    "median(mid) AS median_mid, median(spread) AS median_spread, median(liquidity) AS median_liquidity"))
+q("o087_listing_segments", lambda s, d: R.listing_segments(A.listing_points(s, d), P), "listing_points",
+    LISTING + _segments("item_key", R.LISTING_METRICS,
+    "median(anchor) AS median_anchor, median(p50) AS median_p50, median(bin_count) AS median_count"))
+q("o088_representative_ts", lambda s, d: R.representative_ts(_sig(s, d)[1], ["bucket_start", "product_id"], R.QUOTE_METRICS), "quote_ticks",
+    QUOTE + _segments("product_id", R.QUOTE_METRICS, "count(*) AS n").replace("SELECT s.*, representative_ts",
+    "SELECT s.bucket_start, s.product_id, representative_ts"))
 
 
 def _kept(s, d):
@@ -113,32 +134,56 @@ _MIC = f"""WITH m AS (SELECT *, (buy_price + sell_price) / 2 AS mid FROM quote_g
 q("o090_micro_volatility", lambda s, d: X.micro_volatility(A.quote_grid(s, d), T, W), "quote_grid", _MIC + " SELECT * FROM mv")
 q("o091_micro_return", lambda s, d: X.micro_return(A.quote_grid(s, d), T, W), "quote_grid", _MIC + " SELECT * FROM mr")
 q("o092_daily_series", lambda s, d: X.daily_series(A.quote_grid(s, d), T), "quote_grid", _MIC + " SELECT * FROM ds")
-q("o093_macro_volatility", lambda s, d: X.macro_volatility(X.daily_series(A.quote_grid(s, d), T)), "quote_grid", _MIC + " SELECT * FROM mav")
+q("o093_macro_volatility", lambda s, d: X.macro_volatility(X.daily_series(A.quote_grid(s, d), T)), "quote_grid",
+    _MIC + " SELECT * FROM mav")
 q("o094_macro_return", lambda s, d: X.macro_return(X.daily_series(A.quote_grid(s, d), T), T), "quote_grid", _MIC + " SELECT * FROM mar")
 _FEAT = """ SELECT product_id, micro_volatility, micro_return, CASE WHEN coalesce(micro_points, 0) >= 10 AND micro_volatility IS NOT NULL AND micro_return IS NOT NULL THEN 'HIGH' WHEN coalesce(micro_points, 0) >= 6 AND coalesce(micro_volatility, micro_return) IS NOT NULL THEN 'MED' ELSE 'LOW' END AS micro_confidence,
   macro_volatility, macro_return, CASE WHEN coalesce(macro_returns, 0) >= 7 AND coalesce(macro_volatility, macro_return) IS NOT NULL THEN 'HIGH' WHEN coalesce(macro_returns, 0) >= 3 AND coalesce(macro_volatility, macro_return) IS NOT NULL THEN 'MED' ELSE 'LOW' END AS macro_confidence, illiquid
   FROM nw LEFT JOIN mv USING (product_id) LEFT JOIN mr USING (product_id) LEFT JOIN mav USING (product_id) LEFT JOIN mar USING (product_id) LEFT JOIN il USING (product_id)"""
-q("o095_confidence", lambda s, d: X.timescale_features(A.quote_grid(s, d), T, W).groupBy("micro_confidence", "macro_confidence").agg(F.count("*").alias("n")), "quote_grid", _MIC + ", f AS (" + _FEAT + ") SELECT micro_confidence, macro_confidence, count(*) AS n FROM f GROUP BY ALL")
-q("o096_structurally_illiquid", lambda s, d: X.structurally_illiquid(X.latest(A.quote_grid(s, d).filter(F.col("snapshot_ts") <= T)), X.daily_series(A.quote_grid(s, d), T)), "quote_grid", _MIC + f" SELECT il.* FROM il WHERE product_id IN (SELECT product_id FROM quote_grid WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM quote_grid WHERE snapshot_ts <= {T}))")
+q("o095_confidence", lambda s, d: X.timescale_features(A.quote_grid(s, d), T, W).groupBy("micro_confidence",
+    "macro_confidence").agg(F.count("*").alias("n")), "quote_grid",
+    _MIC + ", f AS (" + _FEAT + ") SELECT micro_confidence, macro_confidence, count(*) AS n FROM f GROUP BY ALL")
+q("o096_structurally_illiquid",
+    lambda s, d: X.structurally_illiquid(X.latest(A.quote_grid(s, d).filter(F.col("snapshot_ts") <= T)),
+    X.daily_series(A.quote_grid(s, d), T)), "quote_grid",
+    _MIC + f" SELECT il.* FROM il WHERE product_id IN (SELECT product_id FROM quote_grid WHERE snapshot_ts = (SELECT max(snapshot_ts) "
+    f"FROM quote_grid WHERE snapshot_ts <= {T}))")
 q("o097_timescale_features", lambda s, d: X.timescale_features(A.quote_grid(s, d), T, W), "quote_grid", _MIC + _FEAT)
 _HIST = f"""WITH h AS (SELECT product_id, (snapshot_ts // 21600000) * 21600000 AS bucket, floor(arg_max(buy_price, snapshot_ts) + 0.5)::BIGINT AS buy_price, floor(arg_max(sell_price, snapshot_ts) + 0.5)::BIGINT AS sell_price, arg_max(buy_volume + sell_volume, snapshot_ts) AS volume FROM quote_ticks
   WHERE snapshot_ts >= {T - 7 * DAY_MS} AND snapshot_ts <= {T} GROUP BY ALL)"""
 q("o098_price_history", lambda s, d: X.price_history(A.quote_ticks(s, d), T), "quote_ticks", _HIST + " SELECT * FROM h")
-q("o099_score_history", lambda s, d: X.score_history(X.price_history(A.quote_ticks(s, d), T)), "quote_ticks", _HIST + """, v AS (SELECT *, coalesce(least(100, greatest(0, volume * 100e0 / nullif(max(volume) OVER (PARTITION BY product_id), 0))), 0) AS liq, lag(sell_price) OVER (PARTITION BY product_id ORDER BY bucket) AS b,
+q("o099_score_history", lambda s, d: X.score_history(X.price_history(A.quote_ticks(s, d), T)), "quote_ticks",
+    _HIST + """, v AS (SELECT *, coalesce(least(100, greatest(0, volume * 100e0 / nullif(max(volume) OVER (PARTITION BY product_id), 0))), 0) AS liq, lag(sell_price) OVER (PARTITION BY product_id ORDER BY bucket) AS b,
   CASE WHEN buy_price > 0 AND sell_price > 0 THEN abs(buy_price - sell_price) / ((buy_price + sell_price) / 2e0) ELSE 1e0 END * 100 AS sp FROM h), w AS (SELECT *, CASE WHEN b > 0 THEN abs(sell_price - b) * 100e0 / b ELSE sp END AS vol FROM v)
   SELECT product_id, bucket, floor(liq * 100 + 0.5) / 100 AS liquidity, floor(vol * 100 + 0.5) / 100 AS volatility, floor(least(100, greatest(0, 2 * sp + 3 * vol)) * 100 + 0.5) / 100 AS risk FROM w""")
 _W7 = f"WHERE snapshot_ts >= {T - 7 * DAY_MS} AND snapshot_ts <= {T}"
-q("o100_quick_stats", lambda s, d: X.quick_stats(A.quote_ticks(s, d), T), "quote_ticks", f"""WITH g AS (SELECT product_id, arg_max(buy_price, snapshot_ts) AS buy_price, arg_max(sell_price, snapshot_ts) AS sell_price, arg_min(buy_price, snapshot_ts) FILTER (snapshot_ts >= {T - DAY_MS}) AS f, arg_max(buy_price, snapshot_ts) FILTER (snapshot_ts >= {T - DAY_MS}) AS l,
+q("o100_quick_stats", lambda s, d: X.quick_stats(A.quote_ticks(s, d), T), "quote_ticks",
+    f"""WITH g AS (SELECT product_id, arg_max(buy_price, snapshot_ts) AS buy_price, arg_max(sell_price, snapshot_ts) AS sell_price, arg_min(buy_price, snapshot_ts) FILTER (snapshot_ts >= {T - DAY_MS}) AS f, arg_max(buy_price, snapshot_ts) FILTER (snapshot_ts >= {T - DAY_MS}) AS l,
   avg(buy_volume + sell_volume) AS v, max(buy_price) AS high, min(sell_price) AS low FROM quote_ticks {_W7} GROUP BY 1) SELECT product_id, buy_price, sell_price, floor((l - f) * 100e0 / f * 100 + 0.5) / 100 AS change_24h, buy_price - sell_price AS spread, floor(v + 0.5)::BIGINT AS avg_volume, high, low FROM g""")
-q("o101_market_overview", lambda s, d: X.market_overview(A.quote_ticks(s, d), T), "quote_ticks", f"""WITH g AS (SELECT product_id, arg_max(buy_price, snapshot_ts) AS buy, arg_max(sell_price, snapshot_ts) AS sell, avg(buy_price) AS ab, avg(sell_price) AS asl, max(buy_price) AS high_buy, min(sell_price) AS low_sell, avg(buy_volume + sell_volume) AS avg_volume FROM quote_ticks {_W7} GROUP BY 1)
+q("o101_market_overview", lambda s, d: X.market_overview(A.quote_ticks(s, d), T), "quote_ticks",
+    f"""WITH g AS (SELECT product_id, arg_max(buy_price, snapshot_ts) AS buy, arg_max(sell_price, snapshot_ts) AS sell, avg(buy_price) AS ab, avg(sell_price) AS asl, max(buy_price) AS high_buy, min(sell_price) AS low_sell, avg(buy_volume + sell_volume) AS avg_volume FROM quote_ticks {_W7} GROUP BY 1)
   SELECT product_id, buy, sell, floor((buy - ab) * 100e0 / ab * 100 + 0.5) / 100 AS buy_delta, floor((sell - asl) * 100e0 / asl * 100 + 0.5) / 100 AS sell_delta, high_buy, low_sell, avg_volume FROM g""")
-q("o044_first_and_last", lambda s, d: X.first_and_last(A.quote_grid(s, d), T), "quote_grid", f"""WITH w AS (SELECT *, buy_volume + sell_volume AS volume FROM quote_grid WHERE snapshot_ts >= {T - DAY_MS} AND snapshot_ts <= {T}), e AS (SELECT min(snapshot_ts) AS lo, max(snapshot_ts) AS hi FROM w)
+q("o044_first_and_last", lambda s, d: X.first_and_last(A.quote_grid(s, d), T), "quote_grid",
+    f"""WITH w AS (SELECT *, buy_volume + sell_volume AS volume FROM quote_grid WHERE snapshot_ts >= {T - DAY_MS} AND snapshot_ts <= {T}), e AS (SELECT min(snapshot_ts) AS lo, max(snapshot_ts) AS hi FROM w)
   SELECT a.product_id, a.buy_price AS buy_price_lo, b.buy_price AS buy_price_hi, a.volume AS volume_lo, b.volume AS volume_hi FROM w a JOIN w b USING (product_id), e WHERE a.snapshot_ts = lo AND b.snapshot_ts = hi AND lo < hi""")
-q("o102_trending", lambda s, d: X.trending(A.quote_grid(s, d), T, 10), "quote_grid", f"""WITH w AS (SELECT *, buy_volume + sell_volume AS volume FROM quote_grid WHERE snapshot_ts >= {T - DAY_MS} AND snapshot_ts <= {T}), e AS (SELECT min(snapshot_ts) AS lo, max(snapshot_ts) AS hi FROM w),
+q("o102_trending", lambda s, d: X.trending(A.quote_grid(s, d), T, 10), "quote_grid",
+    f"""WITH w AS (SELECT *, buy_volume + sell_volume AS volume FROM quote_grid WHERE snapshot_ts >= {T - DAY_MS} AND snapshot_ts <= {T}), e AS (SELECT min(snapshot_ts) AS lo, max(snapshot_ts) AS hi FROM w),
   j AS (SELECT a.product_id, a.buy_price AS p0, b.buy_price AS p1, a.volume AS v0, b.volume AS v1 FROM w a JOIN w b USING (product_id), e WHERE a.snapshot_ts = lo AND b.snapshot_ts = hi AND lo < hi AND a.buy_price > 0)
   SELECT product_id, floor((p1 - p0) * 100e0 / p0 * 100 + 0.5) / 100 AS price_change, floor((v1 - v0) * 100e0 / nullif(v0, 0) * 100 + 0.5) / 100 AS volume_change FROM j ORDER BY abs(price_change) DESC, product_id LIMIT 10""")
 _TREND = "SELECT avg_spread, CASE WHEN n = 0 THEN 'UNKNOWN' WHEN avg_spread >= 0.04 THEN 'BULLISH' WHEN avg_spread <= 0.01 THEN 'BEARISH' ELSE 'SIDEWAYS' END AS trend FROM (SELECT coalesce(avg((buy_price - sell_price) / buy_price), 0) AS avg_spread, count(*) AS n FROM quote_grid WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM quote_grid))"
 q("o072_market_trend", lambda s, d: X.market_trend(A.quote_grid(s, d)), "quote_grid", _TREND)
-q("o103_dashboard_overview", lambda s, d: X.dashboard_overview(A.items(s, d), A.quote_grid(s, d), A.opportunities(s, d)), "quote_grid items opportunities", f"SELECT (SELECT count(*) FROM items) AS item_count, (SELECT count(DISTINCT snapshot_ts) FROM quote_grid) AS snapshot_count, arg_max(stable_id, {{p: coalesce(expected_profit, -9e18), s: stable_id}}) AS top_opportunity, max(expected_profit) AS top_profit, count(*) AS opportunity_count, (SELECT trend FROM ({_TREND})) AS trend FROM opportunities")
-q("o153_due_buckets", lambda s, d: R.due_buckets(R.bucket_state(R.bucket_rollup_quotes(A.quote_ticks(s, d), P), A.quote_ticks(s, d).filter(F.col("snapshot_ts") < T), "product_id", P), A.quote_ticks(s, d), 1_705_700_000_000, P), "quote_ticks", f"SELECT unnest(generate_series({T}, 1705700000000 // {DAY_MS} * {DAY_MS} - {DAY_MS}, {DAY_MS})) AS bucket_start")
-q("o154_bucket_state", lambda s, d: R.bucket_state(R.bucket_rollup_quotes(A.quote_ticks(s, d), P), A.quote_ticks(s, d), "product_id", P), "quote_ticks", f"SELECT t.*, coalesce(r.n, 0) AS rollup_rows FROM (SELECT snapshot_ts // {DAY_MS} * {DAY_MS} AS bucket_start, '1d' AS granularity, count(*) AS raw_rows, true AS finalized FROM quote_ticks GROUP BY 1) t LEFT JOIN (SELECT b, count(*) AS n FROM (SELECT snapshot_ts // {DAY_MS} * {DAY_MS} AS b, product_id FROM quote_ticks GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1) r ON r.b = t.bucket_start")
+q("o103_dashboard_overview", lambda s, d: X.dashboard_overview(A.items(s, d), A.quote_grid(s, d), A.opportunities(s, d)),
+    "quote_grid items opportunities",
+    f"SELECT (SELECT count(*) FROM items) AS item_count, (SELECT count(DISTINCT snapshot_ts) FROM quote_grid) AS snapshot_count, "
+    f"arg_max(stable_id, {{p: coalesce(expected_profit, -9e18), s: "
+        f"stable_id}}) AS top_opportunity, max(expected_profit) AS top_profit, count(*) AS opportunity_count, (SELECT "
+            f"trend FROM ({_TREND})) AS trend FROM opportunities")
+q("o153_due_buckets", lambda s, d: R.due_buckets(R.bucket_state(R.bucket_rollup_quotes(A.quote_ticks(s, d), P),
+    A.quote_ticks(s, d).filter(F.col("snapshot_ts") < T), "product_id", P), A.quote_ticks(s, d), 1_705_700_000_000, P), "quote_ticks",
+    f"SELECT unnest(generate_series({T}, 1705700000000 // {DAY_MS} * {DAY_MS} - {DAY_MS}, {DAY_MS})) AS bucket_start")
+q("o154_bucket_state", lambda s, d: R.bucket_state(R.bucket_rollup_quotes(A.quote_ticks(s, d), P), A.quote_ticks(s, d), "product_id", P),
+    "quote_ticks", f"SELECT t.*, coalesce(r.n, 0) AS rollup_rows FROM (SELECT "
+    f"snapshot_ts // {DAY_MS} * {DAY_MS} AS bucket_start, '1d' AS granularity, count(*) AS raw_rows, true AS finalized FROM quote_ticks "
+        f"GROUP BY 1) t LEFT JOIN (SELECT b, count(*) AS n FROM (SELECT "
+            f"snapshot_ts // {DAY_MS} * {DAY_MS} AS b, product_id FROM quote_ticks GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1) r ON "
+                f"r.b = t.bucket_start")

@@ -26,7 +26,8 @@ def landed(s: SparkSession, df: DataFrame, steps: int = 4) -> DataFrame:
     else:
         width = (hi - lo) // steps + 1
         for k in range(steps):
-            df.filter((F.col(order) >= lo + k * width) & (F.col(order) < lo + (k + 1) * width)).repartition(each).write.mode("append").parquet(to)
+            df.filter((F.col(order) >= lo + k * width) & (F.col(order) < lo + (k + 1) * width)).repartition(each).write.mode(
+                "append").parquet(to)
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(to)
 
 
@@ -45,7 +46,8 @@ def o152(s, d):
 
 
 def o157(s, d):
-    return collected(s, ST.micro_features(landed(s, _ticks(s, d)), "6 hours", "3 hours")).drop("batch_id").withColumn("micro_volatility", F.round("micro_volatility", 9))
+    return collected(s, ST.micro_features(landed(s, _ticks(s, d)), "6 hours", "3 hours")).drop("batch_id").withColumn("micro_volatility",
+        F.round("micro_volatility", 9))
 
 
 def o157_market(s, d):
@@ -57,7 +59,8 @@ def o157_market(s, d):
 def o149(s, d):
     """Two users, one of each feed, are a market, so that markets grow with the data."""
     u = A.table(s, d, "events").select(
-        F.concat(F.lit("m"), F.floor(F.col("user_id") / 2)).alias("market"), F.when(F.col("user_id") % 2 == 0, "quotes").otherwise("listings").alias("feed"),
+        F.concat(F.lit("m"), F.floor(F.col("user_id") / 2)).alias("market"),
+            F.when(F.col("user_id") % 2 == 0, "quotes").otherwise("listings").alias("feed"),
         A.ms("ts").alias("ts"), F.col("event_id").alias("payload"),
     )
     return collected(s, ST.pair_feeds(landed(s, u))).drop("batch_id")
@@ -79,26 +82,36 @@ def o158(s, d):
     to = shared_folder(s)
     g = A.quote_grid(s, d).select("snapshot_ts", "product_id", "buy_price")
     for _ in range(2):
-        landed(s, g).writeStream.option("checkpointLocation", shared_folder(s)).foreachBatch(ST.regenerate(s, to)).trigger(availableNow=True).start().awaitTermination()
+        landed(s, g).writeStream.option("checkpointLocation",
+            shared_folder(s)).foreachBatch(ST.regenerate(s, to)).trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(to).select(F.col("snapshot_ts").cast("long").alias("snapshot_ts"), "product_id", "buy_price")
 
 
-QUERIES = {"o149_pair_feeds_stream": o149, "o150_latest_only": o150, "o152_closed_buckets": o152, "o156_trend_segments_stream": o156, "o157_micro_features_stream": o157, "o157_market_features_stream": o157_market, "o158_regenerate": o158}
+QUERIES = {"o149_pair_feeds_stream": o149, "o150_latest_only": o150, "o152_closed_buckets": o152, "o156_trend_segments_stream": o156,
+    "o157_micro_features_stream": o157, "o157_market_features_stream": o157_market, "o158_regenerate": o158}
 _MAX = "(SELECT max(snapshot_ts) FROM quote_ticks) - 30000"
-ORACLES["o152_closed_buckets"] = sql("quote_ticks", f"SELECT snapshot_ts // {DAY_MS} * {DAY_MS} AS bucket_start, product_id, count(*) AS n, avg(buy_price) AS avg_buy, min(buy_price) AS min_buy, max(buy_price) AS max_buy FROM quote_ticks GROUP BY ALL").replace("SELECT snapshot_ts //", "SELECT * FROM (SELECT snapshot_ts //") + f") WHERE bucket_start + {DAY_MS} <= {_MAX}"
-ORACLES["o149_pair_feeds_stream"] = sql("", """WITH u AS (SELECT 'm' || (user_id // 2) AS market, epoch_us(ts) // 1000 AS ts, CASE WHEN user_id % 2 = 0 THEN event_id END AS a, CASE WHEN user_id % 2 <> 0 THEN event_id END AS b FROM events),
+ORACLES["o152_closed_buckets"] = sql("quote_ticks",
+    f"SELECT snapshot_ts // {DAY_MS} * {DAY_MS} AS bucket_start, product_id, count(*) AS n, avg(buy_price) AS avg_buy, min(buy_price) AS "
+    f"min_buy, max(buy_price) AS max_buy FROM quote_ticks GROUP BY ALL").replace("SELECT snapshot_ts //",
+        "SELECT * FROM (SELECT snapshot_ts //") + f") WHERE bucket_start + {DAY_MS} <= {_MAX}"
+ORACLES["o149_pair_feeds_stream"] = sql("",
+    """WITH u AS (SELECT 'm' || (user_id // 2) AS market, epoch_us(ts) // 1000 AS ts, CASE WHEN user_id % 2 = 0 THEN event_id END AS a, CASE WHEN user_id % 2 <> 0 THEN event_id END AS b FROM events),
   w AS (SELECT *, last_value(a IGNORE NULLS) OVER o AS payload_a, last_value(b IGNORE NULLS) OVER o AS payload_b FROM u WINDOW o AS (PARTITION BY market ORDER BY ts, coalesce(a, b) ROWS UNBOUNDED PRECEDING))
   SELECT market, ts, CASE WHEN a IS NOT NULL THEN 'a' ELSE 'b' END AS trigger, payload_a, payload_b FROM w WHERE payload_a IS NOT NULL AND payload_b IS NOT NULL""")
-ORACLES["o156_trend_segments_stream"] = sql("opportunity_history", _H.replace("WITH RECURSIVE", "WITH", 1)).replace("WITH ", "WITH RECURSIVE ", 1)
-ORACLES["o157_micro_features_stream"] = sql("quote_ticks", f"""WITH m AS (SELECT snapshot_ts, product_id, (buy_price + sell_price) / 2 AS m FROM quote_ticks WHERE buy_price > 0 AND sell_price > 0),
+ORACLES["o156_trend_segments_stream"] = sql("opportunity_history", _H.replace("WITH RECURSIVE", "WITH", 1)).replace("WITH ",
+    "WITH RECURSIVE ", 1)
+ORACLES["o157_micro_features_stream"] = sql("quote_ticks",
+    f"""WITH m AS (SELECT snapshot_ts, product_id, (buy_price + sell_price) / 2 AS m FROM quote_ticks WHERE buy_price > 0 AND sell_price > 0),
   w AS (SELECT *, snapshot_ts // 10800000 * 10800000 - o * 10800000 AS window_start FROM m, (SELECT unnest([0, 1]) AS o)),
   r AS (SELECT *, least(0.2, greatest(-0.2, ln(m / lag(m) OVER p))) AS r, lag(m) OVER p AS prev FROM w WINDOW p AS (PARTITION BY window_start, product_id ORDER BY snapshot_ts))
   SELECT window_start, product_id, count(*)::INT AS points, round(stddev_pop(r) FILTER (prev IS NOT NULL), 9) AS micro_volatility FROM r GROUP BY ALL HAVING count(*) > 2 AND window_start + 21600000 <= {_MAX}""")
-ORACLES["o157_market_features_stream"] = sql("quote_ticks", f"""WITH m AS (SELECT snapshot_ts, (buy_price + sell_price) / 2 AS m FROM quote_ticks WHERE buy_price > 0 AND sell_price > 0),
+ORACLES["o157_market_features_stream"] = sql("quote_ticks",
+    f"""WITH m AS (SELECT snapshot_ts, (buy_price + sell_price) / 2 AS m FROM quote_ticks WHERE buy_price > 0 AND sell_price > 0),
   w AS (SELECT *, snapshot_ts // 5000 * 5000 - o * 5000 AS window_start FROM m, (SELECT unnest(range(12)) AS o)),
   r AS (SELECT *, least(0.2, greatest(-0.2, ln(m / lag(m) OVER p))) AS r, lag(m) OVER p AS prev FROM w WINDOW p AS (PARTITION BY window_start ORDER BY snapshot_ts, m))
   SELECT window_start, 'ALL' AS product_id, count(*)::INT AS points, round(stddev_pop(r) FILTER (prev IS NOT NULL), 9) AS micro_volatility FROM r GROUP BY ALL HAVING count(*) > 2 AND window_start + 60000 <= {_MAX}""")
 ORACLES["o158_regenerate"] = sql("quote_grid", "SELECT snapshot_ts, product_id, buy_price FROM quote_grid")
-ORACLES["o150_latest_only"] = sql("quote_grid", """WITH e AS (SELECT min(snapshot_ts) AS lo, (max(snapshot_ts) - min(snapshot_ts)) // 4 + 1 AS width FROM quote_grid),
+ORACLES["o150_latest_only"] = sql("quote_grid",
+    """WITH e AS (SELECT min(snapshot_ts) AS lo, (max(snapshot_ts) - min(snapshot_ts)) // 4 + 1 AS width FROM quote_grid),
   t AS (SELECT snapshot_ts, (snapshot_ts - lo) // width AS step FROM quote_grid, e)
   SELECT snapshot_ts, count(*) AS n FROM t WHERE (step, snapshot_ts) IN (SELECT (step, max(snapshot_ts)) FROM t GROUP BY step) GROUP BY 1""")

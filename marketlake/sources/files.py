@@ -30,16 +30,24 @@ def listings_of_pages(pages: DataFrame) -> DataFrame:
     """Rows of updates all of whose pages are there; an update with a page missing has none, so that it never looks like an empty market."""
     pages = pages.filter("success")
     whole = pages.groupBy("lastUpdated").agg((F.countDistinct("page") == F.max("totalPages")).alias("ok")).filter("ok")
-    e = pages.join(whole, "lastUpdated", "left_semi").dropDuplicates(["lastUpdated", "page"]).select(F.col("lastUpdated").alias("snapshot_ts"), F.explode("auctions").alias("a"))
-    return e.select("snapshot_ts", F.col("a.uuid").alias("auction_uuid"), "a.item_name", "a.category", "a.tier", "a.starting_bid", F.col("a.highest_bid_amount").alias("highest_bid"), F.col("a.start").alias("start_ts"), F.col("a.end").alias("end_ts"), "a.claimed", "a.bin", "a.item_lore", "a.extra")
+    e = pages.join(whole, "lastUpdated",
+        "left_semi").dropDuplicates(["lastUpdated", "page"]).select(F.col("lastUpdated").alias("snapshot_ts"),
+        F.explode("auctions").alias("a"))
+    return e.select("snapshot_ts", F.col("a.uuid").alias("auction_uuid"), "a.item_name", "a.category", "a.tier", "a.starting_bid",
+        F.col("a.highest_bid_amount").alias("highest_bid"), F.col("a.start").alias("start_ts"), F.col("a.end").alias("end_ts"), "a.claimed",
+        "a.bin", "a.item_lore", "a.extra")
 
 
 def parse_quote_payload(df: DataFrame, json: str = "value") -> DataFrame:
     """Rows of a product map; a blank product id falls back to the map's key, products without quick status go."""
     j = df.select(F.from_json(json, f"struct<success: boolean, lastUpdated: bigint, products: map<string, {PRODUCT}>>").alias("p"))
-    e = j.filter("p.success").select(F.col("p.lastUpdated").alias("snapshot_ts"), F.explode("p.products").alias("k", "v")).filter("v.quick_status IS NOT NULL")
+    e = j.filter("p.success").select(F.col("p.lastUpdated").alias("snapshot_ts"),
+        F.explode("p.products").alias("k", "v")).filter("v.quick_status IS NOT NULL")
     qs = lambda c: F.col(f"v.quick_status.{c}")
-    return e.select("snapshot_ts", F.coalesce(F.nullif(F.trim(qs("productId")), F.lit("")), "k").alias("product_id"), qs("buyPrice").alias("buy_price"), qs("sellPrice").alias("sell_price"), qs("buyVolume").alias("buy_volume"), qs("sellVolume").alias("sell_volume"), qs("buyMovingWeek").alias("buy_moving_week"), qs("sellMovingWeek").alias("sell_moving_week"), F.col("v.buy_summary").alias("buy_summary"), F.col("v.sell_summary").alias("sell_summary"))
+    return e.select("snapshot_ts", F.coalesce(F.nullif(F.trim(qs("productId")), F.lit("")), "k").alias("product_id"),
+        qs("buyPrice").alias("buy_price"), qs("sellPrice").alias("sell_price"), qs("buyVolume").alias("buy_volume"),
+        qs("sellVolume").alias("sell_volume"), qs("buyMovingWeek").alias("buy_moving_week"), qs("sellMovingWeek").alias("sell_moving_week"),
+        F.col("v.buy_summary").alias("buy_summary"), F.col("v.sell_summary").alias("sell_summary"))
 
 
 def read_quote_payload(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +59,8 @@ def order_book(payload: DataFrame, product_id: str, depth: int = 10) -> DataFram
     p = payload.filter(F.col("product_id") == product_id)
     out = None
     for side, c in (("sell", "buy_summary"), ("buy", "sell_summary")):
-        e = p.select("snapshot_ts", F.lit(side).alias("side"), F.posexplode(F.slice(c, 1, depth)).alias("level", "o")).select("snapshot_ts", "side", "level", F.col("o.pricePerUnit").alias("price"), F.col("o.amount").alias("amount"), F.col("o.orders").alias("orders"))
+        e = p.select("snapshot_ts", F.lit(side).alias("side"), F.posexplode(F.slice(c, 1, depth)).alias("level", "o")).select("snapshot_ts",
+            "side", "level", F.col("o.pricePerUnit").alias("price"), F.col("o.amount").alias("amount"), F.col("o.orders").alias("orders"))
         out = e if out is None else out.unionByName(e)
     return out
 
@@ -87,13 +96,15 @@ def write_snapshots(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def overwrite_buckets(df: DataFrame, path: str) -> None:
     """Replaces the days that df has rows of, and no others: a rollup can be run again."""
-    df.withColumn("day", epoch_day("bucket_start")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity", "day").parquet(path)
+    df.withColumn("day", epoch_day("bucket_start")).write.mode("overwrite").option("partitionOverwriteMode",
+        "dynamic").partitionBy("granularity", "day").parquet(path)
 
 
 def parse_snapshot_json(df: DataFrame, json: str = "products_json") -> DataFrame:
     """Raw snapshot rows with their products as JSON text, as rows."""
     j = df.select("snapshot_ts", F.from_json(json, "map<string, struct<buyPrice: double, sellPrice: double>>").alias("m"))
-    return j.select("snapshot_ts", F.explode_outer("m").alias("product_id", "v")).select("snapshot_ts", "product_id", F.col("v.buyPrice").alias("buy_price"), F.col("v.sellPrice").alias("sell_price"))
+    return j.select("snapshot_ts", F.explode_outer("m").alias("product_id", "v")).select("snapshot_ts", "product_id",
+        F.col("v.buyPrice").alias("buy_price"), F.col("v.sellPrice").alias("sell_price"))
 
 
 def read_history(lines: DataFrame, schema: str, limit: int, ts: str = "ts") -> DataFrame:
@@ -104,7 +115,8 @@ def read_history(lines: DataFrame, schema: str, limit: int, ts: str = "ts") -> D
 
 def partition_inventory(df: DataFrame) -> DataFrame:
     """(day, rows, files) of a table partitioned by day."""
-    return df.select("day", F.input_file_name().alias("f")).groupBy("day").agg(F.count("*").alias("rows"), F.countDistinct("f").alias("files"))
+    return df.select("day", F.input_file_name().alias("f")).groupBy("day").agg(F.count("*").alias("rows"),
+        F.countDistinct("f").alias("files"))
 
 
 # catalogue: grid cells of a recipe
@@ -114,20 +126,23 @@ CELLS = [f"{r}{c}" for r in "ABC" for c in "123"]
 def _stack(text: Column) -> Column:
     """`ID:n` as (item, amount), amount 1 by default."""
     parts = F.split(text, ":")
-    return F.struct(F.nullif(F.trim(parts[0]), F.lit("")).alias("item_id"), F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), F.lit(1)).alias("amount"))
+    return F.struct(F.nullif(F.trim(parts[0]), F.lit("")).alias("item_id"),
+        F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), F.lit(1)).alias("amount"))
 
 
 def catalog_items(catalog: DataFrame) -> DataFrame:
     item = F.upper(F.trim(F.coalesce(F.nullif(F.trim("id"), F.lit("")), "internalname")))
     links = F.filter(F.coalesce("info", F.array().cast("array<string>")), lambda x: x.startswith("http://") | x.startswith("https://"))
-    return catalog.select(item.alias("item_id"), F.coalesce("displayname", item).alias("display_name"), F.col("itemid").alias("minecraft_id"), F.array_join("lore", "\n").alias("lore"), links.alias("info_links")).filter("item_id <> ''")
+    return catalog.select(item.alias("item_id"), F.coalesce("displayname", item).alias("display_name"),
+        F.col("itemid").alias("minecraft_id"), F.array_join("lore", "\n").alias("lore"), links.alias("info_links")).filter("item_id <> ''")
 
 
 def useful_items(catalog: DataFrame) -> DataFrame:
     """Items with a craft, forge or upgrade recipe, pets and shards."""
     item = F.upper(F.trim(F.coalesce("id", "internalname")))
     kind = lambda r: F.lower(F.coalesce(r["type"], F.lit("")))
-    made = F.coalesce(F.exists("recipes", lambda r: kind(r).isin("forge", "crafting", "craft", "katgrade") | r["slots"].isNotNull()), F.lit(False))
+    made = F.coalesce(F.exists("recipes", lambda r: kind(r).isin("forge", "crafting", "craft", "katgrade") | r["slots"].isNotNull()),
+        F.lit(False))
     grid = F.coalesce(F.size(F.array_intersect(F.map_keys("recipe"), F.array(*map(F.lit, CELLS)))) > 0, F.lit(False))
     return catalog.filter(made | grid | item.rlike(";[0-4]$") | F.col("petInfo").isNotNull() | F.contains(item, F.lit("SHARD")))
 
@@ -135,7 +150,8 @@ def useful_items(catalog: DataFrame) -> DataFrame:
 def catalog_recipes(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(recipes, ingredients): the grid and listed recipes of each item; cells of an item are summed."""
     item = F.upper(F.trim(F.coalesce("id", "internalname")))
-    grid = catalog.filter("recipe IS NOT NULL").select(item.alias("item"), F.lit(-1).alias("pos"), F.map_concat("recipe", F.create_map(F.lit("type"), F.lit("crafting"))).alias("r"))
+    grid = catalog.filter("recipe IS NOT NULL").select(item.alias("item"), F.lit(-1).alias("pos"),
+        F.map_concat("recipe", F.create_map(F.lit("type"), F.lit("crafting"))).alias("r"))
     listed = catalog.select(item.alias("item"), F.posexplode("recipes").alias("pos", "r"))
     both = grid.unionByName(listed)
     kind = F.lower(F.coalesce(F.col("r")["type"], F.lit("")))
@@ -143,24 +159,31 @@ def catalog_recipes(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     as_list = lambda k: F.from_json(F.col("r")[k], "array<string>")
     own = F.coalesce(as_list("inputs"), as_list("slots"), as_list("items"))
     upgrade = F.array_compact(F.concat(F.array(F.col("r")["input"]), F.coalesce(as_list("items"), F.array().cast("array<string>"))))
-    process = F.when(kind == "forge", "FORGE").when(kind == "katgrade", "KATGRADE").when(F.size(cells) > 0, "CRAFT").when(kind.isin("crafting", "craft"), "CRAFT")
+    process = F.when(kind == "forge", "FORGE").when(kind == "katgrade", "KATGRADE").when(F.size(cells) > 0,
+        "CRAFT").when(kind.isin("crafting", "craft"), "CRAFT")
     parts = F.when(process == "FORGE", own).when(process == "KATGRADE", upgrade).when(F.size(cells) > 0, cells).otherwise(as_list("slots"))
-    seconds = F.greatest(F.lit(0), F.coalesce(*[F.col("r")[k].try_cast("long") for k in ("duration", "time", "forgeTime", "craftTime")], F.lit(0)))
-    t = both.withColumn("process_type", process).filter("process_type IS NOT NULL").withColumns({"parts": parts, "process_duration_seconds": seconds})
+    seconds = F.greatest(F.lit(0),
+        F.coalesce(*[F.col("r")[k].try_cast("long") for k in ("duration", "time", "forgeTime", "craftTime")], F.lit(0)))
+    t = both.withColumn("process_type",
+        process).filter("process_type IS NOT NULL").withColumns({"parts": parts, "process_duration_seconds": seconds})
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("item", "process_type").orderBy("pos")) - 1
     t = t.withColumn("recipe_id", F.concat_ws(":", "item", "process_type", n.cast("string")))
     out = F.coalesce(F.nullif(F.trim(F.col("r")["overrideOutputId"]), F.lit("")), F.nullif(F.trim(F.col("r")["output"]), F.lit("")), "item")
     recipes = t.select("recipe_id", F.split(out, ":")[0].alias("output_item_id"), "process_type", "process_duration_seconds")
-    e = t.select("recipe_id", F.explode("parts").alias("p")).select("recipe_id", _stack(F.col("p")).alias("s")).select("recipe_id", "s.*").filter("item_id IS NOT NULL")
+    e = t.select("recipe_id", F.explode("parts").alias("p")).select("recipe_id", _stack(F.col("p")).alias("s")).select("recipe_id",
+        "s.*").filter("item_id IS NOT NULL")
     return recipes, e.groupBy("recipe_id", F.upper("item_id").alias("item_id")).agg(F.sum("amount").alias("amount"))
 
 
 def npc_offers(catalog: DataFrame) -> DataFrame:
     """(item_id, result_id, amount, coin_cost, unit_cost) of shop recipes; coins are the cost entries of SKYBLOCK_COIN."""
-    e = catalog.select(F.upper(F.trim(F.coalesce("id", "internalname"))).alias("item_id"), F.explode("recipes").alias("r")).filter(F.lower(F.col("r")["type"]) == "npc_shop")
+    e = catalog.select(F.upper(F.trim(F.coalesce("id", "internalname"))).alias("item_id"),
+        F.explode("recipes").alias("r")).filter(F.lower(F.col("r")["type"]) == "npc_shop")
     costs = F.transform(F.from_json(F.col("r")["cost"], "array<string>"), _stack)
-    coins = F.aggregate(costs, F.lit(0).cast("long"), lambda a, x: a + F.when(F.upper(x["item_id"]) == "SKYBLOCK_COIN", x["amount"]).otherwise(0))
+    coins = F.aggregate(costs, F.lit(0).cast("long"),
+        lambda a, x: a + F.when(F.upper(x["item_id"]) == "SKYBLOCK_COIN", x["amount"]).otherwise(0))
     s = e.select("item_id", _stack(F.col("r")["result"]).alias("o"), F.nullif(coins, F.lit(0).cast("long")).alias("coin_cost"))
-    return s.select("item_id", F.upper("o.item_id").alias("result_id"), F.col("o.amount").alias("amount"), "coin_cost", (F.col("coin_cost") / F.col("o.amount")).alias("unit_cost"))
+    return s.select("item_id", F.upper("o.item_id").alias("result_id"), F.col("o.amount").alias("amount"), "coin_cost",
+        (F.col("coin_cost") / F.col("o.amount")).alias("unit_cost"))

@@ -10,33 +10,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", batch: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
+    batch: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
     """Runs a stream over all that is available; each micro-batch, perhaps changed by `batch`, replaces its own partition, so that a repeated batch writes nothing twice."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         out = batch(df, batch_id) if batch else df
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode",
+            "dynamic").partitionBy("batch_id").parquet(path)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation",
+        checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
 
 
 def closed_buckets(ticks: DataFrame, width: str = "1 day", watermark: str = "30 seconds") -> DataFrame:
     """Plain aggregates of tumbling buckets, each put out once when the watermark has passed its end. ticks: ts timestamp."""
-    g = ticks.withWatermark("ts", watermark).groupBy(F.window("ts", width), "product_id").agg(F.count("*").alias("n"), F.avg("buy_price").alias("avg_buy"), F.min("buy_price").alias("min_buy"), F.max("buy_price").alias("max_buy"))
+    g = ticks.withWatermark("ts", watermark).groupBy(F.window("ts", width), "product_id").agg(F.count("*").alias("n"),
+        F.avg("buy_price").alias("avg_buy"), F.min("buy_price").alias("min_buy"), F.max("buy_price").alias("max_buy"))
     return g.select(F.unix_millis("window.start").alias("bucket_start"), "product_id", "n", "avg_buy", "min_buy", "max_buy")
 
 
-def micro_features(ticks: DataFrame, width: str = "60 seconds", slide: str = "5 seconds", watermark: str = "30 seconds", cap: float = 0.20) -> DataFrame:
+def micro_features(ticks: DataFrame, width: str = "60 seconds", slide: str = "5 seconds", watermark: str = "30 seconds",
+    cap: float = 0.20) -> DataFrame:
     """Points and population deviation of capped log returns in sliding windows of each product; windows are short, so their points fit an array."""
     mid = ((F.col("buy_price") + F.col("sell_price")) / 2.0).alias("m")
-    g = ticks.filter("buy_price > 0 AND sell_price > 0").select("ts", "product_id", mid).withWatermark("ts", watermark).groupBy(F.window("ts", width, slide), "product_id").agg(F.array_sort(F.collect_list(F.struct("ts", "m"))).alias("p"))
+    g = ticks.filter("buy_price > 0 AND sell_price > 0").select("ts", "product_id", mid).withWatermark("ts",
+        watermark).groupBy(F.window("ts", width, slide), "product_id").agg(F.array_sort(F.collect_list(F.struct("ts", "m"))).alias("p"))
     m = F.transform("p", lambda x: x["m"])
-    r = F.transform(F.arrays_zip(F.slice(m, F.lit(2), F.size(m) - 1).alias("b"), F.slice(m, F.lit(1), F.size(m) - 1).alias("a")), lambda x: F.least(F.greatest(F.log(x["b"] / x["a"]), F.lit(-cap)), F.lit(cap)))
+    r = F.transform(F.arrays_zip(F.slice(m, F.lit(2), F.size(m) - 1).alias("b"), F.slice(m, F.lit(1), F.size(m) - 1).alias("a")),
+        lambda x: F.least(F.greatest(F.log(x["b"] / x["a"]), F.lit(-cap)), F.lit(cap)))
     g = g.filter(F.size("p") > 2).withColumn("r", r)
     mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.size("r")
     g = g.withColumn("mean", mean)
     var = F.aggregate("r", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("r")
-    return g.select(F.unix_millis("window.start").alias("window_start"), "product_id", F.size("p").alias("points"), F.sqrt(var).alias("micro_volatility"))
+    return g.select(F.unix_millis("window.start").alias("window_start"), "product_id", F.size("p").alias("points"),
+        F.sqrt(var).alias("micro_volatility"))
 
 
 PAIR = "market string, ts long, trigger string, payload_a long, payload_b long"
@@ -61,7 +69,8 @@ def pair_feeds(updates: DataFrame) -> DataFrame:
         state.update((a, b, seen_a, seen_b))
         yield pd.DataFrame(rows, columns=["market", "ts", "trigger", "payload_a", "payload_b"])
 
-    return updates.groupBy("market").applyInPandasWithState(step, PAIR, "a long, b long, ta long, tb long", "append", GroupStateTimeout.NoTimeout)
+    return updates.groupBy("market").applyInPandasWithState(step, PAIR, "a long, b long, ta long, tb long", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 SEGMENT = "flip_key string, valid_from long, valid_to long, points int, profit long"
@@ -77,14 +86,16 @@ def trend_segments(history: DataFrame, rel: float = 0.05, points: float = 3.0) -
             if base is not None and r.snapshot_ts <= base[1]:
                 continue
             x = (int(r.profit), float(r.roi_per_hour), float(r.liquidity_score), float(r.risk_score), bool(r.partial))
-            same = base is not None and x[4] == base[7] and abs(x[0] - base[3]) <= rel * abs(base[3]) and abs(x[1] - base[4]) <= rel * abs(base[4]) and abs(x[2] - base[5]) <= points and abs(x[3] - base[6]) <= points
+            same = base is not None and x[4] == base[7] and abs(x[0] - base[3]) <= rel * abs(base[3]) and abs(x[1] - base[4]) <= rel * abs(
+                base[4]) and abs(x[2] - base[5]) <= points and abs(x[3] - base[6]) <= points
             base = (base[0], int(r.snapshot_ts), base[2] + 1, *base[3:]) if same else (int(r.snapshot_ts), int(r.snapshot_ts), 1, *x)
             rows[base[0]] = (key[0], base[0], base[1], base[2], base[3])
         if base is not None:
             state.update(base)
         yield pd.DataFrame(list(rows.values()), columns=["flip_key", "valid_from", "valid_to", "points", "profit"])
 
-    return history.groupBy("flip_key").applyInPandasWithState(step, SEGMENT, "vf long, vt long, n int, p long, r double, l double, k double, partial boolean", "update", GroupStateTimeout.NoTimeout)
+    return history.groupBy("flip_key").applyInPandasWithState(step, SEGMENT,
+        "vf long, vt long, n int, p long, r double, l double, k double, partial boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def latest_only(batch: DataFrame, batch_id: int) -> DataFrame:

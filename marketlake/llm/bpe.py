@@ -42,7 +42,8 @@ class WordBpe:
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_re = re.compile("(" + "|".join(map(re.escape,
+            sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         if kinds != ["NFC", "Replace", "Lowercase"] or model.get("byte_fallback") or model.get("unk_token"):

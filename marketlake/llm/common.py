@@ -82,9 +82,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sa
     """
     keyed = left.select(key).filter(F.col(key).isNotNull())
     bound = max(1, keyed.count() // HOT)
-    hot = frozen(keyed.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > bound).select(key, F.lit(True).alias("__hot")))  # fewer than HOT rows
+    hot = frozen(keyed.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > bound).select(key,
+        F.lit(True).alias("__hot")))  # fewer than HOT rows
     at = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot") | F.col(key).isNull(), at).otherwise(0)).drop("__hot")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__salt",
+        F.when(F.col("__hot") | F.col(key).isNull(), at).otherwise(0)).drop("__hot")
     every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     known = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
     return dealt.join(known, [key, "__salt"], how).drop("__salt")

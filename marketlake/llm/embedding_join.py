@@ -52,7 +52,8 @@ def _moments(dim_col: str, vec_col: str):
 
 def principal_axes(vectors: DataFrame, axes: int) -> dict[int, np.ndarray]:
     """By dimension, the leading axes of the second moments of the unit vectors, summed over all of them in Spark."""
-    sums = vectors.mapInPandas(_moments("dim", "vec"), "dim int, i int, j int, v double").groupBy("dim", "i", "j").agg(F.sum("v").alias("v"))
+    sums = vectors.mapInPandas(_moments("dim", "vec"), "dim int, i int, j int, v double").groupBy("dim", "i",
+        "j").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
     for r in sums.collect():  # dim * (dim + 1) / 2 rows a dimension
         m = out.setdefault(r.dim, np.zeros((r.dim, r.dim)))
@@ -70,21 +71,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def embedding_join(df: DataFrame, cosine: float = 0.93, axes: int = 6, block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_join(df: DataFrame, cosine: float = 0.93, axes: int = 6, block: int = 1024, id_col: str = "vec_id",
+    vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (least vec_id reachable, itself included), kept."""
     spark = df.sparkSession
     eps = math.sqrt(2 - 2 * cosine) + 1e-9
     vec = F.col(vec_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"))
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(
-        F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0), F.lit(False)
+        F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0),
+            F.lit(False)
     )
-    rows = rows.withColumn("vec", F.when(sound, F.col("vec"))).withColumn("key", F.when(sound, F.unhex(F.md5(F.concat(F.length("label"), F.lit(":"), "label", F.lit(":"), F.array_join(F.transform("vec", lambda x: (x + 0.0).cast("string")), ","))))))
+    rows = rows.withColumn("vec", F.when(sound, F.col("vec"))).withColumn("key",
+        F.when(sound, F.unhex(F.md5(F.concat(F.length("label"), F.lit(":"), "label", F.lit(":"),
+        F.array_join(F.transform("vec", lambda x: (x + 0.0).cast("string")), ","))))))
     named = frozen(rows.select("vec_id", "label", "key", "vec"))
-    classes = frozen(named.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec")))
+    classes = frozen(named.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"),
+        F.first("label").alias("label"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec")))
     basis = principal_axes(classes, axes)
     if not basis:
-        return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+            F.lit(True).alias("kept"))
     m = max(b.shape[1] for b in basis.values())
     cols = [f"p{k}" for k in range(m)]
 
@@ -107,7 +114,9 @@ def embedding_join(df: DataFrame, cosine: float = 0.93, axes: int = 6, block: in
 
         def packed(x: pd.DataFrame) -> dict:
             p = x[cols].to_numpy()
-            own = {"part": part, "n": n, "label": x["label"].iloc[0], "dim": int(x["dim"].iloc[0]), "reps": x["rep"].to_numpy(dtype="int64").tobytes(), "weights": x["weight"].to_numpy(dtype="int64").tobytes(), "vecs": np.stack(x["vec"].to_numpy()).astype(np.float64).tobytes()}
+            own = {"part": part, "n": n, "label": x["label"].iloc[0], "dim": int(x["dim"].iloc[0]),
+                "reps": x["rep"].to_numpy(dtype="int64").tobytes(), "weights": x["weight"].to_numpy(dtype="int64").tobytes(),
+                "vecs": np.stack(x["vec"].to_numpy()).astype(np.float64).tobytes()}
             return own | {f"lo{k}": v for k, v in enumerate(p.min(axis=0))} | {f"hi{k}": v for k, v in enumerate(p.max(axis=0))}
 
         for frame in frames:
@@ -132,8 +141,11 @@ def embedding_join(df: DataFrame, cosine: float = 0.93, axes: int = 6, block: in
     first_of = F.create_map(*[F.lit(int(x)) for kv in before.items() for x in kv])[F.col("part")]
     blocks = blocks.withColumn("seq", (first_of + F.col("n")).cast("long"))
     pairs = _near_intervals(blocks, offset, m, eps)
-    work = pairs.join(blocks.select(F.col("seq").alias("i"), F.struct("reps", "weights", "vecs", "dim").alias("a")), "i").join(blocks.select(F.col("seq").alias("j"), F.struct("reps", "weights", "vecs").alias("b")), "j")
-    work = work.repartition(max(1, min(10_000, offset)), "i", "j").select("i", "j", "a.dim", F.col("a.reps").alias("ra"), F.col("a.weights").alias("wa"), F.col("a.vecs").alias("va"), F.col("b.reps").alias("rb"), F.col("b.weights").alias("wb"), F.col("b.vecs").alias("vb"))
+    work = pairs.join(blocks.select(F.col("seq").alias("i"), F.struct("reps", "weights", "vecs", "dim").alias("a")),
+        "i").join(blocks.select(F.col("seq").alias("j"), F.struct("reps", "weights", "vecs").alias("b")), "j")
+    work = work.repartition(max(1, min(10_000, offset)), "i", "j").select("i", "j", "a.dim", F.col("a.reps").alias("ra"),
+        F.col("a.weights").alias("wa"), F.col("a.vecs").alias("va"), F.col("b.reps").alias("rb"), F.col("b.weights").alias("wb"),
+        F.col("b.vecs").alias("vb"))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         longs = lambda x: np.frombuffer(x, dtype=np.int64)
@@ -162,16 +174,20 @@ def embedding_join(df: DataFrame, cosine: float = 0.93, axes: int = 6, block: in
         found = frozen(work.mapInPandas(compare, "rep long, root long, links long"))
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    settled = classes.select("key", "rep", "weight").join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    settled = settled.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    settled = classes.select("key", "rep", "weight").join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep",
+        "left")
+    settled = settled.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.coalesce("component", "rep").alias("component_id"))
     out = join_hot(named.select("vec_id", "key"), settled, "key", "left")
     component_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept"))
 
 
 def _near_intervals(blocks: DataFrame, n: int, m: int, eps: float) -> DataFrame:
     """(i, j), i <= j, of blocks that may hold a pair: intervals are joined level by level, from the longest down."""
-    boxes = blocks.select("seq", F.col("label").alias("l0"), F.col("label").alias("l1"), F.col("dim").alias("d0"), F.col("dim").alias("d1"), *[f"{s}{k}" for k in range(m) for s in ("lo", "hi")])
+    boxes = blocks.select("seq", F.col("label").alias("l0"), F.col("label").alias("l1"), F.col("dim").alias("d0"), F.col("dim").alias("d1"),
+        *[f"{s}{k}" for k in range(m) for s in ("lo", "hi")])
     levels = [frozen(boxes)]
     while n > FANOUT * FANOUT:
         n = -(-n // FANOUT)
@@ -182,8 +198,10 @@ def _near_intervals(blocks: DataFrame, n: int, m: int, eps: float) -> DataFrame:
     def near(pairs: DataFrame, level: DataFrame) -> DataFrame:
         left = level.select(*[F.col(c).alias(f"a_{c}") for c in level.columns])
         right = level.select(*[F.col(c).alias(f"b_{c}") for c in level.columns])
-        gap = sum(F.pow(F.greatest(F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.lit(0.0)), 2) for k in range(m))
-        meet = (F.col("a_l0") <= F.col("b_l1")) & (F.col("b_l0") <= F.col("a_l1")) & (F.col("a_d0") <= F.col("b_d1")) & (F.col("b_d0") <= F.col("a_d1"))
+        gap = sum(F.pow(F.greatest(F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.lit(0.0)),
+            2) for k in range(m))
+        meet = (F.col("a_l0") <= F.col("b_l1")) & (F.col("b_l0") <= F.col("a_l1")) & (F.col("a_d0") <= F.col("b_d1")) & (
+            F.col("b_d0") <= F.col("a_d1"))
         both = pairs.join(left, F.col("i") == F.col("a_seq")).join(right, F.col("j") == F.col("b_seq"))
         return both.filter(meet & (gap <= eps * eps + 1e-9)).select("i", "j")
 
@@ -193,5 +211,6 @@ def _near_intervals(blocks: DataFrame, n: int, m: int, eps: float) -> DataFrame:
     for level in reversed(levels[:-1]):
         child = F.sequence(F.col("i") * FANOUT, F.col("i") * FANOUT + FANOUT - 1)
         other = F.sequence(F.col("j") * FANOUT, F.col("j") * FANOUT + FANOUT - 1)
-        pairs = near(pairs.select(F.explode(child).alias("i"), "j", other.alias("o")).select("i", F.explode("o").alias("j")).filter("i <= j"), level)
+        pairs = near(pairs.select(F.explode(child).alias("i"), "j", other.alias("o")).select("i",
+            F.explode("o").alias("j")).filter("i <= j"), level)
     return pairs

@@ -50,15 +50,28 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_OPTIONAL_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong "
+    "sub sup time tt u var wbr".split())
+_OPTIONAL_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
+    "th": {"td", "th"}, "option": {"option"}}
+_CLOSES_P = frozenset(
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol "
+    "p pre section table ul".split())
 _NEVER = frozenset("head nav footer aside form dialog menu object audio video canvas".split())
 _MAIN = frozenset(("article", "main"))
 #: What a class, id or role is made of where it names something other than main text: all parts of the word are of these, one of the first two at least.
-_OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promoted related recommend recommended recommendations comment comments disqus respond replies reply".split())
-_FRAME = frozenset("banner banners nav navbar navigation navi menu menus menubar breadcrumb breadcrumbs sidebar sidebars side widget widgets footer footnav cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share shares sharing social pagination pager toolbar masthead skip search".split())
-_NEUTRAL = frozenset("main top bottom left right primary secondary site page global container wrapper wrap box block blocks bar list lists item items section area inner outer content row col column group button buttons link links icon icons form slot unit header posts articles stories".split())
+_OTHERS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promoted related recommend "
+    "recommended recommendations comment comments disqus respond replies reply".split())
+_FRAME = frozenset(
+    "banner banners nav navbar navigation navi menu menus menubar breadcrumb breadcrumbs sidebar sidebars side widget widgets footer "
+    "footnav cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login "
+        "share shares sharing social pagination pager toolbar masthead skip search".split())
+_NEUTRAL = frozenset(
+    "main top bottom left right primary secondary site page global container wrapper wrap box block blocks bar list lists item items "
+    "section area inner outer content row col column group button buttons link links icon icons form slot unit header posts articles "
+        "stories".split())
 _NONE, _AROUND, _FOREIGN, _NEVER_TEXT = range(4)
 
 
@@ -144,7 +157,8 @@ def parse(page: str) -> Iterator[tuple[str, str, str, bool, bool, str]]:
         if tag not in _VOID:
             if tag in _MAIN and (level == _AROUND or level == _FOREIGN and not read):
                 level = _NONE
-            stack.append((tag, xxhash.xxh64_hexdigest(f"{path}/{own}"), max(level, _level(tag, marks, main)), main or tag in _MAIN and not level, _tag_key(path, own)))
+            stack.append((tag, xxhash.xxh64_hexdigest(f"{path}/{own}"), max(level, _level(tag, marks, main)),
+                main or tag in _MAIN and not level, _tag_key(path, own)))
     if at < len(page):
         _, path, level, main, up = top()
         yield "text", path, page[at:], level > 0, main, up
@@ -156,7 +170,8 @@ def _long(x: str) -> int:
 
 
 def host_of(url_col: str):
-    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")),
+        r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
 #: The low bits of a token: text, of several words, inside a main element.
@@ -206,7 +221,8 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if not line:
                         continue
                     texts[main].append(line)
-                    found = [_text_token(path, line, True)] if main else [_text_token(path, x, False) for x in (" ".join(p.split()) for p in pieces) if x]
+                    found = [_text_token(path, line, True)] if main else [_text_token(path, x,
+                        False) for x in (" ".join(p.split()) for p in pieces) if x]
                 for token in found:
                     own[token] += 1
                     around[token] = _tag_token(up) if up else 0
@@ -254,10 +270,12 @@ def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, main
     texts = each.groupBy("host", "key").agg(F.min_by(F.struct("token", "n", "up"), "page").alias("p"))
     # counted by "p", so that both uses share one exchange and pages are parsed once
     counts = texts.groupBy("host").agg(F.count("p").alias("of"))
-    rows = texts.select("host", "key", F.explode(F.arrays_zip("p.token", "p.n", "p.up")).alias("t")).select("host", F.col("t.token").alias("token"), F.col("t.up").alias("up"), F.xxhash64("key", "t.n").alias("vector"))
+    rows = texts.select("host", "key", F.explode(F.arrays_zip("p.token", "p.n", "p.up")).alias("t")).select("host",
+        F.col("t.token").alias("token"), F.col("t.up").alias("up"), F.xxhash64("key", "t.n").alias("vector"))
     # the vector hash is added up in two halves of 32 bits, which cannot overflow a long
     low, high = F.col("vector").bitwiseAND(2**32 - 1), F.shiftrightunsigned("vector", 32)
-    tokens = rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(low).alias("v0"), F.sum(high).alias("v1"), F.min("up").alias("up"))
+    tokens = rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(low).alias("v0"), F.sum(high).alias("v1"),
+        F.min("up").alias("up"))
     frequent = tokens.filter(F.col("pages") >= least_pages).join(counts, "host").filter(F.col("pages") >= support * F.col("of"))
     hosts = frequent.groupBy("host").agg(F.collect_list(F.struct("token", "up", "v0", "v1", "pages")).alias("tokens"))
     return hosts.mapInPandas(_template_texts(main_pages), "host string, texts array<long>")
@@ -292,12 +310,15 @@ def main_text_udf(rows: int = 200):
     return F.arrow_udf(run, "string")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5, broadcast_hosts: int = 20_000, broadcast_tokens: int = 2_000_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5,
+    broadcast_hosts: int = 20_000, broadcast_tokens: int = 2_000_000) -> DataFrame:
     """page_id, url, text and n_chars of every page; Python sees html and template alone."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(url_col).alias("host"), text_or_empty(html_col).alias("__html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+        host_of(url_col).alias("host"), text_or_empty(html_col).alias("__html"))
     with arrow_rows(pages.sparkSession, 1000):
         found = frozen(templates(rows.select("host", "__html"), support))
     size = found.agg(F.count("*"), F.coalesce(F.sum(F.size("texts")), F.lit(0))).first()
     few = size[0] <= broadcast_hosts and size[1] <= broadcast_tokens
     joined = rows.join(F.broadcast(found), "host", "left") if few else join_hot(rows, found, "host", "left")
-    return joined.select("page_id", "url", main_text_udf()("__html", "texts").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", main_text_udf()("__html", "texts").alias("text")).withColumn("n_chars",
+        F.length("text").cast("long"))

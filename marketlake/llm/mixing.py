@@ -101,7 +101,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size) -> the same with target."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    named = sizes.withColumn("__w", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1).cast("double"))
+    named = sizes.withColumn("__w",
+        F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1).cast("double"))
     named = named.withColumn("__cap", F.col("source_size") * most)
     # sources reach their caps in order of cap / weight
     level = Window.orderBy(F.col("__cap") / F.col("__w"), F.col("source").asc_nulls_last())
@@ -114,16 +115,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     # the first source that its cap does not bind fixes the rate of all after it
     free = F.when(F.col("__rate") * F.col("__w") <= F.col("__cap"), F.struct(F.col("__cap") / F.col("__w"), F.col("__rate")))
     rate = F.min(free).over(everything)["__rate"]
-    return named.withColumn("target", F.least(F.coalesce(rate * F.col("__w"), F.col("__cap")), F.col("__cap"))).select("source", "source_size", "target")
+    return named.withColumn("target", F.least(F.coalesce(rate * F.col("__w"), F.col("__cap")), F.col("__cap"))).select("source",
+        "source_size", "target")
 
 
 def words(text_col: str):
     return F.coalesce(F.regexp_count(text_or_empty(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = SEED, cell_rows: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = SEED, cell_rows: int = 256,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row, and copies, how often it is taken."""
-    slim = frozen(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.monotonically_increasing_id().alias("__row")))
+    slim = frozen(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        words(text_col).alias("size"), F.monotonically_increasing_id().alias("__row")))
     lengths = frozen(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     goal = frozen(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most))
 
@@ -134,20 +138,26 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
         take = fit_budget(frame["size"].to_numpy(dtype=np.int64), frame["n"].to_numpy(dtype=np.int64), round(target - times * whole))
         return frame.assign(times=times, take=take)[["source", "size", "n", "source_size", "target", "times", "take"]]
 
-    joined = lengths.withColumn("__s", F.col("source")).join(goal.withColumnRenamed("source", "__g"), F.col("__s").eqNullSafe(F.col("__g"))).drop("__s", "__g")
-    planned = frozen(joined.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, times int, take long"))
+    joined = lengths.withColumn("__s", F.col("source")).join(goal.withColumnRenamed("source", "__g"),
+        F.col("__s").eqNullSafe(F.col("__g"))).drop("__s", "__g")
+    planned = frozen(joined.groupBy("source").applyInPandas(plan,
+        "source string, size long, n long, source_size long, target double, times int, take long"))
 
     luck = F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("__row")))  # null ids are spread by row
     cells = F.ceil(F.col("n") / cell_rows)
     rows = slim.alias("l").join(planned.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.size") == F.col("r.size")))
-    rows = rows.select("doc_id", F.col("l.source").alias("source"), F.col("l.size").alias("size"), "n", "source_size", "target", "times", "take", luck.alias("__luck")).withColumn("__cell", F.pmod("__luck", cells))
+    rows = rows.select("doc_id", F.col("l.source").alias("source"), F.col("l.size").alias("size"), "n", "source_size", "target", "times",
+        "take", luck.alias("__luck")).withColumn("__cell", F.pmod("__luck", cells))
     counts = rows.filter(F.col("n") > cell_rows).groupBy("source", "size", "__cell").agg(F.count("*").alias("__n"))
     upto = Window.partitionBy("source", "size").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("__cell").alias("b_cell"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__base"))
+    base = counts.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("__cell").alias("b_cell"),
+        F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__base"))
     rank = Window.partitionBy("source", "size", "__cell").orderBy("__luck", F.col("doc_id").asc_nulls_last())
-    ranked = rows.withColumn("__rank", F.row_number().over(rank)).join(base, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("__cell") == F.col("b_cell")), "left")
+    ranked = rows.withColumn("__rank", F.row_number().over(rank)).join(base,
+        F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("__cell") == F.col("b_cell")), "left")
     copies = F.col("times") + (F.col("__rank") + F.coalesce("__base", F.lit(0)) <= F.col("take")).cast("int")
-    return ranked.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"),
+        F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -156,12 +166,16 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows equal in id, source and size get the copies of their equals in the mix, in some order.
     """
     plan = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("size > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size")).agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count("*").alias("n"))
-    rows = df.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(source_col).cast("string").alias("__source"), words(text_col).alias("__size"))
-    planned = rows.filter("__size > 0").join(plan, F.col("__id").eqNullSafe(F.col("p_id")) & F.col("__source").eqNullSafe(F.col("p_source")) & (F.col("__size") == F.col("p_size")))
+    plan = plan.groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"),
+        F.col("size").alias("p_size")).agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count("*").alias("n"))
+    rows = df.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"),
+        F.col(source_col).cast("string").alias("__source"), words(text_col).alias("__size"))
+    planned = rows.filter("__size > 0").join(plan,
+        F.col("__id").eqNullSafe(F.col("p_id")) & F.col("__source").eqNullSafe(F.col("p_source")) & (F.col("__size") == F.col("p_size")))
     # a row alone in its key, as unique ids make it, needs no rank
     w = Window.partitionBy("__id", "__source", "__size").orderBy("least")
     single = planned.filter("n = 1").select("__row", F.col("least").alias("__copies"))
-    several = planned.filter("n > 1").withColumn("__rank", F.row_number().over(w)).select("__row", (F.col("least") + (F.col("__rank") <= F.col("all") - F.col("least") * F.col("n")).cast("int")).alias("__copies"))
+    several = planned.filter("n > 1").withColumn("__rank", F.row_number().over(w)).select("__row",
+        (F.col("least") + (F.col("__rank") <= F.col("all") - F.col("least") * F.col("n")).cast("int")).alias("__copies"))
     copies = single.union(several).filter("__copies > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return copies.select("__row.*").union(rows.filter("__size = 0").select("__row.*"))

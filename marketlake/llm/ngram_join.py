@@ -100,7 +100,8 @@ def signer(n: int, bands: int, rows: int):
                         where = start[lo:hi] - start[lo]
                         for k in range(bands * rows):
                             least[k, lo:hi] = np.minimum.reduceat((part * a[k] + b[k]) >> np.uint64(32), where)
-                keys = mix((least.reshape(bands, rows, -1) * weights[:, :, None]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)[:, None]).astype(np.int64)
+                keys = mix((least.reshape(bands, rows, -1) * weights[:, :, None]).sum(axis=1, dtype=np.uint64) + np.arange(bands,
+                    dtype=np.uint64)[:, None]).astype(np.int64)
                 keys = np.vstack([keys, np.diff(np.r_[start, len(grams)])])
                 for j, i in enumerate(owner[start].tolist()):
                     signed[at + i] = keys[:, j]
@@ -230,18 +231,27 @@ def _verifier(threshold: float):
     return run
 
 
-def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, block: int = 512, block_grams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, block: int = 512, block_grams: int = 1_000_000,
+    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (least id reachable by links), n_links (other documents linked directly, copies counted), kept."""
     spark = df.sparkSession
     bands, rows_a_band = choose_bands(threshold, recall)
-    base = df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__class", F.unhex(F.md5("__text")))
+    base = df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__class",
+        F.unhex(F.md5("__text")))
     with arrow_rows(spark, 1000):
         signed = frozen(base.select("__id", "__class", signer(n, bands, rows_a_band)("__text").alias("__bands")))
         # numbered before the rows are written, so that the numbers stay
-        classes = frozen(signed.groupBy("__class").agg(F.min("__id").alias("least"), F.count("*").alias("weight"), F.first("__bands").alias("__signed")).withColumn("rep", F.monotonically_increasing_id()).withColumns({"__bands": F.slice("__signed", 1, bands), "n_grams": F.element_at("__signed", -1)}).drop("__signed"))
-        banded = classes.filter("__bands IS NOT NULL").select("rep", "weight", "n_grams", F.posexplode("__bands").alias("__p", "__h")).select("rep", "weight", "n_grams", F.xxhash64("__p", "__h").alias("bucket"))
-        sizes = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_grams").alias("grams_in"), F.sum(F.xxhash64("rep").bitwiseAND(2**40 - 1)).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2")).filter("members > 1")
-        kept = frozen(sizes.groupBy("members", "s1", "s2").agg(F.min_by(F.struct("bucket", "grams_in"), "bucket").alias("b")).select("members", "b.*"))
+        classes = frozen(signed.groupBy("__class").agg(F.min("__id").alias("least"), F.count("*").alias("weight"),
+            F.first("__bands").alias("__signed")).withColumn("rep",
+            F.monotonically_increasing_id()).withColumns({"__bands": F.slice("__signed", 1, bands),
+            "n_grams": F.element_at("__signed", -1)}).drop("__signed"))
+        banded = classes.filter("__bands IS NOT NULL").select("rep", "weight", "n_grams",
+            F.posexplode("__bands").alias("__p", "__h")).select("rep", "weight", "n_grams", F.xxhash64("__p", "__h").alias("bucket"))
+        sizes = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_grams").alias("grams_in"),
+            F.sum(F.xxhash64("rep").bitwiseAND(2**40 - 1)).alias("s1"),
+            F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2")).filter("members > 1")
+        kept = frozen(sizes.groupBy("members", "s1",
+            "s2").agg(F.min_by(F.struct("bucket", "grams_in"), "bucket").alias("b")).select("members", "b.*"))
         members = frozen(banded.drop("n_grams").join(kept.select("bucket", "members", "grams_in"), "bucket"))
         own = members.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
         # a class's text is read from the rows of its least id, not from all its copies; classes of many rows are dealt over salts
@@ -250,12 +260,17 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
         wanted = classes.join(own.select("rep"), "rep").select("rep", "least", "weight", F.col("__class").alias("__of"))
         wanted = wanted.withColumn("__s", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))))
         hot = F.broadcast(classes.filter(many).select("__class", F.lit(True).alias("__hot")))  # fewer than HOT rows
-        salted = base.join(hot, "__class", "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")).otherwise(0))
-        texts = salted.join(wanted, (F.col("__class") == F.col("__of")) & (F.col("__salt") == F.col("__s")) & F.col("__id").eqNullSafe(F.col("least"))).select("rep", "__text").dropDuplicates(["rep"])
+        salted = base.join(hot, "__class", "left").withColumn("__salt",
+            F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")).otherwise(0))
+        texts = salted.join(wanted,
+            (F.col("__class") == F.col("__of")) & (F.col("__salt") == F.col("__s")) & F.col("__id").eqNullSafe(F.col("least"))).select(
+            "rep", "__text").dropDuplicates(["rep"])
         sets = texts.select("rep", "__text").mapInPandas(_sets(n), "rep long, grams binary").join(own, "rep")
         blocks = F.ceil(F.greatest(F.col("members") / block, F.col("grams_in") / block_grams)).cast("int")
-        placed = members.withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        units = placed.select("rep", "weight", "bucket", "block", F.least("block", "__other").alias("lo"), F.greatest("block", "__other").alias("hi"))
+        placed = members.withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")).withColumn("__other",
+            F.explode(F.sequence(F.lit(0), blocks - 1)))
+        units = placed.select("rep", "weight", "bucket", "block", F.least("block", "__other").alias("lo"),
+            F.greatest("block", "__other").alias("hi"))
         work = units.join(sets, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
         found = frozen(work.mapInPandas(_verifier(threshold), "rep long, root long, links long"))
     # texts under one id are one document; those without words link with nothing
@@ -263,23 +278,28 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     several = worded.groupBy("__id").agg(F.min("__class").alias("c0"), F.max("__class").alias("c1")).filter("c0 <> c1").select("__id", "c0")
     texts_of_one = worded.join(several, "__id").filter("__class <> c0").select("__class", "c0").distinct()
     numbers = classes.select("__class", "rep")
-    same_id = texts_of_one.join(numbers.withColumnRenamed("rep", "a"), "__class").join(numbers.select(F.col("__class").alias("c0"), F.col("rep").alias("b")), "c0").select("a", "b")
+    same_id = texts_of_one.join(numbers.withColumnRenamed("rep", "a"),
+        "__class").join(numbers.select(F.col("__class").alias("c0"), F.col("rep").alias("b")), "c0").select("a", "b")
     component = frozen(connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(same_id)))
     # the least id of a component names it; where all are null, a negative stand-in does
     stand_in = -1 - F.abs(F.xxhash64("__class") % 2**61)
-    names = component.join(classes.select("rep", "least", "__class"), F.col("node") == F.col("rep")).groupBy("component").agg(F.coalesce(F.min("least"), F.min(stand_in)).alias("name"))
+    names = component.join(classes.select("rep", "least", "__class"),
+        F.col("node") == F.col("rep")).groupBy("component").agg(F.coalesce(F.min("least"), F.min(stand_in)).alias("name"))
     component = join_hot(component, names, "component").select(F.col("node").alias("rep"), "name")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     settled = classes.join(links, "rep", "left").join(component, "rep", "left")
     own_copies = F.when(F.col("__bands").isNotNull(), F.col("weight") - 1).otherwise(0)
-    settled = settled.select("__class", F.coalesce("name", "least", stand_in).alias("class_id"), (F.coalesce("links", F.lit(0)) + own_copies).alias("n_links"), F.col("__bands").isNull().alias("__alone"))
+    settled = settled.select("__class", F.coalesce("name", "least", stand_in).alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + own_copies).alias("n_links"), F.col("__bands").isNull().alias("__alone"))
     out = join_hot(signed.select("__id", "__class"), settled, "__class")
     class_id = F.when(F.col("__alone"), F.coalesce("__id", "class_id")).otherwise(F.col("class_id"))
-    return out.select(F.col("__id").alias("doc_id"), class_id.alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.coalesce(F.col("__id") == class_id, F.lit(False)).alias("kept"))
+    return out.select(F.col("__id").alias("doc_id"), class_id.alias("class_id"), F.col("n_links").cast("long").alias("n_links"),
+        F.coalesce(F.col("__id") == class_id, F.lit(False)).alias("kept"))
 
 
 def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of df whose id is the least of its group of linked documents; rows without an id stay."""
-    gone = ngram_join(df, id_col=id_col, **options).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = ngram_join(df, id_col=id_col,
+        **options).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
     rows = df.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"))  # in a struct no name clashes
     return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")

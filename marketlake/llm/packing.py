@@ -167,12 +167,14 @@ def _packer(path: str | None, end_id: int, limits: Limits, rows: int = 500):
                 for i, at, n in own:
                     doc, ids, p = docs[i]
                     size = len(ids) // 4
-                    out.append((doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), size, sequence, offset, max(0, at + n - max(at, size - p))))
+                    out.append((doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), size, sequence, offset,
+                        max(0, at + n - max(at, size - p))))
                     offset += n
                 sequence += 1
             docs = []
             columns = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], list(_FIELDS))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])],
+                list(_FIELDS))
 
         held = 0
         for batch in batches:
@@ -197,7 +199,8 @@ def first_line_chars(text: Column) -> Column:
     return F.instr(text, "\n")
 
 
-def pack(df: DataFrame, path: str | None = None, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt_chars: Column | None = None) -> DataFrame:
+def pack(df: DataFrame, path: str | None = None, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text",
+    prompt_chars: Column | None = None) -> DataFrame:
     """One row per piece. prompt_chars: how many leading characters, up to a white space, are the prompt (by default the first of several lines)."""
     text = text_or_empty(text_col)
     prompt = F.coalesce(prompt_chars if prompt_chars is not None else first_line_chars(text), F.lit(0))

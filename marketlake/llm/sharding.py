@@ -85,10 +85,12 @@ def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str
     # a group with many rows is split by id into cells of about cell_rows, or four times the mean group
     cell = F.greatest(F.lit(cell_rows), 4 * F.lit(groups.agg(F.sum("n")).first()[0] or 0) / GROUPS)
     split = groups.select("__group", F.ceil(F.col("n") / cell).cast("int").alias("__cells"))
-    dealt = rows.join(F.broadcast(split), "__group").withColumn("__cell", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("__row"))), F.col("__cells")))
+    dealt = rows.join(F.broadcast(split), "__group").withColumn("__cell",
+        F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("__row"))), F.col("__cells")))
     dealt = dealt.withColumn("shard", sum((F.col("__group") >= c).cast("int") for c in at) if at else F.lit(0))
     counts = dealt.groupBy("shard", "__group", "__cell").agg(F.count("*").alias("__n"))
     order = Window.partitionBy("shard").orderBy("__group", "__cell").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__group", "__cell", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__base"))
     rank = Window.partitionBy("__group", "__cell").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size", "__row")
-    return dealt.withColumn("__rank", F.row_number().over(rank)).join(base, ["__group", "__cell"]).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("__base") + F.col("__rank") - 1).cast("long").alias("slot"))
+    return dealt.withColumn("__rank", F.row_number().over(rank)).join(base, ["__group", "__cell"]).select("doc_id", "size", "text_crc32",
+        F.col("shard").cast("int").alias("shard"), (F.col("__base") + F.col("__rank") - 1).cast("long").alias("slot"))

@@ -27,5 +27,6 @@ def token_counter(path: str | None = None):
 def count_tokens(df: DataFrame, path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every text, as the library for the vocabulary file gives them."""
     text = text_or_empty(text_col)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), token_counter(path)(text).alias("n_tokens"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),
+        token_counter(path)(text).alias("n_tokens"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

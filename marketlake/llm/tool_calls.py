@@ -31,7 +31,8 @@ from .common import HOT, frozen, join_hot, text_or_empty
 
 #: tool -> argument -> (type, required); types as `schema_of_variant` names them.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
-_KINDS = {"string": r"^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "array": r"^ARRAY<.*$", "object": r"^OBJECT<.*$"}
+_KINDS = {"string": r"^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
+    "boolean": r"^BOOLEAN$", "array": r"^ARRAY<.*$", "object": r"^OBJECT<.*$"}
 
 
 def argument_errors(tool: Column, args: Column, schemas: Schemas) -> Column:
@@ -49,7 +50,8 @@ def argument_errors(tool: Column, args: Column, schemas: Schemas) -> Column:
         extra = F.transform(F.array_except(keys, F.array(*map(F.lit, fields))), lambda k: F.concat(k, F.lit(":unknown")))
         found = F.sort_array(F.concat(F.array_compact(F.array(*checks)), F.coalesce(extra, F.array().cast("array<string>"))))
         out = F.when(tool == name, found).otherwise(out)
-    return F.when(args.isNull(), F.array(F.lit("arguments:malformed"))).when(~is_object, F.array(F.lit("arguments:not an object"))).otherwise(out)
+    return F.when(args.isNull(), F.array(F.lit("arguments:malformed"))).when(~is_object,
+        F.array(F.lit("arguments:not an object"))).otherwise(out)
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,7 +62,8 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
         return odd.select("conv_id", F.lit("").alias("call_id"), F.lit(0).alias("level")).limit(0)
     edges = frozen(join_hot(edges, odd, "conv_id").select("conv_id", "call_id", "parent_id").distinct())
     nodes = frozen(join_hot(calls, odd, "conv_id").select("conv_id", "call_id"))
-    hubs = F.broadcast(frozen(edges.groupBy(*parent).agg(F.count("*").alias("n")).filter(F.col("n") > max(1, edges.count() // HOT)).select(*parent)))  # fewer than HOT rows
+    hubs = F.broadcast(frozen(edges.groupBy(*parent).agg(F.count("*").alias("n")).filter(F.col("n") > max(1,
+        edges.count() // HOT)).select(*parent)))  # fewer than HOT rows
     at_hubs, rest = edges.join(hubs, parent, "left_semi"), edges.join(hubs, parent, "left_anti")
     waits = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("need"))
     free = frozen(nodes.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
@@ -69,8 +72,10 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     while not free.isEmpty():
         level += 1
         named = free.select("conv_id", F.col("call_id").alias("parent_id"))
-        met = at_hubs.join(F.broadcast(named.join(hubs, parent, "left_semi")), parent).unionByName(rest.join(named, parent)).groupBy("conv_id", "call_id").agg(F.count("*").alias("more"))
-        waiting = frozen(waiting.join(met, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "need", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have")))
+        met = at_hubs.join(F.broadcast(named.join(hubs, parent, "left_semi")),
+            parent).unionByName(rest.join(named, parent)).groupBy("conv_id", "call_id").agg(F.count("*").alias("more"))
+        waiting = frozen(waiting.join(met, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "need",
+            (F.col("have") + F.coalesce("more", F.lit(0))).alias("have")))
         free = waiting.filter("have = need").select("conv_id", "call_id", F.lit(level).alias("level"))
         waiting = waiting.filter("have < need")
         done = frozen(done.union(free))
@@ -85,14 +90,21 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, run_
     results: conv_id, call_id, content, position.
     """
     key = ["conv_id", "call_id"]
-    ranked = frozen(calls.select("conv_id", "call_id", "name", "arguments", F.col("position").cast("long").alias("position"), "depends_on", F.monotonically_increasing_id().alias("__row")))
+    ranked = frozen(calls.select("conv_id", "call_id", "name", "arguments", F.col("position").cast("long").alias("position"), "depends_on",
+        F.monotonically_increasing_id().alias("__row")))
     named = ranked.filter("call_id IS NOT NULL")
     order = F.struct(F.col("position").isNull().alias("none"), "position", "name", "arguments", "__row")
-    first = named.groupBy(*key).agg(F.min(order).alias("f")).select(*key, F.col("f.position").alias("first_position"), F.col("f.__row").alias("first_row"))
-    answers = results.filter("call_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct(F.col("position").isNull(), "position", "content")).alias("r"), F.count("*").alias("n_results"))
+    first = named.groupBy(*key).agg(F.min(order).alias("f")).select(*key, F.col("f.position").alias("first_position"),
+        F.col("f.__row").alias("first_row"))
+    answers = results.filter("call_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct(F.col("position").isNull(), "position",
+        "content")).alias("r"), F.count("*").alias("n_results"))
     answers = answers.select(*key, F.col("r.content").alias("content"), F.col("r.position").alias("result_position"), "n_results")
-    edges = frozen(named.select("conv_id", "call_id", "position", F.explode(F.array_distinct("depends_on")).alias("parent_id")).filter("parent_id <> call_id").withColumn("__parent", F.struct("conv_id", "parent_id")))
-    edges = frozen(join_hot(edges, first.select(F.struct("conv_id", F.col("call_id").alias("parent_id")).alias("__parent"), F.col("first_position").alias("parent_position")), "__parent").drop("__parent"))
+    edges = frozen(named.select("conv_id", "call_id", "position",
+        F.explode(F.array_distinct("depends_on")).alias("parent_id")).filter("parent_id <> call_id").withColumn("__parent",
+        F.struct("conv_id", "parent_id")))
+    edges = frozen(join_hot(edges,
+        first.select(F.struct("conv_id", F.col("call_id").alias("parent_id")).alias("__parent"),
+        F.col("first_position").alias("parent_position")), "__parent").drop("__parent"))
     parents = edges.groupBy(*key).agg(F.countDistinct("parent_id").alias("n_parents"))
     level = levels(frozen(named.select(*key).distinct()), edges)
     rows = ranked.join(first, key, "left").join(answers, key, "left").join(parents, key, "left").join(level, key, "left")
@@ -102,17 +114,23 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, run_
     rows = rows.withColumn("__run", F.floor(F.col("position") / run_length))
     runs = rows.groupBy("conv_id", "__level", "__run").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("conv_id").orderBy("__level", "__run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col("conv_id").alias("r_conv"), F.col("__level").alias("r_level"), F.col("__run").alias("r_run"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    runs = runs.select(F.col("conv_id").alias("r_conv"), F.col("__level").alias("r_level"), F.col("__run").alias("r_run"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("conv_id", "__level", "__run").orderBy("position", "call_id", "name", "arguments", "__row")
-    rows = rows.withColumn("__rank", F.row_number().over(inside)).join(runs, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("__level") == F.col("r_level")) & F.col("__run").eqNullSafe(F.col("r_run")))
+    rows = rows.withColumn("__rank", F.row_number().over(inside)).join(runs,
+        F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("__level") == F.col("r_level")) & F.col("__run").eqNullSafe(F.col("r_run")))
     args = F.try_parse_json("arguments")
     rows = rows.withColumn("__args", args)
     errors = argument_errors(F.col("name"), F.col("__args"), schemas)
-    status = F.when(F.col("call_id").isNull(), "no id").when(F.col("__row") != F.col("first_row"), "duplicate").when(stuck, "cycle").when(F.col("n_results").isNull(), "unanswered").when(F.col("result_position") < F.col("position"), "answered before call").otherwise("answered")
-    canonical = F.to_json(F.struct(F.col("__args").alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.col("content").alias("result")), {"ignoreNullFields": "false"})
+    status = F.when(F.col("call_id").isNull(), "no id").when(F.col("__row") != F.col("first_row"), "duplicate").when(stuck,
+        "cycle").when(F.col("n_results").isNull(), "unanswered").when(F.col("result_position") < F.col("position"),
+        "answered before call").otherwise("answered")
+    canonical = F.to_json(F.struct(F.col("__args").alias("arguments"), F.col("call_id").alias("id"), F.col("name"),
+        F.col("content").alias("result")), {"ignoreNullFields": "false"})
     return rows.select(
         "conv_id", "call_id", "name", "position", (F.col("__before") + F.col("__rank") - 1).cast("long").alias("topo_order"),
-        F.coalesce("n_parents", F.lit(0)).cast("long").alias("n_parents"), status.alias("status"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
+        F.coalesce("n_parents", F.lit(0)).cast("long").alias("n_parents"), status.alias("status"),
+            F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
         errors.alias("errors"), canonical.alias("canonical_json"),
     )
 
@@ -143,14 +161,18 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
     fields = {
         "lines": F.when(lines > 1, lines.cast("string")), "pinned": F.when(system, "true"),
-        "query": F.when(F.col("text") != "", F.to_json(F.struct(F.col("text").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("text").alias("t")))) - 6)),
+        "query": F.when(F.col("text") != "",
+            F.to_json(F.struct(F.col("text").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("text").alias("t")))) - 6)),
         "turn": F.when(short, F.concat(F.lit('"'), F.col("turn"), F.lit('"'))).otherwise(F.col("turn").cast("string")),
     }
     args = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]), F.lit("}"))
     half = F.floor(F.col("turn") / 2)
     later = F.when((F.col("turn") % 8).isin(4, 5), call(F.col("turn") + 2))
     depends = F.array_compact(F.array(call(F.lit(0)), call(half), later))
-    calls = asked.select("conv_id", "call_id", F.when(system, "system_prompt").otherwise("answer").alias("name"), args.alias("arguments"), F.col("turn").alias("position"), depends.alias("depends_on"))
-    replies = rows.filter("role = 'assistant'").select(F.col("conv_id").alias("r_conv"), F.col("turn").alias("r_turn"), F.col("text").alias("content"))
-    results = replies.join(asked.select("conv_id", "turn", "call_id"), (F.col("r_conv") == F.col("conv_id")) & (F.col("r_turn") == F.col("turn") + 1))
+    calls = asked.select("conv_id", "call_id", F.when(system, "system_prompt").otherwise("answer").alias("name"), args.alias("arguments"),
+        F.col("turn").alias("position"), depends.alias("depends_on"))
+    replies = rows.filter("role = 'assistant'").select(F.col("conv_id").alias("r_conv"), F.col("turn").alias("r_turn"),
+        F.col("text").alias("content"))
+    results = replies.join(asked.select("conv_id", "turn", "call_id"),
+        (F.col("r_conv") == F.col("conv_id")) & (F.col("r_turn") == F.col("turn") + 1))
     return calls, results.select("conv_id", "call_id", "content", F.col("r_turn").alias("position"))

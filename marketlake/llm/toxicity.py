@@ -283,10 +283,14 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training(), id_col:
 
 
 def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_col: str) -> Model:
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.filter(F.col("toxic").isin(0,
+        1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(
+        F.max("toxic").cast("int").alias("toxic"))
     luck = F.xxhash64(F.lit(t.seed), "__id")
-    chosen = known.filter("toxic = 1").orderBy(luck, "__id").limit(t.toxic_docs).union(known.filter("toxic = 0").orderBy(luck, "__id").limit(t.clean_docs))
-    sample = frozen(docs.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "toxic"))  # bounded by the settings
+    chosen = known.filter("toxic = 1").orderBy(luck,
+        "__id").limit(t.toxic_docs).union(known.filter("toxic = 0").orderBy(luck, "__id").limit(t.clean_docs))
+    sample = frozen(docs.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).join(F.broadcast(chosen),
+        "__id").select("__id", "__text", "toxic"))  # bounded by the settings
     total = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     share = total.get(1, 0) / max(1, sum(total.values()))
     constant = Model(np.zeros(CODES**3), -1.0, np.zeros(4), t.decay, share, True)
@@ -301,15 +305,19 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
     clean: dict[str, None] = {}
     for k in range(t.rounds):
         witnesses = t.witnesses if k else 1
-        found = frozen(apart.mapInPandas(_chosen(model, witnesses), "sentence string, score double, toxic int").groupBy("sentence", "toxic").agg(F.max("score").alias("score")))
-        some = lambda y, *by: [r[0] for r in found.filter(F.col("toxic") == y).orderBy(*by, F.xxhash64(F.lit(t.seed), "sentence"), "sentence").limit(t.sentences).select("sentence").collect()]
+        found = frozen(apart.mapInPandas(_chosen(model, witnesses), "sentence string, score double, toxic int").groupBy("sentence",
+            "toxic").agg(F.max("score").alias("score")))
+        some = lambda y, *by: [r[0] for r in found.filter(F.col("toxic") == y).orderBy(*by, F.xxhash64(F.lit(t.seed), "sentence"),
+            "sentence").limit(t.sentences).select("sentence").collect()]
         toxic = some(1)
         clean |= dict.fromkeys(some(0, F.desc("score")))
         x = kernel.mapped([s.split(" ") for s in [*toxic, *clean]])
         w = machine(x, np.r_[np.ones(len(toxic)), -np.ones(len(clean))], t.ridge)
         model = Model(kernel.table(w[:-1]), float(w[-1]), np.zeros(4), t.decay, share)
-    rows = sample.select("toxic", evidence_udf(model)("__text").alias("e")).select("toxic", *[F.col("e")[i].alias(c) for i, c in enumerate(("highest", "above", "words"))])
-    rows = rows.groupBy("toxic", "highest", "above", F.floor(F.log1p("words")).alias("w")).agg(F.count("*").alias("k"), F.avg("words").alias("words")).collect()  # at most the sample
+    rows = sample.select("toxic", evidence_udf(model)("__text").alias("e")).select("toxic",
+        *[F.col("e")[i].alias(c) for i, c in enumerate(("highest", "above", "words"))])
+    rows = rows.groupBy("toxic", "highest", "above", F.floor(F.log1p("words")).alias("w")).agg(F.count("*").alias("k"),
+        F.avg("words").alias("words")).collect()  # at most the sample
     f = _curve_inputs(*(np.array([r[c] for r in rows]) for c in ("highest", "above", "words")))
     k = np.array([r.k for r in rows]) * np.where([r.toxic == 1 for r in rows], 0.5 / total[1], 0.5 / total[0])
     target = np.array([float(r.toxic) for r in rows])
@@ -326,7 +334,8 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
 
 def _landmarks(sample: DataFrame, t: Training) -> tuple[list[str], np.ndarray]:
     """Half the likeliest words of toxic documents, half words of clean ones by a seeded hash; and how sure each is of a toxic document."""
-    counts = frozen(sample.mapInPandas(_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
+    counts = frozen(sample.mapInPandas(_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("p"),
+        F.sum(1 - F.col("toxic")).alias("n")))
     sums = counts.agg(F.sum("p"), F.sum("n")).first()
     odds = F.log((F.col("p") + 0.5) / (sums[0] + 1)) - F.log((F.col("n") + 0.5) / (sums[1] + 1))
     sure = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
@@ -343,7 +352,8 @@ def _curve_inputs(highest, above, words) -> np.ndarray:
 
 def evidence_udf(model: Model):
     """A column function: (highest sentence, sentences above zero, words) of a text."""
-    return text_udf(lambda: (lambda scorer: lambda texts: list(scorer.evidence(texts)))(Scorer(model.table, model.bias, model.decay)), "array<double>", pa.list_(pa.float64()))
+    return text_udf(lambda: (lambda scorer: lambda texts: list(scorer.evidence(texts)))(Scorer(model.table, model.bias, model.decay)),
+        "array<double>", pa.list_(pa.float64()))
 
 
 def score_udf(model: Model):
@@ -366,7 +376,8 @@ def score_udf(model: Model):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; the score reads the text alone."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), score_udf(model)(text_or_empty(text_col)).alias("score"))
-    return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

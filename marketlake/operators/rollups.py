@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import DAY_MS, bucket_start, robust_z
+from ..functions.exprs import DAY_MS, bucket_start, finite, robust_z
 from ..functions.stats import medians_and_mads
 from .snapshots import valid_listing_samples, valid_quote_samples
 
@@ -95,21 +95,27 @@ def merge_islands(df: DataFrame, by: list[str], gap_ms: int, ts: str = "snapshot
     return df.withColumn("__new", new).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def anomalous(samples: DataFrame, by: list[str], p: RollupParams) -> DataFrame:
-    """Anomalous samples of qualifying islands: samples enough, long enough, or a large enough share of the valid samples."""
-    n_valid = samples.groupBy(*by).agg(F.count("*").alias("__valid"))
-    found = merge_islands(samples.filter("reason IS NOT NULL"), by, p.merge_gap_ms)
-    w = Window.partitionBy(*by, "island")
-    sized = found.withColumns({"__n": F.count("*").over(w),
-        "__d": F.max("snapshot_ts").over(w) - F.min("snapshot_ts").over(w)}).join(n_valid, by)
-    ok = (F.col("__n") >= p.group_samples) | (F.col("__d") >= p.group_ms) | (F.col("__n") >= p.group_share * F.col("__valid"))
-    return sized.filter(ok).drop("__n", "__d", "__valid")
+def with_centers(samples: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """Adds median and MAD of each metric of the row's group, null as 0; windows over the groups, which one shuffle makes."""
+    w = Window.partitionBy(*by)
+    centers = samples.withColumns({f"{m}_med": F.percentile(finite(m), F.lit(0.5)).over(w) for m in metrics})
+    spread = {f"{m}_mad": F.percentile(F.abs(finite(m) - F.col(f"{m}_med")), F.lit(0.5)).over(w) for m in metrics}
+    return centers.withColumns(spread).na.fill(0.0, [f"{m}_{s}" for m in metrics for s in ("med", "mad")])
+
+
+def mark_anomalies(samples: DataFrame, by: list[str], p: RollupParams) -> DataFrame:
+    """Adds valid_count, island and anomalous: rows with a reason in islands of samples enough, long enough, or a large enough share of the valid samples."""
+    hit = samples.withColumns({"__hit": F.col("reason").isNotNull(), "valid_count": F.count("*").over(Window.partitionBy(*by))})
+    found = merge_islands(hit, [*by, "__hit"], p.merge_gap_ms)
+    w = Window.partitionBy(*by, "__hit", "island")
+    n, span = F.count("*").over(w), F.max("snapshot_ts").over(w) - F.min("snapshot_ts").over(w)
+    ok = (n >= p.group_samples) | (span >= p.group_ms) | (n >= p.group_share * F.col("valid_count"))
+    return found.withColumn("__ok", ok).withColumn("anomalous", F.col("__hit") & F.col("__ok")).drop("__hit", "__ok")
 
 
 def representative_ts(samples: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """(by, representative_ts): the sample nearest to the centers of these samples, of equals the earliest."""
-    own = samples.drop(*[f"{m}_{s}" for m in metrics for s in ("med",
-        "mad")]).join(metric_centers(samples.drop(*[f"{m}_{s}" for m in metrics for s in ("med", "mad")]), by, metrics), by)
+    own = with_centers(samples, by, metrics)
     distance = sum(F.abs(F.coalesce(m, F.lit(0.0)) - F.col(f"{m}_med")) / F.greatest(F.lit(1e-9), F.col(f"{m}_mad")) for m in metrics)
     return own.groupBy(*by).agg(F.min_by("snapshot_ts", F.struct(F.round(distance, 9), "snapshot_ts")).alias("representative_ts"))
 
@@ -128,13 +134,11 @@ def anomaly_segments(anomalies: DataFrame, by: list[str], metrics: list[str], me
     return s.join(representative_ts(anomalies, by, metrics), by)
 
 
-def kept_samples(samples: DataFrame, anomalies: DataFrame, by: list[str]) -> DataFrame:
-    """Samples without the anomalous; where none is left, all, marked all_anomalous. Groups of one sample go."""
-    marked = samples.join(anomalies.select(*by, "snapshot_ts").withColumn("__bad", F.lit(True)), [*by, "snapshot_ts"], "left")
-    w = Window.partitionBy(*by)
-    marked = marked.withColumns({"valid_count": F.count("*").over(w), "__good": F.count_if(F.col("__bad").isNull()).over(w)})
-    return marked.filter("valid_count >= 2 AND (__bad IS NULL OR __good = 0)").withColumn("all_anomalous",
-        F.col("__good") == 0).drop("__bad", "__good")
+def kept_samples(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Marked samples without the anomalous; where none is left, all, marked all_anomalous. Groups of one sample go."""
+    good = F.count_if(~F.col("anomalous")).over(Window.partitionBy(*by))
+    kept = samples.withColumn("all_anomalous", good == 0)
+    return kept.filter("valid_count >= 2 AND (NOT anomalous OR all_anomalous)")
 
 
 def partial_flag(p: RollupParams) -> Column:
@@ -145,25 +149,30 @@ def partial_flag(p: RollupParams) -> Column:
 
 
 def _rollup(kept: DataFrame, by: list[str], value: str, medians: dict[str, str], more: list[Column], p: RollupParams) -> DataFrame:
-    q = F.percentile(value, F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9))))
-    g = kept.groupBy(*by).agg(q.alias("__q"), F.min(value).alias("min"), F.max(value).alias("max"),
-        *[F.percentile(c, F.lit(0.5)).alias(n) for n, c in medians.items()], *more, F.first("valid_count").alias("valid_count"),
-        F.first("all_anomalous").alias("all_anomalous"), F.count("*").alias("used_count"))
-    wins = kept.join(g.select(*by, "__q"),
-        by).groupBy(*by).agg(F.avg(F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[3])).alias("winsorized"))
-    g = g.withColumns({f"p{n}": F.col("__q")[i] for i, n in enumerate((10, 25, 75, 90))}).withColumn("partial", partial_flag(p))
-    return g.join(wins, by).drop("__q", "all_anomalous")
+    q = F.percentile(value, F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9)))).over(Window.partitionBy(*by))
+    at = F.first("__q")
+    g = kept.withColumn("__q", q).groupBy(*by).agg(
+        *[at[i].alias(f"p{n}") for i, n in enumerate((10, 25, 75, 90))],
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        *[F.percentile(c, F.lit(0.5)).alias(n) for n, c in medians.items()],
+        *more,
+        F.first("valid_count").alias("valid_count"),
+        F.first("all_anomalous").alias("all_anomalous"),
+        F.count("*").alias("used_count"),
+        F.avg(F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[3])).alias("winsorized"),
+    )
+    return g.withColumn("partial", partial_flag(p)).drop("all_anomalous")
 
 
 def _prepared(df: DataFrame, key: str, p: RollupParams, valid, metrics: list[str], signals) -> tuple[DataFrame, DataFrame, list[str]]:
     by = ["bucket_start", key]
-    samples = with_bucket(valid(df), p)
-    samples = signals(samples.join(metric_centers(samples, by, metrics), by), p)
-    return samples, anomalous(samples, by, p), by
+    samples = mark_anomalies(signals(with_centers(with_bucket(valid(df), p), by, metrics), p), by, p)
+    return samples, samples.filter("anomalous"), by
 
 
 def quote_samples(df: DataFrame, p: RollupParams = RollupParams()) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(samples with signals, those of qualifying islands, grouping)."""
+    """(samples with signals and marks, those of qualifying islands, grouping); all from one shuffle by bucket and key."""
     return _prepared(df, "product_id", p, valid_quote_samples, QUOTE_METRICS, quote_signals)
 
 
@@ -172,18 +181,18 @@ def listing_samples(df: DataFrame, p: RollupParams = RollupParams()) -> tuple[Da
 
 
 def bucket_rollup_quotes(df: DataFrame, p: RollupParams = RollupParams()) -> DataFrame:
-    samples, bad, by = quote_samples(df, p)
+    samples, _, by = quote_samples(df, p)
     medians = {"median_mid": "mid", "median_buy": "buy_price", "median_sell": "sell_price", "median_spread": "spread",
         "median_buy_volume": "buy_volume", "median_sell_volume": "sell_volume"}
-    return _rollup(kept_samples(samples, bad, by), by, "mid", medians,
+    return _rollup(kept_samples(samples, by), by, "mid", medians,
         [F.min("liquidity").alias("liquidity_min"), F.max("liquidity").alias("liquidity_max")], p)
 
 
 def bucket_rollup_listings(df: DataFrame, p: RollupParams = RollupParams()) -> DataFrame:
-    samples, bad, by = listing_samples(df, p)
+    samples, _, by = listing_samples(df, p)
     medians = {"median_p50": "p50", "median_anchor": "anchor", "median_lowest": "bin_lowest", "median_p95": "bin_p95",
         "median_count": "bin_count", "median_ending": "ending_soon_count"}
-    return _rollup(kept_samples(samples, bad, by), by, "p50", medians, [], p)
+    return _rollup(kept_samples(samples, by), by, "p50", medians, [], p)
 
 
 def quote_segments(df: DataFrame, p: RollupParams = RollupParams()) -> DataFrame:

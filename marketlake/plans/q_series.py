@@ -111,8 +111,8 @@ q("o088_representative_ts", lambda s, d: R.representative_ts(_sig(s, d)[1], ["bu
 
 
 def _kept(s, d):
-    samples, bad, by = _sig(s, d)
-    return R.kept_samples(samples, bad, by).select("bucket_start", "product_id", "snapshot_ts", "all_anomalous")
+    samples, _, by = _sig(s, d)
+    return R.kept_samples(samples, by).select("bucket_start", "product_id", "snapshot_ts", "all_anomalous")
 
 
 q("o089_exclude_anomalies", _kept, "quote_ticks", QUOTE + " SELECT bucket_start, product_id, snapshot_ts, all_anomalous FROM kept")

@@ -32,28 +32,31 @@ def to_snapshot(listings: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def aggregate_listings(df: DataFrame, ending_ms: int = 600_000) -> DataFrame:
     """Per snapshot and key, unclaimed listings only; prices come from listings without additionals; keys without a priced BIN go."""
-    keyed = key_parts(df.filter("NOT claimed")).select("snapshot_ts", agg_key().alias("item_key"), "bin", "starting_bid", "highest_bid",
-        "end_ts", has_additionals().alias("extra_value"))
+    keyed = key_parts(df.filter("NOT claimed")).select(
+        "snapshot_ts", agg_key().alias("item_key"), "bin", "starting_bid", "highest_bid", "end_ts", has_additionals().alias("extra_value"))
     plain = ~F.col("extra_value")
-    keyed = keyed.withColumns({
-        "bin_price": F.when(F.col("bin") & plain & (F.col("starting_bid") > 0), F.col("starting_bid")),
-        "bid_price": F.when(~F.col("bin") & plain & (F.col("highest_bid") > 0), F.col("highest_bid")),
-        "counts": F.col("bin") & (F.col("starting_bid") > 0),
-        "ending": F.col("end_ts").between(F.col("snapshot_ts"), F.col("snapshot_ts") + ending_ms),
-    })
+    price = F.when(F.col("bin"), F.col("starting_bid")).when(~F.col("bin"), F.col("highest_bid"))
     by = ["snapshot_ts", "item_key"]
-    w = Window.partitionBy(*by)
-    keyed = keyed.withColumns({"rb": F.row_number().over(w.orderBy(F.col("bin_price").asc_nulls_last())),
-        "nb": F.count("bin_price").over(w), "rd": F.row_number().over(w.orderBy(F.col("bid_price").asc_nulls_last())),
-        "nd": F.count("bid_price").over(w)})
-    at = lambda price, r, n, p: F.max(F.when(F.col(r) - 1 == F.floor(F.lit(p) * (F.col(n) - 1)), F.col(price)))
-    out = keyed.groupBy(*by).agg(
-        F.min("bin_price").alias("bin_lowest"),
-            round_half_up(F.avg(F.when(F.col("rb") <= 5, F.col("bin_price")))).alias("bin_lowest5_mean"),
-        at("bin_price", "rb", "nb", 0.5).alias("bin_p50"), at("bin_price", "rb", "nb", 0.95).alias("bin_p95"),
-            at("bid_price", "rd", "nd", 0.5).alias("bid_p50"),
-        F.count_if("counts").cast("int").alias("bin_count"), F.count_if("ending").cast("int").alias("ending_soon_count"),
-    )
+    # equal prices of a key and kind are one row with counts, summed up where they are read; `upto` is the rank of the last of them
+    prices = keyed.groupBy(*by, "bin", F.when(plain & (price > 0), price).alias("price")).agg(
+        F.count("*").alias("c"),
+        F.count_if(F.col("bin") & (F.col("starting_bid") > 0)).alias("bins"),
+        F.count_if(F.col("end_ts").between(F.col("snapshot_ts"), F.col("snapshot_ts") + ending_ms)).alias("ending"),
+    )
+    w = Window.partitionBy(*by, F.coalesce("bin", F.lit(False)), F.col("price").isNull())
+    prices = prices.withColumns({"upto": F.sum("c").over(w.orderBy("price")), "n": F.sum("c").over(w)})
+    on = lambda kind, value: F.when(F.col("bin") == F.lit(kind), value)
+    at = lambda kind, p: F.min(on(kind, F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("n") - 1)), F.col("price"))))
+    five = F.when(F.col("price").isNotNull(), F.least("upto", F.lit(5)) - F.least(F.col("upto") - F.col("c"), F.lit(5)))
+    out = prices.groupBy(*by).agg(
+        F.min(on(True, F.col("price"))).alias("bin_lowest"),
+        round_half_up(F.sum(on(True, F.col("price") * five)) / F.sum(on(True, five))).alias("bin_lowest5_mean"),
+        at(True, 0.5).alias("bin_p50"),
+        at(True, 0.95).alias("bin_p95"),
+        at(False, 0.5).alias("bid_p50"),
+        F.sum("bins").cast("int").alias("bin_count"),
+        F.sum("ending").cast("int").alias("ending_soon_count"),
+    )
     return out.filter("bin_lowest IS NOT NULL")
 
 

@@ -129,55 +129,79 @@ def score_words(words: list[str], table: np.ndarray, decay: float) -> np.ndarray
 
 
 class Kernel:
-    """The kernel of words with landmark words, and the Nystroem map it gives."""
+    """The Nystroem map of the kernel over landmark words: one row a letter triple that a landmark has.
 
-    def __init__(self, marks: list[str], decay: float):
-        self.decay, self.rows = decay, {}
+    The driver keeps that one array and works in small runs of words, so that its memory does not grow with the sample.
+    """
+
+    def __init__(self, marks: list[str], decay: float, likely: np.ndarray | None = None):
+        self.decay = decay
         word, triple, weight = triples(marks, decay)
         self.known, at = np.unique(triple, return_inverse=True)
-        self.basis = np.zeros((len(marks), len(self.known)))
-        np.add.at(self.basis, (word, at), weight)
-        values, vectors = np.linalg.eigh(self.basis @ self.basis.T)
+        basis = np.zeros((len(marks), len(self.known)))
+        np.add.at(basis, (word, at), weight)
+        values, vectors = np.linalg.eigh(basis @ basis.T)
         keep = values > 1e-6 * values[-1]
         self.whiten = vectors[:, keep] / np.sqrt(values[keep])
+        self.rows = np.empty((len(self.known), self.whiten.shape[1]), dtype=np.float32)
+        for lo in range(0, len(self.known), 4096):
+            self.rows[lo : lo + 4096] = basis[:, lo : lo + 4096].T @ self.whiten
+        #: Adds up likenesses to the landmarks, each by the square of how likely it is.
+        self.near = self._table(likely**2 @ basis) if likely is not None else None
 
-    def mapped(self, sentences: list[list[str]]) -> np.ndarray:
-        """Sentences in the Nystroem map."""
-        new = sorted({w for s in sentences for w in s} - self.rows.keys())
-        for lo in range(0, len(new), 256):
-            part = new[lo : lo + 256]
-            word, triple, weight = triples(part, self.decay)
-            at = np.searchsorted(self.known, triple)
-            at[at == len(self.known)] = 0
-            hit = self.known[at] == triple
-            dense = np.zeros((len(part), len(self.known)))
-            np.add.at(dense, (word[hit], at[hit]), weight[hit])
-            self.rows.update(zip(part, (dense @ self.basis.T @ self.whiten).astype(np.float32)))
-        return np.array([np.sum([self.rows[w] for w in s], axis=0) / np.sqrt(len(s)) for s in sentences], dtype=np.float64)
-
-    def near(self, likely: np.ndarray) -> np.ndarray:
-        """The weight of each letter triple that adds up likenesses to the landmarks, each by the square of how likely it is."""
+    def _table(self, weights: np.ndarray) -> np.ndarray:
         out = np.zeros(CODES**3)
-        out[self.known] = likely**2 @ self.basis
+        out[self.known] = weights
         return out
 
     def table(self, w: np.ndarray) -> np.ndarray:
         """The weight of each letter triple under the machine's weights."""
-        out = np.zeros(CODES**3)
-        out[self.known] = (self.whiten @ w) @ self.basis
+        return self._table(self.rows @ w)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Words in the map."""
+        out = np.zeros((len(words), self.rows.shape[1]), dtype=np.float32)
+        for lo in range(0, len(words), 64):
+            word, triple, weight = triples(words[lo : lo + 64], self.decay)
+            at = np.searchsorted(self.known, triple)
+            at[at == len(self.known)] = 0
+            hit = self.known[at] == triple
+            word, at, weight = word[hit], at[hit], weight[hit]
+            if len(word):
+                order = np.argsort(word, kind="stable")
+                start = np.flatnonzero(np.r_[True, np.diff(word[order]) > 0])
+                part = self.rows[at[order]] * weight[order, None].astype(np.float32)
+                out[lo + word[order][start]] = np.add.reduceat(part, start)
+        return out
+
+    def mapped(self, sentences: list[list[str]]) -> np.ndarray:
+        """Sentences in the map: the sum of their words over the root of their number."""
+        out = np.zeros((len(sentences), self.rows.shape[1]), dtype=np.float32)
+        for lo in range(0, len(sentences), 500):
+            part = sentences[lo : lo + 500]
+            distinct = sorted({w for s in part for w in s})
+            place = {w: i for i, w in enumerate(distinct)}
+            n = np.array([len(s) for s in part])
+            each = self.words(distinct)[[place[w] for s in part for w in s]]
+            out[lo : lo + 500] = np.add.reduceat(each, np.cumsum(n) - n) / np.sqrt(n)[:, None]
         return out
 
 
 def machine(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """A squared-hinge machine, both classes of one weight; the last weight is the bias."""
-    x = np.c_[x, np.ones(len(x))]
     c = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
-    w = np.zeros(x.shape[1])
+    size = x.shape[1] + 1
+    w = np.zeros(size)
     for _ in range(50):  # Newton steps on the active set
-        active = y * (x @ w) < 1
-        xa = x[active] * c[active, None]
-        new = np.linalg.solve(xa.T @ x[active] + ridge * np.eye(x.shape[1]), xa.T @ y[active])
-        if np.allclose(new, w, atol=1e-9):
+        active = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        square, cross = ridge * np.eye(size), np.zeros(size)
+        for lo in range(0, len(active), 1024):
+            own = active[lo : lo + 1024]
+            part = np.c_[x[own].astype(np.float64), np.ones(len(own))]
+            square += (part * c[own, None]).T @ part
+            cross += (part * c[own, None]).T @ y[own]
+        new = np.linalg.solve(square, cross)
+        if np.allclose(new, w, atol=1e-7):
             break
         w = new
     return w
@@ -300,19 +324,21 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
     marks, likely = _landmarks(apart, t)
     if not marks:
         return constant
-    kernel = Kernel(marks, t.decay)
-    model = Model(kernel.near(likely), 0.0, np.zeros(4), t.decay, share)
-    clean: dict[str, None] = {}
+    kernel = Kernel(marks, t.decay, likely)
+    model = Model(kernel.near, 0.0, np.zeros(4), t.decay, share)
+    clean: set[str] = set()
+    clean_x = [np.zeros((0, kernel.rows.shape[1]), dtype=np.float32)]
     for k in range(t.rounds):
-        witnesses = t.witnesses if k else 1
-        found = frozen(apart.mapInPandas(_chosen(model, witnesses), "sentence string, score double, toxic int").groupBy("sentence",
-            "toxic").agg(F.max("score").alias("score")))
-        some = lambda y, *by: [r[0] for r in found.filter(F.col("toxic") == y).orderBy(*by, F.xxhash64(F.lit(t.seed), "sentence"),
-            "sentence").limit(t.sentences).select("sentence").collect()]
-        toxic = some(1)
-        clean |= dict.fromkeys(some(0, F.desc("score")))
-        x = kernel.mapped([s.split(" ") for s in [*toxic, *clean]])
-        w = machine(x, np.r_[np.ones(len(toxic)), -np.ones(len(clean))], t.ridge)
+        chosen = apart.mapInPandas(_chosen(model, t.witnesses if k else 1), "sentence string, score double, toxic int")
+        found = frozen(chosen.groupBy("sentence", "toxic").agg(F.max("score").alias("score")))
+        luck = F.xxhash64(F.lit(t.seed), "sentence")
+        some = lambda y, *by: [r[0] for r in found.filter(F.col("toxic") == y).orderBy(*by, luck, "sentence").limit(t.sentences).select("sentence").collect()]
+        toxic_x = kernel.mapped([s.split(" ") for s in some(1)])
+        new = [s for s in some(0, F.desc("score")) if s not in clean]
+        clean |= set(new)
+        clean_x.append(kernel.mapped([s.split(" ") for s in new]))
+        x = np.concatenate([toxic_x, *clean_x])
+        w = machine(x, np.r_[np.ones(len(toxic_x)), -np.ones(len(x) - len(toxic_x))], t.ridge)
         model = Model(kernel.table(w[:-1]), float(w[-1]), np.zeros(4), t.decay, share)
     rows = sample.select("toxic", evidence_udf(model)("__text").alias("e")).select("toxic",
         *[F.col("e")[i].alias(c) for i, c in enumerate(("highest", "above", "words"))])

@@ -107,11 +107,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, run_
         F.col("first_position").alias("parent_position")), "__parent").drop("__parent"))
     parents = edges.groupBy(*key).agg(F.countDistinct("parent_id").alias("n_parents"))
     level = levels(frozen(named.select(*key).distinct()), edges)
-    rows = ranked.join(first, key, "left").join(answers, key, "left").join(parents, key, "left").join(level, key, "left")
+    rows = named.join(first, key, "left").join(answers, key, "left").join(parents, key, "left").join(level, key, "left")
+    rows = rows.unionByName(ranked.filter("call_id IS NULL"), allowMissingColumns=True)  # calls without id meet nothing
     stuck = F.coalesce(F.col("level") == -1, F.lit(False))
     rows = rows.withColumn("__level", F.when(stuck, 2**31 - 1).otherwise(F.coalesce("level", F.lit(0))))
-    # rank = calls in earlier runs + rank inside the run
-    rows = rows.withColumn("__run", F.floor(F.col("position") / run_length))
+    # rank = calls in earlier runs + rank inside the run; calls without position come first, in runs by row
+    rows = rows.withColumn("__run", F.coalesce(F.floor(F.col("position") / run_length), -1 - F.pmod(F.xxhash64("__row"), F.lit(64))))
     runs = rows.groupBy("conv_id", "__level", "__run").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("conv_id").orderBy("__level", "__run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(F.col("conv_id").alias("r_conv"), F.col("__level").alias("r_level"), F.col("__run").alias("r_run"),

@@ -150,14 +150,18 @@ def aliases(items: DataFrame) -> DataFrame:
 def match_items(listings: DataFrame, alias_table: DataFrame) -> DataFrame:
     """(item_name, item_id): distinct listing names, as they are or compact, that contain an alias.
 
-    An equi-join on the alias's first three characters against the short substrings of the names, then the test itself; never a cross join.
+    An equi-join of aliases and the names' substrings, none longer than the longest alias; never a cross join, and no common beginning makes a hot key.
     """
     names = listings.select("item_name").distinct().withColumn("__u", F.upper(F.trim("item_name")))
-    forms = names.select("item_name",
-        F.explode(F.array_distinct(F.array("__u", F.regexp_replace("__u", "[_ ]", "")))).alias("__f")).filter("__f <> ''")
-    starts = F.sequence(F.lit(1), F.length("__f"))
-    parts = F.flatten(F.transform(starts,
-        lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("__f"), i, n))))
-    cut = forms.select("item_name", "__f", F.explode(F.array_distinct(parts)).alias("__k"))
-    a = alias_table.filter("alias <> ''").select("item_id", "alias", F.substring("alias", 1, 3).alias("__k"))
-    return cut.join(a, "__k").filter(F.contains(F.col("__f"), F.col("alias"))).select("item_name", "item_id").distinct()
+    compact = F.regexp_replace("__u", "[_ ]", "")
+    forms = names.select("item_name", F.explode(F.array_distinct(F.array("__u", compact))).alias("__f")).filter("__f <> ''")
+    aliases = alias_table.filter("alias <> ''").select("item_id", "alias").distinct()
+    longest = aliases.agg(F.max(F.length("alias"))).first()[0] or 1
+    text, size = F.col("__f"), F.length("__f")
+
+    def at(i: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda n: F.substring(text, i, n))
+
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), at)))
+    cut = forms.select("item_name", F.explode(parts).alias("alias")).distinct()
+    return cut.join(aliases, "alias").select("item_name", "item_id").distinct()

@@ -3,26 +3,25 @@
 The kernel of two words is the inner product of their weighted counts of three
 letters in order, gaps allowed within a span of seven letters and damped by
 `decay` a letter, so that words with inserted or missing letters stay close; it
-is normalised. The kernel of two sentences is the sum of that of their words,
-divided by the root of both lengths; a sentence is read in overlapping windows
-of four words, so that an insult of several words counts as one. Sentences have
-the label of their document: the machine is trained round by round on the
-sentences of toxic documents that the one before held for the most toxic (their
-witnesses) and on the sentences of clean ones that it held for the most toxic,
-so that a document is toxic by its highest sentence. The first witnesses are
-those nearest to the words that set toxic documents apart. The machine works on
-the Nystroem map over `landmarks` words, half of them those; what it learns
-folds into one weight per letter triple, so that a word is scored by table
-look-ups and a sentence by a sum. A logistic curve over the highest sentence, the number of
-sentences above zero and the length turns scores into a probability.
+is normalised. A sentence scores as its highest word, its witness, and the
+kernel of two sentences is that of their witnesses. Sentences have the label of
+their document. Training goes round by round (multiple instances): the machine
+before names the witness of every labelled sentence, and the next is trained on
+the sentences of clean documents and on those of toxic ones that score above
+zero, each document's highest at least, so that a document is toxic by its
+highest sentence. The first witnesses are the words that set toxic documents
+apart. The machine works on the Nystroem map over `landmarks` words, half of
+them those; what it learns folds into one weight per letter triple, so that a
+word is scored by table look-ups. A logistic curve over the highest word, the
+number of words above zero and the length turns scores into a probability.
 
 Words are white-space pieces (any Unicode white space) in lower case without
 digits and punctuation, after look-alike digits and signs inside a word become
 letters; runs of three or more single characters are one word.
 
 Learning uses at most `toxic_docs` and `clean_docs` labelled rows, chosen by a
-seeded hash (the documented bound), and at most `sentences` of their sentences
-of a kind a round; scoring covers whole texts of all rows. Near copies within a
+seeded hash (the documented bound), and at most `witnesses` different witnesses
+of a label a round; scoring covers whole texts of all rows. Near copies within a
 label count once. A null text counts as empty; texts without words score the
 share of toxic labels, and so does every text where the labels are not of both
 kinds (0 without labels). Repeated rows get a row each; a document with labels of both
@@ -46,7 +45,6 @@ from .ngram_join import signer
 from .words import batches, split_hashed
 
 SPAN, WIDTH, CODES = 7, 24, 64
-HALF = 2  # half a window of words
 _SPACED = re.compile(r"(?<!\S)(?:\w[ \t]){2,}\w(?!\S)")
 _OTHER_SPACE = re.compile(r"[^\S\t-\r ]")
 _ALIKE = str.maketrans("013457@$!", "oieastasi")
@@ -61,11 +59,12 @@ class Training:
     toxic_docs: int = 4000
     clean_docs: int = 8000
     landmarks: int = 384
-    sentences: int = 2500
+    witnesses: int = 3000
     decay: float = 0.5
-    ridge: float = 1e-4
-    rounds: int = 5
-    witnesses: int = 4
+    ridge: float = 1e-3
+    rounds: int = 4
+    odds: float = 20.0
+    sure: float = 3.0
     seed: int = 77
 
 
@@ -73,7 +72,7 @@ class Training:
 class Model:
     table: np.ndarray  # weight of each letter triple
     bias: float
-    curve: np.ndarray  # of (1, highest, log1p(sentences above zero), log1p(words))
+    curve: np.ndarray  # of (1, highest, log1p(words above zero), log1p(words))
     decay: float
     share: float  # of toxic labels, the score without evidence
     constant: bool = False
@@ -119,7 +118,7 @@ def triples(words: list[str], decay: float) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def score_words(words: list[str], table: np.ndarray, decay: float) -> np.ndarray:
-    """What each word adds to a sentence; 0 for one without letters."""
+    """The machine's value of each word without its bias; 0 for one without letters."""
     out = np.empty(len(words))
     for lo in range(0, len(words), 4096):  # a word has some 200 triples
         part = words[lo : lo + 4096]
@@ -134,7 +133,7 @@ class Kernel:
     The driver keeps that one array and works in small runs of words, so that its memory does not grow with the sample.
     """
 
-    def __init__(self, marks: list[str], decay: float, likely: np.ndarray | None = None):
+    def __init__(self, marks: list[str], decay: float):
         self.decay = decay
         word, triple, weight = triples(marks, decay)
         self.known, at = np.unique(triple, return_inverse=True)
@@ -146,17 +145,12 @@ class Kernel:
         self.rows = np.empty((len(self.known), self.whiten.shape[1]), dtype=np.float32)
         for lo in range(0, len(self.known), 4096):
             self.rows[lo : lo + 4096] = basis[:, lo : lo + 4096].T @ self.whiten
-        #: Adds up likenesses to the landmarks, each by the square of how likely it is.
-        self.near = self._table(likely**2 @ basis) if likely is not None else None
-
-    def _table(self, weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(CODES**3)
-        out[self.known] = weights
-        return out
 
     def table(self, w: np.ndarray) -> np.ndarray:
         """The weight of each letter triple under the machine's weights."""
-        return self._table(self.rows @ w)
+        out = np.zeros(CODES**3)
+        out[self.known] = self.rows @ w
+        return out
 
     def words(self, words: list[str]) -> np.ndarray:
         """Words in the map."""
@@ -174,22 +168,10 @@ class Kernel:
                 out[lo + word[order][start]] = np.add.reduceat(part, start)
         return out
 
-    def mapped(self, sentences: list[list[str]]) -> np.ndarray:
-        """Sentences in the map: the sum of their words over the root of their number."""
-        out = np.zeros((len(sentences), self.rows.shape[1]), dtype=np.float32)
-        for lo in range(0, len(sentences), 500):
-            part = sentences[lo : lo + 500]
-            distinct = sorted({w for s in part for w in s})
-            place = {w: i for i, w in enumerate(distinct)}
-            n = np.array([len(s) for s in part])
-            each = self.words(distinct)[[place[w] for s in part for w in s]]
-            out[lo : lo + 500] = np.add.reduceat(each, np.cumsum(n) - n) / np.sqrt(n)[:, None]
-        return out
-
 
-def machine(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """A squared-hinge machine, both classes of one weight; the last weight is the bias."""
-    c = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
+    """A squared-hinge machine, both classes of one weight in sum; the last weight is the bias."""
+    c = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum())
     size = x.shape[1] + 1
     w = np.zeros(size)
     for _ in range(50):  # Newton steps on the active set
@@ -224,29 +206,22 @@ def _without_near_copies(sample: DataFrame, bands: int = 8, rows: int = 4) -> Da
     return sample.join(gone, "__id", "left_anti").dropDuplicates(["__id"])
 
 
-def _windows(begin: np.ndarray, end: np.ndarray, owner: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, word after the last) of each sentence, or of its windows of two half windows each."""
+def _sentence_starts(begin: np.ndarray, end: np.ndarray, owner: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """The first word of each sentence: of each text, and after a full stop, a question or exclamation mark, or a line feed."""
     lines = np.cumsum(buf == 10)
     new = np.ones(len(begin), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | np.isin(buf[end[:-1] - 1], (33, 46, 63)) | (lines[begin[1:]] > lines[end[:-1] - 1])
-    first = np.flatnonzero(new)
-    place = np.arange(len(begin)) - np.repeat(first, np.diff(np.r_[first, len(begin)]))
-    blocks = np.flatnonzero(place % HALF == 0)
-    opens = place[blocks] == 0
-    last = np.r_[opens[1:], True]  # the sentence's last block
-    after = np.r_[blocks[1:], len(begin)]
-    keep = ~last | opens  # a last block that is not the only one stands in the window before
-    return blocks[keep], np.where(last, after, np.r_[after[1:], len(begin)])[keep]
+    return np.flatnonzero(new)
 
 
 class Scorer:
-    """Scores of sentences in whole texts; words are scored once while they are remembered."""
+    """Scores of words in whole texts; words are scored once while they are remembered."""
 
     def __init__(self, table: np.ndarray, bias: float, decay: float, most: int = 300_000):
         self.table, self.bias, self.decay, self.most, self.cache = table, bias, decay, most, {}
 
-    def sentences(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]]:
-        """By run of texts: index of its first, words of each text, (distinct pieces, which each word is), and of each window its text, first word, end and score."""
+    def words(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+        """By run of texts: index of its first; text and score of each word; first word of each sentence; distinct pieces and which each word is."""
         for at, batch in batches([lowered(t).encode("utf-8") for t in texts]):
             buffer, begin, end, hashed, owner = split_hashed(batch)
             if not len(begin):
@@ -256,42 +231,42 @@ class Scorer:
             new = [x for x in pieces if x not in self.cache]
             if len(self.cache) + len(new) > self.most:
                 self.cache = {x: self.cache[x] for x in pieces if x in self.cache}
-            self.cache.update(zip(new, score_words([letters(x) for x in new], self.table, self.decay).tolist()))
-            total = np.r_[0.0, np.cumsum(np.array([self.cache[x] for x in pieces])[which])]
-            lo, hi = _windows(begin, end, owner, np.frombuffer(buffer, dtype=np.uint8))
-            score = (total[hi] - total[lo]) / np.sqrt(hi - lo) + self.bias
-            yield at, np.bincount(owner, minlength=len(batch)), (pieces, which), owner[lo], lo, hi, score
+            scores = score_words([letters(x) for x in new], self.table, self.decay) + self.bias
+            self.cache.update(zip(new, scores.tolist()))
+            score = np.array([self.cache[x] for x in pieces])[which]
+            yield at, owner, score, _sentence_starts(begin, end, owner, np.frombuffer(buffer, dtype=np.uint8)), pieces, which
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Per text: its highest sentence, the number of sentences above zero, and its words."""
+        """Per text: its highest word, the number of words above zero, and its words."""
         out = np.zeros((len(texts), 3))
         out[:, 0] = -1.0
-        for at, words, _, owner, _, _, score in self.sentences(texts):
+        for at, owner, score, *_ in self.words(texts):
             start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             own = owner[start] + at
             out[own, 0] = np.maximum.reduceat(score, start)
             out[own, 1] = np.add.reduceat((score > 0).astype(np.int64), start)
-            out[at : at + len(words), 2] = words
+            out[own, 2] = np.diff(np.r_[start, len(owner)])
         return out
 
 
-def _chosen(model: Model, witnesses: int):
-    """Sentences as word lists: of a toxic text its highest, and more of those above zero; of a clean one the two highest."""
+def _witnesses(model: Model):
+    """The witness of each sentence; of a toxic text those above zero and the highest."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model.table, model.bias, model.decay)
         for frame in frames:
-            out, label = [], frame["toxic"].tolist()
-            for at, _, (pieces, which), owner, lo, hi, score in scorer.sentences(frame["__text"].tolist()):
-                start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                for i, j in zip(start.tolist(), [*start[1:].tolist(), len(owner)]):
-                    y = label[at + owner[i]]
-                    order = (i + np.argsort(-score[i:j], kind="stable")[: witnesses if y else 2]).tolist()
-                    for k in [x for n, x in enumerate(order) if not n or not y or score[x] > 0]:
-                        own = [w for w in (letters(pieces[x]) for x in which[lo[k] : hi[k]]) if w]
-                        if own:
-                            out.append((" ".join(own), float(score[k]), y))
-            yield pd.DataFrame(out, columns=["sentence", "score", "toxic"])
+            out, label = [], frame["toxic"].to_numpy()
+            for at, owner, score, start, pieces, which in scorer.words(frame["__text"].tolist()):
+                best = np.maximum.reduceat(score, start)
+                top = np.flatnonzero(score == np.repeat(best, np.diff(np.r_[start, len(score)])))
+                top = top[np.unique(np.searchsorted(start, top, side="right"), return_index=True)[1]]  # the first of equals
+                text = owner[start]
+                first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+                highest = np.repeat(np.maximum.reduceat(best, first), np.diff(np.r_[first, len(text)]))
+                toxic = label[at + text]
+                keep = (toxic == 0) | (best > 0) | (best == highest)
+                out += zip([letters(pieces[i]) for i in which[top[keep]]], best[keep].tolist(), toxic[keep].tolist())
+            yield pd.DataFrame([x for x in out if x[0]], columns=["word", "score", "toxic"])
 
     return run
 
@@ -321,25 +296,27 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
     if set(total) != {0, 1}:
         return constant
     apart = frozen(_without_near_copies(sample))
-    marks, likely = _landmarks(apart, t)
-    if not marks:
+    seeds, likely, plain = _seeds(apart, t)
+    if not seeds or not plain:
         return constant
-    kernel = Kernel(marks, t.decay, likely)
-    model = Model(kernel.near, 0.0, np.zeros(4), t.decay, share)
-    clean: set[str] = set()
-    clean_x = [np.zeros((0, kernel.rows.shape[1]), dtype=np.float32)]
-    for k in range(t.rounds):
-        chosen = apart.mapInPandas(_chosen(model, t.witnesses if k else 1), "sentence string, score double, toxic int")
-        found = frozen(chosen.groupBy("sentence", "toxic").agg(F.max("score").alias("score")))
-        luck = F.xxhash64(F.lit(t.seed), "sentence")
-        some = lambda y, *by: [r[0] for r in found.filter(F.col("toxic") == y).orderBy(*by, luck, "sentence").limit(t.sentences).select("sentence").collect()]
-        toxic_x = kernel.mapped([s.split(" ") for s in some(1)])
-        new = [s for s in some(0, F.desc("score")) if s not in clean]
-        clean |= set(new)
-        clean_x.append(kernel.mapped([s.split(" ") for s in new]))
-        x = np.concatenate([toxic_x, *clean_x])
-        w = machine(x, np.r_[np.ones(len(toxic_x)), -np.ones(len(x) - len(toxic_x))], t.ridge)
+    half = t.landmarks // 2
+    kernel = Kernel(list(dict.fromkeys(likely[:half] + plain[:half])), t.decay)
+    positive, negative = seeds, dict.fromkeys(plain, 1)
+    ratio = total[1] / total[0]
+    for k in range(t.rounds + 1):
+        words = [*positive, *negative]
+        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+        weight = np.r_[np.array(list(positive.values()), dtype=float), 1 + np.log1p(list(negative.values()))]
+        w = machine(kernel.words(words), y, weight, t.ridge)
         model = Model(kernel.table(w[:-1]), float(w[-1]), np.zeros(4), t.decay, share)
+        if k == t.rounds:
+            break
+        named = apart.mapInPandas(_witnesses(model), "word string, score double, toxic int").groupBy("word")
+        found = frozen(named.agg(F.max("score").alias("score"), F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
+        for word, n in found.filter("n > 0").orderBy(F.desc("score"), "word").limit(t.witnesses).select("word", "n").collect():
+            negative[word] = max(n, negative.get(word, 0))
+        toxic = found.filter(F.col("p") > ratio * F.col("n")).orderBy(F.desc("p"), "word").limit(t.witnesses).select("word", "p").collect()
+        positive = {word: p for word, p in toxic if p > ratio * negative.get(word, 0)} or seeds
     rows = sample.select("toxic", evidence_udf(model)("__text").alias("e")).select("toxic",
         *[F.col("e")[i].alias(c) for i, c in enumerate(("highest", "above", "words"))])
     rows = rows.groupBy("toxic", "highest", "above", F.floor(F.log1p("words")).alias("w")).agg(F.count("*").alias("k"),
@@ -358,18 +335,17 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
     return Model(model.table, model.bias, w, t.decay, share)
 
 
-def _landmarks(sample: DataFrame, t: Training) -> tuple[list[str], np.ndarray]:
-    """Half the likeliest words of toxic documents, half words of clean ones by a seeded hash; and how sure each is of a toxic document."""
-    counts = frozen(sample.mapInPandas(_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("p"),
-        F.sum(1 - F.col("toxic")).alias("n")))
+def _seeds(sample: DataFrame, t: Training) -> tuple[dict[str, float], list[str], list[str]]:
+    """Words that set toxic documents apart, with the square of how sure they do; words of toxic documents, the likeliest first; words of clean ones by a seeded hash."""
+    counts = frozen(sample.mapInPandas(_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
     sums = counts.agg(F.sum("p"), F.sum("n")).first()
     odds = F.log((F.col("p") + 0.5) / (sums[0] + 1)) - F.log((F.col("n") + 0.5) / (sums[1] + 1))
     sure = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    half, luck = t.landmarks // 2, F.xxhash64(F.lit(t.seed), "word")
-    toxic = {r[0]: max(0.0, r[1]) for r in counts.filter("p > 0").orderBy(sure.desc(), "word").limit(half).select("word", sure).collect()}
-    clean = [r[0] for r in counts.filter("n > 0").orderBy(luck, "word").limit(half).select("word").collect()]
-    marks = list(dict.fromkeys([*toxic, *clean])) if toxic and clean else []
-    return marks, np.array([toxic.get(w, 0.0) for w in marks])
+    luck = F.xxhash64(F.lit(t.seed), "word")
+    likely = [r[0] for r in counts.filter("p > 0").orderBy(sure.desc(), "word").limit(t.landmarks).select("word").collect()]
+    plain = [r[0] for r in counts.filter("n > 0 AND p <= n").orderBy(luck, "word").limit(t.witnesses).select("word").collect()]
+    apart = counts.filter((F.col("p") >= 2) & (sure > t.sure) & (odds > float(np.log(t.odds)))).orderBy(sure.desc(), "word")
+    return {r[0]: r[1] ** 2 for r in apart.limit(t.witnesses).select("word", sure).collect()}, likely, plain
 
 
 def _curve_inputs(highest, above, words) -> np.ndarray:
@@ -377,7 +353,7 @@ def _curve_inputs(highest, above, words) -> np.ndarray:
 
 
 def evidence_udf(model: Model):
-    """A column function: (highest sentence, sentences above zero, words) of a text."""
+    """A column function: (highest word, words above zero, words) of a text."""
     return text_udf(lambda: (lambda scorer: lambda texts: list(scorer.evidence(texts)))(Scorer(model.table, model.bias, model.decay)),
         "array<double>", pa.list_(pa.float64()))
 

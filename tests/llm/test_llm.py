@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -393,7 +394,10 @@ def test_toxicity_held_out(spark, docs, none):
     assert by[4] == by[5] == by[6] < 0.5 and all(0 <= x <= 1 for x in by.values())  # null, empty and blank texts
     long = " ".join(W * 50)
     extra = spark.createDataFrame([(1, long), (2, long + " you idiot. moron, stupid idiot."), (3, "so\u3000i d i o t\u00a0scum, you moron")], "doc_id long, text string")
-    assert [r.predicted for r in toxicity.score(extra, model).orderBy("doc_id").collect()] == [0, 1, 1]
+    judged = toxicity.score(extra, model).orderBy("doc_id").collect()
+    assert judged[0].predicted == 0 and judged[2].predicted == 1 and judged[1].score > judged[0].score  # the end of a text counts
+    short = spark.createDataFrame([(1, " ".join(W * 3) + " you idiot. moron, stupid idiot.")], "doc_id long, text string")
+    assert toxicity.score(short, model).first().predicted == 1
     left = toxicity.drop_toxic(docs, model)
     assert left.columns == docs.columns and {tuple(r) for r in left.collect()} == {tuple(r) for r in docs.collect() if by[r.doc_id] < 0.5}
     assert toxicity.score(none, model).count() == 0 and toxicity.drop_toxic(none, model).count() == 0
@@ -419,29 +423,30 @@ def test_toxicity_tables_are_the_kernel():
     words = ["".join(chr(97 + c) for c in rng.integers(0, 6, rng.integers(1, 18))) for _ in range(30)]
     kernel = toxicity.Kernel(words[:12], 0.5)
     direct = np.array([[letter_kernel(a, b, 0.5) for b in words[:12]] for a in words])
+    assert np.allclose(kernel.words(words), direct @ kernel.whiten, atol=1e-4)
     w = rng.normal(size=kernel.whiten.shape[1])
-    sentence = [words[i] for i in (3, 17, 25)]
-    want = np.array([sum(direct[words.index(x)] for x in sentence)]) / np.sqrt(3) @ kernel.whiten
-    assert np.allclose(kernel.mapped([sentence, sentence[:1]])[:1], want, atol=1e-4)
-    assert np.allclose(toxicity.score_words(words, kernel.table(w), 0.5), direct @ kernel.whiten @ w, atol=1e-4)
-    near = toxicity.Kernel(words[:12], 0.5, np.arange(12.0)).near
-    assert np.allclose(toxicity.score_words(words, near, 0.5), direct @ np.arange(12.0) ** 2)
+    value = direct @ kernel.whiten @ w
+    assert np.allclose(toxicity.score_words(words, kernel.table(w), 0.5), value, atol=1e-4)
+    # a text of three sentences: its highest word, words above zero, and words; and the witness of each sentence
     text = " ".join(words[:7]) + ". " + " ".join(words[7:9]) + "\n" + words[9]
-    scorer = toxicity.Scorer(kernel.table(w), 0.25, 0.5)
-    single = dict(zip(words, direct @ kernel.whiten @ w))
-    windows = [words[0:4], words[2:6], words[4:7], words[7:9], words[9:10]]
-    want = [sum(single[x] for x in v) / np.sqrt(len(v)) + 0.25 for v in windows]
-    assert np.allclose(next(scorer.sentences([text]))[-1], want, atol=1e-4)
-    assert np.allclose(scorer.evidence(["", text]), [[-1, 0, 0], [max(want), sum(x > 0 for x in want), 10]], atol=1e-4)
+    model = toxicity.Model(kernel.table(w), 0.25, np.zeros(4), 0.5, 0.1)
+    own = value[:10] + 0.25
+    scorer = toxicity.Scorer(model.table, model.bias, model.decay)
+    assert np.allclose(scorer.evidence(["", text]), [[-1, 0, 0], [max(own), sum(own > 0), 10]], atol=1e-4)
+    best = [own[:7].argmax(), 7 + own[7:9].argmax(), 9]
+    for toxic in (0, 1):
+        want = [words[i] for i in best if not toxic or own[i] > 0 or own[i] == own.max()]
+        frame = pd.DataFrame({"__text": [text], "toxic": [toxic]})
+        assert [*next(toxicity._witnesses(model)(iter([frame])))["word"]] == want
 
 
 def test_machine_is_the_minimum():
     rng = np.random.default_rng(4)
-    x, y = rng.normal(size=(80, 5)), np.where(rng.random(80) < 0.3, 1.0, -1.0)
+    x, y, n = rng.normal(size=(80, 5)), np.where(rng.random(80) < 0.3, 1.0, -1.0), rng.integers(1, 9, 80).astype(float)
     x[:, 0] += y
-    c = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
+    c = np.where(y > 0, n / n[y > 0].sum(), n / n[y < 0].sum())
     loss = lambda w: (c * np.maximum(0, 1 - y * (np.c_[x, np.ones(80)] @ w)) ** 2).sum() + 1e-3 * w @ w
-    w = toxicity.machine(x, y, 1e-3)
+    w = toxicity.machine(x, y, n, 1e-3)
     assert all(loss(w) <= loss(w + rng.normal(scale=s, size=6)) + 1e-12 for s in (1e-4, 1e-2, 1) for _ in range(50))
 
 

@@ -10,7 +10,7 @@ share of its limit. Where nothing fits, the shortest longer piece whose
 beginning fills the gap, prompts first, is cut. A sequence that stays unfilled
 is cut into powers of two, which need no padding. Work runs window by window
 inside each input partition, so that nothing is shuffled and memory is bounded
-by a window.
+by a window; the pieces are written to the checkpoint folder.
 
 Defined results: a null text counts as empty and has the end id alone; rows
 with equal or null ids are packed as separate documents; an empty table gives no
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import text_or_empty
+from .common import arrow_rows, frozen, text_or_empty
 
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 SCHEMA = "doc_id string, " + ", ".join(f"{c} long" for c in _FIELDS[1:])
@@ -205,4 +205,6 @@ def pack(df: DataFrame, path: str | None = None, end_id: int = 1, limits: Limits
     text = text_or_empty(text_col)
     prompt = F.coalesce(prompt_chars if prompt_chars is not None else first_line_chars(text), F.lit(0))
     rows = df.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text.alias("__text"), prompt.cast("int").alias("__prompt"))
-    return rows.mapInArrow(_packer(path, end_id, limits), SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
+    with arrow_rows(df.sparkSession, 1000):
+        pieces = frozen(rows.mapInArrow(_packer(path, end_id, limits), SCHEMA))
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))

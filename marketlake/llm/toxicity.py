@@ -376,12 +376,14 @@ def score_udf(model: Model):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; the score reads the text alone."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), score_udf(model)(text_or_empty(text_col)).alias("score"))
+    """doc_id, held_out, score, predicted of every row; the score reads the text alone. Scores are written to the checkpoint folder."""
+    with arrow_rows(docs.sparkSession, 1000):
+        rows = frozen(docs.select(F.col(id_col).cast("long").alias("doc_id"), score_udf(model)(text_or_empty(text_col)).alias("score")))
     return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows below the threshold, with all their columns; nothing is shuffled and Python sees the text alone."""
-    return docs.filter(score_udf(model)(text_or_empty(text_col)) < threshold)
+    """The rows below the threshold, with all their columns, written to the checkpoint folder; nothing is shuffled and Python sees the text alone."""
+    with arrow_rows(docs.sparkSession, 1000):
+        return frozen(docs.filter(score_udf(model)(text_or_empty(text_col)) < threshold))

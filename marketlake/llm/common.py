@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,12 +37,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder: lineage is cut and a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder, read again."""
+    folder = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+#: A table is broadcast up to so many bytes.
+BROADCAST_BYTES = 64_000_000
+
+
+def bounded(df: DataFrame, size: int) -> DataFrame:
+    """df marked for a broadcast where its counted size allows; else it is shuffled."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows while an eager step runs; bounds the memory of Python workers."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, exact_dedup, html_text, mixing, ngram_join, packing, sharding, token_counts, tool_calls, toxicity
+from . import embedding_join, exact_dedup, html_text, mixing, ngram_join, packing, positional_index, sharding, token_counts, tool_calls, toxicity
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10, slack=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op2_tool_call_linking": op2_tool_call_linking,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_html_main_text": op10_html_main_text,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
@@ -113,4 +118,21 @@ ORACLES: dict[str, str] = {
                row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1 AS kept, h AS text_sha256
         FROM t
     """,
+    "op11_benchmark_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        i AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s : s + 9], ' ') AS t FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM b WHERE len(w) > 0)),
+        p AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i))),
+        m AS (SELECT DISTINCT doc_id, item_id, s, p.n FROM p JOIN i ON p.t = i.t AND p.n = i.n),
+        h AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM m) GROUP BY 1),
+        f AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) GROUP BY 1),
+        r AS (SELECT item_id, ts, n0 AS n, arg_min(x, (f.n, x)) AS rarest FROM (SELECT item_id, n AS n0, string_split(t, ' ') AS ts, unnest(string_split(t, ' ')) AS x FROM i) u JOIN f ON f.t = u.x GROUP BY ALL),
+        o AS (SELECT doc_id, w, k, w[k] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d) WHERE t IN (SELECT rarest FROM r)),
+        y AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM (
+            SELECT doc_id, item_id, w, ts, r.n, k - unnest(range(0, r.n + 2)) AS s FROM o JOIN r ON r.rarest = o.t
+        ) WHERE list_has_all(w[greatest(1, s) : s + n + 1], ts) GROUP BY 1),
+        x AS (SELECT doc_id, string_agg(item_id, ',' ORDER BY item_id) AS ids, count(*) AS n FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(x.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated, coalesce(y.n, 0) AS n_near_items
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+    """,
 }

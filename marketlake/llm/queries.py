@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, exact_dedup, html_text, mixing, ngram_join, packing, positional_index, sharding, token_counts, tool_calls, toxicity
+from . import embedding_join, exact_dedup, html_text, mixing, ngram_join, packing, positional_index, prefix_trie, sharding, token_counts, tool_calls, toxicity
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10, slack=2)
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op2_tool_call_linking": op2_tool_call_linking,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_html_main_text": op10_html_main_text,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -135,4 +140,39 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(x.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated, coalesce(y.n, 0) AS n_near_items
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
     """,
+    "op12_conversation_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        -- CRC-32 of the decimal number: a step for each byte, and one for each of its bits
+        crc AS (
+            SELECT conv_id, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                       lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM t)
+        ),
+        c AS (SELECT crc.conv_id, h, conv_id - conv_id % 100 AS base, least(h, coalesce(n, 0)) AS taken
+              FROM crc LEFT JOIN (SELECT conv_id AS b, count(*) AS n FROM t GROUP BY 1) ON b = conv_id - conv_id % 100),
+        x AS (
+            SELECT c.conv_id, t.r AS d, role, text FROM c JOIN t ON t.conv_id = c.base AND t.r <= h
+            UNION ALL SELECT c.conv_id, t.r - h + taken, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.r > h
+        ),
+        p AS (
+            SELECT conv_id, d, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS k, length(text) AS n FROM x
+            WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+            UNION ALL SELECT conv_id, 0, '', 0 FROM c
+        ),
+        q AS (SELECT *, lag(k) OVER w AS up, d = max(d) OVER (PARTITION BY conv_id) AS last FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+        node AS (SELECT d, k, up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM q GROUP BY d, k, up),
+        kids AS (SELECT up AS k, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY 1),
+        pairs AS (SELECT DISTINCT a.k, b.k AS below FROM q a JOIN q b ON a.conv_id = b.conv_id AND b.d >= a.d),
+        sums AS (SELECT pairs.k, count(*) FILTER (kids.k IS NULL) AS n_leaves, sum((n_convs - 1) * n)::BIGINT AS saved_tokens
+                 FROM pairs JOIN node ON node.k = pairs.below LEFT JOIN kids ON kids.k = pairs.below GROUP BY 1),
+        ends AS (SELECT k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS e FROM q WHERE last GROUP BY 1)
+        SELECT node.conv_id, node.d AS depth, parent.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+               coalesce(e, sha256('')) AS ends_sha256
+        FROM node JOIN sums ON sums.k = node.k LEFT JOIN kids ON kids.k = node.k LEFT JOIN ends ON ends.k = node.k LEFT JOIN node parent ON parent.k = node.up
+    """,
 }

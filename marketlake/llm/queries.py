@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, exact_dedup, html_text, mixing, ngram_join, packing, positional_index, prefix_trie, sharding, token_counts, tool_calls, toxicity
+from . import (embedding_join, exact_dedup, html_text, mixing, ngram_join, packing, positional_index, prefix_trie, sharding, token_alignment,
+    token_counts, tool_calls, toxicity)
 from .common import table
 
 
@@ -63,6 +64,10 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op2_tool_call_linking": op2_tool_call_linking,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_main_text": op10_html_main_text,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
     "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {

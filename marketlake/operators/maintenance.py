@@ -125,17 +125,6 @@ def retention_plan(partitions: DataFrame, state: DataFrame, today: int, keep_day
     return j.select("table", "day", "rows", F.when(old & ready, "drop").otherwise("keep").alias("action"), reason.alias("reason"))
 
 
-def materialization_gate(state: DataFrame, ticks: DataFrame, rollups: DataFrame, width_ms: int, least: float = 0.90) -> DataFrame:
-    """(day, complete, covered): every bucket of the day finalized, and rollup rows of enough of its distinct items."""
-    s = state.groupBy(epoch_day("bucket_start").alias("day")).agg((F.count_if(~F.col("finalized")) == 0).alias("clean"),
-        F.count_if("finalized").alias("n"))
-    items = ticks.groupBy(epoch_day("snapshot_ts").alias("day")).agg(F.countDistinct("product_id").alias("items"))
-    made = rollups.groupBy(epoch_day("bucket_start").alias("day")).agg(F.countDistinct("product_id").alias("rolled"))
-    j = s.join(items, "day", "left").join(made, "day", "left")
-    return j.select("day", (F.col("clean") & (F.col("n") >= DAY_MS // width_ms)).alias("complete"),
-        (F.coalesce("rolled", F.lit(0)) / F.col("items") >= least).alias("covered"))
-
-
 def archive_days(raw: DataFrame) -> DataFrame:
     """(day, snapshot_ts, snapshots): the earliest snapshot of each day, which is retained, and how many there were."""
     return raw.groupBy(epoch_day("snapshot_ts").alias("day")).agg(F.min("snapshot_ts").alias("snapshot_ts"),

@@ -205,20 +205,13 @@ def listing_segments(df: DataFrame, p: RollupParams = RollupParams()) -> DataFra
     return anomaly_segments(bad, by, LISTING_METRICS, {"median_anchor": "anchor", "median_p50": "p50", "median_count": "bin_count"})
 
 
-def bucket_state(rollups: DataFrame, samples: DataFrame, by_key: str, p: RollupParams) -> DataFrame:
-    """(bucket_start, granularity, raw_rows, rollup_rows, finalized) of the buckets of a run."""
-    raw = with_bucket(samples, p).groupBy("bucket_start").agg(F.count("*").alias("raw_rows"))
-    made = rollups.groupBy("bucket_start").agg(F.count("*").alias("rollup_rows"))
-    return raw.join(made, "bucket_start", "left").select("bucket_start", F.lit(p.granularity).alias("granularity"), "raw_rows",
-        F.coalesce("rollup_rows", F.lit(0)).alias("rollup_rows"), F.lit(True).alias("finalized"))
-
-
 def due_buckets(state: DataFrame, ticks: DataFrame, now_ms: int, p: RollupParams, watermark_ms: int = 30_000, most: int = 128) -> DataFrame:
-    """Bucket starts due: after the last finalized bucket (else the first UTC day with rows), closed at the watermark and no later than the newest raw row."""
+    """Bucket starts due: after the last finalized bucket (else the first UTC day with rows), closed at the watermark and no later than that of the newest raw row."""
     newest = ticks.agg(F.min("snapshot_ts").alias("lo"), F.max("snapshot_ts").alias("hi"))
     last = state.filter("finalized").agg((F.max("bucket_start") + p.width).alias("next"))
+    closed = bucket_start(F.lit(now_ms - watermark_ms), p.width) - p.width
     edge = newest.crossJoin(F.broadcast(last)).select(F.coalesce("next", bucket_start("lo", DAY_MS)).alias("a"),
-        (bucket_start(F.least(F.lit(now_ms - watermark_ms), F.col("hi")), p.width) - p.width).alias("b"))
+        F.least(closed, bucket_start("hi", p.width)).alias("b"))
     return edge.filter("a <= b").select(F.explode(F.sequence("a", F.least(F.col("b"), F.col("a") + (most - 1) * p.width),
         F.lit(p.width))).alias("bucket_start"))
 

@@ -178,12 +178,3 @@ q("o103_dashboard_overview", lambda s, d: X.dashboard_overview(A.items(s, d), A.
     f"arg_max(stable_id, {{p: coalesce(expected_profit, -9e18), s: "
         f"stable_id}}) AS top_opportunity, max(expected_profit) AS top_profit, count(*) AS opportunity_count, (SELECT "
             f"trend FROM ({_TREND})) AS trend FROM opportunities")
-q("o153_due_buckets", lambda s, d: R.due_buckets(R.bucket_state(R.bucket_rollup_quotes(A.quote_ticks(s, d), P),
-    A.quote_ticks(s, d).filter(F.col("snapshot_ts") < T), "product_id", P), A.quote_ticks(s, d), 1_705_700_000_000, P), "quote_ticks",
-    f"SELECT unnest(generate_series({T}, 1705700000000 // {DAY_MS} * {DAY_MS} - {DAY_MS}, {DAY_MS})) AS bucket_start")
-q("o154_bucket_state", lambda s, d: R.bucket_state(R.bucket_rollup_quotes(A.quote_ticks(s, d), P), A.quote_ticks(s, d), "product_id", P),
-    "quote_ticks", f"SELECT t.*, coalesce(r.n, 0) AS rollup_rows FROM (SELECT "
-    f"snapshot_ts // {DAY_MS} * {DAY_MS} AS bucket_start, '1d' AS granularity, count(*) AS raw_rows, true AS finalized FROM quote_ticks "
-        f"GROUP BY 1) t LEFT JOIN (SELECT b, count(*) AS n FROM (SELECT "
-            f"snapshot_ts // {DAY_MS} * {DAY_MS} AS b, product_id FROM quote_ticks GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1) r ON "
-                f"r.b = t.bucket_start")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.exprs import DAY_MS
 from ..sources import adapters as A
+from ..sources.files import read_or_empty
 from ..streaming import streams as ST
 from .inputs_sql import sql
 from .q_tables import _H, shared_folder
@@ -15,14 +17,14 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def landed(s: SparkSession, df: DataFrame, steps: int = 4) -> DataFrame:
+def landed(s: SparkSession, df: DataFrame, steps: int = 4, to: str | None = None) -> DataFrame:
     """df as a stream: landed in so many steps ordered by time, one read per micro-batch. A step has a file for every 250,000 of its rows."""
-    to = shared_folder(s)
+    to = to or shared_folder(s)
     order = "snapshot_ts" if "snapshot_ts" in df.columns else "ts"
     lo, hi, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
     each = max(1, n // (250_000 * steps))
     if lo is None:
-        df.write.parquet(to)
+        df.write.mode("append").parquet(to)
     else:
         width = (hi - lo) // steps + 1
         for k in range(steps):
@@ -34,7 +36,7 @@ def landed(s: SparkSession, df: DataFrame, steps: int = 4) -> DataFrame:
 def collected(s: SparkSession, stream: DataFrame, mode: str = "append", batch=None) -> DataFrame:
     to = shared_folder(s)
     ST.run_to_table(stream, to, shared_folder(s), mode, batch)
-    return s.read.parquet(to)
+    return read_or_empty(s, to, StructType([*stream.schema.fields, StructField("batch_id", IntegerType())]))
 
 
 def _ticks(s, d):
@@ -84,7 +86,7 @@ def o158(s, d):
     for _ in range(2):
         landed(s, g).writeStream.option("checkpointLocation",
             shared_folder(s)).foreachBatch(ST.regenerate(s, to)).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(to).select(F.col("snapshot_ts").cast("long").alias("snapshot_ts"), "product_id", "buy_price")
+    return read_or_empty(s, to, g.schema).select(F.col("snapshot_ts").cast("long").alias("snapshot_ts"), "product_id", "buy_price")
 
 
 QUERIES = {"o149_pair_feeds_stream": o149, "o150_latest_only": o150, "o152_closed_buckets": o152, "o156_trend_segments_stream": o156,

@@ -253,16 +253,6 @@ q("o160_retention_plan", lambda s, d: M.retention_plan(_parts(s, d),
   FROM (SELECT snapshot_ts // {DAY_MS} AS day, count(*) AS rows FROM quote_ticks GROUP BY 1)""")
 
 
-def _gate(s, d):
-    t = A.quote_ticks(s, d)
-    r = R.bucket_rollup_quotes(t, P).filter("NOT partial OR product_id <> 'P1'")
-    return M.materialization_gate(R.bucket_state(r, t, "product_id", P), t, r, DAY_MS)
-
-
-q("o161_materialization_gate", _gate, "quote_ticks",
-    f"""WITH r AS ({ROLLUP}), i AS (SELECT snapshot_ts // {DAY_MS} AS day, count(DISTINCT product_id) AS items FROM quote_ticks GROUP BY 1),
-  m AS (SELECT bucket_start // {DAY_MS} AS day, count(DISTINCT product_id) AS rolled FROM r WHERE NOT partial OR product_id <> 'P1' GROUP BY 1)
-  SELECT day, true AS complete, coalesce(rolled, 0) / items >= 0.9 AS covered FROM i LEFT JOIN m USING (day)""")
 q("o162_archive_days", lambda s, d: M.archive_days(A.quote_grid(s, d)), "quote_grid",
     f"SELECT snapshot_ts // {DAY_MS} AS day, min(snapshot_ts) AS snapshot_ts, count(DISTINCT snapshot_ts) AS snapshots FROM quote_grid "
     f"GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_core", "q_series", "q_value", "q_reads", "q_tables", "q_streams")
+MODULES = ("q_core", "q_series", "q_value", "q_reads", "q_tables", "q_runs", "q_streams")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:

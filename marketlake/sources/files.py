@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import epoch_day
 
@@ -90,6 +91,19 @@ def catalog_fingerprint(files: DataFrame) -> DataFrame:
     return groups.agg(F.sha2(lines(F.concat_ws(":", "g", "h")), 256).alias("fingerprint"), F.sum("n").alias("files"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a store that Spark reads has the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str | StructType | None) -> DataFrame | None:
+    """A Parquet table that may not have been written yet: then no rows, or None where no schema is given."""
+    if exists(spark, path):
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    return None if schema is None else spark.createDataFrame([], schema)
+
+
 def write_snapshots(df: DataFrame, path: str, mode: str = "append") -> None:
     df.withColumn("day", epoch_day("snapshot_ts")).write.mode(mode).partitionBy("day").parquet(path)
 

@@ -8,6 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..functions.exprs import epoch_day
+from ..operators import materialization as MZ
+from ..operators.rollups import RollupParams, with_bucket
+from ..sources.files import read_or_empty
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -23,6 +29,55 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
 
 
+CLOCK = "clock long, rows long, late long"
+
+
+def materialize(ticks: DataFrame, folder: str, checkpoint: str, p: RollupParams = RollupParams(), compute=MZ.QUOTES, watermark_ms: int = 30_000,
+    most: int = 1_000_000, close: bool = False) -> None:
+    """Robust rollups of a stream of ticks (snapshot_ts, ...), over all that is available.
+
+    Medians and deviations need all samples of a bucket, so a micro-batch lands its rows first; when the clock, the greatest
+    snapshot seen, has passed a bucket's end by the watermark, the bucket is computed from what has landed and its state is
+    written (`operators.materialization`), from which the next batch, or the next start, goes on. Rows of a finalized bucket
+    are late and land apart. All folders are named by the batch and overwritten: a batch that is repeated after a stop reads
+    the state of the batches before it and writes the same again. With `close` the stream has ended, and what is open closes.
+
+    Tables below the folder: raw/batch=.../day=..., late/batch=..., clock/batch=..., and those of the materialization.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        state = MZ.current_state(MZ.state_log(spark, folder).filter(F.col("run") < batch)).filter(F.col("granularity") == p.granularity)
+        done = state.filter("finalized").select("bucket_start")
+        rows = with_bucket(df, p)
+        for name, kept in (("raw", rows.join(done, "bucket_start", "left_anti")), ("late", rows.join(done, "bucket_start", "left_semi"))):
+            kept.drop("bucket_start").withColumn("day", epoch_day("snapshot_ts")).write.mode("overwrite").partitionBy("day").parquet(
+                f"{folder}/{name}/batch={batch}")
+        seen = {n: read_or_empty(spark, f"{folder}/{n}/batch={batch}", df.schema).agg(F.max("snapshot_ts"), F.count("*")).first()
+            for n in ("raw", "late")}
+        before = read_or_empty(spark, f"{folder}/clock", f"{CLOCK}, batch long").filter(F.col("batch") < batch).agg(F.max("clock")).first()[0]
+        clock = max((x for x in (before, seen["raw"][0], seen["late"][0]) if x is not None), default=None)
+        spark.createDataFrame([(clock, seen["raw"][1], seen["late"][1])], CLOCK).coalesce(1).write.mode("overwrite").parquet(
+            f"{folder}/clock/batch={batch}")
+        if clock is not None:
+            MZ.run(landed_rows(spark, folder, df.schema, batch), folder, batch, clock, p, compute, watermark_ms, most)
+
+    query = ticks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if close:
+        spark = ticks.sparkSession
+        last = read_or_empty(spark, f"{folder}/clock", f"{CLOCK}, batch long").agg(F.max("clock"), F.max("batch")).first()
+        if last[0] is not None:
+            MZ.run(landed_rows(spark, folder, ticks.schema, last[1]), folder, last[1] + 1, last[0] + p.width + watermark_ms + 1, p, compute,
+                watermark_ms, most)
+
+
+def landed_rows(spark: SparkSession, folder: str, schema: StructType, upto: int, name: str = "raw") -> DataFrame:
+    """Rows of a landing table up to a batch, with their day."""
+    whole = StructType([*schema.fields, StructField("day", LongType()), StructField("batch", LongType())])
+    return read_or_empty(spark, f"{folder}/{name}", whole).filter(F.col("batch") <= upto).drop("batch")
+
+
 def closed_buckets(ticks: DataFrame, width: str = "1 day", watermark: str = "30 seconds") -> DataFrame:
     """Plain aggregates of tumbling buckets, each put out once when the watermark has passed its end. ticks: ts timestamp."""
     g = ticks.withWatermark("ts", watermark).groupBy(F.window("ts", width), "product_id").agg(F.count("*").alias("n"),

@@ -7,8 +7,9 @@ a limit is cut into pieces as long as the limits allow. Pieces are vectors
 open sequence takes, of all pieces that fit its three limits, the one whose
 demand has the largest inner product with what the sequence has left, each as a
 share of its limit. Where nothing fits, the shortest longer piece whose
-beginning fills the gap, prompts first, is cut. A sequence that stays unfilled
-is cut into powers of two, which need no padding. Work runs window by window
+beginning fills the gap, prompts first, is cut. A sequence that its loss limit
+closes is padded, by 32 tokens or little more; one that stays emptier is cut into
+powers of two, which need no padding. Work runs window by window
 inside each input partition, so that nothing is shuffled and memory is bounded
 by a window; the pieces are written to the checkpoint folder.
 
@@ -44,7 +45,7 @@ class Limits:
 
     tokens: int = 2048
     segments: int = 128
-    loss_tokens: int = 1984
+    loss_tokens: int = 2016
     least_cut: int = 8
     window_tokens: int = 2_000_000
 
@@ -67,72 +68,87 @@ def pieces_of(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> tuple[np.
     return item, start, length, np.minimum(length, np.maximum(0, start + length - (tokens - loss)[item]))
 
 
+class _Left:
+    """The pieces left, as kinds of equal (tokens, loss-bearing) in falling order, with how many there are of each."""
+
+    def __init__(self, item: np.ndarray, start: np.ndarray, length: np.ndarray, bearing: np.ndarray):
+        order = np.lexsort((start, item, -bearing, -length))
+        self.item, self.start = item[order], start[order]
+        falling, bearing = -length[order], bearing[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(falling) != 0) | (np.diff(bearing) != 0)]) if len(order) else order
+        self.falling, self.bearing, self.head, self.stop = falling[first], bearing[first], first, np.r_[first[1:], len(order)]
+        self.more: list[list[tuple[int, int]]] = [[] for _ in first]  # what cuts have left over
+
+    def take(self, kind: int) -> tuple[int, int, int, int]:
+        """(item, start, length, loss-bearing) of the first piece of a kind, which is taken out."""
+        n, x = int(-self.falling[kind]), int(self.bearing[kind])
+        if self.head[kind] < self.stop[kind]:
+            at = int(self.head[kind])
+            self.head[kind] += 1
+            piece = int(self.item[at]), int(self.start[at]), n, x
+        else:
+            piece = *self.more[kind].pop(0), n, x
+        if self.head[kind] == self.stop[kind] and not self.more[kind]:
+            for name in ("falling", "bearing", "head", "stop"):
+                setattr(self, name, np.delete(getattr(self, name), kind))
+            del self.more[kind]
+        return piece
+
+    def put(self, item: int, start: int, n: int, x: int) -> None:
+        lo, hi = np.searchsorted(self.falling, -n, side="left"), np.searchsorted(self.falling, -n, side="right")
+        kind = int(lo + np.searchsorted(-self.bearing[lo:hi], -x))
+        if kind == hi or self.bearing[kind] != x:
+            for name, value in (("falling", -n), ("bearing", x), ("head", 0), ("stop", 0)):
+                setattr(self, name, np.insert(getattr(self, name), kind, value))
+            self.more.insert(kind, [])
+        self.more[kind].append((item, start))
+
+    def best(self, room_t: int, room_l: int, limits: Limits) -> int:
+        """The kind that fits and has the largest inner product with what is left of the limits; -1 if none fits."""
+        if len(self.falling) == 1:
+            return 0 if -self.falling[0] <= room_t and self.bearing[0] <= room_l else -1
+        by_t, by_l = room_t / limits.tokens**2, room_l / limits.loss_tokens**2
+        lo, step, best, pick = int(np.searchsorted(self.falling, -room_t)), 64, -1.0, -1
+        # loss is at most tokens, so what comes later in the order is bounded by its tokens
+        while lo < len(self.falling) and -self.falling[lo] * (by_t + by_l) > best:
+            x = self.bearing[lo : lo + step]
+            score = np.where(x > room_l, -1.0, -self.falling[lo : lo + step] * by_t + x * by_l)
+            k = int(score.argmax())
+            if score[k] > best and score[k] >= 0:
+                best, pick = float(score[k]), lo + k
+            lo, step = lo + step, step * 4
+        return pick
+
+    def to_cut(self, room_t: int, room_l: int) -> int:
+        """The kind of the shortest pieces longer than the gap whose beginning, prompt first, fills it within the loss limit; -1 if none does."""
+        longer = int(np.searchsorted(self.falling, -room_t))
+        for hi in range(longer, 0, -256):
+            lo = max(0, hi - 256)
+            found = np.flatnonzero(-self.falling[lo:hi] - self.bearing[lo:hi] + room_l >= room_t)
+            if len(found):
+                return lo + int(found[-1])
+        return -1
+
+
 def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[Piece]]:
     """Sequences of pieces. Each choice weighs every piece left that fits; of equal ones the longest, then the one with most loss, then the first goes."""
-    item, start, length, bearing = pieces_of(tokens, loss, limits)
-    # in descending order of tokens, then loss: what fits in tokens begins at a place found by bisection
-    order = np.lexsort((start, item, -bearing, -length))
-    left = np.stack([item[order], start[order], -length[order], bearing[order]])
-    item, start, falling, bearing = left
+    left = _Left(*pieces_of(tokens, loss, limits))
     bins: list[list[Piece]] = []
-    while len(item):
+    while len(left.falling):
         room_t, room_s, room_l = limits.tokens, limits.segments, limits.loss_tokens
         own: list[Piece] = []
-        used: list[int] = []
-        while room_s and room_t:
-            by_t, by_l = room_t / limits.tokens**2, room_l / limits.loss_tokens**2
-            lo, step, best, pick = int(np.searchsorted(falling, -room_t)), 64, -1.0, -1
-            # loss is at most tokens, so what comes later in the order is bounded by its tokens
-            while lo < len(falling) and -falling[lo] * (by_t + by_l) > best:
-                x = bearing[lo : lo + step]
-                score = -falling[lo : lo + step] * by_t + x * by_l
-                score[x > room_l] = -1.0
-                for u in used:
-                    if lo <= u < lo + len(score):
-                        score[u - lo] = -1.0
-                k = int(score.argmax())
-                if score[k] > best and score[k] >= 0:
-                    best, pick = float(score[k]), lo + k
-                lo, step = lo + step, step * 4
-            if pick < 0:
-                break
-            n = int(-falling[pick])
-            own.append((int(item[pick]), int(start[pick]), n))
-            used.append(pick)
-            room_t, room_s, room_l = room_t - n, room_s - 1, room_l - int(bearing[pick])
-        cut = _to_cut(falling, bearing, used, room_t, room_l) if room_s and room_t >= limits.least_cut else -1
-        gone = used
-        if cut >= 0:
-            i, at, n, x = int(item[cut]), int(start[cut]), int(-falling[cut]), int(bearing[cut])
+        while room_s and room_t and (kind := left.best(room_t, room_l, limits)) >= 0:
+            i, at, n, x = left.take(kind)
+            own.append((i, at, n))
+            room_t, room_s, room_l = room_t - n, room_s - 1, room_l - x
+        if room_s and room_t >= limits.least_cut and (kind := left.to_cut(room_t, room_l)) >= 0:
+            i, at, n, x = left.take(kind)
             own.append((i, at, room_t))
-            gone = [*used, cut]
+            left.put(i, at + room_t, n - room_t, min(x, n - room_t))
         bins.append(own)
-        keep = np.ones(len(item), dtype=bool)
-        keep[gone] = False
-        left = left[:, keep]
-        if cut >= 0:
-            n -= room_t
-            to = int(np.searchsorted(left[2], -n))
-            left = np.concatenate([left[:, :to], [[i], [at + room_t], [-n], [min(x, n)]], left[:, to:]], axis=1)
-        item, start, falling, bearing = left
     return bins
 
 
-def _to_cut(falling: np.ndarray, bearing: np.ndarray, used: list[int], room_t: int, room_l: int) -> int:
-    """The shortest piece longer than the gap whose beginning, prompt first, fills it within the loss limit; -1 if none does."""
-    longer = int(np.searchsorted(falling, -room_t))
-    for hi in range(longer, 0, -256):
-        lo = max(0, hi - 256)
-        fits = -falling[lo:hi] - bearing[lo:hi] + room_l >= room_t
-        for u in used:
-            if lo <= u < hi:
-                fits[u - lo] = False
-        found = np.flatnonzero(fits)
-        if len(found):
-            return lo + int(found[-1])
-    return -1
-
-
 def in_powers_of_two(own: list[Piece]) -> list[list[Piece]]:
     """One partly filled sequence as sequences whose lengths are powers of two."""
     out: list[list[Piece]] = []
@@ -160,7 +176,7 @@ def _packer(path: str | None, end_id: int, limits: Limits, rows: int = 500):
             nonlocal sequence, docs
             tokens = np.array([len(x) // 4 for _, x, _ in docs], dtype=np.int64)
             loss = np.array([p for *_, p in docs], dtype=np.int64)
-            whole = lambda b: sum(n for *_, n in b) > limits.tokens - limits.least_cut
+            whole = lambda b: sum(n for *_, n in b) > min(limits.tokens, limits.loss_tokens) - limits.least_cut
             out = []
             for own in [y for x in place(tokens, loss, limits) for y in ([x] if whole(x) else in_powers_of_two(x))]:
                 offset = 0

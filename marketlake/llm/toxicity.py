@@ -12,8 +12,11 @@ zero, each document's highest at least, so that a document is toxic by its
 highest sentence. The first witnesses are the words that set toxic documents
 apart. The machine works on the Nystroem map over `landmarks` words, half of
 them those; what it learns folds into one weight per letter triple, so that a
-word is scored by table look-ups. A logistic curve over the highest word, the
-number of words above zero and the length turns scores into a probability.
+word is scored by table look-ups. A logistic curve over a sentence's highest
+word and its number of words above zero, neither of which can lower it, gives a
+probability, and a text has that of its highest sentence: nothing else in it
+counts, so that length dilutes nothing. Sentences of more than 32 words are read
+in windows of 32 that begin 16 apart.
 
 Words are white-space pieces (any Unicode white space) in lower case without
 digits and punctuation, after look-alike digits and signs inside a word become
@@ -45,6 +48,7 @@ from .ngram_join import signer
 from .words import batches, split_hashed
 
 SPAN, WIDTH, CODES = 7, 24, 64
+WINDOW, ABOVE = 32, 8  # words of a window; numbers of words above zero that are told apart, the last one and more
 _SPACED = re.compile(r"(?<!\S)(?:\w[ \t]){2,}\w(?!\S)")
 _OTHER_SPACE = re.compile(r"[^\S\t-\r ]")
 _ALIKE = str.maketrans("013457@$!", "oieastasi")
@@ -65,6 +69,7 @@ class Training:
     rounds: int = 4
     odds: float = 20.0
     sure: float = 3.0
+    toxic_weight: float = 0.25  # of all toxic rows in the curve; clean ones have the rest
     seed: int = 77
 
 
@@ -72,7 +77,7 @@ class Training:
 class Model:
     table: np.ndarray  # weight of each letter triple
     bias: float
-    curve: np.ndarray  # of (1, highest, log1p(words above zero), log1p(words))
+    curve: np.ndarray  # of a sentence's (1, highest word, log1p(words above zero))
     decay: float
     share: float  # of toxic labels, the score without evidence
     constant: bool = False
@@ -214,6 +219,15 @@ def _sentence_starts(begin: np.ndarray, end: np.ndarray, owner: np.ndarray, buf:
     return np.flatnonzero(new)
 
 
+def _windows(start: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the windows of sentences with the given first words."""
+    size = np.diff(np.r_[start, total])
+    n = np.maximum(1, -(-(size - WINDOW // 2) // (WINDOW // 2)))
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(start, n) + k * (WINDOW // 2)
+    return begin, np.minimum(begin + WINDOW, np.repeat(start + size, n))
+
+
 class Scorer:
     """Scores of words in whole texts; words are scored once while they are remembered."""
 
@@ -237,15 +251,13 @@ class Scorer:
             yield at, owner, score, _sentence_starts(begin, end, owner, np.frombuffer(buffer, dtype=np.uint8)), pieces, which
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Per text: its highest word, the number of words above zero, and its words."""
-        out = np.zeros((len(texts), 3))
-        out[:, 0] = -1.0
-        for at, owner, score, *_ in self.words(texts):
-            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            own = owner[start] + at
-            out[own, 0] = np.maximum.reduceat(score, start)
-            out[own, 1] = np.add.reduceat((score > 0).astype(np.int64), start)
-            out[own, 2] = np.diff(np.r_[start, len(owner)])
+        """Per text: the highest word of its windows with 0, 1, ... words above zero, at most 3 and at least -3, where none is -9."""
+        out = np.full((len(texts), ABOVE), -9.0)
+        for at, owner, score, start, *_ in self.words(texts):
+            begin, end = _windows(start, len(score))
+            highest = np.maximum.reduceat(np.r_[score, -9.0], np.stack([begin, end], axis=1).ravel())[::2]
+            above = np.r_[0, np.cumsum(score > 0)]
+            np.maximum.at(out, (owner[begin] + at, np.minimum(above[end] - above[begin], ABOVE - 1)), np.clip(highest, -3, 3))
         return out
 
 
@@ -292,7 +304,7 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
         "__id").select("__id", "__text", "toxic"))  # bounded by the settings
     total = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     share = total.get(1, 0) / max(1, sum(total.values()))
-    constant = Model(np.zeros(CODES**3), -1.0, np.zeros(4), t.decay, share, True)
+    constant = Model(np.zeros(CODES**3), -1.0, np.zeros(3), t.decay, share, True)
     if set(total) != {0, 1}:
         return constant
     apart = frozen(_without_near_copies(sample))
@@ -308,7 +320,7 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
         y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         weight = np.r_[np.array(list(positive.values()), dtype=float), 1 + np.log1p(list(negative.values()))]
         w = machine(kernel.words(words), y, weight, t.ridge)
-        model = Model(kernel.table(w[:-1]), float(w[-1]), np.zeros(4), t.decay, share)
+        model = Model(kernel.table(w[:-1]), float(w[-1]), np.zeros(3), t.decay, share)
         if k == t.rounds:
             break
         named = apart.mapInPandas(_witnesses(model), "word string, score double, toxic int").groupBy("word")
@@ -317,22 +329,34 @@ def _train(docs: DataFrame, labels: DataFrame, t: Training, id_col: str, text_co
             negative[word] = max(n, negative.get(word, 0))
         toxic = found.filter(F.col("p") > ratio * F.col("n")).orderBy(F.desc("p"), "word").limit(t.witnesses).select("word", "p").collect()
         positive = {word: p for word, p in toxic if p > ratio * negative.get(word, 0)} or seeds
-    rows = sample.select("toxic", evidence_udf(model)("__text").alias("e")).select("toxic",
-        *[F.col("e")[i].alias(c) for i, c in enumerate(("highest", "above", "words"))])
-    rows = rows.groupBy("toxic", "highest", "above", F.floor(F.log1p("words")).alias("w")).agg(F.count("*").alias("k"),
-        F.avg("words").alias("words")).collect()  # at most the sample
-    f = _curve_inputs(*(np.array([r[c] for r in rows]) for c in ("highest", "above", "words")))
-    k = np.array([r.k for r in rows]) * np.where([r.toxic == 1 for r in rows], 0.5 / total[1], 0.5 / total[0])
-    target = np.array([float(r.toxic) for r in rows])
-    w = np.zeros(4)
-    for _ in range(100):  # Newton steps of a ridge logistic fit
-        p = 1 / (1 + np.exp(-f @ w))
-        grad = f.T @ (k * (p - target)) + 1e-4 * w
-        step = np.linalg.solve((f * (k * p * (1 - p))[:, None]).T @ f + 1e-4 * np.eye(4), grad)
-        w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
-            break
-    return Model(model.table, model.bias, w, t.decay, share)
+    rows = sample.select("toxic", evidence_udf(model)("__text").alias("e")).groupBy("toxic", "e").agg(F.count("*").alias("n")).collect()
+    toxic, n = np.array([r.toxic for r in rows], dtype=float), np.array([r.n for r in rows], dtype=float)  # at most the sample
+    weight = n * np.where(toxic > 0, t.toxic_weight / total[1], (1 - t.toxic_weight) / total[0])
+    return Model(model.table, model.bias, curve(np.array([r.e for r in rows]), toxic, weight), t.decay, share)
+
+
+def curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """A logistic curve over each text's highest sentence, which the curve before names; weights of sentences are not negative."""
+    w = np.array([0.0, 1.0, 0.5])
+    for _ in range(rounds):
+        best, above = highest_sentence(evidence, w)
+        f = np.stack([np.ones(len(best)), np.maximum(best, -3), np.log1p(above)], axis=-1)
+        for _ in range(100):  # Newton steps of a ridge logistic fit
+            p = 1 / (1 + np.exp(-f @ w))
+            grad = f.T @ (weight * (p - toxic)) + 1e-4 * w
+            step = np.linalg.solve((f * (weight * p * (1 - p))[:, None]).T @ f + 1e-4 * np.eye(3), grad)
+            w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+            if np.abs(step).max() < 1e-8:
+                break
+        w[1:] = np.maximum(w[1:], 0)
+    return w
+
+
+def highest_sentence(evidence: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(highest word, words above zero) of each text's sentence of the largest value."""
+    value = np.where(evidence > -9, w[1] * evidence + w[2] * np.log1p(np.arange(ABOVE)), -np.inf)
+    at = value.argmax(axis=1)
+    return evidence[np.arange(len(evidence)), at], at
 
 
 def _seeds(sample: DataFrame, t: Training) -> tuple[dict[str, float], list[str], list[str]]:
@@ -348,12 +372,8 @@ def _seeds(sample: DataFrame, t: Training) -> tuple[dict[str, float], list[str],
     return {r[0]: r[1] ** 2 for r in apart.limit(t.witnesses).select("word", sure).collect()}, likely, plain
 
 
-def _curve_inputs(highest, above, words) -> np.ndarray:
-    return np.stack([np.ones(len(highest)), np.clip(highest, -3, 3), np.log1p(above), np.log1p(words)], axis=-1)
-
-
 def evidence_udf(model: Model):
-    """A column function: (highest word, words above zero, words) of a text."""
+    """A column function: the evidence of a text (`Scorer.evidence`)."""
     return text_udf(lambda: (lambda scorer: lambda texts: list(scorer.evidence(texts)))(Scorer(model.table, model.bias, model.decay)),
         "array<double>", pa.list_(pa.float64()))
 
@@ -367,8 +387,9 @@ def score_udf(model: Model):
         def probability(texts: list[str]) -> np.ndarray:
             if model.constant:
                 return np.full(len(texts), model.share)
-            highest, above, words = scorer.evidence(texts).T
-            return np.where(words > 0, 1 / (1 + np.exp(-_curve_inputs(highest, above, words) @ model.curve)), model.share)
+            best, above = highest_sentence(scorer.evidence(texts), model.curve)
+            value = model.curve[0] + model.curve[1] * best + model.curve[2] * np.log1p(above)
+            return np.where(best > -9, 1 / (1 + np.exp(-value)), model.share)
 
         return probability
 

@@ -144,6 +144,19 @@ def test_placing_takes_the_largest_inner_product(items):
     assert not left
 
 
+def test_texts_of_one_line_fill_their_sequences(spark):
+    """No prompt anywhere: the loss limit closes sequences, which are padded and not cut into small ones."""
+    rng = np.random.default_rng(8)
+    for tokens in (rng.integers(20, 3000, 300), np.full(20, 20_000)):
+        bins = packing.place(tokens, tokens, packing.Limits())
+        assert tokens.sum() / len(bins) >= 1900
+    ones = np.ones(200_000, dtype=np.int64)
+    assert [len(b) for b in packing.place(ones, ones, packing.Limits())] == [128] * 1562 + [64]
+    lines = spark.createDataFrame([(i, " ".join(f"word{k}" for k in rng.integers(0, 500, n))) for i, n in enumerate(rng.integers(20, 1500, 200))], "doc_id long, text string")
+    pieces = packing.pack(lines.coalesce(1)).toPandas()
+    assert pieces.length.sum() / pieces.sequence_id.nunique() >= 1900
+
+
 def test_dot_product_is_not_longest_fit():
     """With loss room left, a shorter piece that bears loss wins over a longer one of prompt alone."""
     tokens, loss = np.array([60, 30, 28]), np.array([10, 0, 27])
@@ -393,11 +406,12 @@ def test_toxicity_held_out(spark, docs, none):
     by = {r.doc_id: r.score for r in scores.collect()}
     assert by[4] == by[5] == by[6] < 0.5 and all(0 <= x <= 1 for x in by.values())  # null, empty and blank texts
     long = " ".join(W * 50)
-    extra = spark.createDataFrame([(1, long), (2, long + " you idiot. moron, stupid idiot."), (3, "so\u3000i d i o t\u00a0scum, you moron")], "doc_id long, text string")
+    insults = " you idiot. moron, stupid idiot."
+    extra = spark.createDataFrame([(1, long), (2, long + insults), (3, "so\u3000i d i o t\u00a0scum, you moron"), (4, "you idiot moron stupid idiot " + long), (5, insults)], "doc_id long, text string")
     judged = toxicity.score(extra, model).orderBy("doc_id").collect()
-    assert judged[0].predicted == 0 and judged[2].predicted == 1 and judged[1].score > judged[0].score  # the end of a text counts
-    short = spark.createDataFrame([(1, " ".join(W * 3) + " you idiot. moron, stupid idiot.")], "doc_id long, text string")
-    assert toxicity.score(short, model).first().predicted == 1
+    assert [r.predicted for r in judged] == [0, 1, 1, 1, 1]
+    assert judged[1].score >= judged[4].score - 1e-12  # what stands before a sentence takes nothing from it
+    assert model.curve[1] > 0 and model.curve[2] >= 0
     left = toxicity.drop_toxic(docs, model)
     assert left.columns == docs.columns and {tuple(r) for r in left.collect()} == {tuple(r) for r in docs.collect() if by[r.doc_id] < 0.5}
     assert toxicity.score(none, model).count() == 0 and toxicity.drop_toxic(none, model).count() == 0
@@ -418,6 +432,16 @@ def letter_kernel(a, b, decay):
     return sum(m * n for s, m in x for t, n in y if s == t) / (norm(x) * norm(y))
 
 
+def evidence(*texts):
+    out = np.full((len(texts), toxicity.ABOVE), -9.0)
+    for row, windows in zip(out, texts):
+        for v in windows:
+            if len(v):
+                k = min((v > 0).sum(), toxicity.ABOVE - 1)
+                row[k] = max(row[k], min(3, max(-3, v.max())))
+    return out
+
+
 def test_toxicity_tables_are_the_kernel():
     rng = np.random.default_rng(3)
     words = ["".join(chr(97 + c) for c in rng.integers(0, 6, rng.integers(1, 18))) for _ in range(30)]
@@ -427,12 +451,16 @@ def test_toxicity_tables_are_the_kernel():
     w = rng.normal(size=kernel.whiten.shape[1])
     value = direct @ kernel.whiten @ w
     assert np.allclose(toxicity.score_words(words, kernel.table(w), 0.5), value, atol=1e-4)
-    # a text of three sentences: its highest word, words above zero, and words; and the witness of each sentence
+    # a text of three sentences: the highest word of those with so many words above zero; and the witness of each sentence
     text = " ".join(words[:7]) + ". " + " ".join(words[7:9]) + "\n" + words[9]
-    model = toxicity.Model(kernel.table(w), 0.25, np.zeros(4), 0.5, 0.1)
+    model = toxicity.Model(kernel.table(w), 0.25, np.zeros(3), 0.5, 0.1)
     own = value[:10] + 0.25
     scorer = toxicity.Scorer(model.table, model.bias, model.decay)
-    assert np.allclose(scorer.evidence(["", text]), [[-1, 0, 0], [max(own), sum(own > 0), 10]], atol=1e-4)
+    assert np.allclose(scorer.evidence(["", text]), evidence([np.zeros(0)], [own[:7], own[7:9], own[9:]]), atol=1e-4)
+    for n in (31, 32, 33, 48, 49, 200):  # windows of 32 words that begin 16 apart, of which the last reaches the end
+        many = rng.integers(0, 10, n)
+        cuts = [many[i : i + 32] for i in range(0, max(1, n - 16), 16)]
+        assert sum(len(c) for c in cuts) >= n and np.allclose(scorer.evidence([" ".join(words[i] for i in many)]), evidence([own[c] for c in cuts]), atol=1e-4)
     best = [own[:7].argmax(), 7 + own[7:9].argmax(), 9]
     for toxic in (0, 1):
         want = [words[i] for i in best if not toxic or own[i] > 0 or own[i] == own.max()]

@@ -152,7 +152,7 @@ def test_texts_of_one_line_fill_their_sequences(spark):
         assert tokens.sum() / len(bins) >= 1900
     ones = np.ones(200_000, dtype=np.int64)
     assert [len(b) for b in packing.place(ones, ones, packing.Limits())] == [128] * 1562 + [64]
-    lines = spark.createDataFrame([(i, " ".join(f"word{k}" for k in rng.integers(0, 500, n))) for i, n in enumerate(rng.integers(20, 1500, 200))], "doc_id long, text string")
+    lines = spark.createDataFrame([(i, " ".join(f"word{k}" for k in rng.integers(0, 500, n))) for i, n in enumerate(rng.integers(20, 400, 3000))], "doc_id long, text string")
     pieces = packing.pack(lines.coalesce(1)).toPandas()
     assert pieces.length.sum() / pieces.sequence_id.nunique() >= 1900
 

@@ -6,8 +6,8 @@ a limit is cut into pieces as long as the limits allow. Pieces are vectors
 (tokens, segments, loss-bearing tokens) that a dot-product heuristic places: an
 open sequence takes, of all pieces that fit its three limits, the one whose
 demand has the largest inner product with what the sequence has left, each as a
-share of its limit. Where nothing fits, the shortest longer piece whose
-beginning fills the gap, prompts first, is cut. A sequence that its loss limit
+share of its limit. Where nothing fits, the shortest of the pieces whose
+beginning fills most of the gap, as the loss limit allows, is cut. A sequence that its loss limit
 closes is padded, by 32 tokens or little more; one that stays emptier is cut into
 powers of two, which need no padding. Work runs window by window
 inside each input partition, so that nothing is shuffled and memory is bounded
@@ -119,15 +119,13 @@ class _Left:
             lo, step = lo + step, step * 4
         return pick
 
-    def to_cut(self, room_t: int, room_l: int) -> int:
-        """The kind of the shortest pieces longer than the gap whose beginning, prompt first, fills it within the loss limit; -1 if none does."""
-        longer = int(np.searchsorted(self.falling, -room_t))
-        for hi in range(longer, 0, -256):
-            lo = max(0, hi - 256)
-            found = np.flatnonzero(-self.falling[lo:hi] - self.bearing[lo:hi] + room_l >= room_t)
-            if len(found):
-                return lo + int(found[-1])
-        return -1
+    def to_cut(self, room_t: int, room_l: int) -> tuple[int, int]:
+        """(kind, tokens) of the piece whose beginning, prompt first, fills most of the gap within the loss limit, the shortest of equals; none fits whole."""
+        if not len(self.falling):
+            return -1, 0
+        most = np.minimum(room_t, room_l - self.falling - self.bearing)
+        kind = len(most) - 1 - int(most[::-1].argmax())
+        return kind, int(most[kind])
 
 
 def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[Piece]]:
@@ -141,10 +139,11 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[Pie
             i, at, n, x = left.take(kind)
             own.append((i, at, n))
             room_t, room_s, room_l = room_t - n, room_s - 1, room_l - x
-        if room_s and room_t >= limits.least_cut and (kind := left.to_cut(room_t, room_l)) >= 0:
+        kind, most = left.to_cut(room_t, room_l) if room_s else (-1, 0)
+        if most >= limits.least_cut:
             i, at, n, x = left.take(kind)
-            own.append((i, at, room_t))
-            left.put(i, at + room_t, n - room_t, min(x, n - room_t))
+            own.append((i, at, most))
+            left.put(i, at + most, n - most, min(x, n - most))
         bins.append(own)
     return bins
 

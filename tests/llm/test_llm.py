@@ -137,7 +137,7 @@ def test_placing_takes_the_largest_inner_product(items):
                 left.remove((i, at, n))
             else:
                 whole = next(p for p in left if p[0] == i and p[1] == at)
-                assert n == room[0] < whole[2] and (i, at, n) == own[-1]
+                assert n == min(room[0], whole[2] - bears(*whole) + room[1]) < whole[2] and (i, at, n) == own[-1]
                 left.remove(whole)
                 left.append((i, at + n, whole[2] - n))
             room = room - np.array([n, bears(i, at, n)])

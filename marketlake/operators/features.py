@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import DAY_MS, bucket_start, clamp, epoch_day, positive, rel_spread, round2, round_half_up
+from ..functions.exprs import DAY_MS, bucket_start, clamp, epoch_day, finite, positive, rel_spread, round2, round_half_up
+from .keys import match_items
 from .snapshots import latest, nearest, scan_range
 
 HISTORY_RANGES = {"24h": (DAY_MS, 3_600_000), "7d": (7 * DAY_MS, 21_600_000), "30d": (30 * DAY_MS, DAY_MS), "90d": (90 * DAY_MS, DAY_MS)}
@@ -100,70 +101,118 @@ def timescale_features(ticks: DataFrame, t: int, window_ms: int = 60_000, by: st
     )
 
 
-def price_history(quotes: DataFrame, t: int, range_name: str = "7d", by: str = "product_id") -> DataFrame:
-    """The last quote of each bucket of the range ending at t, prices rounded."""
-    back, width = HISTORY_RANGES[range_name]
-    own = scan_range(quotes, t - back, t + 1).withColumn("bucket", bucket_start("snapshot_ts", width))
-    g = own.groupBy(by, "bucket").agg(F.max_by(F.struct("buy_price", "sell_price", "buy_volume", "sell_volume"), "snapshot_ts").alias("r"))
-    return g.select(by, "bucket", round_half_up("r.buy_price").alias("buy_price"), round_half_up("r.sell_price").alias("sell_price"),
-        (F.col("r.buy_volume") + F.col("r.sell_volume")).alias("volume"))
-
+def price_history(quotes: DataFrame, t: int, range_name: str = "7d", auctions: DataFrame | None = None,
+    aliases: DataFrame | None = None) -> DataFrame:
+    """(item_id, bucket, buy_price, sell_price, volume) from the last snapshot of each bucket of the range that ends at t.
 
-def score_history(history: DataFrame, by: str = "product_id") -> DataFrame:
-    """Liquidity against the item's largest volume, volatility against the point before, and risk of both with the spread."""
-    w = Window.partitionBy(by)
+    An item with a quote in that snapshot has its rounded prices and buy volume. Without one, it has the auctions whose name
+    contains one of its aliases: the least starting bid, the mean of the highest bids (the starting bid where there is none) in
+    whole units, and their number. An item with neither has no point. Auctions are summed by name before names meet items.
+    """
+    back, width = HISTORY_RANGES[range_name]
+    bucket = bucket_start("snapshot_ts", width).alias("bucket")
+    own = scan_range(quotes, t - back, t + 1)
+    seen = own.select("snapshot_ts")
+    if auctions is not None:
+        auctions = scan_range(auctions, t - back, t + 1)
+        seen = seen.union(auctions.select("snapshot_ts"))
+    last = F.broadcast(seen.groupBy(bucket).agg(F.max("snapshot_ts").alias("snapshot_ts")))  # at most 90 buckets
+    price = lambda c: F.coalesce(round_half_up(finite(c)), F.when(F.col(c).isNotNull(), 0)).cast("long").alias(c)
+    points = own.join(last, "snapshot_ts").select(F.upper(F.trim("product_id")).alias("item_id"), "bucket", price("buy_price"), price("sell_price"),
+        F.col("buy_volume").cast("long").alias("volume"))
+    if auctions is not None:
+        value = F.when(F.col("highest_bid") > 0, F.col("highest_bid")).otherwise(F.col("starting_bid"))
+        named = auctions.join(last, "snapshot_ts").groupBy("bucket", "item_name").agg(F.min("starting_bid").alias("low"), F.sum(value).alias("sum"),
+            F.count("*").alias("n"))
+        met = named.join(match_items(named, aliases), "item_name").groupBy(F.upper(F.trim("item_id")).alias("item_id"), "bucket").agg(
+            F.min("low").alias("low"), F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+        rest = met.join(points.select("item_id", "bucket"), ["item_id", "bucket"], "left_anti")
+        points = points.unionByName(rest.select("item_id", "bucket", F.col("low").alias("buy_price"), F.floor(F.col("sum") / F.col("n")).cast(
+            "long").alias("sell_price"), F.col("n").alias("volume")))
+    return points.filter("buy_price IS NOT NULL OR sell_price IS NOT NULL")
+
+
+def score_history(history: DataFrame) -> DataFrame:
+    """(item_id, bucket, liquidity, volatility, risk) of a history of 30 days.
+
+    Liquidity against the item's largest volume; the spread over the buy price, 0 where one is missing; volatility against the
+    sell price of the point before, else the spread; risk of twice the spread and three times the volatility.
+    """
+    w = Window.partitionBy("item_id")
     top = F.max(F.when(F.col("volume") > 0, F.col("volume"))).over(w)
     before = F.lag("sell_price").over(w.orderBy("bucket"))
-    spread = rel_spread(F.col("buy_price").cast("double"), F.col("sell_price").cast("double")) * 100.0
+    buy, sell = F.col("buy_price"), F.col("sell_price")
+    spread = F.coalesce(F.when(buy > 0, F.abs(buy - sell) * 100.0 / buy), F.lit(0.0))
     h = history.withColumns({"liquidity": F.coalesce(clamp(F.col("volume") * 100.0 / top, 0, 100), F.lit(0.0)), "spread_pct": spread,
-        "volatility": F.coalesce(F.abs(F.col("sell_price") - before) * 100.0 / F.when(before > 0, before), spread)})
-    return h.select(by, "bucket", round2("liquidity").alias("liquidity"), round2("volatility").alias("volatility"),
+        "volatility": F.coalesce(F.when(before > 0, F.abs(sell - before) * 100.0 / before), spread)})
+    return h.select("item_id", "bucket", round2("liquidity").alias("liquidity"), round2("volatility").alias("volatility"),
         round2(clamp(2 * F.col("spread_pct") + 3 * F.col("volatility"), 0, 100)).alias("risk"))
 
 
-def quick_stats(quotes: DataFrame, t: int, by: str = "product_id") -> DataFrame:
-    """Latest, 24 h change, spread, 7-day average volume, high and low."""
+def _change(history: DataFrame, name: str) -> DataFrame:
+    """Percent from the first to the last point, for two points or more whose first price is above zero."""
+    ends = history.groupBy("item_id").agg(F.count("*").alias("n"), *[f(F.struct(name), "bucket").getField(name).alias(k) for f,
+        k in ((F.min_by, "a"), (F.max_by, "z"))])
+    change = F.when((F.col("n") >= 2) & (F.col("a") > 0), round2((F.col("z") - F.col("a")) * 100.0 / F.col("a")))
+    return ends.select("item_id", change.alias(f"{name.split('_')[0]}_change_24h"))
+
+
+def quick_stats(day: DataFrame, week: DataFrame, month: DataFrame) -> DataFrame:
+    """Of the histories of 24 hours, 7 and 30 days: the latest point with its spread, changes over a day, and the week's mean volume, high and low."""
+    latest = month.groupBy("item_id").agg(F.max_by(F.struct("buy_price", "sell_price", "volume"), "bucket").alias("l")).select("item_id", "l.*")
+    over = week.groupBy("item_id").agg(round_half_up(F.avg(F.when(F.col("volume") >= 0, F.col("volume")))).alias("avg_volume_7d"),
+        F.max(F.when(F.col("buy_price") > 0, F.col("buy_price"))).alias("high_7d"),
+        F.min(F.when(F.col("sell_price") > 0, F.col("sell_price"))).alias("low_7d"))
+    j = latest
+    for part in (_change(day, "buy_price"), _change(day, "sell_price"), over):
+        j = j.join(part, "item_id", "left")
+    spread = F.col("buy_price") - F.col("sell_price")
+    return j.withColumns({"spread": spread, "spread_pct": F.when(F.col("buy_price") > 0, round2(spread * 100.0 / F.col("buy_price")))})
+
+
+def market_overview(quotes: DataFrame, opportunities: DataFrame, t: int, by: str = "product_id") -> DataFrame:
+    """Products of the latest snapshot up to t: prices and spread now, their distance in percent from the mean of the seven days before, high, low,
+    volumes of the buy side, and how many opportunities there are and what the best of them earns."""
     own = scan_range(quotes, t - 7 * DAY_MS, t + 1)
-    day = F.col("snapshot_ts") >= t - DAY_MS
-    first = F.min_by("buy_price", F.when(day, F.col("snapshot_ts")))
-    g = own.groupBy(by).agg(F.max_by("buy_price", "snapshot_ts").alias("buy_price"),
-        F.max_by("sell_price", "snapshot_ts").alias("sell_price"), first.alias("first24"),
-        F.max_by("buy_price", F.when(day, F.col("snapshot_ts"))).alias("last24"),
-        F.avg(F.col("buy_volume") + F.col("sell_volume")).alias("avg_volume"), F.max("buy_price").alias("high"),
-        F.min("sell_price").alias("low"))
-    return g.select(by, "buy_price", "sell_price",
-        round2((F.col("last24") - F.col("first24")) * 100.0 / F.when(F.col("first24") > 0, F.col("first24"))).alias("change_24h"),
-        (F.col("buy_price") - F.col("sell_price")).alias("spread"), round_half_up("avg_volume").alias("avg_volume"), "high", "low")
-
-
-def market_overview(quotes: DataFrame, t: int, by: str = "product_id") -> DataFrame:
-    """Current prices against the seven days before, null history as 0."""
-    h = scan_range(quotes, t - 7 * DAY_MS, t + 1).groupBy(by).agg(F.max_by(F.struct("buy_price", "sell_price"), "snapshot_ts").alias("c"),
-        F.avg("buy_price").alias("avg_buy"), F.avg("sell_price").alias("avg_sell"), F.max("buy_price").alias("high_buy"),
-        F.min("sell_price").alias("low_sell"), F.avg(F.col("buy_volume") + F.col("sell_volume")).alias("avg_volume"))
-    delta = lambda now, avg: F.coalesce(round2((now - avg) * 100.0 / F.when(avg > 0, avg)), F.lit(0.0))
-    return h.select(by, F.col("c.buy_price").alias("buy"), F.col("c.sell_price").alias("sell"),
-        delta(F.col("c.buy_price"), F.col("avg_buy")).alias("buy_delta"),
-        delta(F.col("c.sell_price"), F.col("avg_sell")).alias("sell_delta"), "high_buy", "low_sell", "avg_volume")
+    newest = own.agg(F.max("snapshot_ts").alias("__t"))
+    now = own.join(F.broadcast(newest), F.col("snapshot_ts") == F.col("__t")).select(by, "snapshot_ts", F.col("buy_price").alias("buy"),
+        F.col("sell_price").alias("sell"), F.col("buy_volume").alias("volume"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    h = own.groupBy(by).agg(F.avg(zero("buy_price")).alias("avg_buy"), F.avg(zero("sell_price")).alias("avg_sell"),
+        F.max(zero("buy_price")).alias("high"), F.min(zero("sell_price")).alias("low"), F.avg(zero("buy_volume")).alias("avg_volume"))
+    best = opportunities.agg(F.count("*").alias("active"), F.max("expected_profit").alias("best_profit"))
+    delta = lambda x, base: F.when(F.col(base) != 0, (F.col(x) - F.col(base)) * 100.0 / F.col(base))
+    j = now.join(h, by).crossJoin(F.broadcast(best))  # one row
+    spread = F.col("buy") - F.col("sell")
+    return j.select(by, "snapshot_ts", "buy", delta("buy", "avg_buy").alias("buy_change"), "sell", delta("sell", "avg_sell").alias("sell_change"),
+        spread.alias("spread"), F.when(F.col("buy") > 0, spread * 100.0 / F.col("buy")).alias("spread_percent"), "high", "low", "volume",
+        "avg_volume", "active", "best_profit")
 
 
 def first_and_last(quotes: DataFrame, t: int, back_ms: int = DAY_MS, by: str = "product_id") -> DataFrame:
-    """(key, buy_price_lo, buy_price_hi, volume_lo, volume_hi): products of both the first and the last snapshot of the range, in one pass over the two."""
+    """(key, buy_price_lo, buy_price_hi, volume_lo, volume_hi): products of both the first and the last snapshot of the range, in one pass over the two.
+    Volumes are those of the buy side."""
     own = scan_range(quotes, t - back_ms, t + 1)
     ends = own.agg(F.min("snapshot_ts").alias("lo"), F.max("snapshot_ts").alias("hi"))
     e = own.join(F.broadcast(ends), (F.col("snapshot_ts") == F.col("lo")) | (F.col("snapshot_ts") == F.col("hi"))).filter("lo < hi")
     side = lambda c, at: F.max(F.when(F.col("snapshot_ts") == F.col(at), F.col(c))).alias(f"{c}_{at}")
-    g = e.withColumn("volume",
-        F.col("buy_volume") + F.col("sell_volume")).groupBy(by).agg(*[side(c, at) for c in ("buy_price", "volume") for at in ("lo", "hi")])
+    g = e.withColumn("volume", F.col("buy_volume")).groupBy(by).agg(*[side(c, at) for c in ("buy_price", "volume") for at in ("lo", "hi")])
     return g.filter("buy_price_lo IS NOT NULL AND buy_price_hi IS NOT NULL")
 
 
-def trending(quotes: DataFrame, t: int, limit: int = 10, by: str = "product_id") -> DataFrame:
-    """Change of price and volume from the first to the last snapshot of the last day, for products in both; the largest first."""
-    g = first_and_last(quotes, t, by=by).filter("buy_price_lo > 0")
-    pct = lambda c: round2((F.col(f"{c}_hi") - F.col(f"{c}_lo")) * 100.0 / F.when(F.col(f"{c}_lo") > 0, F.col(f"{c}_lo")))
-    return g.select(by, pct("buy_price").alias("price_change"), pct("volume").alias("volume_change")).orderBy(F.abs("price_change").desc(),
-        by).limit(limit)
+def trending(quotes: DataFrame, t: int, items: DataFrame, marketplaces: DataFrame, limit: int = 10, by: str = "product_id") -> DataFrame:
+    """Changes from the first to the last snapshot of the last day, for products that had a price and a buy volume in the first; the largest first.
+
+    With the item's display name, the id where the catalogue has none, and where it is traded (item_id, marketplace).
+    """
+    g = first_and_last(quotes, t, by=by).filter("buy_price_lo > 0 AND volume_lo > 0")
+    pct = lambda c: round2((F.col(f"{c}_hi") - F.col(f"{c}_lo")) * 100.0 / F.col(f"{c}_lo"))
+    top = g.select(by, pct("buy_price").alias("price_change"), pct("volume").alias("volume_change"),
+        round_half_up("buy_price_hi").alias("buy_price")).orderBy(F.abs("price_change").desc(), by).limit(limit)
+    known = items.join(marketplaces, "item_id").groupBy(F.upper("item_id").alias("__id")).agg(F.min("display_name").alias("__name"),
+        F.min("marketplace").alias("__place"))
+    return top.join(known, F.upper(by) == F.col("__id"), "left").select(*top.columns, F.coalesce("__name", by).alias("display_name"),
+        F.coalesce("__place", F.lit("BAZAAR")).alias("marketplace"))
 
 
 def market_trend(quotes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, round2, round_half_up
+from .keys import match_items, to_listing
 
 SORTS = ("expected_profit", "roi", "roi_per_hour", "required_capital", "fees", "duration_seconds", "liquidity_score", "risk_score")
 COVERED = ("AUCTION", "BAZAAR", "CRAFTING", "FORGE")
@@ -169,14 +170,18 @@ def list_listings(listings: DataFrame, bin_only: bool | None = None, min_stars:
     return listings.orderBy(order, "auction_uuid").limit(limit)
 
 
-def recent_sales(listings: DataFrame, limit: int = 20) -> DataFrame:
-    return listings.filter("claimed").orderBy(F.desc("end_ts"), "auction_uuid").limit(limit)
+def recent_sales(listings: DataFrame, aliases: DataFrame, limit: int = 20) -> DataFrame:
+    """(auction_uuid, value, star_count, reforge, end_ts, bin): the newest claimed listings whose name contains one of the aliases (item_id, alias)."""
+    names = match_items(listings, aliases).select("item_name").distinct()
+    own = listings.filter("claimed").join(names, "item_name", "left_semi").orderBy(F.desc("end_ts"), "auction_uuid").limit(limit)
+    return to_listing(own).select("auction_uuid", F.col("estimated_value").alias("value"), "star_count", "reforge", "end_ts", "bin")
 
 
 def quick_spreads(quotes: DataFrame, min_pct: float = 1.0, limit: int = 10) -> DataFrame:
-    spread = F.greatest(F.lit(0.0), F.col("buy_price") - F.col("sell_price"))
-    t = quotes.filter("buy_price > 0").select("product_id", round_half_up(spread).alias("spread"),
-        round2(spread * 100.0 / F.col("buy_price")).alias("spread_pct"), F.least("buy_volume", "sell_volume").alias("volume"))
+    """The widest spreads, of rounded prices over the rounded buy price."""
+    r = quotes.select("product_id", round_half_up("buy_price").alias("buy"), round_half_up("sell_price").alias("sell"),
+        F.least("buy_volume", "sell_volume").alias("volume")).withColumn("spread", F.greatest(F.lit(0), F.col("buy") - F.col("sell")))
+    t = r.withColumn("spread_pct", F.when(F.col("buy") <= 0, 0.0).otherwise(round2(F.col("spread") * 100.0 / F.col("buy"))))
     return t.filter(F.col("spread_pct") >= min_pct).orderBy(F.desc("spread_pct"), "product_id").limit(limit)
 
 

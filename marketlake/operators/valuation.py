@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, rel_spread
+from .keys import match_items
 from .snapshots import as_of
 
 # Fixed values of fees and scores.
@@ -387,11 +388,21 @@ def stable_identity(legs: DataFrame, constraints: DataFrame) -> DataFrame:
     return j.select("opp_id", F.concat(F.lit("v1_"), F.sha2("json", 256)).alias("flip_key"), uuid.alias("stable_id"))
 
 
-def conversion_cost(recipes: DataFrame, ingredients: DataFrame, quotes: DataFrame, lq: DataFrame) -> DataFrame:
-    """Per recipe: what its ingredients cost and its output sells for, from quotes (rounded) else listings; null where a price is missing."""
+def auction_prices(listings: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(item_id, lowest, avg_value): least starting bid, and mean of highest bids (starting bids where there is none) in whole units, of the listings
+    whose name contains one of the item's aliases. Listings are summed by name before names meet items."""
+    value = F.when(F.col("highest_bid") > 0, F.col("highest_bid")).otherwise(F.col("starting_bid"))
+    named = listings.groupBy("item_name").agg(F.min("starting_bid").alias("lowest"), F.sum(value).alias("sum"), F.count("*").alias("n"))
+    met = named.join(match_items(named, aliases), "item_name").groupBy("item_id").agg(F.min("lowest").alias("lowest"), F.sum("sum").alias("sum"),
+        F.sum("n").alias("n"))
+    return met.select("item_id", "lowest", F.floor(F.col("sum") / F.col("n")).alias("avg_value"))
+
+
+def conversion_cost(recipes: DataFrame, ingredients: DataFrame, quotes: DataFrame, listings: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Per recipe: what its ingredients cost and its output sells for, from quotes (rounded) else the listings under the item's aliases; null where a price is missing."""
     q = quotes.select(F.col("product_id").alias("item_id"), F.when(F.col("buy_price") > 0, F.floor(F.col("buy_price") + 0.5)).alias("qb"),
         F.when(F.col("sell_price") > 0, F.floor(F.col("sell_price") + 0.5)).alias("qs"))
-    p = q.join(lq.select("item_id", "lowest", F.floor("average").alias("avg_value")), "item_id", "full_outer")
+    p = q.join(auction_prices(listings, aliases), "item_id", "full_outer")
     p = p.select("item_id", F.coalesce("qb", "lowest").alias("buy_unit"), F.coalesce("qs", "avg_value").alias("sell_unit"))
     c = ingredients.join(p, "item_id",
         "left").groupBy("recipe_id").agg(F.when(F.count("buy_unit") == F.count("*"),

@@ -18,6 +18,11 @@ INPUTS = {
     "listing_points": r"""SELECT snapshot_ts, product_id AS item_key, floor(buy_price)::BIGINT AS bin_lowest, CASE WHEN k % 11 <> 0 THEN floor(buy_price * 1.05e0)::BIGINT END AS bin_lowest5_mean,
         CASE WHEN k % 7 <> 0 THEN floor(buy_price * 1.1e0)::BIGINT END AS bin_p50, floor(buy_price * 1.5e0)::BIGINT AS bin_p95, CASE WHEN k % 3 <> 0 THEN floor(buy_price * 0.8e0)::BIGINT END AS bid_p50,
         k + 1 AS bin_count, k % 4 AS ending_soon_count FROM quote_ticks""",
+    "auction_snapshots": r"""SELECT (epoch_us(ts) // 1000) // 21600000 * 21600000 AS snapshot_ts, 'a' || event_id AS auction_uuid, p_name || CASE WHEN k % 7 = 0 THEN ' ✪✪' ELSE '' END AS item_name,
+        floor(value * 10)::BIGINT + 1 AS starting_bid, CASE WHEN k % 2 = 1 THEN floor(value * 12)::BIGINT + 1 ELSE 0 END AS highest_bid
+        FROM (SELECT *, json_extract(props, '$.k')::INT AS k FROM events) JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part)""",
+    "item_aliases": r"""SELECT item_id, alias FROM (SELECT item_id, unnest(list_distinct([upper(item_id), upper(display_name), upper(minecraft_id), regexp_replace(upper(item_id), '[_ ]', '', 'g'),
+        regexp_replace(upper(display_name), '[_ ]', '', 'g'), regexp_replace(upper(minecraft_id), '[_ ]', '', 'g')])) AS alias FROM items) WHERE alias <> ''""",
     "items": r"""SELECT 'P' || p_partkey AS item_id, upper(p_name) AS display_name, 'mc:' || replace(p_name, ' ', '_') AS minecraft_id, p_brand AS rarity, p_type AS category FROM part""",
     "recipes": r"""SELECT 'R' || p_partkey AS recipe_id, 'P' || p_partkey AS output_item_id, CASE p_size % 3 WHEN 0 THEN 'CRAFT' WHEN 1 THEN 'FORGE' ELSE 'KATGRADE' END AS process_type,
         (p_size * 60)::BIGINT AS process_duration_seconds FROM part""",
@@ -41,7 +46,7 @@ INPUTS = {
         CASE WHEN k % 5 = 0 THEN 'ERROR' ELSE 'OK' END AS outcome, value AS duration_ms FROM (SELECT *, json_extract(props, '$.k')::INT AS k FROM events)""",
     "payload_updates": r"""SELECT CASE WHEN user_id % 2 = 0 THEN 'quotes' ELSE 'listings' END AS feed, (epoch_us(ts) // 1000) AS last_updated, md5(props) AS hash, event_id AS payload_id FROM events""",
 }
-NEEDS = {"quotes": ("quote_ticks",), "quote_grid": ("quote_ticks", "quotes"), "listing_points": ("quote_ticks",)}
+NEEDS = {"quotes": ("quote_ticks",), "quote_grid": ("quote_ticks", "quotes"), "listing_points": ("quote_ticks",), "item_aliases": ("items",)}
 
 
 def sql(inputs: str, body: str) -> str:

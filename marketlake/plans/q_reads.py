@@ -86,16 +86,17 @@ q("o073_listing_breakdown", lambda s, d: D.listing_breakdown(K.to_listing(A.list
   a AS (SELECT 'stars' AS kind, stars AS value, price, bp FROM g UNION ALL SELECT 'sale', sale, price, bp FROM g UNION ALL SELECT 'reforge', reforge, price, bp FROM g UNION ALL SELECT 'all', 'all', price, bp FROM g),
   r AS (SELECT kind, value, count(*) AS n, floor(avg(price) + 0.5)::BIGINT AS avg_price, min(bp) AS lowest_bin FROM a GROUP BY ALL)
   SELECT * FROM r UNION ALL SELECT 'stars', v::VARCHAR, 0, NULL, NULL FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS v) WHERE v::VARCHAR NOT IN (SELECT value FROM r WHERE kind = 'stars')""")
-q("o138_list_listings", lambda s, d: D.list_listings(K.to_listing(A.listings(s, d)), True, 1, 5, "sharp").select("auction_uuid",
+q("o138_list_listings", lambda s, d: D.list_listings(K.to_listing(A.listings(s, d)), True, 1, 5, "none").select("auction_uuid",
     "estimated_value"), "listings",
-    _L + " SELECT auction_uuid, estimated_value FROM l WHERE bin AND star_count BETWEEN 1 AND 5 AND reforge = 'Sharp' ORDER BY "
+    _L + " SELECT auction_uuid, estimated_value FROM l WHERE bin AND star_count BETWEEN 1 AND 5 AND reforge = 'None' ORDER BY "
     "estimated_value DESC, auction_uuid LIMIT 50")
-q("o139_recent_sales", lambda s, d: D.recent_sales(A.listings(s, d)).select("auction_uuid", "end_ts"), "listings",
-    "SELECT auction_uuid, end_ts FROM listings WHERE claimed ORDER BY end_ts DESC, auction_uuid LIMIT 20")
+q("o139_recent_sales", lambda s, d: D.recent_sales(A.listings(s, d), K.aliases(A.items(s, d).filter("item_id = 'P91'"))), "listings items item_aliases",
+    _L + """, n AS (SELECT DISTINCT item_name FROM (SELECT item_name, upper(trim(item_name)) AS u FROM (SELECT DISTINCT item_name FROM listings)) JOIN item_aliases ON item_id = 'P91' AND (contains(u, alias) OR contains(regexp_replace(u, '[_ ]', '', 'g'), alias)))
+  SELECT auction_uuid, estimated_value AS value, star_count, reforge, end_ts, bin FROM l WHERE claimed AND item_name IN (FROM n) ORDER BY end_ts DESC, auction_uuid LIMIT 20""")
 q("o137_quick_spreads", lambda s, d: D.quick_spreads(S.latest(A.quote_grid(s, d))), "quote_grid",
-    "SELECT product_id, floor(greatest(0, buy_price - sell_price) + 0.5)::BIGINT AS spread, floor(greatest(0, buy_price - sell_price) * "
-    "100e0 / buy_price * 100 + 0.5) / 100 AS spread_pct, least(buy_volume, sell_volume) AS volume FROM quote_grid WHERE snapshot_ts = "
-        "(SELECT max(snapshot_ts) FROM quote_grid) AND spread_pct >= 1 ORDER BY spread_pct DESC, product_id LIMIT 10")
+    "WITH r AS (SELECT product_id, floor(buy_price + 0.5)::BIGINT AS buy, floor(sell_price + 0.5)::BIGINT AS sell, least(buy_volume, sell_volume) AS volume FROM quote_grid WHERE snapshot_ts = (SELECT "
+    "max(snapshot_ts) FROM quote_grid)) SELECT *, greatest(0, buy - sell) AS spread, CASE WHEN buy <= 0 THEN 0 ELSE floor(greatest(0, buy - sell) * 100e0 / buy * 100 + 0.5) / 100 END AS spread_pct FROM r "
+    "WHERE spread_pct >= 1 ORDER BY spread_pct DESC, product_id LIMIT 10")
 q("o141_product_detail", lambda s, d: D.product_detail(A.part_quotes(s, d), "P7"), "part_quotes",
     "SELECT product_id, floor(buy_price + 0.5)::BIGINT AS buy_price, floor(sell_price + 0.5)::BIGINT AS sell_price, buy_volume, "
     "sell_volume FROM part_quotes WHERE product_id = 'P7'")

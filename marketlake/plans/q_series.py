@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS
 from ..operators import features as X
+from ..operators import keys as K
+from ..operators import reads as D
 from ..operators import rollups as R
 from ..sources import adapters as A
 from .inputs_sql import sql
@@ -149,27 +151,62 @@ q("o096_structurally_illiquid",
     _MIC + f" SELECT il.* FROM il WHERE product_id IN (SELECT product_id FROM quote_grid WHERE snapshot_ts = (SELECT max(snapshot_ts) "
     f"FROM quote_grid WHERE snapshot_ts <= {T}))")
 q("o097_timescale_features", lambda s, d: X.timescale_features(A.quote_grid(s, d), T, W), "quote_grid", _MIC + _FEAT)
-_HIST = f"""WITH h AS (SELECT product_id, (snapshot_ts // 21600000) * 21600000 AS bucket, floor(arg_max(buy_price, snapshot_ts) + 0.5)::BIGINT AS buy_price, floor(arg_max(sell_price, snapshot_ts) + 0.5)::BIGINT AS sell_price, arg_max(buy_volume + sell_volume, snapshot_ts) AS volume FROM quote_ticks
-  WHERE snapshot_ts >= {T - 7 * DAY_MS} AND snapshot_ts <= {T} GROUP BY ALL)"""
-q("o098_price_history", lambda s, d: X.price_history(A.quote_ticks(s, d), T), "quote_ticks", _HIST + " SELECT * FROM h")
-q("o099_score_history", lambda s, d: X.score_history(X.price_history(A.quote_ticks(s, d), T)), "quote_ticks",
-    _HIST + """, v AS (SELECT *, coalesce(least(100, greatest(0, volume * 100e0 / nullif(max(volume) OVER (PARTITION BY product_id), 0))), 0) AS liq, lag(sell_price) OVER (PARTITION BY product_id ORDER BY bucket) AS b,
-  CASE WHEN buy_price > 0 AND sell_price > 0 THEN abs(buy_price - sell_price) / ((buy_price + sell_price) / 2e0) ELSE 1e0 END * 100 AS sp FROM h), w AS (SELECT *, CASE WHEN b > 0 THEN abs(sell_price - b) * 100e0 / b ELSE sp END AS vol FROM v)
-  SELECT product_id, bucket, floor(liq * 100 + 0.5) / 100 AS liquidity, floor(vol * 100 + 0.5) / 100 AS volatility, floor(least(100, greatest(0, 2 * sp + 3 * vol)) * 100 + 0.5) / 100 AS risk FROM w""")
+
+
+def history(s, d, range_name: str):
+    return X.price_history(A.quote_grid(s, d), T, range_name, A.auction_snapshots(s, d), K.aliases(A.items(s, d)))
+
+
+def _hist(range_name: str, name: str) -> str:
+    """CTEs that end in the history of a range under a name."""
+    back, width = X.HISTORY_RANGES[range_name]
+    when, n = f"snapshot_ts >= {T - back} AND snapshot_ts <= {T}", name
+    return f"""{n}_last AS (SELECT snapshot_ts // {width} * {width} AS bucket, max(snapshot_ts) AS snapshot_ts FROM (SELECT snapshot_ts FROM quote_grid UNION ALL SELECT snapshot_ts FROM auction_snapshots) WHERE {when} GROUP BY 1),
+  {n}_q AS (SELECT product_id AS item_id, bucket, floor(buy_price + 0.5)::BIGINT AS buy_price, floor(sell_price + 0.5)::BIGINT AS sell_price, buy_volume AS volume FROM quote_grid JOIN {n}_last USING (snapshot_ts)),
+  {n}_n AS (SELECT bucket, item_name, min(starting_bid) AS low, sum(CASE WHEN highest_bid > 0 THEN highest_bid ELSE starting_bid END)::BIGINT AS s, count(*) AS n FROM auction_snapshots JOIN {n}_last USING (snapshot_ts) GROUP BY ALL),
+  {n}_a AS (SELECT item_id, bucket, min(low)::BIGINT AS buy_price, sum(s)::BIGINT // sum(n)::BIGINT AS sell_price, sum(n)::BIGINT AS volume FROM {n}_n JOIN named USING (item_name) GROUP BY ALL),
+  {n} AS (SELECT * FROM {n}_q UNION ALL SELECT * FROM {n}_a WHERE (item_id, bucket) NOT IN (SELECT (item_id, bucket) FROM {n}_q))"""
+
+
+_NAMED = "named AS (SELECT DISTINCT item_name, item_id FROM (SELECT item_name, upper(trim(item_name)) AS u FROM (SELECT DISTINCT item_name FROM auction_snapshots)) JOIN item_aliases ON contains(u, alias) OR contains(regexp_replace(u, '[_ ]', '', 'g'), alias))"
+_FEEDS = "quote_grid auction_snapshots items item_aliases"
+q("o098_price_history", lambda s, d: history(s, d, "7d"), _FEEDS, f"WITH {_NAMED}, {_hist('7d', 'h')} SELECT * FROM h")
+q("o099_score_history", lambda s, d: X.score_history(history(s, d, "30d")), _FEEDS,
+    f"WITH {_NAMED}, {_hist('30d', 'h')}" + """, v AS (SELECT *, coalesce(least(100, greatest(0, volume * 100e0 / nullif(max(CASE WHEN volume > 0 THEN volume END) OVER (PARTITION BY item_id), 0))), 0) AS liq, lag(sell_price) OVER (PARTITION BY item_id ORDER BY bucket) AS b,
+  CASE WHEN buy_price > 0 THEN abs(buy_price - sell_price) * 100e0 / buy_price ELSE 0e0 END AS sp FROM h), w AS (SELECT *, CASE WHEN b > 0 THEN abs(sell_price - b) * 100e0 / b ELSE sp END AS vol FROM v)
+  SELECT item_id, bucket, floor(liq * 100 + 0.5) / 100 AS liquidity, floor(vol * 100 + 0.5) / 100 AS volatility, floor(least(100, greatest(0, 2 * sp + 3 * vol)) * 100 + 0.5) / 100 AS risk FROM w""")
+q("o100_quick_stats", lambda s, d: X.quick_stats(*(history(s, d, r) for r in ("24h", "7d", "30d"))), _FEEDS,
+    f"WITH {_NAMED}, {_hist('24h', 'd')}, {_hist('7d', 'w')}, {_hist('30d', 'm')}" + """, l AS (SELECT item_id, unnest(arg_max({'buy_price': buy_price, 'sell_price': sell_price, 'volume': volume}, bucket)) FROM m GROUP BY 1),
+  c AS (SELECT item_id, count(*) AS n, arg_min(buy_price, bucket) AS b0, arg_max(buy_price, bucket) AS b1, arg_min(sell_price, bucket) AS s0, arg_max(sell_price, bucket) AS s1 FROM d GROUP BY 1),
+  o AS (SELECT item_id, floor(avg(volume) + 0.5)::BIGINT AS avg_volume_7d, max(buy_price) FILTER (buy_price > 0) AS high_7d, min(sell_price) FILTER (sell_price > 0) AS low_7d FROM w GROUP BY 1)
+  SELECT item_id, buy_price, sell_price, volume, CASE WHEN n >= 2 AND b0 > 0 THEN floor((b1 - b0) * 100e0 / b0 * 100 + 0.5) / 100 END AS buy_change_24h, CASE WHEN n >= 2 AND s0 > 0 THEN floor((s1 - s0) * 100e0 / s0 * 100 + 0.5) / 100 END AS sell_change_24h,
+    avg_volume_7d, high_7d, low_7d, buy_price - sell_price AS spread, CASE WHEN buy_price > 0 THEN floor((buy_price - sell_price) * 100e0 / buy_price * 100 + 0.5) / 100 END AS spread_pct FROM l LEFT JOIN c USING (item_id) LEFT JOIN o USING (item_id)""")
 _W7 = f"WHERE snapshot_ts >= {T - 7 * DAY_MS} AND snapshot_ts <= {T}"
-q("o100_quick_stats", lambda s, d: X.quick_stats(A.quote_ticks(s, d), T), "quote_ticks",
-    f"""WITH g AS (SELECT product_id, arg_max(buy_price, snapshot_ts) AS buy_price, arg_max(sell_price, snapshot_ts) AS sell_price, arg_min(buy_price, snapshot_ts) FILTER (snapshot_ts >= {T - DAY_MS}) AS f, arg_max(buy_price, snapshot_ts) FILTER (snapshot_ts >= {T - DAY_MS}) AS l,
-  avg(buy_volume + sell_volume) AS v, max(buy_price) AS high, min(sell_price) AS low FROM quote_ticks {_W7} GROUP BY 1) SELECT product_id, buy_price, sell_price, floor((l - f) * 100e0 / f * 100 + 0.5) / 100 AS change_24h, buy_price - sell_price AS spread, floor(v + 0.5)::BIGINT AS avg_volume, high, low FROM g""")
-q("o101_market_overview", lambda s, d: X.market_overview(A.quote_ticks(s, d), T), "quote_ticks",
-    f"""WITH g AS (SELECT product_id, arg_max(buy_price, snapshot_ts) AS buy, arg_max(sell_price, snapshot_ts) AS sell, avg(buy_price) AS ab, avg(sell_price) AS asl, max(buy_price) AS high_buy, min(sell_price) AS low_sell, avg(buy_volume + sell_volume) AS avg_volume FROM quote_ticks {_W7} GROUP BY 1)
-  SELECT product_id, buy, sell, floor((buy - ab) * 100e0 / ab * 100 + 0.5) / 100 AS buy_delta, floor((sell - asl) * 100e0 / asl * 100 + 0.5) / 100 AS sell_delta, high_buy, low_sell, avg_volume FROM g""")
+q("o101_market_overview", lambda s, d: X.market_overview(A.quote_grid(s, d), A.opportunities(s, d), T), "quote_grid opportunities",
+    f"""WITH n AS (SELECT product_id, snapshot_ts, buy_price AS buy, sell_price AS sell, buy_volume AS volume FROM quote_grid WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM quote_grid {_W7})),
+  g AS (SELECT product_id, avg(coalesce(buy_price, 0)) AS ab, avg(coalesce(sell_price, 0)) AS asl, max(coalesce(buy_price, 0)) AS high, min(coalesce(sell_price, 0)) AS low, avg(coalesce(buy_volume, 0)) AS avg_volume FROM quote_grid {_W7} GROUP BY 1)
+  SELECT product_id, snapshot_ts, buy, CASE WHEN ab <> 0 THEN (buy - ab) * 100 / ab END AS buy_change, sell, CASE WHEN asl <> 0 THEN (sell - asl) * 100 / asl END AS sell_change, buy - sell AS spread, CASE WHEN buy > 0 THEN (buy - sell) * 100 / buy END AS spread_percent,
+    high, low, volume, avg_volume, (SELECT count(*) FROM opportunities) AS active, (SELECT max(expected_profit) FROM opportunities) AS best_profit FROM n JOIN g USING (product_id)""")
+_ENDS = f"""w AS (SELECT *, buy_volume AS volume FROM quote_grid WHERE snapshot_ts >= {T - DAY_MS} AND snapshot_ts <= {T}), e AS (SELECT min(snapshot_ts) AS lo, max(snapshot_ts) AS hi FROM w)"""
 q("o044_first_and_last", lambda s, d: X.first_and_last(A.quote_grid(s, d), T), "quote_grid",
-    f"""WITH w AS (SELECT *, buy_volume + sell_volume AS volume FROM quote_grid WHERE snapshot_ts >= {T - DAY_MS} AND snapshot_ts <= {T}), e AS (SELECT min(snapshot_ts) AS lo, max(snapshot_ts) AS hi FROM w)
+    f"""WITH {_ENDS}
   SELECT a.product_id, a.buy_price AS buy_price_lo, b.buy_price AS buy_price_hi, a.volume AS volume_lo, b.volume AS volume_hi FROM w a JOIN w b USING (product_id), e WHERE a.snapshot_ts = lo AND b.snapshot_ts = hi AND lo < hi""")
-q("o102_trending", lambda s, d: X.trending(A.quote_grid(s, d), T, 10), "quote_grid",
-    f"""WITH w AS (SELECT *, buy_volume + sell_volume AS volume FROM quote_grid WHERE snapshot_ts >= {T - DAY_MS} AND snapshot_ts <= {T}), e AS (SELECT min(snapshot_ts) AS lo, max(snapshot_ts) AS hi FROM w),
-  j AS (SELECT a.product_id, a.buy_price AS p0, b.buy_price AS p1, a.volume AS v0, b.volume AS v1 FROM w a JOIN w b USING (product_id), e WHERE a.snapshot_ts = lo AND b.snapshot_ts = hi AND lo < hi AND a.buy_price > 0)
-  SELECT product_id, floor((p1 - p0) * 100e0 / p0 * 100 + 0.5) / 100 AS price_change, floor((v1 - v0) * 100e0 / nullif(v0, 0) * 100 + 0.5) / 100 AS volume_change FROM j ORDER BY abs(price_change) DESC, product_id LIMIT 10""")
+
+
+def trending(s, d):
+    """Items that end in 5 are not in the catalogue."""
+    items = A.items(s, d).filter("item_id NOT LIKE '%5'")
+    return X.trending(A.quote_grid(s, d), T, items, D.marketplaces(items, A.quote_grid(s, d), A.auction_snapshots(s, d), A.opportunities(s, d)))
+
+
+q("o102_trending", trending, "quote_grid auction_snapshots items item_aliases opportunities",
+    f"""WITH {_ENDS},
+  j AS (SELECT a.product_id, a.buy_price AS p0, b.buy_price AS p1, a.volume AS v0, b.volume AS v1 FROM w a JOIN w b USING (product_id), e WHERE a.snapshot_ts = lo AND b.snapshot_ts = hi AND lo < hi AND a.buy_price > 0 AND a.volume > 0),
+  hs AS (SELECT upper(trim(item_name)) AS k FROM auction_snapshots UNION SELECT regexp_replace(upper(trim(item_name)), '[_ ]', '', 'g') FROM auction_snapshots UNION SELECT upper(trim(result_item_id)) FROM opportunities WHERE flip_type = 'AUCTION'),
+  m AS (SELECT item_id, bool_or(alias IN (SELECT product_id FROM quote_grid)) AS b, bool_or(alias IN (SELECT k FROM hs)) AS a FROM item_aliases WHERE item_id NOT LIKE '%5' GROUP BY 1)
+  SELECT product_id, floor((p1 - p0) * 100e0 / p0 * 100 + 0.5) / 100 AS price_change, floor((v1 - v0) * 100e0 / v0 * 100 + 0.5) / 100 AS volume_change, floor(p1 + 0.5)::BIGINT AS buy_price, coalesce(display_name, product_id) AS display_name,
+    CASE WHEN m.item_id IS NULL THEN 'BAZAAR' WHEN a AND b THEN 'BOTH' WHEN b THEN 'BAZAAR' WHEN a THEN 'AUCTION_HOUSE' ELSE 'NONE' END AS marketplace
+  FROM j LEFT JOIN m ON m.item_id = product_id LEFT JOIN items ON items.item_id = m.item_id ORDER BY abs(price_change) DESC, product_id LIMIT 10""")
 _TREND = "SELECT avg_spread, CASE WHEN n = 0 THEN 'UNKNOWN' WHEN avg_spread >= 0.04 THEN 'BULLISH' WHEN avg_spread <= 0.01 THEN 'BEARISH' ELSE 'SIDEWAYS' END AS trend FROM (SELECT coalesce(avg((buy_price - sell_price) / buy_price), 0) AS avg_spread, count(*) AS n FROM quote_grid WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM quote_grid))"
 q("o072_market_trend", lambda s, d: X.market_trend(A.quote_grid(s, d)), "quote_grid", _TREND)
 q("o103_dashboard_overview", lambda s, d: X.dashboard_overview(A.items(s, d), A.quote_grid(s, d), A.opportunities(s, d)),

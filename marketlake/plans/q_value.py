@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as X
+from ..operators import keys as K
 from ..operators import valuation as V
 from ..sources import adapters as A
 from .inputs_sql import sql
@@ -190,8 +191,12 @@ q("o079_item_stacks", lambda s, d: V.item_stacks(legs(s, d)), IN,
     LEGS + " SELECT opp_id, CASE leg_type WHEN 'BUY' THEN 'input' ELSE 'output' END AS side, item_id, sum(amount)::BIGINT AS amount FROM "
     "all_legs WHERE leg_type IN ('BUY', 'SELL') GROUP BY ALL")
 q("o129_conversion_cost",
-    lambda s, d: V.conversion_cost(A.recipes(s, d), A.ingredients(s, d), A.part_quotes(s, d), A.item_listing_quotes(s, d)), IN,
-    """WITH p AS (SELECT coalesce(q.product_id, l.item_id) AS item_id, coalesce(floor(buy_price + 0.5)::BIGINT, lowest) AS b, coalesce(floor(sell_price + 0.5)::BIGINT, floor(average)::BIGINT) AS v FROM part_quotes q FULL JOIN item_listing_quotes l ON q.product_id = l.item_id),
+    lambda s, d: V.conversion_cost(A.recipes(s, d), A.ingredients(s, d), A.part_quotes(s, d).filter("product_id NOT LIKE '%3'"), A.listings(s, d),
+    K.aliases(A.items(s, d))), IN + " listings items item_aliases",
+    """WITH n AS (SELECT item_name, min(starting_bid) AS low, sum(CASE WHEN highest_bid > 0 THEN highest_bid ELSE starting_bid END)::BIGINT AS s, count(*) AS n FROM listings GROUP BY 1),
+  mt AS (SELECT DISTINCT item_name, item_id FROM (SELECT item_name, upper(trim(item_name)) AS u FROM n) JOIN item_aliases ON contains(u, alias) OR contains(regexp_replace(u, '[_ ]', '', 'g'), alias)),
+  l AS (SELECT item_id, min(low) AS lowest, sum(s)::BIGINT // sum(n)::BIGINT AS average FROM n JOIN mt USING (item_name) GROUP BY 1),
+  p AS (SELECT coalesce(q.product_id, l.item_id) AS item_id, coalesce(floor(buy_price + 0.5)::BIGINT, lowest) AS b, coalesce(floor(sell_price + 0.5)::BIGINT, average) AS v FROM (SELECT * FROM part_quotes WHERE product_id NOT LIKE '%3') q FULL JOIN l ON q.product_id = l.item_id),
   c AS (SELECT recipe_id, CASE WHEN count(b) = count(*) THEN sum(b * amount)::BIGINT END AS cost, count(*) - count(b) AS missing FROM ingredients LEFT JOIN p USING (item_id) GROUP BY 1)
   SELECT r.recipe_id, output_item_id AS item_id, cost, missing, v AS sell_unit, v - cost AS profit, CASE WHEN cost > 0 THEN floor((v - cost) * 10000e0 / cost + 0.5) / 100 END AS profit_pct FROM recipes r LEFT JOIN c USING (recipe_id) LEFT JOIN p ON p.item_id = output_item_id""")
 _IDENTITY = """, st AS (SELECT opp_id, any_value(flip_type) AS type, any_value(result_item_id) AS result, string_agg('{' || concat_ws(',', '"amount":' || amount, '"duration":' || base_duration_seconds, '"item":"' || item_id || '"',

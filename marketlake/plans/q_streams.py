@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.exprs import DAY_MS
+from ..operators import maintenance as M
 from ..sources import adapters as A
 from ..sources.files import read_or_empty
 from ..streaming import streams as ST
 from .inputs_sql import sql
+from .q_reads import ORACLES as READS
+from .q_series import T
 from .q_tables import _H, shared_folder
 
 QUERIES: dict = {}
@@ -20,7 +23,7 @@ ORACLES: dict = {}
 def landed(s: SparkSession, df: DataFrame, steps: int = 4, to: str | None = None) -> DataFrame:
     """df as a stream: landed in so many steps ordered by time, one read per micro-batch. A step has a file for every 250,000 of its rows."""
     to = to or shared_folder(s)
-    order = "snapshot_ts" if "snapshot_ts" in df.columns else "ts"
+    order = next(c for c in ("snapshot_ts", "last_updated", "ts") if c in df.columns)
     lo, hi, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
     each = max(1, n // (250_000 * steps))
     if lo is None:
@@ -69,9 +72,20 @@ def o149(s, d):
 
 
 def o156(s, d):
-    rows = collected(s, ST.trend_segments(landed(s, A.opportunity_history(s, d))), "update")
-    newest = F.row_number().over(Window.partitionBy("flip_key", "valid_from").orderBy(F.desc("batch_id")))
-    return rows.withColumn("__n", newest).filter("__n = 1").select("flip_key", "valid_from", "valid_to", "points", "profit")
+    """The history up to T as a stored table, from whose open segments the stream of the rest goes on."""
+    h = A.opportunity_history(s, d)
+    old = M.trend_segments(h.filter(F.col("snapshot_ts") <= T))
+    newest = M.first_per_key(old, ["flip_key"], [F.desc("valid_from")])
+    base = h.select("flip_key", F.col("snapshot_ts").alias("valid_from"), "roi_per_hour", "liquidity_score", "risk_score", "partial")
+    opened = newest.join(base, ["flip_key", "valid_from"]).select("flip_key", F.col("valid_from").alias("vf"), F.col("valid_to").alias("vt"),
+        F.col("points").cast("long").alias("n"), F.col("profit").alias("p"), F.col("roi_per_hour").alias("r"), F.col("liquidity_score").alias("l"),
+        F.col("risk_score").alias("k"), "partial", F.col("valid_to").alias("at"))
+    rows = collected(s, ST.trend_segments(landed(s, h.filter(F.col("snapshot_ts") > T)), opened), "update").drop("batch_id")
+    return M.first_per_key(old.unionByName(rows), ["flip_key", "valid_from"], [F.desc("valid_to")])
+
+
+def o151(s, d):
+    return collected(s, ST.changed_updates(landed(s, A.payload_updates(s, d)))).drop("batch_id")
 
 
 def o150(s, d):
@@ -89,7 +103,7 @@ def o158(s, d):
     return read_or_empty(s, to, g.schema).select(F.col("snapshot_ts").cast("long").alias("snapshot_ts"), "product_id", "buy_price")
 
 
-QUERIES = {"o149_pair_feeds_stream": o149, "o150_latest_only": o150, "o152_closed_buckets": o152, "o156_trend_segments_stream": o156,
+QUERIES = {"o149_pair_feeds_stream": o149, "o150_latest_only": o150, "o151_changed_updates_stream": o151, "o152_closed_buckets": o152, "o156_trend_segments_stream": o156,
     "o157_micro_features_stream": o157, "o157_market_features_stream": o157_market, "o158_regenerate": o158}
 _MAX = "(SELECT max(snapshot_ts) FROM quote_ticks) - 30000"
 ORACLES["o152_closed_buckets"] = sql("quote_ticks",
@@ -112,6 +126,7 @@ ORACLES["o157_market_features_stream"] = sql("quote_ticks",
   w AS (SELECT *, snapshot_ts // 5000 * 5000 - o * 5000 AS window_start FROM m, (SELECT unnest(range(12)) AS o)),
   r AS (SELECT *, least(0.2, greatest(-0.2, ln(m / lag(m) OVER p))) AS r, lag(m) OVER p AS prev FROM w WINDOW p AS (PARTITION BY window_start ORDER BY snapshot_ts, m))
   SELECT window_start, 'ALL' AS product_id, count(*)::INT AS points, round(stddev_pop(r) FILTER (prev IS NOT NULL), 9) AS micro_volatility FROM r GROUP BY ALL HAVING count(*) > 2 AND window_start + 60000 <= {_MAX}""")
+ORACLES["o151_changed_updates_stream"] = READS["o151_changed_updates"]
 ORACLES["o158_regenerate"] = sql("quote_grid", "SELECT snapshot_ts, product_id, buy_price FROM quote_grid")
 ORACLES["o150_latest_only"] = sql("quote_grid",
     """WITH e AS (SELECT min(snapshot_ts) AS lo, (max(snapshot_ts) - min(snapshot_ts)) // 4 + 1 AS width FROM quote_grid),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.exprs import epoch_day
@@ -25,8 +27,9 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode",
             "dynamic").partitionBy("batch_id").parquet(path)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation",
-        checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    with state_store(stream.sparkSession):
+        stream.writeStream.outputMode(mode).option("checkpointLocation",
+            checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
 
 
 CLOCK = "clock long, rows long, late long"
@@ -102,55 +105,174 @@ def micro_features(ticks: DataFrame, width: str = "60 seconds", slide: str = "5
         F.sqrt(var).alias("micro_volatility"))
 
 
-PAIR = "market string, ts long, trigger string, payload_a long, payload_b long"
+@contextlib.contextmanager
+def state_store(spark: SparkSession):
+    """Keyed state in RocksDB, which the operators below need, while a query starts and runs; the session's setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Keyed(StatefulProcessor):
+    """State of one value a key, which goes when the key has been idle for `ttl_ms` of event time.
+
+    A subclass says how a key's rows, in order, change the value: step(key, rows, value) gives the output and the new value.
+    Rows of a key come in frames without order; a micro-batch of a key is bounded by the source's files per trigger.
+    """
+
+    state = order = columns = ""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.state)
+
+    def step(self, key: tuple, rows: pd.DataFrame, value: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(rows).sort_values(self.order, kind="stable")
+        out, value = self.step(key, frame, tuple(self.value.get()) if self.value.exists() else None)
+        if value is not None:
+            self._keep(value, int(frame[self.order[0]].max()))
+        yield out[list(self.columns)]
+
+    def _keep(self, value: tuple, at: int) -> None:
+        self.value.update(value)
+        if self.ttl_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at + self.ttl_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.value.clear()
+        yield pd.DataFrame(columns=list(self.columns))
 
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        first = initialState.iloc[0]
+        self._keep(tuple(x.item() if hasattr(x, "item") else x for x in (first[c.split()[0]] for c in self.state.split(", "))), int(first["at"]))
 
-def pair_feeds(updates: DataFrame) -> DataFrame:
-    """Each update with the newest payload of the other feed of its market; state is one payload a feed. updates: market, feed, ts, payload."""
+    def close(self) -> None:
+        pass
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        a, b, seen_a, seen_b = state.get if state.exists else (-1, -1, -1, -1)
-        rows = []
-        for r in pd.concat(list(frames)).sort_values(["ts", "payload"]).itertuples():
-            first = r.feed == "quotes"
-            if first and r.ts >= seen_a:
-                a, seen_a = int(r.payload), int(r.ts)
-            elif not first and r.ts >= seen_b:
-                b, seen_b = int(r.payload), int(r.ts)
-            else:
-                continue  # older than what the feed has shown: the feed's own watermark never goes back
-            if a >= 0 and b >= 0:
-                rows.append((key[0], int(r.ts), "a" if first else "b", a, b))
-        state.update((a, b, seen_a, seen_b))
-        yield pd.DataFrame(rows, columns=["market", "ts", "trigger", "payload_a", "payload_b"])
 
-    return updates.groupBy("market").applyInPandasWithState(step, PAIR, "a long, b long, ta long, tb long", "append",
-        GroupStateTimeout.NoTimeout)
+def _apply(stream: DataFrame, key: str, ts: str, processor: Keyed, schema: str, mode: str, initial: DataFrame | None,
+    watermark: str = "30 seconds") -> DataFrame:
+    timed = stream.withColumn("__ts", F.timestamp_millis(ts)).withWatermark("__ts", watermark)
+    return timed.groupBy(key).transformWithStateInPandas(processor, schema, mode, "eventTime",
+        initialState=None if initial is None else initial.groupBy(key))
+
+
+class _Changes(Keyed):
+    state, order, columns = "hash string", ["last_updated", "payload_id"], ("feed", "last_updated", "hash", "payload_id")
+
+    def step(self, key, rows, value):
+        before = rows["hash"].shift()
+        if value is not None:
+            before.iloc[0] = value[0]
+        fresh = (rows["hash"] != before) & ~(rows["hash"].isna() & before.isna())
+        if value is None:
+            fresh.iloc[0] = True
+        last = rows["hash"].iloc[-1]
+        return rows[fresh].assign(feed=key[0]), (None if pd.isna(last) else str(last),)
+
+
+def changed_updates(updates: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Updates (feed, last_updated, hash, payload_id) whose hash is not that of the feed's update before; a feed idle for ttl_ms begins anew."""
+    return _apply(updates, "feed", "last_updated", _Changes(ttl_ms), "feed string, last_updated long, hash string, payload_id long", "Append", None)
+
+
+PAIR = "market string, ts long, trigger string, payload_a long, payload_b long"
+
+
+class _Pairs(Keyed):
+    state, order, columns = "a long, b long, ta long, tb long", ["ts", "payload"], ("market", "ts", "trigger", "payload_a", "payload_b")
+
+    def step(self, key, rows, value):
+        a, b, seen_a, seen_b = value or (-1, -1, -1, -1)
+        first = (rows["feed"] == "quotes").to_numpy()
+        ts, payload = rows["ts"].to_numpy(), rows["payload"].to_numpy()
+        keep = ts >= np.where(first, seen_a, seen_b)  # a feed's own watermark never goes back
+        first, ts, payload = first[keep], ts[keep], payload[keep]
+        newest = []
+        for own, start in ((first, a), (~first, b)):  # the newest payload of each feed at every row
+            at = np.maximum.accumulate(np.where(own, np.arange(len(own)), -1))
+            newest.append(np.where(at >= 0, payload[at], start) if len(own) else payload)
+        both = (newest[0] >= 0) & (newest[1] >= 0)
+        out = pd.DataFrame({"market": key[0], "ts": ts[both], "trigger": np.where(first[both], "a", "b"), "payload_a": newest[0][both],
+            "payload_b": newest[1][both]})
+        if not len(ts):
+            return out, value
+        last = lambda own, was: int(ts[own].max()) if own.any() else was
+        return out, (int(newest[0][-1]), int(newest[1][-1]), last(first, seen_a), last(~first, seen_b))
+
+
+def pair_feeds(updates: DataFrame, initial: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Each update with the newest payload of the other feed of its market. updates: market, feed, ts, payload.
+
+    State is one payload a feed; initial (market, a, b, ta, tb, at) is what is known before, and a market idle for ttl_ms is forgotten.
+    """
+    return _apply(updates, "market", "ts", _Pairs(ttl_ms), PAIR, "Append", initial)
 
 
 SEGMENT = "flip_key string, valid_from long, valid_to long, points int, profit long"
 
 
-def trend_segments(history: DataFrame, rel: float = 0.05, points: float = 3.0) -> DataFrame:
-    """Segments as they grow (update mode): the newest row of (flip_key, valid_from) counts. State is the open segment's first values."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        base = state.get if state.exists else None
-        rows: dict[int, tuple] = {}
-        for r in pd.concat(list(frames)).sort_values("snapshot_ts").itertuples():
-            if base is not None and r.snapshot_ts <= base[1]:
-                continue
-            x = (int(r.profit), float(r.roi_per_hour), float(r.liquidity_score), float(r.risk_score), bool(r.partial))
-            same = base is not None and x[4] == base[7] and abs(x[0] - base[3]) <= rel * abs(base[3]) and abs(x[1] - base[4]) <= rel * abs(
-                base[4]) and abs(x[2] - base[5]) <= points and abs(x[3] - base[6]) <= points
-            base = (base[0], int(r.snapshot_ts), base[2] + 1, *base[3:]) if same else (int(r.snapshot_ts), int(r.snapshot_ts), 1, *x)
-            rows[base[0]] = (key[0], base[0], base[1], base[2], base[3])
-        if base is not None:
-            state.update(base)
-        yield pd.DataFrame(list(rows.values()), columns=["flip_key", "valid_from", "valid_to", "points", "profit"])
-
-    return history.groupBy("flip_key").applyInPandasWithState(step, SEGMENT,
-        "vf long, vt long, n int, p long, r double, l double, k double, partial boolean", "update", GroupStateTimeout.NoTimeout)
+class _Segments(Keyed):
+    state = "vf long, vt long, n long, p long, r double, l double, k double, partial boolean"
+    order, columns = ["snapshot_ts"], ("flip_key", "valid_from", "valid_to", "points", "profit")
+
+    def __init__(self, ttl_ms: int | None, rel: float, points: float):
+        super().__init__(ttl_ms)
+        self.rel, self.points = rel, points
+
+    def _stretch(self, x: list[np.ndarray], i: int, base: tuple) -> int:
+        """The first row from i on that is not like the base; looked for in stretches that double."""
+        size = 16
+        while i < len(x[0]):
+            p, r, liquidity, k, partial = (c[i : i + size] for c in x)
+            like = (partial == base[4]) & (np.abs(p - base[0]) <= self.rel * abs(base[0])) & (np.abs(r - base[1]) <= self.rel * abs(base[1])) & (
+                np.abs(liquidity - base[2]) <= self.points) & (np.abs(k - base[3]) <= self.points)
+            if not like.all():
+                return i + int(like.argmin())
+            i, size = i + size, size * 2
+        return len(x[0])
+
+    def step(self, key, rows, value):
+        if value is not None:
+            rows = rows[rows["snapshot_ts"] > value[1]]
+        ts = rows["snapshot_ts"].to_numpy()
+        x = [rows[c].to_numpy() for c in ("profit", "roi_per_hour", "liquidity_score", "risk_score", "partial")]
+        out, i = [], 0
+        if value is not None and len(ts):
+            i = self._stretch(x, 0, value[3:])
+            if i:
+                value = (value[0], int(ts[i - 1]), int(value[2]) + i, *value[3:])
+                out.append(value)
+        while i < len(ts):
+            base = (int(x[0][i]), *(float(c[i]) for c in x[1:4]), bool(x[4][i]))
+            j = self._stretch(x, i + 1, base)
+            value = (int(ts[i]), int(ts[j - 1]), j - i, *base)
+            out.append(value)
+            i = j
+        frame = pd.DataFrame([(key[0], v[0], v[1], v[2], v[3]) for v in out], columns=list(self.columns))
+        return frame, value
+
+
+def trend_segments(history: DataFrame, initial: DataFrame | None = None, rel: float = 0.05, points: float = 3.0,
+    ttl_ms: int | None = None) -> DataFrame:
+    """Segments as they grow (update mode): the newest row of (flip_key, valid_from) counts.
+
+    State is the open segment's first values; initial (flip_key, vf, vt, n, p, r, l, k, partial, at) holds the stored table's
+    open segments, from which the stream goes on. A key idle for ttl_ms begins a new segment when it comes back.
+    """
+    return _apply(history, "flip_key", "snapshot_ts", _Segments(ttl_ms, rel, points), SEGMENT, "Update", initial)
 
 
 def latest_only(batch: DataFrame, batch_id: int) -> DataFrame:

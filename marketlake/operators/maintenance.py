@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS, bucket_start, epoch_day
-from .snapshots import combined_history, first_per_key, upsert
+from .snapshots import first_per_key, upsert
 
 TIERS = ((30 * 60_000, 60_000), (12 * 3_600_000, 7_200_000), (None, DAY_MS))
 POINT = ("snapshot_ts", "profit", "roi_per_hour", "liquidity_score", "risk_score", "partial")
@@ -108,14 +108,6 @@ def retention_keepers(snaps: DataFrame, now: int, keep_ms: int = 90_000, tiers=T
     return t.withColumn("keep", (F.col("tier") == 0) | (rn == 1))
 
 
-def compact_snapshots(raw: DataFrame, retained: DataFrame, now: int) -> DataFrame:
-    """(action, n): what a compaction over raw and retained rows keeps, retains and deletes."""
-    both = combined_history(raw.withColumn("from_raw", F.lit(True)), retained.withColumn("from_raw", F.lit(False)))
-    k = retention_keepers(both, now)
-    action = F.when(F.col("tier") == 0, "untouched").when(F.col("keep"), "retained").otherwise("deleted")
-    return k.groupBy(action.alias("action")).agg(F.count("*").alias("n"))
-
-
 def retention_plan(partitions: DataFrame, state: DataFrame, today: int, keep_days: int = 30) -> DataFrame:
     """(table, day, action, reason) of day partitions; finished days older than the window may be dropped."""
     j = partitions.join(state, ["table", "day"], "left")

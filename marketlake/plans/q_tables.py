@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS
+from ..operators import compaction as C
 from ..operators import features as X
 from ..operators import maintenance as M
 from ..operators import rollups as R
@@ -233,17 +234,32 @@ q("o167_store_opportunities", _stored, "opportunities",
   UNION ALL SELECT 'segment', ck, NULL, CASE WHEN ok THEN nt ELSE ct END, CASE WHEN ok THEN 2 ELSE 1 END FROM j WHERE ck IS NOT NULL UNION ALL SELECT 'segment', nk, NULL, nt, 1 FROM j WHERE nk IS NOT NULL AND NOT ok""")
 _snaps = lambda s, d: A.quote_ticks(s, d).select("snapshot_ts",
     F.concat_ws("-", "snapshot_ts", "product_id").alias("snapshot_id"))
-_TIER = f"""WITH t AS (SELECT snapshot_ts, snapshot_ts || '-' || product_id AS snapshot_id, {T} - snapshot_ts AS age FROM quote_ticks WHERE snapshot_ts <= {T}),
+_TIER = f"""WITH t AS (SELECT snapshot_ts, snapshot_ts || '-' || product_id AS snapshot_id, {T} - snapshot_ts AS age FROM quote_ticks),
   u AS (SELECT *, CASE WHEN age < 90000 THEN 0 WHEN age <= 1800000 THEN 1 WHEN age <= 43200000 THEN 2 ELSE 3 END AS tier FROM t),
   v AS (SELECT *, CASE tier WHEN 0 THEN snapshot_ts WHEN 1 THEN snapshot_ts // 60000 * 60000 WHEN 2 THEN snapshot_ts // 7200000 * 7200000 ELSE snapshot_ts // {DAY_MS} * {DAY_MS} END AS slot FROM u),
   k AS (SELECT *, tier = 0 OR row_number() OVER (PARTITION BY tier, slot ORDER BY snapshot_ts, snapshot_id) = 1 AS keep FROM v)"""
-q("o107_retention_keepers", lambda s, d: M.retention_keepers(_snaps(s, d).filter(F.col("snapshot_ts") <= T), T), "quote_ticks",
+q("o107_retention_keepers", lambda s, d: M.retention_keepers(_snaps(s, d), T), "quote_ticks",
     _TIER + " SELECT snapshot_ts, snapshot_id, tier, slot, keep FROM k")
-q("o159_compact_snapshots",
-    lambda s, d: M.compact_snapshots(_snaps(s, d).filter(F.col("snapshot_ts").between(T - DAY_MS, T)),
-    _snaps(s, d).filter(F.col("snapshot_ts") < T - DAY_MS), T), "quote_ticks",
-    _TIER + " SELECT CASE WHEN tier = 0 THEN 'untouched' WHEN keep THEN 'retained' ELSE 'deleted' END AS action, count(*) AS n FROM k "
-    "GROUP BY 1")
+
+
+def _compacted(s, d):
+    """Both tables after a compaction that stops before the switch, one that does not, a later one, and the removal of what no version names."""
+    to, schema = shared_folder(s), "snapshot_ts long, snapshot_id string"
+    snaps = _snaps(s, d)
+    C.append(snaps.filter(F.col("snapshot_ts") >= T - DAY_MS), to)
+    C.append(snaps.filter(F.col("snapshot_ts") < T - DAY_MS), to, "retained")
+    C.compact(s, to, schema, T, switch=False)
+    before = [C.read_table(s, to, t, schema).count() for t in C.TABLES]
+    C.compact(s, to, schema, T)
+    C.compact(s, to, schema, T)
+    C.vacuum(s, to)
+    tables = [C.read_table(s, to, t, schema).withColumns({"table": F.lit(t), "before": F.lit(n).cast("long")}) for t, n in zip(C.TABLES, before)]
+    return tables[0].unionByName(tables[1])
+
+
+q("o159_compact_snapshots", _compacted, "quote_ticks",
+    _TIER + f""" SELECT snapshot_ts, snapshot_id, CASE WHEN tier = 0 THEN 'raw' ELSE 'retained' END AS "table",
+    (CASE WHEN tier = 0 THEN (SELECT count(*) FROM t WHERE snapshot_ts >= {T - DAY_MS}) ELSE (SELECT count(*) FROM t WHERE snapshot_ts < {T - DAY_MS}) END) AS before FROM k WHERE keep""")
 _day = T // DAY_MS
 _parts = lambda s, d: A.quote_ticks(s, d).groupBy(F.lit("quotes").alias("table"),
     F.floor(F.col("snapshot_ts") / DAY_MS).alias("day")).agg(F.count("*").alias("rows"))

@@ -97,6 +97,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().toString() for x in store.listStatus(at)] if store.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str | StructType | None) -> DataFrame | None:
     """A Parquet table that may not have been written yet: then no rows, or None where no schema is given."""
     if exists(spark, path):

@@ -147,21 +147,27 @@ def aliases(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode(F.array_distinct(F.concat(names, compact))).alias("alias"))
 
 
-def match_items(listings: DataFrame, alias_table: DataFrame) -> DataFrame:
+def _grams(text: Column, q: Column | int) -> Column:
+    """The distinct runs of q characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - q + 1)), lambda i: F.substring(text, i, F.lit(q))))
+
+
+def match_items(listings: DataFrame, alias_table: DataFrame, q: int = 3) -> DataFrame:
     """(item_name, item_id): distinct listing names, as they are or compact, that contain an alias.
 
-    An equi-join of aliases and the names' substrings, none longer than the longest alias; never a cross join, and no common beginning makes a hot key.
+    A name is cut into its runs of one to q characters, q rows a character. An alias, being of q characters or more, is looked
+    up by one of its q-grams, the one that fewest names have; a shorter one by itself. What meets is then verified. Aliases with
+    a gram that no name has are gone before, and no frequent beginning makes a hot key.
     """
     names = listings.select("item_name").distinct().withColumn("__u", F.upper(F.trim("item_name")))
     compact = F.regexp_replace("__u", "[_ ]", "")
     forms = names.select("item_name", F.explode(F.array_distinct(F.array("__u", compact))).alias("__f")).filter("__f <> ''")
-    aliases = alias_table.filter("alias <> ''").select("item_id", "alias").distinct()
-    longest = aliases.agg(F.max(F.length("alias"))).first()[0] or 1
-    text, size = F.col("__f"), F.length("__f")
-
-    def at(i: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda n: F.substring(text, i, n))
-
-    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), at)))
-    cut = forms.select("item_name", F.explode(parts).alias("alias")).distinct()
-    return cut.join(aliases, "alias").select("item_name", "item_id").distinct()
+    runs = F.array_distinct(F.flatten(F.array(*[F.when(F.length("__f") >= k, _grams(F.col("__f"), k)).otherwise(F.array().cast("array<string>"))
+        for k in range(1, q + 1)])))
+    cut = forms.select("item_name", "__f", F.explode(runs).alias("__g"))
+    seen = cut.groupBy("__g").agg(F.count("*").alias("__n"))
+    known = alias_table.filter("alias <> ''").select("alias").distinct().withColumn("__gs", _grams(F.col("alias"), F.least(F.lit(q), F.length("alias"))))
+    own = known.select("alias", F.size("__gs").alias("__k"), F.explode("__gs").alias("__g")).join(seen, "__g")
+    rarest = own.groupBy("alias", "__k").agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g"), F.count("*").alias("__have")).filter("__have = __k")
+    met = cut.join(rarest.select("alias", "__g"), "__g").filter(F.contains("__f", "alias")).select("item_name", "alias").distinct()
+    return met.join(alias_table.select("alias", "item_id").distinct(), "alias").select("item_name", "item_id").distinct()

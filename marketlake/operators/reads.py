@@ -38,6 +38,25 @@ def page(df: DataFrame, offset: int, limit: int) -> DataFrame:
     return df.offset(offset).limit(limit)
 
 
+def seek_page(df: DataFrame, by: str, direction: str = "desc", after: tuple | None = None, limit: int = 25, key: str = "stable_id") -> DataFrame:
+    """The page behind a cursor (metric, id), with the total of all rows in every row of it.
+
+    The cursor is a predicate on the metric and the id, which the scan can take, and no row before it is sorted: a deep page costs
+    what the first one does. The order is that of `sort_opportunities`.
+    """
+    rows = df
+    if after is not None:
+        value, last = after
+        c, later = F.col(by), F.col(key) > F.lit(last)
+        if value is None:
+            rows = df.filter(c.isNull() & later)
+        else:
+            beyond = c < F.lit(value) if direction == "desc" else c > F.lit(value)
+            rows = df.filter(beyond | ((c == F.lit(value)) & later) | c.isNull())
+    total = df.agg(F.count("*").alias("total"))
+    return sort_opportunities(rows, by, direction, key).limit(limit).crossJoin(F.broadcast(total))  # one row
+
+
 def top_opportunities(df: DataFrame, k: int = 10, **filters) -> DataFrame:
     return sort_opportunities(filter_opportunities(df, **filters)).limit(min(k, 10_000))
 
@@ -97,7 +116,8 @@ def goodness(version: int = 1) -> Column:
 def best_opportunities(df: DataFrame, number: int = 0, size: int = 10, version: int = 1) -> DataFrame:
     ranked = df.withColumn("goodness", goodness(version)).orderBy(F.desc("goodness"), F.col("expected_profit").desc_nulls_last(),
         "stable_id")
-    return page(ranked, number * size, size)
+    total = df.agg(F.count("*").alias("total"))
+    return page(ranked, number * size, size).crossJoin(F.broadcast(total))  # one row
 
 
 def hydrate(ranked: DataFrame, full: DataFrame, key: str, rank: str = "rank") -> DataFrame:

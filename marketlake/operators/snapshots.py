@@ -98,23 +98,28 @@ def as_of(df: DataFrame, t: int | None, ts: str = "snapshot_ts") -> DataFrame:
     return latest(df if t is None else df.filter(F.col(ts) <= t), ts)
 
 
-def as_of_join(left: DataFrame, right: DataFrame, on: list[str], ts: str = "snapshot_ts", bucket_ms: int = 86_400_000) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, on: list[str], ts: str = "snapshot_ts", bucket_ms: int = 86_400_000,
+    retained: DataFrame | None = None) -> DataFrame:
     """Each left row with the columns of the newest right row of its key at or before it: a union and a running `last`, never a range join.
 
     The running value is kept within buckets of time and carried on from bucket to bucket on one row a key and bucket, so that no task orders a key's whole history.
+    Rows of a retained table count too; where both have a time, the right table's row stands. Both are merged in the same sort.
     """
     values = [c for c in right.columns if c not in (*on, ts)]
-    r = right.select(*on, F.col(ts).alias("__t"), F.struct(F.col(ts).alias("__rt"), *values).alias("__r"), F.lit(0).alias("__side"))
+    value = F.struct(F.col(ts).alias("__rt"), *values).alias("__r")
+    r = right.select(*on, F.col(ts).alias("__t"), value, F.lit(1).alias("__side"))
+    if retained is not None:
+        r = r.unionByName(retained.select(*on, F.col(ts).alias("__t"), value, F.lit(0).alias("__side")))
     lv = [c for c in left.columns if c not in on]
-    le = left.select(*on, F.col(ts).alias("__t"), F.struct(*lv).alias("__l"), F.lit(1).alias("__side"))
+    le = left.select(*on, F.col(ts).alias("__t"), F.struct(*lv).alias("__l"), F.lit(2).alias("__side"))
     both = le.unionByName(r, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / bucket_ms))
-    newest = F.max_by("__r", F.when(F.col("__side") == 0, F.col("__t")))
+    newest = F.max_by("__r", F.when(F.col("__side") < 2, F.struct("__t", "__side")))
     before = Window.partitionBy(*on).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = both.groupBy(*on, "__b").agg(newest.alias("__last"))
     carry = carry.select(*[F.col(c).alias(f"__c_{c}") for c in on], F.col("__b").alias("__c_b"),
         F.last("__last", ignorenulls=True).over(before).alias("__carry"))
     w = Window.partitionBy(*on, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    run = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
+    run = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).filter("__side = 2")
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__c_{c}")) for c in on], F.col("__b") == F.col("__c_b"))
     out = run.join(carry, same).withColumn("__m", F.coalesce("__m", "__carry"))
     return out.select(*on, "__l.*", F.col("__m.__rt").alias(f"right_{ts}"), *[F.col(f"__m.{c}").alias(f"right_{c}") for c in values])

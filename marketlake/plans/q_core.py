@@ -117,6 +117,23 @@ q("o036_as_of_join", lambda s, d: S.as_of_join(A.quote_ticks(s, d).select("produ
     A.quote_grid(s, d).select("product_id", "snapshot_ts", "buy_price"), ["product_id"]), "quote_grid",
   "SELECT t.product_id, t.snapshot_ts, t.k, g.snapshot_ts AS right_snapshot_ts, g.buy_price AS right_buy_price FROM quote_ticks t ASOF "
       "LEFT JOIN quote_grid g ON t.product_id = g.product_id AND t.snapshot_ts >= g.snapshot_ts")
+
+
+def _two_tables(s, d):
+    """(raw, retained): the grid of two thirds of its slots, and of the other two thirds at a price of its own; a third is in both."""
+    g, slot = A.quote_grid(s, d).select("product_id", "snapshot_ts", "buy_price"), F.col("snapshot_ts") / 21_600_000 % 3
+    return g.filter(slot != 0), g.filter(slot != 1).withColumn("buy_price", -F.col("buy_price"))
+
+
+def _as_of_both(s, d):
+    raw, retained = _two_tables(s, d)
+    return S.as_of_join(A.quote_ticks(s, d).select("product_id", "snapshot_ts", "k"), raw, ["product_id"], retained=retained)
+
+
+q("o036_as_of_raw_and_retained", _as_of_both, "quote_grid",
+    "WITH g AS (SELECT product_id, snapshot_ts, CASE WHEN snapshot_ts // 21600000 % 3 = 0 THEN -buy_price ELSE buy_price END AS buy_price FROM quote_grid) "
+    "SELECT t.product_id, t.snapshot_ts, t.k, g.snapshot_ts AS right_snapshot_ts, g.buy_price AS right_buy_price FROM quote_ticks t ASOF "
+    "LEFT JOIN g ON t.product_id = g.product_id AND t.snapshot_ts >= g.snapshot_ts")
 q("o037_latest", lambda s, d: S.latest(A.quote_grid(s, d)).select("snapshot_ts", "product_id", "buy_price"), "quote_grid",
     "SELECT snapshot_ts, product_id, buy_price FROM quote_grid WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM quote_grid)")
 q("o041_match_items", lambda s, d: K.match_items(A.listings(s, d), K.aliases(A.items(s, d))), "listings items",

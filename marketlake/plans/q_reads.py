@@ -49,11 +49,22 @@ q("o124_actionable", lambda s, d: D.actionable(A.opportunities(s, d), gates=True
     f"expected_profit > 0 AND liquidity_score >= 15 AND {_CONF} >= 25")
 q("o126_goodness", lambda s, d: A.opportunities(s, d).select("stable_id", D.goodness(1).alias("goodness")), _O,
     f"SELECT stable_id, {_GOOD} AS goodness FROM opportunities")
-q("o135_best_opportunities", lambda s, d: D.best_opportunities(A.opportunities(s, d), 1).select("stable_id", "goodness"), _O,
-    f"SELECT stable_id, {_GOOD} AS goodness FROM opportunities ORDER BY goodness DESC, expected_profit DESC NULLS LAST, stable_id LIMIT "
+q("o135_best_opportunities", lambda s, d: D.best_opportunities(A.opportunities(s, d), 1).select("stable_id", "goodness", "total"), _O,
+    f"SELECT stable_id, {_GOOD} AS goodness, (SELECT count(*) FROM opportunities) AS total FROM opportunities ORDER BY goodness DESC, expected_profit DESC NULLS LAST, stable_id LIMIT "
     f"10 OFFSET 10")
 q("o136_page", lambda s, d: D.page(A.opportunities(s, d).orderBy("stable_id"), 100, 25).select(*_B), _O,
     f"SELECT {_b} FROM opportunities ORDER BY stable_id LIMIT 25 OFFSET 100")
+
+
+def _seek(s, d):
+    """The fifth page: the cursor is the last row of the fourth."""
+    o = A.opportunities(s, d)
+    last = D.sort_opportunities(o, "liquidity_score").limit(100).select("liquidity_score", "stable_id").tail(1)  # what a client sends back
+    return D.seek_page(o, "liquidity_score", after=tuple(last[0]) if last else None).select("stable_id", "liquidity_score", "total")
+
+
+q("o136_seek_page", _seek, _O, "SELECT stable_id, liquidity_score, (SELECT count(*) FROM opportunities) AS total FROM opportunities "
+    "ORDER BY liquidity_score DESC NULLS LAST, stable_id LIMIT 25 OFFSET 100")
 q("o039_hydrate", lambda s, d: D.hydrate(A.opportunities(s, d).orderBy(F.col("expected_profit").desc_nulls_last(),
     "stable_id").limit(20).select("stable_id", F.col("expected_profit").alias("rank")),
     A.opportunities(s, d).filter("NOT partial").select("stable_id", "roi"), "stable_id"), _O,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, round2, round_half_up
-from .keys import match_items, to_listing
+from .keys import match_items, reforge, star_count, to_listing
 
 SORTS = ("expected_profit", "roi", "roi_per_hour", "required_capital", "fees", "duration_seconds", "liquidity_score", "risk_score")
 COVERED = ("AUCTION", "BAZAAR", "CRAFTING", "FORGE")
@@ -165,12 +165,19 @@ def current_summary(df: DataFrame) -> DataFrame:
 
 
 def listing_breakdown(listings: DataFrame) -> DataFrame:
-    """(kind, value, n, avg_price, lowest_bin): stars 0 to 5, BIN or AUCTION, reforge, and the total, in one pass of grouping sets."""
-    price = F.when(F.col("estimated_value") > 0, F.col("estimated_value"))
-    t = listings.select(F.col("star_count").cast("string").alias("stars"), F.when(F.col("bin"), "BIN").otherwise("AUCTION").alias("sale"),
-        "reforge", price.alias("price"), F.when(F.col("bin"), F.col("starting_bid")).alias("bin_price"))
+    """(kind, value, n, avg_price, lowest_bin): stars 0 to 5, BIN or AUCTION, reforge, and the total, in one pass of grouping sets.
+
+    Listings are summed by name and lore first, so that the text rules read each pair of them once.
+    """
+    value = F.when(F.col("highest_bid") > 0, F.col("highest_bid")).otherwise(F.col("starting_bid"))
+    price = F.when(value > 0, value)
+    texts = listings.groupBy("item_name", "item_lore", "bin").agg(F.count("*").alias("c"), F.sum(price).alias("price"), F.count(price).alias("priced"),
+        F.min(F.when(F.col("bin"), F.col("starting_bid"))).alias("bin_price"))
+    t = texts.select(star_count("item_name").cast("string").alias("stars"), F.when(F.col("bin"), "BIN").otherwise("AUCTION").alias("sale"),
+        reforge("item_name", "item_lore").alias("reforge"), "c", "price", "priced", "bin_price")
     g = t.groupingSets([["stars"], ["sale"], ["reforge"], []], "stars", "sale", "reforge").agg(F.grouping_id().alias("gid"),
-        F.count("*").alias("n"), round_half_up(F.avg("price")).alias("avg_price"), F.min("bin_price").alias("lowest_bin"))
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), round_half_up(F.try_divide(F.sum("price"), F.sum("priced"))).alias("avg_price"),
+        F.min("bin_price").alias("lowest_bin"))
     kind = F.when(F.col("gid") == 3, "stars").when(F.col("gid") == 5, "sale").when(F.col("gid") == 6, "reforge").otherwise("all")
     g = g.select(kind.alias("kind"), F.coalesce("stars", "sale", "reforge", F.lit("all")).alias("value"), "n", "avg_price", "lowest_bin")
     zero = listings.sparkSession.range(6).select(F.lit("stars").alias("kind"), F.col("id").cast("string").alias("value"))
@@ -185,7 +192,7 @@ def list_listings(listings: DataFrame, bin_only: bool | None = None, min_stars:
         listings = listings.filter(c)
     listings = listings if min_stars is None else listings.filter(F.col("star_count") >= min_stars)
     listings = listings if max_stars is None else listings.filter(F.col("star_count") <= max_stars)
-    listings = listings if reforge is None else listings.filter(F.lower("reforge") == reforge.lower())
+    listings = listings if reforge is None else listings.filter(F.lower(F.col("reforge")) == reforge.lower())
     order = {"ending": F.asc("end_ts"), "price": F.asc("starting_bid")}.get(sort, F.desc("estimated_value"))
     return listings.orderBy(order, "auction_uuid").limit(limit)
 

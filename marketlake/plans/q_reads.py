@@ -92,7 +92,7 @@ q("o071_current_summary", lambda s, d: D.current_summary(A.opportunities(s, d)),
     "SELECT count(*) AS n, max(expected_profit) AS max_profit, max(snapshot_ts) AS last_ts FROM opportunities")
 _L = """WITH l AS (SELECT *, (length(item_name) - length(replace(item_name, '✪', '')))::INT AS star_count, CASE WHEN highest_bid > 0 THEN highest_bid ELSE starting_bid END AS estimated_value,
   CASE WHEN item_lore LIKE '%modifier: sharp' THEN 'Sharp' ELSE 'None' END AS reforge FROM listings)"""
-q("o073_listing_breakdown", lambda s, d: D.listing_breakdown(K.to_listing(A.listings(s, d))), "listings",
+q("o073_listing_breakdown", lambda s, d: D.listing_breakdown(A.listings(s, d)), "listings",
     _L + """, g AS (SELECT star_count::VARCHAR AS stars, CASE WHEN bin THEN 'BIN' ELSE 'AUCTION' END AS sale, reforge, CASE WHEN estimated_value > 0 THEN estimated_value END AS price, CASE WHEN bin THEN starting_bid END AS bp FROM l),
   a AS (SELECT 'stars' AS kind, stars AS value, price, bp FROM g UNION ALL SELECT 'sale', sale, price, bp FROM g UNION ALL SELECT 'reforge', reforge, price, bp FROM g UNION ALL SELECT 'all', 'all', price, bp FROM g),
   r AS (SELECT kind, value, count(*) AS n, floor(avg(price) + 0.5)::BIGINT AS avg_price, min(bp) AS lowest_bin FROM a GROUP BY ALL)

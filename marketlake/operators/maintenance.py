@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,43 +31,138 @@ def _continues(base: Column, x: Column, rel: float, points: float) -> Column:
         x["risk_score"], points)
 
 
-def trend_segments(history: DataFrame, rel: float = 0.05, points: float = 3.0) -> DataFrame:
-    """Segments of each opportunity's history: a point extends one while it is like its first values.
-
-    Where a segment ends depends on where it began, so each key is read once in order of time; the state is the open segment, whatever the history's length.
+def _apart(before: Column, x: Column, rel: float, points: float) -> Column:
+    """Whether a point ends every segment that the point before it can belong to, whatever that began with; may be false for one that does."""
+
+    def relative(c: str) -> Column:
+        # a base that is like p lies between p / (1 + rel) and p / (1 - rel), and what is like that base a little further out
+        p, v = before[c].cast("double"), x[c].cast("double")
+        far = (1 + rel) / (1 - rel) * (1 + 1e-9)
+        return (v < F.least(p * far, p / far)) | (v > F.greatest(p * far, p / far))
+
+    fixed = lambda c: F.abs(before[c] - x[c]) > 2 * points * (1 + 1e-9)
+    tests = [relative("profit"), relative("roi_per_hour"), fixed("liquidity_score"), fixed("risk_score")]
+    gone = [before[c].isNull() != x[c].isNull() for c in ("profit", "roi_per_hour", "liquidity_score", "risk_score")]
+    out = ~before["partial"].eqNullSafe(x["partial"])
+    for t in (*gone, *[F.coalesce(t, F.lit(False)) for t in tests]):
+        out = out | t
+    return before.isNull() | out
+
+
+def _islands(rows: DataFrame, rel: float, points: float, bucket_ms: int) -> DataFrame:
+    """Adds __island, the time of the last point that begins a segment in any case. Points meet the one before them within buckets of time; the last
+    point and the last island of a bucket are carried on, on one row a key and bucket."""
+    point = F.struct(*POINT)
+    rows = rows.withColumns({"__b": F.floor(F.col("snapshot_ts") / bucket_ms), "__x": point})
+    past = Window.partitionBy("flip_key").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    same = ["flip_key", "__b"]
+    last = rows.groupBy(*same).agg(F.max_by("__x", "snapshot_ts").alias("__last"))
+    last = last.withColumn("__carry", F.lag("__last").over(Window.partitionBy("flip_key").orderBy("__b"))).drop("__last")
+    own = Window.partitionBy(*same).orderBy("snapshot_ts")
+    rows = rows.withColumn("__before", F.lag("__x").over(own)).join(last, same)
+    head = F.when(_apart(F.coalesce("__before", "__carry"), F.col("__x"), rel, points), F.col("snapshot_ts"))
+    rows = rows.withColumn("__head", head).drop("__before", "__carry", "__x")
+    heads = rows.groupBy(*same).agg(F.max("__head").alias("__h"))
+    heads = heads.withColumn("__carry", F.last("__h", ignorenulls=True).over(past)).drop("__h")
+    here = F.last("__head", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__here", here).join(heads, same).withColumn("__island", F.coalesce("__here", "__carry")).drop("__b", "__head",
+        "__here", "__carry")
+
+
+def _heads(values: list[np.ndarray], first: np.ndarray, limits: tuple[float, float], base: np.ndarray | None) -> np.ndarray:
+    """Which rows begin a segment. first: rows that do in any case; base: what the segment before the first row began with, if it may go on."""
+    x = np.stack(values)  # profit, roi, liquidity, risk, partial
+    heads, n = first.copy(), x.shape[1]
+    edges = np.r_[np.flatnonzero(first), n]
+    spans = [(0, int(edges[0]), base)] if base is not None and edges[0] > 0 else []
+    spans += [(int(a) + 1, int(b), x[:, a]) for a, b in zip(edges[:-1], edges[1:]) if b - a > 1]
+    for at, end, own in spans:
+        size = 16
+        while at < end:
+            part = x[:, at : min(end, at + size)]
+            tolerance = np.array([abs(own[0]) * limits[0], abs(own[1]) * limits[0], limits[1], limits[1], 0.0])[:, None]
+            like = ((np.abs(part - own[:, None]) <= tolerance) | (np.isnan(part) & np.isnan(own)[:, None])).all(axis=0)
+            if like.all():
+                at, size = at + part.shape[1], size * 2
+                continue
+            at += int(like.argmin())
+            heads[at] = True
+            own, at, size = x[:, at], at + 1, 16
+    return heads
+
+
+def segment_table(history: DataFrame, stored: DataFrame | None = None, rel: float = 0.05, points: float = 3.0,
+    bucket_ms: int = 30 * DAY_MS) -> DataFrame:
+    """(flip_key, base, valid_to, n): the segments of each opportunity's history, going on from the newest stored one of its key.
+
+    A point extends a segment while it is like the first of it, so where a segment ends depends on where it began. But a point
+    that no segment of its predecessor can hold begins one in any case: histories are cut there, which plain columns find, and
+    the pieces are read apart, a key's on many tasks. Only pieces of several points are looked at in Python, segment by segment
+    on arrays, with the open segment as state.
     """
-
-    def like(a, b, limit) -> bool:
-        return a is None and b is None or a is not None and b is not None and abs(a - b) <= limit
+    rows = history.select("flip_key", *POINT).withColumns({"vf": F.col("snapshot_ts"), "w": F.lit(1).cast("long")})
+    if stored is not None:  # the open segment is a point with the values it began with
+        newest = first_per_key(stored, ["flip_key"], [F.desc("valid_to")])
+        rows = rows.join(newest.select("flip_key", "valid_to"), "flip_key", "left").filter("valid_to IS NULL OR snapshot_ts > valid_to").drop("valid_to")
+        rows = rows.unionByName(newest.select("flip_key", F.col("valid_to").alias("snapshot_ts"), *[F.col(f"base.{c}").alias(c) for c in POINT[1:]],
+            F.col("base.snapshot_ts").alias("vf"), F.col("n").cast("long").alias("w")))
+    cut = _islands(rows, rel, points, bucket_ms)
+    order = ["flip_key", "__island", "snapshot_ts"]
+    fields = ["flip_key", "vf", *POINT[1:], "snapshot_ts", "w", "__island"]
+    profit = history.schema["profit"].dataType.simpleString()
+    out = [("flip_key", pa.string()), ("vf", pa.int64()), ("profit", pa.float64() if profit == "double" else pa.int64()),
+        *[(c, pa.float64()) for c in POINT[2:5]], ("partial", pa.bool_()), ("valid_to", pa.int64()), ("n", pa.int64())]
+    schema = pa.schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, base, to, n = None, None, 0, 0
+        held, group, base = None, None, None  # the open segment's row, its (key, island), and its values as numbers
         for batch in batches:
-            out = []
-            for name, *x in zip(*(batch.column(c).to_pylist() for c in ("flip_key", *POINT))):
-                ts, profit, roi, liquidity, risk, partial = x
-                goes_on = base is not None and name == key and partial == base[5]
-                goes_on = goes_on and like(base[1], profit, rel * abs(base[1] or 0)) and like(base[2], roi, rel * abs(base[2] or 0))
-                if goes_on and like(base[3], liquidity, points) and like(base[4], risk, points):
-                    to, n = ts, n + 1
-                    continue
-                if base is not None:
-                    out.append((key, base[0], to, n, base[1]))
-                key, base, to, n = name, x, ts, 1
-            yield _segments(out)
-        if base is not None:
-            yield _segments([(key, base[0], to, n, base[1])])
-
-    def _segments(rows: list[tuple]) -> pa.RecordBatch:
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), profit_type)
-        columns = list(zip(*rows)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-            ["flip_key", "valid_from", "valid_to", "points", "profit"])
+            if not len(batch):
+                continue
+            column = dict(zip(fields, batch.columns))
+            number = lambda c: column[c].cast(pa.float64()).to_numpy(zero_copy_only=False)
+            values = [number(c) for c in POINT[1:5]] + [number_of_flag(column["partial"])]
+            keys, islands = column["flip_key"].to_numpy(zero_copy_only=False), column["__island"].to_numpy()
+            first = np.r_[group is None or (keys[0], islands[0]) != group, (keys[1:] != keys[:-1]) | (islands[1:] != islands[:-1])]
+            at = np.flatnonzero(_heads(values, first, (rel, points), None if first[0] else base))
+            to, upto = column["snapshot_ts"].to_numpy(), np.r_[0, np.cumsum(column["w"].to_numpy())]
+            ends = np.r_[at[1:], len(batch)]
+            grown = int(at[0]) if len(at) else len(batch)
+            if held is not None and grown:
+                held = {**held, "valid_to": int(to[grown - 1]), "n": held["n"] + int(upto[grown])}
+            if not len(at):
+                continue
+            made = pa.RecordBatch.from_arrays([*[column[c].take(pa.array(at)) for c in fields[:7]], pa.array(to[ends - 1]), pa.array(upto[ends] - upto[at])],
+                schema=schema)
+            if held is not None:
+                yield pa.RecordBatch.from_pylist([held], schema=schema)
+            yield made.slice(0, len(at) - 1)
+            held, group = made.slice(len(at) - 1).to_pylist()[0], (keys[-1], islands[-1])
+            base = np.array([v[at[-1]] for v in values])
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held], schema=schema)
+
+    def number_of_flag(flags: pa.Array) -> np.ndarray:
+        return flags.cast(pa.int8()).cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+    typed = cut.select("flip_key", F.col("vf").cast("long"), "profit", *[F.col(c).cast("double").alias(c) for c in POINT[2:5]], "partial", "snapshot_ts",
+        "w", "__island")
+    made = typed.repartition("flip_key", "__island").sortWithinPartitions(*order).mapInArrow(run,
+        f"flip_key string, vf long, profit {profit}, roi_per_hour double, liquidity_score double, risk_score double, partial boolean, valid_to long, n long")
+    return made.select("flip_key", F.struct(F.col("vf").alias("snapshot_ts"), *POINT[1:]).alias("base"), "valid_to", "n")
 
-    profit = history.schema["profit"].dataType.simpleString()
-    profit_type = pa.float64() if profit == "double" else pa.int64()
-    ordered = history.select("flip_key", *POINT).repartition("flip_key").sortWithinPartitions("flip_key", "snapshot_ts")
-    return ordered.mapInArrow(run, f"flip_key string, valid_from long, valid_to long, points int, profit {profit}")
+
+def trend_segments(history: DataFrame, rel: float = 0.05, points: float = 3.0) -> DataFrame:
+    """(flip_key, valid_from, valid_to, points, profit): the segments of a history."""
+    return segment_table(history, None, rel, points).select("flip_key", F.col("base.snapshot_ts").alias("valid_from"), "valid_to",
+        F.col("n").cast("int").alias("points"), F.col("base.profit").alias("profit"))
+
+
+def backfill_segments(history: DataFrame, stored: DataFrame, rel: float = 0.05, points: float = 3.0) -> DataFrame:
+    """The stored segments (flip_key, base, valid_to, n) after any number of later snapshots, in one job: the newest of a key goes on, the others stay."""
+    newest = first_per_key(stored, ["flip_key"], [F.desc("valid_to")])
+    older = stored.join(newest.select("flip_key", "valid_to"), ["flip_key", "valid_to"], "left_anti")
+    return older.select("flip_key", "base", "valid_to", F.col("n").cast("long").alias("n")).unionByName(segment_table(history, stored, rel, points))
 
 
 def monotonic_guard(new: DataFrame, current: DataFrame) -> DataFrame:

@@ -190,17 +190,11 @@ _points = lambda df: df.select("flip_key", F.struct(*M.POINT).alias("base"), F.c
 
 
 def _backfill(s, d):
-    """Every day of the history into the segments, one after the other, as a backfill does; the segments are a table written anew each day."""
-    to = shared_folder(s)
-    A.opportunity_history(s, d).withColumn("day", F.col("snapshot_ts")).write.partitionBy("day").parquet(f"{to}/history")
-    h = s.read.parquet(f"{to}/history")
-    seg = None
-    for (day,) in h.select("day").distinct().orderBy("day").collect():  # one row a day
-        new = h.filter(F.col("day") == day).drop("day")
-        (_points(new) if seg is None else M.extend_segments(new, seg)).write.parquet(f"{to}/{day}")
-        seg = s.read.parquet(f"{to}/{day}")
-    return seg.select("flip_key", F.col("base.snapshot_ts").alias("valid_from"), "valid_to", F.col("n").alias("points"),
-        F.col("base.profit").alias("profit"))
+    """The history up to T as stored segments, and every later day of it in one job."""
+    h = A.opportunity_history(s, d)
+    stored = M.segment_table(h.filter(F.col("snapshot_ts") <= T))
+    return M.backfill_segments(h.filter(F.col("snapshot_ts") > T), stored).select("flip_key", F.col("base.snapshot_ts").alias("valid_from"),
+        "valid_to", F.col("n").cast("int").alias("points"), F.col("base.profit").alias("profit"))
 
 
 q("o166_backfill", _backfill, "", None)

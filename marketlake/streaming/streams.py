@@ -138,10 +138,19 @@ class Keyed(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(rows).sort_values(self.order, kind="stable")
-        out, value = self.step(key, frame, tuple(self.value.get()) if self.value.exists() else None)
+        value = tuple(self.value.get()) if self.value.exists() else None
+        ts, cuts = frame[self.order[0]].to_numpy(), [0, len(frame)]
+        if self.ttl_ms is not None:  # the timer frees the state; what is idle is told by the rows' own times, whenever it fires
+            if value is not None and any(t < ts[0] for t in self.handle.listTimers()):
+                value = None
+            cuts = [0, *(np.flatnonzero(np.diff(ts) > self.ttl_ms) + 1).tolist(), len(frame)]
+        for i, j in zip(cuts, cuts[1:]):
+            out, value = self.step(key, frame.iloc[i:j], None if i else value)
+            yield out[list(self.columns)]
         if value is not None:
-            self._keep(value, int(frame[self.order[0]].max()))
-        yield out[list(self.columns)]
+            self._keep(value, int(ts[-1]))
+        elif self.value.exists():
+            self.value.clear()
 
     def _keep(self, value: tuple, at: int) -> None:
         self.value.update(value)

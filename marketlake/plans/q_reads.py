@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keys as K
 from ..operators import reads as D
+from ..operators import sketches as SK
 from ..operators import snapshots as S
 from ..sources import adapters as A
 from . import q_value as QV
@@ -145,6 +146,19 @@ q("o144_get_opportunity", lambda s, d: A.opportunities(s, d).filter("stable_id =
 q("o074_route_timings", lambda s, d: D.route_timings(A.request_log(s, d)), "request_log",
     """SELECT route, avg(duration_ms) AS mean_ms, max(duration_ms) AS max_ms, quantile_cont(duration_ms, 0.95) AS p95_ms, quantile_cont(duration_ms, 0.99) AS p99_ms, count(*) AS requests, string_agg(DISTINCT method, ',' ORDER BY method) AS methods,
   string_agg(DISTINCT status, ',' ORDER BY status) AS statuss, string_agg(DISTINCT outcome, ',' ORDER BY outcome) AS outcomes, p95_ms > 250 AS over_threshold FROM request_log GROUP BY 1""")
+
+
+def _sketched(s, d):
+    """From daily sketches: requests, and whether distinct durations and the 95th percentile lie within their bounds of the exact ones."""
+    log = A.request_log(s, d)
+    near = SK.over_days(SK.daily_sketches(log, "route", "duration_ms", "duration_ms"), "route")
+    j = log.join(near, "route").groupBy("route", "n", "distinct", "p95").agg(F.countDistinct("duration_ms").alias("exact"),
+        F.avg((F.col("duration_ms") < F.col("p95")).cast("int")).alias("below"), F.avg((F.col("duration_ms") <= F.col("p95")).cast("int")).alias("upto"))
+    return j.select("route", F.col("n").alias("requests"), (F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("distinct_near"),
+        ((F.col("below") <= 0.97) & (F.col("upto") >= 0.93)).alias("p95_near"))
+
+
+q("o074_route_sketches", _sketched, "request_log", "SELECT route, count(*) AS requests, true AS distinct_near, true AS p95_near FROM request_log GROUP BY 1")
 q("o075_top_stacks", lambda s, d: D.top_stacks(A.table(s, d, "events").select(F.col("event_type").alias("class"),
     F.concat(F.lit("s"), F.col("user_id")).alias("stack"), F.round(F.col("value") * 100).cast("long").alias("duration"))), "",
     "SELECT class, stack, total, events, rank::INT AS rank, round(total / sum_t, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION "

@@ -188,6 +188,30 @@ def parity(left: DataFrame, right: DataFrame, key: str, columns: list[str], tole
     return j.select(key, side.alias("side"), F.when(both, F.array_compact(F.array(*map(differs, columns)))).alias("mismatches"))
 
 
+def parity_report(left: DataFrame, right: DataFrame, key: str, columns: list[str], type_col: str = "flip_type", ts: str = "snapshot_ts",
+    sample: int = 20, tolerance: float = 1e-9) -> DataFrame:
+    """(kind, name, n) of two stores of the same rows: counts, whether their newest snapshots agree and all is equal, rows by type on each side, and
+    the first keys, in order, that one side lacks or whose columns differ, with those columns."""
+    p = parity(left, right, key, columns, tolerance)
+    wrong = F.coalesce(F.size("mismatches") > 0, F.lit(False))
+    sums = p.agg(*[F.count_if(F.col("side").isin(*sides)).alias(name) for name, sides in (("left", ("only_left", "shared")), ("right", ("only_right",
+        "shared")), ("shared", ("shared",)), ("only_left", ("only_left",)), ("only_right", ("only_right",)))], F.count_if(wrong).alias("mismatched"))
+    newest = left.agg(F.max(ts).alias("__l")).crossJoin(F.broadcast(right.agg(F.max(ts).alias("__r"))))  # one row each
+    sums = sums.crossJoin(F.broadcast(newest.select(F.coalesce(F.col("__l") == F.col("__r"), F.lit(False)).cast("long").alias("aligned"))))
+    sums = sums.withColumn("ok", ((F.col("aligned") == 1) & (F.col("only_left") + F.col("only_right") + F.col("mismatched") == 0)).cast("long"))
+    counts = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in sums.columns])).alias("r")).select(
+        F.lit("count").alias("kind"), "r.name", "r.n")
+    out = counts
+    for side, df in (("left", left), ("right", right)):
+        out = out.unionByName(df.groupBy(F.col(type_col).alias("name")).agg(F.count("*").alias("n")).select(F.lit(f"{side}_type").alias("kind"), "name", "n"))
+    name = F.concat_ws(":", F.col(key).cast("string"), F.array_join("mismatches", ","))
+    for kind, rows in (("only_left", p.filter("side = 'only_left'")), ("only_right", p.filter("side = 'only_right'")), ("mismatch", p.filter(wrong))):
+        first = rows.orderBy(key).limit(sample)
+        out = out.unionByName(first.select(F.lit(f"sample_{kind}").alias("kind"), (name if kind == "mismatch" else F.col(key).cast("string")).alias("name"),
+            F.lit(1).cast("long").alias("n")))
+    return out
+
+
 def daily_rollup_quotes(df: DataFrame) -> DataFrame:
     spread = F.abs(F.col("buy_price") - F.col("sell_price"))
     return df.groupBy(epoch_day("snapshot_ts").alias("day"),

@@ -155,6 +155,17 @@ q("o045_parity", lambda s, d: S.parity(A.opportunities(s, d).filter("stable_id N
   SELECT coalesce(l.stable_id, r.stable_id) AS stable_id, CASE WHEN r.stable_id IS NULL THEN 'only_left' WHEN l.stable_id IS NULL THEN 'only_right' ELSE 'shared' END AS side,
   CASE WHEN l.stable_id IS NOT NULL AND r.stable_id IS NOT NULL THEN concat_ws(',', CASE WHEN k % 10 = 0 AND l.expected_profit IS NOT NULL THEN 'expected_profit' END, CASE WHEN k % 11 = 0 AND l.roi IS NOT NULL THEN 'roi' END) END AS mismatches
   FROM l FULL JOIN r USING (stable_id)""")
+_PAR = """WITH l AS (SELECT * FROM opportunities WHERE stable_id NOT LIKE '%3'),
+  r AS (SELECT *, substr(stable_id, 2)::BIGINT AS k FROM opportunities WHERE substr(stable_id, 2)::BIGINT % 7 <> 0),
+  m AS (SELECT stable_id, concat_ws(',', CASE WHEN k % 10 = 0 AND l.expected_profit IS NOT NULL THEN 'expected_profit' END, CASE WHEN k % 11 = 0 AND l.roi IS NOT NULL THEN 'roi' END) AS f FROM l JOIN r USING (stable_id)),
+  c AS (SELECT (SELECT count(*) FROM l) AS nl, (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM m) AS ns, (SELECT count(*) FROM m WHERE f <> '') AS nm, ((SELECT max(snapshot_ts) FROM l) = (SELECT max(snapshot_ts) FROM r))::BIGINT AS al)
+  SELECT 'count' AS kind, unnest(['left', 'right', 'shared', 'only_left', 'only_right', 'mismatched', 'aligned', 'ok']) AS name, unnest([nl, nr, ns, nl - ns, nr - ns, nm, al, CASE WHEN al = 1 AND nl = ns AND nr = ns AND nm = 0 THEN 1 ELSE 0 END]) AS n FROM c
+  UNION ALL SELECT 'left_type', flip_type, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'right_type', flip_type, count(*) FROM r GROUP BY 2
+  UNION ALL (SELECT 'sample_only_left', stable_id, 1 FROM l WHERE stable_id NOT IN (SELECT stable_id FROM r) ORDER BY 2 LIMIT 20)
+  UNION ALL (SELECT 'sample_only_right', stable_id, 1 FROM r WHERE stable_id NOT IN (SELECT stable_id FROM l) ORDER BY 2 LIMIT 20)
+  UNION ALL (SELECT 'sample_mismatch', stable_id || ':' || f, 1 FROM m WHERE f <> '' ORDER BY stable_id LIMIT 20)"""
+q("o045_parity_report", lambda s, d: S.parity_report(A.opportunities(s, d).filter("stable_id NOT LIKE '%3'"), _right(s, d), "stable_id", _cmp),
+    "opportunities", _PAR)
 q("o047_daily_anchors", lambda s, d: S.daily_anchors(A.quote_grid(s, d), T0, T1).select("snapshot_ts", "product_id", "buy_price"),
     "quote_grid", f"SELECT snapshot_ts, product_id, buy_price FROM quote_grid WHERE snapshot_ts IN (SELECT min(snapshot_ts) FROM "
     f"quote_grid WHERE snapshot_ts >= {T0} AND snapshot_ts < {T1} GROUP BY snapshot_ts // {DAY_MS})")

@@ -100,6 +100,8 @@ def catalog(s: SparkSession, d: str) -> DataFrame:
         F.when(k % 3 == 0, F.concat(F.lit(',"recipe":{"A1":"WOOD:2","B2":"WOOD","C3":"P'), (k % 7).cast("string"),
             F.lit(':4"}'))).otherwise(""),
         F.when(k % 4 == 0, F.concat(F.lit(',"recipes":['), F.format_string(forge, F.col("p_size").cast("string")),
+            F.when(k % 8 == 0, F.concat(F.lit(',{"type":"katgrade","time":'), (F.col("p_size") * 10).cast("string"),
+            F.lit(',"input":"PET","output":"BETTER_PET:1","items":"[\\"LURE:2\\"]"}'))).otherwise(""),
             F.lit(',{"type":"npc_shop","result":"GEM:2","cost":"[\\"SKYBLOCK_COIN:'), F.col("p_size").cast("string"),
             F.lit('\\",\\"X:1\\"]"}]'))).otherwise(""), F.lit("}"),
     )).alias("value"))
@@ -121,7 +123,11 @@ q("o143_list_npc_offers",
 _C = "WITH c AS (SELECT *, upper('part_' || p_partkey) AS item FROM part WHERE p_partkey % 11 <> 0)"
 q("o028_catalog_recipes", lambda s, d: S.catalog_recipes(catalog(s, d))[1], "",
     _C + """ SELECT item || ':CRAFT:0' AS recipe_id, 'WOOD' AS item_id, 3::BIGINT AS amount FROM c WHERE p_partkey % 3 = 0 UNION ALL SELECT item || ':CRAFT:0', 'P' || (p_partkey % 7), 4 FROM c WHERE p_partkey % 3 = 0
-  UNION ALL SELECT item || ':FORGE:0', i, n FROM c, (SELECT unnest(['RUBY', 'JADE']) AS i, unnest([2, 1]) AS n) WHERE p_partkey % 4 = 0""")
+  UNION ALL SELECT item || ':FORGE:0', i, n FROM c, (SELECT unnest(['RUBY', 'JADE']) AS i, unnest([2, 1]) AS n) WHERE p_partkey % 4 = 0
+  UNION ALL SELECT item || ':KATGRADE:0', i, n FROM c, (SELECT unnest(['PET', 'LURE']) AS i, unnest([1, 2]) AS n) WHERE p_partkey % 8 = 0""")
+q("o028_catalog_recipe_heads", lambda s, d: S.catalog_recipes(catalog(s, d))[0], "",
+    _C + """ SELECT item || ':CRAFT:0' AS recipe_id, item AS output_item_id, 'CRAFT' AS process_type, 0::BIGINT AS process_duration_seconds FROM c WHERE p_partkey % 3 = 0
+  UNION ALL SELECT item || ':FORGE:0', item, 'FORGE', p_size FROM c WHERE p_partkey % 4 = 0 UNION ALL SELECT item || ':KATGRADE:0', 'BETTER_PET', 'KATGRADE', p_size * 10 FROM c WHERE p_partkey % 8 = 0""")
 q("o029_npc_offers", lambda s, d: S.npc_offers(catalog(s, d)), "",
     _C + " SELECT item AS item_id, 'GEM' AS result_id, 2 AS amount, nullif(p_size, 0)::BIGINT AS coin_cost, p_size / 2e0 AS unit_cost "
     "FROM c WHERE p_partkey % 4 = 0")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from ..operators import maintenance as M
 from ..operators import rollups as R
 from ..sources import adapters as A
 from ..sources import files as S
+from ..sources.files import shared_folder
 from . import q_value as QV
 from .inputs_sql import sql
 from .q_series import ORACLES as SERIES_SQL
@@ -31,18 +30,6 @@ def q(name: str, fn, inputs: str, body: str | None) -> None:
         ORACLES[name] = sql(inputs, body)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; a local one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="spark-tables-")
-    return f"{named}/{uuid.uuid4().hex}"
-
-
 # sources, from JSON that Spark makes of the tables
 def pages(s: SparkSession, d: str) -> DataFrame:
     """Pages of about 500 listings, each one JSON text; of the second update the last page is missing."""

@@ -8,6 +8,7 @@ from ..operators import features as X
 from ..operators import keys as K
 from ..operators import valuation as V
 from ..sources import adapters as A
+from ..sources.files import stored
 from .inputs_sql import sql
 from .q_series import _FEAT, _MIC, T, W
 
@@ -22,17 +23,26 @@ def q(name: str, fn, inputs: str, body: str | None) -> None:
         ORACLES[name] = sql(inputs, body)
 
 
-def legs(s, d):
-    return V.market_opportunities(A.part_quotes(s, d),
-        A.item_listing_quotes(s, d)).unionByName(V.conversion_opportunities(A.recipes(s, d), A.ingredients(s, d)))
+def legs(s, d, quotes=None, lq=None):
+    quotes = A.part_quotes(s, d) if quotes is None else quotes
+    lq = A.item_listing_quotes(s, d) if lq is None else lq
+    return V.market_opportunities(quotes, lq).unionByName(V.conversion_opportunities(A.recipes(s, d), A.ingredients(s, d)))
+
+
+def feeds(s, d):
+    """(quotes, listing quotes) as stored tables: both the legs and their prices read them."""
+    return stored(A.part_quotes(s, d)), stored(A.item_listing_quotes(s, d))
 
 
 def valued(s, d):
-    return V.value_opportunities(legs(s, d), A.part_quotes(s, d), A.item_listing_quotes(s, d), constraints=V.constraints_of(legs(s, d)))
+    quotes, lq = feeds(s, d)
+    own = stored(legs(s, d, quotes, lq))
+    return V.value_opportunities(own, quotes, lq, constraints=V.constraints_of(own))
 
 
 def resolved(s, d):
-    return V.resolve_leg_prices(V.with_implicit_sells(legs(s, d)), A.part_quotes(s, d), A.item_listing_quotes(s, d))
+    quotes, lq = feeds(s, d)
+    return V.resolve_leg_prices(V.with_implicit_sells(legs(s, d, quotes, lq)), quotes, lq)
 
 
 CAREFUL = "coalesce(CASE WHEN p25 > 0 AND second_lowest > 0 THEN least(p25, second_lowest) END, CASE WHEN p25 > 0 THEN p25 END, CASE WHEN second_lowest > 0 THEN second_lowest END, median * 0.97e0)"

@@ -5,6 +5,9 @@ All paths go through Spark's readers, so that any store Spark reads will do.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -91,6 +94,23 @@ def catalog_fingerprint(files: DataFrame) -> DataFrame:
     return groups.agg(F.sha2(lines(F.concat_ws(":", "g", "h")), 256).alias("fingerprint"), F.sum("n").alias("files"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that spark.checkpoint.dir names; a local one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        named = tempfile.mkdtemp(prefix="spark-tables-")
+    return f"{named}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in a new shared folder, read again: what several parts of a plan read is computed once."""
+    to = shared_folder(df.sparkSession)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a store that Spark reads has the path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,7 +15,9 @@
 
 Defined results: a null text counts as empty and is never taken more than 0
 words; repeated rows are documents of their own, those equal in source, id and
-size being interchangeable; an empty table gives no row.
+size being interchangeable; rows without id draw their luck by their place in
+the input, so that reruns agree on them while its partitions stay the same; texts
+of any length are counted whole; an empty table gives no row.
 """
 
 from __future__ import annotations

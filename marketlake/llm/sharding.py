@@ -10,7 +10,9 @@ comparing the group with the cuts, and gapless slots from counts per cell (a
 group, split by id where it is large) plus a rank inside the cell.
 
 Defined results: a null text counts as empty (no bytes); repeated rows take a
-slot each; an empty table gives no row; null ids are dealt among cells by row.
+slot each; an empty table gives no row; null ids are dealt among cells by row;
+texts of any length are read whole, in the JVM; other columns are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations

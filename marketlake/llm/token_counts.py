@@ -1,7 +1,9 @@
 """Token counts by rank-synchronous array merging (see `bpe`).
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
-give a row each; an empty table gives no row. Ids never leave the JVM.
+give a row each; an empty table gives no row; texts of any length are read whole.
+Ids never leave the JVM, and other columns are not read, so their names cannot
+clash.
 """
 
 from __future__ import annotations

@@ -94,13 +94,13 @@ def o150(s, d):
 
 
 def o158(s, d):
-    """The same snapshots twice through the sink: one copy stays."""
+    """The same snapshots twice through the sink, the second time at other prices: the first generation stays."""
     to = shared_folder(s)
     g = A.quote_grid(s, d).select("snapshot_ts", "product_id", "buy_price")
-    for _ in range(2):
-        landed(s, g).writeStream.option("checkpointLocation",
-            shared_folder(s)).foreachBatch(ST.regenerate(s, to)).trigger(availableNow=True).start().awaitTermination()
-    return read_or_empty(s, to, g.schema).select(F.col("snapshot_ts").cast("long").alias("snapshot_ts"), "product_id", "buy_price")
+    for run, rows in (("first", g), ("again", g.withColumn("buy_price", F.col("buy_price") * 2))):
+        landed(s, rows).writeStream.option("checkpointLocation",
+            shared_folder(s)).foreachBatch(ST.regenerate(to, run)).trigger(availableNow=True).start().awaitTermination()
+    return ST.generated(s, to, g.schema)
 
 
 QUERIES = {"o149_pair_feeds_stream": o149, "o150_latest_only": o150, "o151_changed_updates_stream": o151, "o152_closed_buckets": o152, "o156_trend_segments_stream": o156,

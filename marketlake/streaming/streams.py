@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.exprs import epoch_day
 from ..operators import materialization as MZ
@@ -290,10 +290,28 @@ def latest_only(batch: DataFrame, batch_id: int) -> DataFrame:
     return batch.join(F.broadcast(top), F.col("snapshot_ts") == F.col("__t"), "left_semi")
 
 
-def regenerate(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink keyed by snapshot: a snapshot that comes again replaces its own rows."""
+GENERATED = "snapshot_ts long, run string, batch long"
 
-    def write(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_ts").parquet(path)
+
+def regenerate(path: str, run: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink keyed by snapshot: one that has been generated already is left as it is, another is written.
+
+    Rows are written first, then the log of the batch's snapshots, which is what counts: a batch that stopped between them is
+    cleared and written again. run names the query, as each begins to count its batches anew. Tables: rows, generated.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        log = read_or_empty(df.sparkSession, f"{path}/generated", GENERATED)
+        done = log.filter(~((F.col("run") == run) & (F.col("batch") == batch))).select("snapshot_ts").distinct()
+        df.join(done, "snapshot_ts", "left_anti").write.mode("overwrite").parquet(f"{path}/rows/run={run}/batch={batch}")
+        fresh = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows/run={run}/batch={batch}")
+        fresh.select("snapshot_ts").distinct().coalesce(1).write.mode("overwrite").parquet(f"{path}/generated/run={run}/batch={batch}")
 
     return write
+
+
+def generated(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all generated snapshots."""
+    whole = StructType([*schema.fields, StructField("run", StringType()), StructField("batch", LongType())])
+    log = read_or_empty(spark, f"{path}/generated", GENERATED)
+    return read_or_empty(spark, f"{path}/rows", whole).join(log, ["snapshot_ts", "run", "batch"], "left_semi").select(*schema.names)

@@ -9,7 +9,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..functions.exprs import DAY_MS
 from ..operators import maintenance as M
 from ..sources import adapters as A
-from ..sources.files import read_or_empty
+from ..sources.files import read_or_empty, stored
 from ..streaming import streams as ST
 from .inputs_sql import sql
 from .q_reads import ORACLES as READS
@@ -73,8 +73,8 @@ def o149(s, d):
 
 def o156(s, d):
     """The history up to T as a stored table, from whose open segments the stream of the rest goes on."""
-    h = A.opportunity_history(s, d)
-    old = M.trend_segments(h.filter(F.col("snapshot_ts") <= T))
+    h = stored(A.opportunity_history(s, d))
+    old = stored(M.trend_segments(h.filter(F.col("snapshot_ts") <= T)))
     newest = M.first_per_key(old, ["flip_key"], [F.desc("valid_from")])
     base = h.select("flip_key", F.col("snapshot_ts").alias("valid_from"), "roi_per_hour", "liquidity_score", "risk_score", "partial")
     opened = newest.join(base, ["flip_key", "valid_from"]).select("flip_key", F.col("valid_from").alias("vf"), F.col("valid_to").alias("vt"),

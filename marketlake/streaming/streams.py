@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..functions.exprs import epoch_day
 from ..operators import materialization as MZ
 from ..operators.rollups import RollupParams, with_bucket
-from ..sources.files import read_or_empty
+from ..sources.files import read_or_empty, stored
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -173,9 +173,10 @@ class Keyed(StatefulProcessor):
 
 def _apply(stream: DataFrame, key: str, ts: str, processor: Keyed, schema: str, mode: str, initial: DataFrame | None,
     watermark: str = "30 seconds") -> DataFrame:
+    """The initial state is stored first: the plan of a micro-batch, which is not adaptive, reads it and holds none of its joins."""
     timed = stream.withColumn("__ts", F.timestamp_millis(ts)).withWatermark("__ts", watermark)
     return timed.groupBy(key).transformWithStateInPandas(processor, schema, mode, "eventTime",
-        initialState=None if initial is None else initial.groupBy(key))
+        initialState=None if initial is None else stored(initial).groupBy(key))
 
 
 class _Changes(Keyed):

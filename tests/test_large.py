@@ -33,3 +33,14 @@ def test_aggregate_keeps_rows_of_one_time(spark):
     q = spark.createDataFrame([(1, " a", 1.0, 1.0, 1, 1), (1, "A", 2.0, -1.0, 1, 1), (1, " ", 2.0, 1.0, 1, 1)],
         "snapshot_ts long, product_id string, buy_price double, sell_price double, buy_volume long, sell_volume long")
     assert sorted((r.product_id, r.buy_price) for r in S.aggregate_quotes(q).collect()) == [("A", 1.0), ("A", 2.0)]
+
+
+def test_segments_from_joined_state(spark, sf):
+    """The open segments come from a join by a shuffle, as on tables too large to broadcast."""
+    key, name = "spark.sql.autoBroadcastJoinThreshold", "o156_trend_segments_stream"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        rows_match(spark, registry.QUERIES[name], registry.ORACLES[name], sf)
+    finally:
+        spark.conf.set(key, before)

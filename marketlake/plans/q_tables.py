@@ -47,7 +47,7 @@ def pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pages_source(s, d):
-    return S.parse_listing_pages(pages(s, d)).groupBy("snapshot_ts", "bin").agg(F.count("*").alias("n"),
+    return S.parse_listing_pages(S.stored(pages(s, d))).groupBy("snapshot_ts", "bin").agg(F.count("*").alias("n"),
         F.sum("starting_bid").alias("bids"), F.count("item_lore").alias("lores"))
 
 

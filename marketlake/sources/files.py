@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -33,10 +35,14 @@ def parse_listing_pages(df: DataFrame, json: str = "value") -> DataFrame:
 def listings_of_pages(pages: DataFrame) -> DataFrame:
     """Rows of updates all of whose pages are there; an update with a page missing has none, so that it never looks like an empty market."""
     pages = pages.filter("success")
-    whole = pages.groupBy("lastUpdated").agg((F.countDistinct("page") == F.max("totalPages")).alias("ok")).filter("ok")
-    e = pages.join(whole, "lastUpdated",
-        "left_semi").dropDuplicates(["lastUpdated", "page"]).select(F.col("lastUpdated").alias("snapshot_ts"),
-        F.explode("auctions").alias("a"))
+    seen = pages.groupBy("lastUpdated", "page").agg(F.max("totalPages").alias("total"))
+    # numbers alone meet by update; the pages, which are large and many an update, meet and are told apart by update and page
+    w, keys = Window.partitionBy("lastUpdated"), ["lastUpdated", "page"]
+    seen = seen.withColumn("ok", F.count("page").over(w) == F.max("total").over(w)).filter("ok")
+    wanted = seen.select(*[F.col(c).alias(f"__{c}") for c in keys]).repartition(*[f"__{c}" for c in keys])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+    kept = pages.repartition(*keys).join(wanted, same, "left_semi").dropDuplicates(keys)
+    e = kept.select(F.col("lastUpdated").alias("snapshot_ts"), F.explode("auctions").alias("a"))
     return e.select("snapshot_ts", F.col("a.uuid").alias("auction_uuid"), "a.item_name", "a.category", "a.tier", "a.starting_bid",
         F.col("a.highest_bid_amount").alias("highest_bid"), F.col("a.start").alias("start_ts"), F.col("a.end").alias("end_ts"), "a.claimed",
         "a.bin", "a.item_lore", "a.extra")
@@ -212,8 +218,6 @@ def catalog_recipes(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(*[F.col("r")[k].try_cast("long") for k in ("duration", "time", "forgeTime", "craftTime")], F.lit(0)))
     t = both.withColumn("process_type",
         process).filter("process_type IS NOT NULL").withColumns({"parts": parts, "process_duration_seconds": seconds})
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("item", "process_type").orderBy("pos")) - 1
     t = t.withColumn("recipe_id", F.concat_ws(":", "item", "process_type", n.cast("string")))
     out = F.coalesce(F.nullif(F.trim(F.col("r")["overrideOutputId"]), F.lit("")), F.nullif(F.trim(F.col("r")["output"]), F.lit("")), "item")

@@ -6,8 +6,10 @@ import duckdb
 import pytest
 from compare import rows_match
 
+from marketlake.operators import keys as K
 from marketlake.operators import snapshots as S
 from marketlake.plans import registry
+from marketlake.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +46,46 @@ def test_segments_from_joined_state(spark, sf):
         rows_match(spark, registry.QUERIES[name], registry.ORACLES[name], sf)
     finally:
         spark.conf.set(key, before)
+
+
+def test_pages_meet_by_update_and_page(spark):
+    """An update's pages do not come together in one task; of an update with a page missing none comes."""
+    page = lambda u, p, n: '{"success":true,"page":%d,"totalPages":4,"lastUpdated":%d,"auctions":[{"uuid":"%s"}]}' % (p, u, n)
+    rows = [page(u, p, f"{u}-{p}") for u in (5, 6) for p in range(4) if (u, p) != (6, 3)] + [page(5, 2, "5-2")]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = files.parse_listing_pages(spark.createDataFrame([(r,) for r in rows], "value string"))
+        assert sorted((r.snapshot_ts, r.auction_uuid) for r in out.collect()) == [(5, f"5-{p}") for p in range(4)]
+        shuffles = exchanges_of(out)
+    finally:
+        spark.conf.set(key, before)
+    assert not [e for e in shuffles if "auctions" in e[1] and "page" not in e[0]]
+
+
+def exchanges_of(df):
+    """(partitioning, columns) of every shuffle of the first plan."""
+    import re
+
+    full = df._jdf.queryExecution().executedPlan()
+    full = full.initialPlan() if full.nodeName() == "AdaptiveSparkPlan" else full
+    found, todo = [], [full]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            found.append((node.outputPartitioning().toString(), re.sub(r"#\d+L?", "", node.output().toString())))
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_gem_slots_share_letters(spark):
+    df = spark.createDataFrame([("x", "Ruby SlotTopaz slot, jade gemstone"), ("OPAL GEMSTONE SLOT COMBAT GEMSTONE SLOT", None), ("ruby slotopaz slot", "combat gemstone")],
+        "nm string, lore string")
+    assert [r[0] for r in df.select(K.gem_slots("nm", "lore")).collect()] == [["Ruby", "Jade", "Topaz"], ["Combat", "Opal"], ["Ruby", "Topaz"]]
+
+
+@pytest.mark.parametrize("name", ["o022_stars", "o023_reforge", "o024_gem_slots"])
+def test_text_rules_read_texts_once(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Aggregate [nm#") and "_groupingexpression" not in plan.splitlines()[0], plan

@@ -122,13 +122,13 @@ def reforge(name: Column | str, lore: Column | str) -> Column:
 def gem_slots(name: Column | str, lore: Column | str) -> Column:
     """Slot and gem names of the lore, else of the name, in their fixed order."""
 
-    def found(text: Column, endings: tuple[str, ...], slot_endings: tuple[str, ...]) -> Column:
-        named = [(w, slot_endings) for w in SLOTS] + [(w, endings) for w in GEMS]
-        hits = [F.when(text.rlike("(?:" + "|".join(f"{w} {e}" for e in own) + ")"), F.lit(w.title())) for w, own in named]
-        return F.array_compact(F.array(*hits))
+    def found(text: Column, gem: str, slot: str) -> Column:
+        # one pass over the text; endings are looked at, not taken, as the next name may begin in them
+        named = F.regexp_extract_all(text, F.lit(f"(?:{'|'.join(SLOTS)})(?= (?:{slot}))|(?:{'|'.join(GEMS)})(?= (?:{gem}))"), F.lit(0))
+        return F.transform(F.array_intersect(F.array(*map(F.lit, SLOTS + GEMS)), named), F.initcap)
 
-    in_lore = found(F.upper(F.regexp_replace(F.coalesce(col(lore), F.lit("")), "§.", "")), ("SLOT", "GEMSTONE"), ("SLOT",))
-    in_name = found(F.upper(F.trim(F.coalesce(col(name), F.lit("")))), ("SLOT", "GEMSTONE SLOT", "GEMSTONE"), ("SLOT", "GEMSTONE SLOT"))
+    in_lore = found(F.upper(F.regexp_replace(F.coalesce(col(lore), F.lit("")), "§.", "")), "SLOT|GEMSTONE", "SLOT")
+    in_name = found(F.upper(F.trim(F.coalesce(col(name), F.lit("")))), "SLOT|GEMSTONE", "SLOT|GEMSTONE SLOT")
     return F.when(F.size(in_lore) > 0, in_lore).otherwise(in_name)
 
 

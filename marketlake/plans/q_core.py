@@ -80,15 +80,16 @@ _names = lambda s, d: A.table(s, d, "lineitem").join(A.table(s, d, "part"),
     F.col("l_partkey") == F.col("p_partkey")).select(F.expr(_star).alias("nm"),
     F.expr("CASE WHEN l_linenumber % 3 = 0 THEN '§aModifier: giant-odd' WHEN l_linenumber % 3 = 1 THEN 'Universal slot, opal "
     "gemstone' END").alias("lore"))
+_texts = lambda s, d, *by: _names(s, d).groupBy(*by).count()  # noqa: E731  (the text rules read each text once)
 _NAMES = f"WITH n AS (SELECT {_star} AS nm, CASE WHEN l_linenumber % 3 = 0 THEN '§aModifier: giant-odd' WHEN l_linenumber % 3 = 1 THEN 'Universal slot, opal gemstone' END AS lore FROM lineitem JOIN part ON l_partkey = p_partkey)"
-q("o022_stars", lambda s, d: _names(s, d).groupBy(F.col("nm"), K.star_count("nm").alias("stars")).count(), "items",
+q("o022_stars", lambda s, d: _texts(s, d, "nm").select("nm", K.star_count("nm").alias("stars"), "count"), "items",
     _NAMES + " SELECT nm, least(5, CASE WHEN contains(nm, '✪') THEN length(nm) - length(replace(nm, '✪', '')) ELSE "
     "coalesce(try_cast(regexp_extract(nm, '(?i)(\\d+)\\s*-?\\s*STAR', 1) AS INT), 0) END)::INT AS stars, count(*) AS count FROM n "
         "GROUP BY ALL")
-q("o023_reforge", lambda s, d: _names(s, d).groupBy("nm", "lore", K.reforge("nm", "lore").alias("reforge")).count(), "items",
+q("o023_reforge", lambda s, d: _texts(s, d, "nm", "lore").select("nm", "lore", K.reforge("nm", "lore").alias("reforge"), "count"), "items",
     _NAMES + " SELECT nm, lore, CASE WHEN lore LIKE '%Modifier%' THEN 'Giant-Odd' WHEN nm LIKE 'Sharp %' THEN 'Sharp' WHEN nm LIKE "
     "'%(odd)%' THEN 'Odd' ELSE 'None' END AS reforge, count(*) AS count FROM n GROUP BY ALL")
-q("o024_gem_slots", lambda s, d: _names(s, d).groupBy("nm", "lore", F.array_join(K.gem_slots("nm", "lore"), ",").alias("slots")).count(),
+q("o024_gem_slots", lambda s, d: _texts(s, d, "nm", "lore").select("nm", "lore", F.array_join(K.gem_slots("nm", "lore"), ",").alias("slots"), "count"),
     "items", _NAMES + " SELECT nm, lore, CASE WHEN lore LIKE 'Univ%' THEN 'Universal,Opal' WHEN nm LIKE '%Ruby Slot' THEN 'Ruby' ELSE '' "
     "END AS slots, count(*) AS count FROM n GROUP BY ALL")
 q("o025_to_listing", lambda s, d: K.to_listing(A.listings(s, d)).select("auction_uuid", "star_count", "estimated_value", "bin"), "listings",

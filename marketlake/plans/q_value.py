@@ -134,9 +134,10 @@ _election = lambda s, d: A.table(s, d, "nation").select(F.when(F.col("n_nationke
 
 def valued_with_features(s, d):
     """Valuation with the micro and macro features of the quotes and the taxes of the election."""
-    features = X.timescale_features(A.quote_grid(s, d), T, W)
-    return V.value_opportunities(legs(s, d), A.part_quotes(s, d), A.item_listing_quotes(s, d), features, V.constraints_of(legs(s, d)),
-        V.tax_context(_election(s, d)))
+    features = stored(X.timescale_features(stored(A.quote_grid(s, d)), T, W))
+    quotes, lq = feeds(s, d)
+    own = stored(legs(s, d, quotes, lq))
+    return V.value_opportunities(own, quotes, lq, features, V.constraints_of(own), V.tax_context(_election(s, d)))
 
 
 def _vr(v: str, r: str, vc: float, rc: float) -> str:

@@ -89,3 +89,10 @@ def test_gem_slots_share_letters(spark):
 def test_text_rules_read_texts_once(spark, sf, name):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Aggregate [nm#") and "_groupingexpression" not in plan.splitlines()[0], plan
+
+
+@pytest.mark.parametrize("name, table, least", [("o122_value_with_features", "lineitem", 2), ("o100_quick_stats", "events", 2)])
+def test_feeds_are_computed_once(spark, sf, name, table, least):
+    """What several parts of the plan read is stored before: the plan that is left reads no table of the driver again."""
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{sf}/{table}.parquet") < least

@@ -123,12 +123,24 @@ def _meet_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
     return rows.join(hubs, "u").unionByName(rest)
 
 
+#: A task of a component round holds so many edges, of two longs each.
+EDGES_A_TASK = 65_536
+
+
+def _few(df: DataFrame, edges: int) -> DataFrame:
+    """df in as many partitions as its edges need, where that is fewer than a shuffle makes: a round on few edges leaves few files and tasks."""
+    parts = -(-edges // EDGES_A_TASK)
+    return df.coalesce(max(1, parts)) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a long, b long) -> (node, component): component is the least node reachable.
 
     Large-star and small-star rounds in turn, each a group-by with map-side
     combine and a join, in which hubs, with more than 1/HOT of the edges, are
     not shuffled; rounds are checkpointed. Nodes without an edge are absent.
+    A round's shuffles stay on disk until the driver collects its garbage, so
+    that the edges, not the session, say how many tasks write them.
     """
     spark = edges.sparkSession
     now = frozen(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -137,12 +149,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return spark.createDataFrame([], "node long, component long")
     seen = None
     for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = _meet_least(both, least, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _meet_least(large, least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = frozen(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        both = _few(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n)
+        least = _few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), 2 * n)
+        large = _few(_meet_least(both, least, 2 * n), 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _few(large.distinct(), n)
+        least = _few(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), n)
+        small = _few(_meet_least(large, least, n), n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        now = frozen(_few(small.union(least.select("u", F.col("m").alias("v"))).distinct(), n))
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("s")).first()
         if seen == mark:
             break

@@ -96,3 +96,32 @@ def test_feeds_are_computed_once(spark, sf, name, table, least):
     """What several parts of the plan read is stored before: the plan that is left reads no table of the driver again."""
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f"{sf}/{table}.parquet") < least
+
+
+def test_component_rounds_on_few_edges(spark, monkeypatch):
+    """A round's rows lie in as many partitions as its edges need, not in the session's; edges of several tasks give the same."""
+    from marketlake.llm import common
+
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    edges = [(i, i + 1) for i in range(30)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001)]
+    want = sorted([(n, 0) for n in range(31)] + [(1000 + i, 1000) for i in range(200)] + [(5000, 5000), (5001, 5000)])
+    frozen, parts = common.frozen, []
+
+    def counted(df):
+        parts.append(df.rdd.getNumPartitions())
+        return frozen(df)
+
+    monkeypatch.setattr(common, "frozen", counted)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for size, most in ((65_536, 1), (100, 3)):
+            monkeypatch.setattr(common, "EDGES_A_TASK", size, raising=False)
+            parts.clear()
+            got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+            assert sorted((r.node, r.component) for r in got) == want
+            assert len(parts) > 2 and max(parts[1:]) <= most, parts  # the first holds the edges as they come
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

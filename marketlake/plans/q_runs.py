@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.exprs import DAY_MS
 from ..operators import materialization as MZ
 from ..operators import rollups as R
 from ..sources import adapters as A
+from ..sources.files import write_snapshots
 from ..streaming import streams as ST
 from .inputs_sql import sql
 from .q_series import QUOTE, QUOTE_ROLLUP, P, T
@@ -34,6 +36,13 @@ def damaged(ticks: DataFrame) -> DataFrame:
         F.col("buy_price")))
 
 
+def ticks_by_day(s: SparkSession, d: str) -> DataFrame:
+    """Ticks as a table partitioned by day: a run reads its input again for each attempt, and a half of the buckets reads its own days alone."""
+    to, ticks = shared_folder(s), A.quote_ticks(s, d)
+    write_snapshots(ticks, to)
+    return s.read.schema(StructType([*ticks.schema.fields, StructField("day", LongType())])).parquet(to)
+
+
 def two_runs(s: SparkSession, d: str) -> tuple[str, DataFrame]:
     """(folder, ticks) after a run in which two days cannot be read, and one that repairs them."""
     folder, ticks = shared_folder(s), A.quote_ticks(s, d)
@@ -44,7 +53,7 @@ def two_runs(s: SparkSession, d: str) -> tuple[str, DataFrame]:
 
 def o153(s, d):
     """Due after the first run: the failed days, and the last closed one, which failed too; a day later the next as well."""
-    folder, ticks = shared_folder(s), A.quote_ticks(s, d)
+    folder, ticks = shared_folder(s), ticks_by_day(s, d)
     MZ.run(damaged(ticks), folder, 1, NOW, P)
     state = MZ.current_state(MZ.state_log(s, folder))
     parts = [MZ.due_and_failed(state, ticks, at, P).withColumn("now", F.lit(at)) for at in (NOW, NOW + DAY_MS)]

@@ -125,3 +125,20 @@ def test_component_rounds_on_few_edges(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_attempts_read_their_own_days(spark, sf, monkeypatch):
+    """Each attempt of a run reads a table by day, of which the days of its buckets alone, and not the driver's events again."""
+    from marketlake.operators import materialization as MZ
+
+    inside, read = MZ._inside, []
+
+    def noted(ticks, buckets, p):
+        own = inside(ticks, buckets, p)
+        read.append((len(buckets), own.inputFiles(), own._jdf.queryExecution().executedPlan().toString()))
+        return own
+
+    monkeypatch.setattr(MZ, "_inside", noted)
+    registry.QUERIES["o153_due_buckets"](spark, sf)
+    assert len(read) > 2 and not [f for _, files, _ in read for f in files if "events.parquet" in f]
+    assert all("PartitionFilters: [isnotnull(day" in plan for _, _, plan in read), read[0][2]

@@ -109,26 +109,38 @@ def price_history(quotes: DataFrame, t: int, range_name: str = "7d", auctions: D
     contains one of its aliases: the least starting bid, the mean of the highest bids (the starting bid where there is none) in
     whole units, and their number. An item with neither has no point. Auctions are summed by name before names meet items.
     """
-    back, width = HISTORY_RANGES[range_name]
-    bucket = bucket_start("snapshot_ts", width).alias("bucket")
-    own = scan_range(quotes, t - back, t + 1)
+    return price_histories(quotes, t, [range_name], auctions, aliases).drop("range")
+
+
+def price_histories(quotes: DataFrame, t: int, range_names: list[str], auctions: DataFrame | None = None,
+    aliases: DataFrame | None = None) -> DataFrame:
+    """The price histories of several ranges with the range's name, in one plan: feeds are read and names meet items once."""
+    spans = [(r, t - HISTORY_RANGES[r][0], HISTORY_RANGES[r][1]) for r in range_names]
+    since = min(start for _, start, _ in spans)
+    own = scan_range(quotes, since, t + 1)
     seen = own.select("snapshot_ts")
     if auctions is not None:
-        auctions = scan_range(auctions, t - back, t + 1)
+        auctions = scan_range(auctions, since, t + 1)
         seen = seen.union(auctions.select("snapshot_ts"))
-    last = F.broadcast(seen.groupBy(bucket).agg(F.max("snapshot_ts").alias("snapshot_ts")))  # at most 90 buckets
+    buckets = F.array_compact(F.array(*[F.when(F.col("snapshot_ts") >= start, F.struct(F.lit(r).alias("range"),
+        bucket_start("snapshot_ts", width).alias("bucket"))) for r, start, width in spans]))
+    last = F.broadcast(seen.select("snapshot_ts", F.inline(buckets)).groupBy("range", "bucket").agg(
+        F.max("snapshot_ts").alias("snapshot_ts")))  # at most 91 buckets a range
     price = lambda c: F.coalesce(round_half_up(finite(c)), F.when(F.col(c).isNotNull(), 0)).cast("long").alias(c)
-    points = own.join(last, "snapshot_ts").select(F.upper(F.trim("product_id")).alias("item_id"), "bucket", price("buy_price"), price("sell_price"),
-        F.col("buy_volume").cast("long").alias("volume"))
+    points = own.join(last, "snapshot_ts").select("range", F.upper(F.trim("product_id")).alias("item_id"), "bucket", price("buy_price"),
+        price("sell_price"), F.col("buy_volume").cast("long").alias("volume"))
     if auctions is not None:
         value = F.when(F.col("highest_bid") > 0, F.col("highest_bid")).otherwise(F.col("starting_bid"))
-        named = auctions.join(last, "snapshot_ts").groupBy("bucket", "item_name").agg(F.min("starting_bid").alias("low"), F.sum(value).alias("sum"),
-            F.count("*").alias("n"))
-        met = named.join(match_items(named, aliases), "item_name").groupBy(F.upper(F.trim("item_id")).alias("item_id"), "bucket").agg(
+        named = auctions.join(last, "snapshot_ts").groupBy("range", "bucket", "item_name").agg(F.min("starting_bid").alias("low"),
+            F.sum(value).alias("sum"), F.count("*").alias("n"))
+        # dealt by item before buckets multiply the pairs, so that these are summed where they arise; in as many parts as the rows need
+        parts = int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        matched = match_items(named, aliases).select("item_name", F.upper(F.trim("item_id")).alias("item_id")).repartition(parts, "item_id")
+        met = named.join(matched, "item_name").groupBy("range", "item_id", "bucket").agg(
             F.min("low").alias("low"), F.sum("sum").alias("sum"), F.sum("n").alias("n"))
-        rest = met.join(points.select("item_id", "bucket"), ["item_id", "bucket"], "left_anti")
-        points = points.unionByName(rest.select("item_id", "bucket", F.col("low").alias("buy_price"), F.floor(F.col("sum") / F.col("n")).cast(
-            "long").alias("sell_price"), F.col("n").alias("volume")))
+        rest = met.join(points.select("range", "item_id", "bucket"), ["range", "item_id", "bucket"], "left_anti")
+        points = points.unionByName(rest.select("range", "item_id", "bucket", F.col("low").alias("buy_price"), F.floor(F.col("sum") / F.col(
+            "n")).cast("long").alias("sell_price"), F.col("n").alias("volume")))
     return points.filter("buy_price IS NOT NULL OR sell_price IS NOT NULL")
 
 
@@ -149,25 +161,31 @@ def score_history(history: DataFrame) -> DataFrame:
         round2(clamp(2 * F.col("spread_pct") + 3 * F.col("volatility"), 0, 100)).alias("risk"))
 
 
-def _change(history: DataFrame, name: str) -> DataFrame:
-    """Percent from the first to the last point, for two points or more whose first price is above zero."""
-    ends = history.groupBy("item_id").agg(F.count("*").alias("n"), *[f(F.struct(name), "bucket").getField(name).alias(k) for f,
-        k in ((F.min_by, "a"), (F.max_by, "z"))])
-    change = F.when((F.col("n") >= 2) & (F.col("a") > 0), round2((F.col("z") - F.col("a")) * 100.0 / F.col("a")))
-    return ends.select("item_id", change.alias(f"{name.split('_')[0]}_change_24h"))
-
-
 def quick_stats(day: DataFrame, week: DataFrame, month: DataFrame) -> DataFrame:
     """Of the histories of 24 hours, 7 and 30 days: the latest point with its spread, changes over a day, and the week's mean volume, high and low."""
-    latest = month.groupBy("item_id").agg(F.max_by(F.struct("buy_price", "sell_price", "volume"), "bucket").alias("l")).select("item_id", "l.*")
-    over = week.groupBy("item_id").agg(round_half_up(F.avg(F.when(F.col("volume") >= 0, F.col("volume")))).alias("avg_volume_7d"),
-        F.max(F.when(F.col("buy_price") > 0, F.col("buy_price"))).alias("high_7d"),
-        F.min(F.when(F.col("sell_price") > 0, F.col("sell_price"))).alias("low_7d"))
-    j = latest
-    for part in (_change(day, "buy_price"), _change(day, "sell_price"), over):
-        j = j.join(part, "item_id", "left")
+    named = [h.withColumn("range", F.lit(r)) for h, r in ((day, "24h"), (week, "7d"), (month, "30d"))]
+    return quick_stats_of(named[0].unionByName(named[1]).unionByName(named[2]))
+
+
+def quick_stats_of(histories: DataFrame) -> DataFrame:
+    """`quick_stats` of rows that name their range: each item of the month is one group of them all.
+
+    The change is in percent from the first to the last point, for two points or more whose first price is above zero. Rows of a
+    day or week without an item belong to none.
+    """
+    own = lambda r, c: F.when(F.col("range") == r, F.col(c))
+    at = {r: own(r, "bucket") for r in ("24h", "30d")}
+    positive_of = lambda c: F.when((F.col("range") == "7d") & (F.col(c) > 0), F.col(c))
+    g = histories.filter("item_id IS NOT NULL OR range = '30d'").groupBy("item_id").agg(F.count(at["30d"]).alias("points"),
+        *[F.max_by(c, at["30d"]).alias(c) for c in ("buy_price", "sell_price", "volume")], F.count(at["24h"]).alias("n"),
+        *[f(c, at["24h"]).alias(f"{c}_{k}") for c in ("buy_price", "sell_price") for f, k in ((F.min_by, "a"), (F.max_by, "z"))],
+        F.avg(F.when(F.col("volume") >= 0, own("7d", "volume"))).alias("avg_volume"), F.max(positive_of("buy_price")).alias("high_7d"),
+        F.min(positive_of("sell_price")).alias("low_7d"))
+    change = lambda c: F.when((F.col("n") >= 2) & (F.col(f"{c}_a") > 0), round2((F.col(f"{c}_z") - F.col(f"{c}_a")) * 100.0 / F.col(f"{c}_a")))
     spread = F.col("buy_price") - F.col("sell_price")
-    return j.withColumns({"spread": spread, "spread_pct": F.when(F.col("buy_price") > 0, round2(spread * 100.0 / F.col("buy_price")))})
+    return g.filter("points > 0").select("item_id", "buy_price", "sell_price", "volume", change("buy_price").alias("buy_change_24h"),
+        change("sell_price").alias("sell_change_24h"), round_half_up("avg_volume").alias("avg_volume_7d"), "high_7d", "low_7d",
+        spread.alias("spread"), F.when(F.col("buy_price") > 0, round2(spread * 100.0 / F.col("buy_price"))).alias("spread_pct"))
 
 
 def market_overview(quotes: DataFrame, opportunities: DataFrame, t: int, by: str = "product_id") -> DataFrame:

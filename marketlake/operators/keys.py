@@ -167,7 +167,7 @@ def match_items(listings: DataFrame, alias_table: DataFrame, q: int = 3) -> Data
     cut = forms.select("item_name", "__f", F.explode(runs).alias("__g"))
     seen = cut.groupBy("__g").agg(F.count("*").alias("__n"))
     known = alias_table.filter("alias <> ''").select("alias").distinct().withColumn("__gs", _grams(F.col("alias"), F.least(F.lit(q), F.length("alias"))))
-    own = known.select("alias", F.size("__gs").alias("__k"), F.explode("__gs").alias("__g")).join(seen, "__g")
+    own = known.select("alias", F.size("__gs").alias("__k"), F.explode("__gs").alias("__g")).join(seen.hint("merge"), "__g")
     rarest = own.groupBy("alias", "__k").agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g"), F.count("*").alias("__have")).filter("__have = __k")
-    met = cut.join(rarest.select("alias", "__g"), "__g").filter(F.contains("__f", "alias")).select("item_name", "alias").distinct()
-    return met.join(alias_table.select("alias", "item_id").distinct(), "alias").select("item_name", "item_id").distinct()
+    met = cut.join(rarest.select("alias", "__g").hint("merge"), "__g").filter(F.contains("__f", "alias")).select("item_name", "alias").distinct()
+    return met.join(alias_table.select("alias", "item_id").hint("merge"), "alias").select("item_name", "item_id").distinct()

@@ -154,15 +154,14 @@ q("o096_structurally_illiquid",
 q("o097_timescale_features", lambda s, d: X.timescale_features(A.quote_grid(s, d), T, W), "quote_grid", _MIC + _FEAT)
 
 
-def history(s, d, range_name: str, grid=None, auctions=None):
-    grid, auctions = grid or A.quote_grid(s, d), auctions or A.auction_snapshots(s, d)
-    return X.price_history(grid, T, range_name, auctions, K.aliases(A.items(s, d)))
+def history(s, d, range_name: str):
+    return X.price_history(A.quote_grid(s, d), T, range_name, A.auction_snapshots(s, d), K.aliases(A.items(s, d)))
 
 
 def histories(s, d):
-    """The histories of 24 hours, 7 and 30 days, over stored feeds that all three read."""
+    """The histories of 24 hours, 7 and 30 days, over stored feeds that are read more than once."""
     grid, auctions = stored(A.quote_grid(s, d)), stored(A.auction_snapshots(s, d))
-    return [history(s, d, r, grid, auctions) for r in ("24h", "7d", "30d")]
+    return X.price_histories(grid, T, ["24h", "7d", "30d"], auctions, K.aliases(A.items(s, d)))
 
 
 def _hist(range_name: str, name: str) -> str:
@@ -183,7 +182,7 @@ q("o099_score_history", lambda s, d: X.score_history(history(s, d, "30d")), _FEE
     f"WITH {_NAMED}, {_hist('30d', 'h')}" + """, v AS (SELECT *, coalesce(least(100, greatest(0, volume * 100e0 / nullif(max(CASE WHEN volume > 0 THEN volume END) OVER (PARTITION BY item_id), 0))), 0) AS liq, lag(sell_price) OVER (PARTITION BY item_id ORDER BY bucket) AS b,
   CASE WHEN buy_price > 0 THEN abs(buy_price - sell_price) * 100e0 / buy_price ELSE 0e0 END AS sp FROM h), w AS (SELECT *, CASE WHEN b > 0 THEN abs(sell_price - b) * 100e0 / b ELSE sp END AS vol FROM v)
   SELECT item_id, bucket, floor(liq * 100 + 0.5) / 100 AS liquidity, floor(vol * 100 + 0.5) / 100 AS volatility, floor(least(100, greatest(0, 2 * sp + 3 * vol)) * 100 + 0.5) / 100 AS risk FROM w""")
-q("o100_quick_stats", lambda s, d: X.quick_stats(*histories(s, d)), _FEEDS,
+q("o100_quick_stats", lambda s, d: X.quick_stats_of(histories(s, d)), _FEEDS,
     f"WITH {_NAMED}, {_hist('24h', 'd')}, {_hist('7d', 'w')}, {_hist('30d', 'm')}" + """, l AS (SELECT item_id, unnest(arg_max({'buy_price': buy_price, 'sell_price': sell_price, 'volume': volume}, bucket)) FROM m GROUP BY 1),
   c AS (SELECT item_id, count(*) AS n, arg_min(buy_price, bucket) AS b0, arg_max(buy_price, bucket) AS b1, arg_min(sell_price, bucket) AS s0, arg_max(sell_price, bucket) AS s1 FROM d GROUP BY 1),
   o AS (SELECT item_id, floor(avg(volume) + 0.5)::BIGINT AS avg_volume_7d, max(buy_price) FILTER (buy_price > 0) AS high_7d, min(sell_price) FILTER (sell_price > 0) AS low_7d FROM w GROUP BY 1)

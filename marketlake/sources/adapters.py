@@ -85,7 +85,7 @@ def auction_snapshots(spark: SparkSession, d: str, slot_ms: int = SLOT_MS) -> Da
     n = p.agg(F.count("*").alias("n_parts"))
     k = F.get_json_object("props", "$.k").cast("int")
     e = table(spark, d, "events").crossJoin(F.broadcast(n)).withColumns({"k": k, "part": F.col("event_id") % F.col("n_parts")})  # one row
-    return e.join(p, e.part == p.p_partkey).select(
+    return e.join(p.hint("merge"), e.part == p.p_partkey).select(  # a broadcast takes many times the parts' bytes on disk
         bucket_start(ms("ts"), slot_ms).alias("snapshot_ts"), F.concat(F.lit("a"), "event_id").alias("auction_uuid"),
         F.concat("p_name", F.when(F.col("k") % 7 == 0, " ✪✪").otherwise("")).alias("item_name"), (F.floor(F.col("value") * 10) + 1).alias("starting_bid"),
         F.when(F.col("k") % 2 == 1, F.floor(F.col("value") * 12) + 1).otherwise(0).cast("long").alias("highest_bid"),

@@ -5,10 +5,14 @@ import os
 import duckdb
 import pytest
 from compare import rows_match
+from pyspark.sql import functions as F
 
+from marketlake.functions.exprs import DAY_MS
+from marketlake.operators import features as X
 from marketlake.operators import keys as K
 from marketlake.operators import snapshots as S
 from marketlake.plans import registry
+from marketlake.sources import adapters as A
 from marketlake.sources import files
 
 
@@ -142,3 +146,40 @@ def test_attempts_read_their_own_days(spark, sf, monkeypatch):
     registry.QUERIES["o153_due_buckets"](spark, sf)
     assert len(read) > 2 and not [f for _, files, _ in read for f in files if "events.parquet" in f]
     assert all("PartitionFilters: [isnotnull(day" in plan for _, _, plan in read), read[0][2]
+
+
+def test_aliases_are_not_broadcast(spark, tmp_path):
+    """Aliases grow with the items, and exploded rows look small to Spark: no join of names and aliases broadcasts what it reads."""
+    spark.createDataFrame([("Large Ring ✪",), ("hot bolt",)], "item_name string").write.parquet(f"{tmp_path}/names")
+    spark.createDataFrame([("P1", "large ring", "mc:large_ring"), ("P2", "bolt", "mc:b"), ("P3", "x", None)],
+        "item_id string, display_name string, minecraft_id string").write.parquet(f"{tmp_path}/items")
+    out = K.match_items(spark.read.parquet(f"{tmp_path}/names"), K.aliases(spark.read.parquet(f"{tmp_path}/items")))
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("Large Ring ✪", "P1"), ("hot bolt", "P2")]
+
+
+def test_auctions_do_not_broadcast_parts(spark, sf):
+    plan = A.auction_snapshots(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_histories_in_one_plan(spark):
+    """Several ranges at once are the histories of each; pairs of names and items lie by item before buckets multiply them."""
+    t, h = 30 * DAY_MS, 3_600_000
+    quotes = spark.createDataFrame([(t - 2 * h, "a", 10.0, 8.0, 5), (t - h, "a", 12.0, float("nan"), 6), (t - 3 * DAY_MS, "a", 4.0, None, None),
+        (t - 20 * DAY_MS, " b ", 1.5, 2.0, 1), (t - h, None, 3.0, 2.0, 1), (t + 1, "late", 1.0, 1.0, 1)],
+        "snapshot_ts long, product_id string, buy_price double, sell_price double, buy_volume long")
+    auctions = spark.createDataFrame([(t - 2 * h, "Ring", 5, 0), (t - h, "Ring ✪", 7, 9), (t - h, "ring", 3, None), (t - 6 * DAY_MS, "Ring", 2, 4), (t - h, None, 1, 1)],
+        "snapshot_ts long, item_name string, starting_bid long, highest_bid long")
+    aliases = spark.createDataFrame([("R1", "RING"), ("R2", "RING"), ("a", "RING")], "item_id string, alias string")
+    every = X.price_histories(quotes, t, ["24h", "7d", "30d"], auctions, aliases)
+    rows, order = every.collect(), lambda some: sorted(map(str, some))
+    assert order(x.asDict() for x in rows if x.range == "7d") == order({"range": "7d"} | x.asDict() for x in X.price_history(quotes, t, "7d", auctions,
+        aliases).collect())
+    stats = X.quick_stats_of(spark.createDataFrame(rows, every.schema))
+    got = {r.item_id: tuple(r)[1:] for r in stats.collect()}
+    assert got["A"] == (12, 0, 6, 20.0, -100.0, 4, 12, 4, 12, 100.0)  # of a bucket's snapshots the last; an auction six days before
+    assert got["R1"] == (3, 6, 2, -40.0, 20.0, 2, 3, 4, -3, -100.0)
+    assert got["B"] == (2, 2, 1, None, None, None, None, None, 0, 0.0)
+    assert got[None] == (3, 2, 1, None, None, None, None, None, 1, 33.33)  # no item of the day or week
+    assert not [e for e in exchanges_of(every) if "low" in e[1] and "item_id" in e[0] and "bucket" in e[0]]

@@ -47,7 +47,9 @@ def pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pages_source(s, d):
-    return S.parse_listing_pages(S.stored(pages(s, d))).groupBy("snapshot_ts", "bin").agg(F.count("*").alias("n"),
+    to = S.shared_folder(s)
+    S.write_lines(pages(s, d), to)
+    return S.read_listing_pages(s, to).groupBy("snapshot_ts", "bin").agg(F.count("*").alias("n"),
         F.sum("starting_bid").alias("bids"), F.count("item_lore").alias("lores"))
 
 

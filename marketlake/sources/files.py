@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,12 +34,11 @@ def listings_of_pages(pages: DataFrame) -> DataFrame:
     """Rows of updates all of whose pages are there; an update with a page missing has none, so that it never looks like an empty market."""
     pages = pages.filter("success")
     seen = pages.groupBy("lastUpdated", "page").agg(F.max("totalPages").alias("total"))
-    # numbers alone meet by update; the pages, which are large and many an update, meet and are told apart by update and page
-    w, keys = Window.partitionBy("lastUpdated"), ["lastUpdated", "page"]
+    # numbers alone meet by update; the pages, which are large and many an update, are dealt once, by update and page (nulls included)
+    w, key = Window.partitionBy("lastUpdated"), F.struct("lastUpdated", "page").alias("__update_page")
     seen = seen.withColumn("ok", F.count("page").over(w) == F.max("total").over(w)).filter("ok")
-    wanted = seen.select(*[F.col(c).alias(f"__{c}") for c in keys]).repartition(*[f"__{c}" for c in keys])
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
-    kept = pages.repartition(*keys).join(wanted, same, "left_semi").dropDuplicates(keys)
+    wanted = seen.select(key).repartition("__update_page")
+    kept = pages.select(key, "lastUpdated", "auctions").repartition("__update_page").join(wanted, "__update_page", "left_semi").dropDuplicates(["__update_page"])
     e = kept.select(F.col("lastUpdated").alias("snapshot_ts"), F.explode("auctions").alias("a"))
     return e.select("snapshot_ts", F.col("a.uuid").alias("auction_uuid"), "a.item_name", "a.category", "a.tier", "a.starting_bid",
         F.col("a.highest_bid_amount").alias("highest_bid"), F.col("a.start").alias("start_ts"), F.col("a.end").alias("end_ts"), "a.claimed",
@@ -117,6 +114,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def write_lines(texts: DataFrame, path: str) -> None:
+    """Large texts, such as pages, a line each: they are read again line by line, where a batch of Parquet rows would hold thousands at once."""
+    texts.write.option("compression", "snappy").text(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a store that Spark reads has the path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -68,6 +68,32 @@ def test_pages_meet_by_update_and_page(spark):
     assert not [e for e in shuffles if "auctions" in e[1] and "page" not in e[0]]
 
 
+@pytest.mark.parametrize("most", ["-1", "10m"])
+def test_pages_are_dealt_once(spark, tmp_path, most):
+    """Pages are written and read as lines, go through one shuffle by update and page, and updates or pages without a number are told apart too."""
+    page = lambda u, p, n, total=2: '{"success":true,"page":%s,"totalPages":%d,"lastUpdated":%s,"auctions":[{"uuid":"%s"}]}' % (p, total, u, n)
+    rows = [page(5, 0, "a\\nb"), page(5, 1, "c"), page(5, 1, "c"), page(6, 0, "d"), page("null", 0, "e", 1), page("null", 0, "e", 1), page(7, 0, "f", 1),
+        page(7, "null", "g", 1), page(7, "null", "g", 1), page(8, 0, "h", 1).replace("true", "false"), "{broken", "null"]
+    key, to = "spark.sql.autoBroadcastJoinThreshold", f"{tmp_path}/pages"
+    files.write_lines(spark.createDataFrame([(r,) for r in rows], "value string"), to)
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        out = files.read_listing_pages(spark, to)
+        got = out.collect()
+        dealt = [e for e in exchanges_of(out) if "auctions" in e[1]]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.snapshot_ts or 0, r.auction_uuid) for r in got) == [(0, "e"), (5, "a\nb"), (5, "c"), (7, "f"), (7, "g")]
+    assert len(dealt) == 1 and "page" in dealt[0][0]
+
+
+def test_stored_pages_are_read_by_line(spark, sf):
+    """A batch of a Parquet file would hold thousands of pages at once."""
+    plan = registry.QUERIES["o001_read_listing_pages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan json" in plan and "FileScan parquet" not in plan
+
+
 def exchanges_of(df):
     """(partitioning, columns) of every shuffle of the first plan."""
     import re
